@@ -1,2 +1,9 @@
-QUERIES = {}
-ORACLE_SQL = {}
+"""All queries of this package's operators over the test tables, by name, and their SQL."""
+
+from __future__ import annotations
+
+from . import interval_queries
+
+_PARTS = (interval_queries,)
+QUERIES = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
+ORACLE_SQL = {name: sql for part in _PARTS for name, sql in part.ORACLE_SQL.items()}
