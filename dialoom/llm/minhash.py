@@ -7,17 +7,20 @@ words than a shingle is one shingle). Two documents are linked if 100 * |common|
    keeps the minimum, stored as leading-zero count (6 bits) and the next 10 mantissa bits: two bytes.
 2. Documents with the same set (same 128-bit digest of the sorted set) become one class, its smallest id stands
    for it. So exact copies, however many, cost one candidate.
-3. Banding: four neighbouring registers make a key, 32 bands. A pair at similarity 0.85 meets in no band with
-   a probability of 5e-11, at 0.8 of 5e-8.
-4. Candidates without all pairs of a band: first each document meets one hub, the smallest id over its bands.
-   Confirmed links give components; after that only members of different components still meet, those outside
-   a band's largest component with all its members. Where this is more than ``MOST_PAIRS`` pairs in a band,
-   members are dealt anew by that band and each further band together (a linked pair shares 14 to 17 bands on
-   average), and so on, again with hubs first; the last level meets in full. Nothing is dropped.
-5. Estimate: equal registers over registers filled in either, less the collisions expected from the stored bits.
-   A pair whose corrected estimate is over five standard errors below the threshold goes; all others are
-   verified on their full sets, from the words themselves.
-6. Components of confirmed links; the smallest id of each stays.
+3. Banding: empty registers borrow from filled ones by a fixed table (so that the keys of short texts too hang on several
+   shingles); four neighbouring registers make a key, 32 bands. A pair at similarity 0.85 meets in no band with a
+   probability of 5e-11, at 0.8 of 5e-8. Sets so small that only equal sets can be linked are not banded.
+4. Hubs: each document meets one other, the smallest id over its bands. Confirmed links give first components, in which
+   most copies of one text are together after one comparison each. A band whose members are all in one component is done.
+5. What is open then: documents that share open bands make a pool. A pool is cut into blocks of about ``BLOCK`` documents, by
+   whether they are in its largest component, by size class (linked sets differ by one class at most) and by hash; small
+   pools share blocks. Blocks meet blocks, all sets of a block with all of the other at a time in numpy, but not those within
+   the largest component; a task has two blocks, and gives the links that connect components, no lists of pairs. So
+   thousands of near copies just below the threshold cost blocks squared, not rows squared.
+6. In either step the estimate comes first: equal registers over registers filled in either, less the collisions expected
+   from the stored bits. A pair whose corrected estimate is over five standard errors below the threshold goes; the others
+   are verified on their full sets.
+7. Components of confirmed links; the smallest id of each stays.
 
 Defined cases: a null or wordless text has an empty set, links with nothing and stays. Rows that repeat an id
 are one document, with the text that sorts first; its decision holds for each of the rows. Rows with a null id
@@ -27,7 +30,6 @@ are kept, unlinked. Extra columns pass through.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -44,9 +46,10 @@ REGISTERS = 1 << REGISTER_BITS
 MANTISSA_BITS = 10
 BAND = 4
 BANDS = REGISTERS // BAND
-#: In a band with more pairs than this, pairs must share a further band. A matter of work, not of results.
-MOST_PAIRS = 4096
-LEVELS = 3
+#: Documents in a block. A matter of work, not of results.
+BLOCK = 256
+#: Which registers an empty one borrows from, in turn.
+_LENDERS = np.random.default_rng(20240101).integers(0, REGISTERS, (REGISTERS, 96))
 
 
 def words(text: str | None) -> list[bytes]:
@@ -92,6 +95,20 @@ def registers(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
+def band_keys(regs: np.ndarray) -> list[int]:
+    """A signed 64-bit key for each band, over registers with the empty ones filled from others."""
+    lent = _LENDERS[np.arange(REGISTERS), (regs[_LENDERS] > 0).argmax(axis=1)]
+    lent = np.where(regs[lent] > 0, lent, np.flatnonzero(regs)[0])
+    source = np.where(regs > 0, np.arange(REGISTERS), lent).astype(np.uint16)
+    rows = np.stack([source, regs[source]], axis=1).reshape(BANDS, -1)
+    return [xxhash.xxh3_64_intdigest(row.tobytes(), i) - (1 << 63) for i, row in enumerate(rows)]
+
+
+def smallest_linkable(percent: int) -> int:
+    """The least set size at which an unequal set can be linked: n / (n + 1) >= threshold."""
+    return -(-percent // (100 - percent))
+
+
 def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Collision-corrected Jaccard estimates of rows of registers, and their standard errors' share (registers filled).
 
@@ -109,8 +126,9 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
 _SKETCH = "id long, n long, low long, high long, regs binary, bands array<long>"
 
 
-def sketches(docs: DataFrame, size: int) -> DataFrame:
-    """(id, text) -> (id, n, low, high, regs, bands): set size, digest of the set, registers, a key for each band or null."""
+def sketches(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """(id, text) -> (id, n, low, high, regs, bands): set size, digest of the set, registers, a key for each band (none for small sets)."""
+    least = smallest_linkable(percent)
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -120,11 +138,7 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
                 regs = registers(hashes)
                 digest = xxhash.xxh3_128_digest(hashes.tobytes())
                 low, high = np.frombuffer(digest, np.int64).tolist()
-                bands = [
-                    xxhash.xxh3_64_intdigest(bytes([i]) + regs[i * BAND : (i + 1) * BAND].tobytes()) - (1 << 63)
-                    if regs[i * BAND : (i + 1) * BAND].any() else None
-                    for i in range(BANDS)
-                ]
+                bands = band_keys(regs) if len(hashes) >= least else []
                 rows.append((number, len(hashes), low, high, regs.tobytes(), bands))
             yield pd.DataFrame(rows, columns=["id", "n", "low", "high", "regs", "bands"])
 
@@ -172,17 +186,116 @@ def shingle_set(text: str | None, size: int) -> set:
     return {tuple(found[i : i + width]) for i in range(len(found) - width + 1)} if found else set()
 
 
-def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
-    if labels is None:
-        return members.withColumn("component", F.col("id"))
-    return members.join(labels, members.id == labels.node, "left").withColumn("component", F.coalesce("component", "id")).drop("node")
+def _hub_pairs(members: DataFrame) -> DataFrame:
+    """(a, b): each document with the smallest id it shares a band with."""
+    low = members.groupBy("key").agg(F.min("id").alias("hub"))
+    met = members.join(low, "key").filter("hub != id").groupBy("id").agg(F.min("hub").alias("hub"))
+    return met.select(F.col("hub").alias("a"), F.col("id").alias("b"))
+
+
+def _open_documents(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(id, component, pool): documents in bands that still hold several components; pool: those connected by such bands."""
+    own = members.join(labels, members.id == labels.node, "left").select("id", "key", F.coalesce("component", "id").alias("component"))
+    several = own.groupBy("key").agg(F.min("component").alias("l"), F.max("component").alias("h"), F.min("id").alias("first")).filter("l != h")
+    held = written(own.join(several.select("key", "first"), "key").select("id", "component", "first"), "open-members")
+    pools = components(held.select(F.col("first").alias("a"), F.col("id").alias("b")))
+    return held.select("id", "component").distinct().join(pools.select(F.col("node").alias("id"), F.col("component").alias("pool")), "id")
+
+
+def _blocks(open_docs: DataFrame, percent: int) -> DataFrame:
+    """(id, component, n, block) and, exploded by it, (meeting): the pairs of blocks each document takes part in."""
+    parts = open_docs.groupBy("pool", "component").agg(F.count("*").alias("part"))
+    pools = parts.groupBy("pool").agg(F.sum("part").alias("all"), F.max(F.struct("part", "component")).alias("main"))
+    sized = open_docs.join(pools, "pool")
+    small = F.col("all") <= BLOCK // 4
+    few = open_docs.count() // BLOCK + 1
+    # Small pools share cells; their documents meet each other there and nobody else.
+    cell = F.struct(
+        F.when(small, F.pmod(F.xxhash64("pool"), F.lit(few))).otherwise(F.col("pool")).alias("pool"), small.alias("shared"),
+        (~small & (F.col("component") == F.col("main.component")) & (F.col("main.part") > 1)).alias("main"),
+        F.when(small, 0).otherwise(F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)))).cast("int").alias("size_class"),
+    )
+    placed = sized.withColumn("cell", cell)
+    counts = placed.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(float(BLOCK))).cast("int").alias("cuts"))
+    placed = placed.join(counts, "cell").select("id", "component", "cell", F.pmod(F.xxhash64("id"), "cuts").cast("int").alias("cut"))
+    blocks = counts.select("cell", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("cut"))
+    a, b = (blocks.select(F.col("cell.pool").alias("pool"), F.col("cell.shared").alias("shared"), F.struct("cell", "cut").alias(x)) for x in "ab")
+    meet = a.join(b, ["pool", "shared"]).filter(
+        "a <= b AND abs(a.cell.size_class - b.cell.size_class) <= 1 AND NOT (a.cell.main AND b.cell.main)"
+    ).select("a", "b", F.xxhash64("a", "b").alias("meeting"))
+    sides = meet.select("meeting", F.col("a").alias("block")).union(meet.select("meeting", F.col("b").alias("block"))).distinct()
+    return placed.withColumn("block", F.struct("cell", "cut")).join(sides, "block").select("meeting", "id", "component")
+
+
+def block_links(ids: np.ndarray, component: np.ndarray, sets: list[np.ndarray], regs: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links between the sets of some hundred documents that connect different components: a forest of them."""
+    count = np.array([len(x) for x in sets])
+    small, large = np.minimum.outer(count, count), np.maximum.outer(count, count)
+    ask = (component[:, None] != component[None, :]) & (100 * small >= percent * large) & np.tri(len(ids), k=-1, dtype=bool)
+    rows, cols = np.nonzero(ask)
+    keep = []
+    for at in range(0, len(rows), 1 << 16):
+        i, j = rows[at : at + (1 << 16)], cols[at : at + (1 << 16)]
+        guess, filled = estimate(regs[i], regs[j], count[i], count[j])
+        keep.append(guess >= percent / 100 - 5 * np.sqrt(percent / 100 * (1 - percent / 100) / np.maximum(filled, 1)))
+    likely = np.concatenate(keep) if keep else np.zeros(0, bool)
+    rows, cols = rows[likely], cols[likely]
+    if not len(rows):
+        return []
+    used = np.unique(np.concatenate((rows, cols)))
+    place = np.full(len(ids), -1)
+    place[used] = np.arange(len(used))
+    hashes = np.concatenate([sets[k] for k in used])
+    owner = np.repeat(np.arange(len(used)), count[used])
+    word, times = np.unique(hashes, return_inverse=True, return_counts=True)[1:]
+    shared = times[word] > 1  # a shingle of one document alone is in no intersection
+    number = np.cumsum(times > 1) - 1
+    word, owner = number[word[shared]], owner[shared]
+    order = np.argsort(word, kind="stable")
+    word, owner = word[order], owner[order]
+    common = np.zeros((len(used), len(used)), np.float32)
+    for low in range(0, int(word[-1]) + 1 if len(word) else 0, 8192):
+        a, b = np.searchsorted(word, (low, low + 8192))
+        has = np.zeros((len(used), 8192), np.float32)
+        has[owner[a:b], word[a:b] - low] = 1
+        common += has @ has.T
+    both = common[place[rows], place[cols]].astype(np.int64)
+    linked = 100 * both >= percent * (count[rows] + count[cols] - both)
+    group = {int(c): int(c) for c in np.unique(component)}
+
+    def top(x: int) -> int:
+        while group[x] != x:
+            group[x] = group[group[x]]
+            x = group[x]
+        return x
+
+    out = []
+    for i, j in zip(rows[linked], cols[linked]):
+        x, y = top(int(component[i])), top(int(component[j]))
+        if x != y:
+            group[max(x, y)] = min(x, y)
+            out.append((int(ids[i]), int(ids[j])))
+    return out
+
+
+def _block_edges(open_docs: DataFrame, reps: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """(a, b): links between the documents that are still apart, block by block."""
+    meetings = _blocks(open_docs.join(reps.select("id", "n"), "id"), percent)
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"id": batch.id, "set": [shingle_hashes(t, size).tobytes() for t in batch.text]})
 
+    sets = texts.join(open_docs.select("id"), "id").select("id", "text").mapInPandas(cut, "id long, set binary")
+    rows = meetings.join(sets, "id").join(reps.select("id", "regs"), "id")
 
-def _hub_pairs(members: DataFrame) -> DataFrame:
-    """One pair for each component seen from each document: with the smallest id it meets in another component."""
-    low = members.groupBy("key").agg(F.min(F.struct("id", "component")).alias("hub"))
-    met = members.join(low, "key").filter("hub.component != component")
-    return met.groupBy("id").agg(F.min("hub.id").alias("hub")).select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+    def compare(block: pd.DataFrame) -> pd.DataFrame:
+        block = block.sort_values("id").drop_duplicates("id")
+        regs = np.frombuffer(b"".join(block.regs), np.uint16).reshape(-1, REGISTERS)
+        sets = [np.frombuffer(x, np.uint64) for x in block.set]
+        return pd.DataFrame(block_links(block.id.to_numpy(), block.component.to_numpy(), sets, regs, percent), columns=["a", "b"], dtype="int64")
+
+    return rows.groupBy("meeting").applyInPandas(compare, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -191,44 +304,20 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
     numbered = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).filter("id IS NOT NULL")
     if not numbered.groupBy("id").count().filter("count > 1").isEmpty():
         numbered = numbered.groupBy("id").agg(F.min("text").alias("text"))
-    every = written(sketches(numbered, size), "sketches")
+    every = written(sketches(numbered, size, percent), "sketches")
     classes = every.filter("n > 0").groupBy("low", "high").agg(F.min(F.struct("id", "n", "regs", "bands")).alias("rep"))
     reps = written(classes.select("rep.*", "low", "high"), "classes")
-    spread = reps.select("id", F.posexplode("bands").alias("band", "key")).filter("key IS NOT NULL")
+    spread = reps.select("id", F.explode("bands").alias("key"))
     met = spread.groupBy("key").agg(F.min("id").alias("low_id"), F.max("id").alias("high_id")).filter("low_id != high_id").select("key")
     members = written(spread.join(met, "key", "left_semi"), "band-members")
     # Verification reads the texts of documents that share a band, no others.
     texts = written(numbered.join(members.select("id").distinct(), "id", "left_semi"), "candidate-texts")
-    edges: list[DataFrame] = []
-    labels: DataFrame | None = None
-
-    def confirm(pairs: DataFrame) -> None:
-        nonlocal labels
-        edges.append(written(_verified(pairs, reps, texts, size, percent), "edges"))
-        labels = written(components(reduce(DataFrame.union, edges)), "labels")
-
-    for level in range(LEVELS):
-        confirm(_hub_pairs(_labelled(members, labels)))
-        own = _labelled(members, labels)
-        parts = own.groupBy("key", "component").agg(F.count("*").alias("part"))
-        groups = parts.groupBy("key").agg(F.sum("part").alias("all"), F.max(F.struct("part", "component")).alias("main")).filter("all > main.part")
-        groups = written(groups.withColumn("pairs", F.col("all") * (F.col("all") - F.col("main.part"))), "open-bands")
-        if groups.isEmpty():
-            break
-        now = groups if level == LEVELS - 1 else groups.filter(F.col("pairs") <= MOST_PAIRS)
-        apart = own.join(now.select("key", F.col("main.component").alias("main")), "key")
-        pairs = apart.filter("component != main").select("key", F.col("id").alias("x"), F.col("component").alias("cx")).join(
-            own.select("key", F.col("id").alias("y"), F.col("component").alias("cy")), "key"
-        ).filter("cx != cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        confirm(pairs)
-        crowded = groups.filter(F.col("pairs") > MOST_PAIRS).select("key")
-        if level == LEVELS - 1 or crowded.isEmpty():
-            break
-        held = members.join(crowded, "key", "left_semi")
-        again = held.join(reps.select("id", F.posexplode("bands").alias("further", "next")), "id").filter("further > band AND next IS NOT NULL")
-        again = again.select("id", F.col("further").alias("band"), F.xxhash64("key", "next").alias("key"))
-        shared = again.groupBy("key").agg(F.min("id").alias("l"), F.max("id").alias("h")).filter("l != h").select("key")
-        members = written(again.join(shared, "key", "left_semi"), "band-members")
+    hubs = written(_verified(_hub_pairs(members), reps, texts, size, percent), "hub-links")
+    labels = written(components(hubs), "labels")
+    open_docs = written(_open_documents(members, labels), "open-documents")
+    if not open_docs.isEmpty():
+        rest = written(_block_edges(open_docs, reps, texts, size, percent), "block-links")
+        labels = written(components(hubs.union(rest)), "labels")
     joined = every.join(reps.select("low", "high", F.col("id").alias("rep")), ["low", "high"], "left")
     final = joined.join(labels, joined.rep == labels.node, "left")
     return final.select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component"))
