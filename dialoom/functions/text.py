@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from .scalars import safe_ratio
 
@@ -54,7 +55,7 @@ def first_token(text: Column) -> Column:
     return F.coalesce(F.try_element_at(F.transform(tokens(text), F.lower), F.lit(1)), F.lit(""))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def similarity(left: pd.Series, right: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio of two content texts; 0 if either is empty. No built-in function has these semantics."""
     return pd.Series([SequenceMatcher(None, a, b).ratio() if a and b else 0.0 for a, b in zip(left, right)], dtype="float64")

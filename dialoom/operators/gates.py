@@ -8,6 +8,7 @@ raises nothing, a voiced ratio of 0 counts as missing (1), as a silence or clipp
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -121,10 +122,10 @@ def transcript_gate(duration: Column, transcript: Column, target: Column, simila
 
 def merged_gates(*maps: Column) -> Column:
     """One map of stage to assessment; of equal stages the later map's. Keys of earlier maps that a later one has go first."""
-    out = maps[0]
-    for m in maps[1:]:
-        out = F.map_concat(F.map_filter(out, lambda k, _, m=m: ~F.array_contains(F.map_keys(m), k)), m)
-    return out
+    def over(first: Column, later: Column) -> Column:
+        return F.map_concat(F.map_filter(first, lambda k, _: ~F.array_contains(F.map_keys(later), k)), later)
+
+    return reduce(over, maps)
 
 
 def preflight(estimated: Column, available: Column) -> Column:

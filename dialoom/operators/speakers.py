@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import centroids, cosine, dot, minus, sums, unit
-from ..session import ship
+from ..session import ship, written
 
 BY = ("clip_id",)
 
@@ -235,7 +235,7 @@ def split_labels(rows: DataFrame, keys: Sequence[str], least: int, margin: float
         out = group[columns].assign(split=group.speaker)
         if counts.min() >= least:
             centers = _units([x[own == k].mean(axis=0) for k in (0, 1)])
-            pitch = [group.f0[own == k].median() for k in (0, 1)]
+            pitch = [group.f0[own == k].dropna().median() if group.f0[own == k].notna().any() else np.nan for k in (0, 1)]
             apart = any(pd.isna(p) for p in pitch) or abs(pitch[0] - pitch[1]) >= pitch_gap
             if centers[0] @ centers[1] < float(group.cohesion.iloc[0]) - margin and silhouette(x, own) >= least_silhouette and apart:
                 minor = 1 if counts[1] <= counts[0] else 0
@@ -300,26 +300,27 @@ def agreement(votes: DataFrame, keys: Sequence[str], voters: int, by: Sequence[s
     return a.join(b, [*by, "voter", "label"]).filter("a < b").groupBy(*by, "a", "b").agg((F.count("*") / voters).alias("share"))
 
 
-def min_components(nodes: DataFrame, edges: DataFrame, by: Sequence[str] = BY, most_rounds: int = 50, cut: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def min_components(nodes: DataFrame, edges: DataFrame, by: Sequence[str] = BY, most_rounds: int = 50) -> DataFrame:
     """(by, node, component): the smallest node reachable within the clip, by passing minima along edges and then along pointers."""
-    both = edges.select(*by, F.col("a").alias("node"), F.col("b").alias("other")).union(edges.select(*by, F.col("b"), F.col("a"))).distinct().cache()
+    both = edges.select(*by, F.col("a").alias("node"), F.col("b").alias("other")).union(edges.select(*by, F.col("b"), F.col("a"))).distinct()
+    both = written(both, "component-edges")
     now = nodes.select(*by, "node", F.col("node").alias("component"))
     for _ in range(most_rounds):
         near = both.join(now.select(*by, F.col("node").alias("other"), F.col("component").alias("_c")), [*by, "other"]).groupBy(*by, "node").agg(F.min("_c").alias("_c"))
         stepped = now.join(near, [*by, "node"], "left").select(*by, "node", F.least("component", "_c").alias("component"), (F.col("_c") < F.col("component")).alias("_moved"))
         jump = stepped.select(*by, F.col("node").alias("component"), F.col("component").alias("_up"))
         after = stepped.join(jump, [*by, "component"], "left").select(*by, "node", F.least("component", "_up").alias("component"), "_moved")
-        after = (cut or (lambda x: x.checkpoint()))(after)
+        after = written(after, "component-round")
         now = after.drop("_moved")
         if after.filter("_moved").isEmpty():
             break
     return now
 
 
-def consensus(nodes: DataFrame, votes: DataFrame, keys: Sequence[str], voters: int, threshold: float, by: Sequence[str] = BY, cut: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def consensus(nodes: DataFrame, votes: DataFrame, keys: Sequence[str], voters: int, threshold: float, by: Sequence[str] = BY) -> DataFrame:
     """Rows put together by at least the threshold's share of voters are one speaker; so are chains of such rows."""
     edges = agreement(votes, keys, voters, by).filter(F.col("share") >= threshold)
-    return min_components(nodes.select(*by, F.col(keys[0]).alias("node")), edges, by, cut=cut)
+    return min_components(nodes.select(*by, F.col(keys[0]).alias("node")), edges, by)
 
 
 def dominant_of_cluster(counts: DataFrame, by: Sequence[str] = BY) -> DataFrame:

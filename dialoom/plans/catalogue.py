@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from . import interval_queries
+from . import data_queries, data_sql, interval_queries
 
-_PARTS = (interval_queries,)
-QUERIES = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
-ORACLE_SQL = {name: sql for part in _PARTS for name, sql in part.ORACLE_SQL.items()}
+QUERIES = interval_queries.QUERIES | data_queries.QUERIES
+ORACLE_SQL = interval_queries.ORACLE_SQL | data_sql.ORACLE_SQL
