@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_folder, table_path, written
+
+__all__ = ["WHITE_SPACE", "WORD", "free_name", "n_words", "read_table", "shared_folder", "table_path", "words_of", "written"]
+
 #: Fixed value: a word is a maximal run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 WHITE_SPACE = r"[\x20\x09-\x0D]+"
@@ -24,32 +25,6 @@ def words_of(text: Column) -> Column:
     return F.filter(split, lambda w: w != "")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir of the cluster, else (local tests) an own temporary one."""
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = context.getCheckpointDir() if hasattr(context, "getCheckpointDir") else None
-    if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='dialoom-')}"
-        context.setCheckpointDir(folder)
-    return folder
-
-
-def table_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/dialoom/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cuts lineage: writes the rows as Parquet in the shared folder and reads them again.
-
-    A lost executor then costs a reread, not a recomputation of everything before.
-    """
-    path = table_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
