@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free_name, n_words, written
+from .common import WORD, free_name, n_words, written
 
 #: Repeated runs of fewer words stay: boilerplate of a line or two is no repeated passage.
 MIN_WORDS = 50
@@ -109,15 +109,16 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     joined = left.join(
         removals, left.doc_id.eqNullSafe(removals[doc]) & (left[version] == removals[version]), "left"
     ).drop(removals[version])
-    removed = F.coalesce(F.col(gone), F.array().cast("array<int>"))
     lines = F.split("text", "\n", -1)
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
+    # A removed run is given by its first and last unit; blank lines between them stay.
+    removed = F.filter(F.coalesce(F.col(gone), F.array().cast("array<int>")), lambda i: F.get(lines, i).rlike(WORD))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("removed"))
     kept = F.transform(stay, lambda i: F.get(lines, i))
     before = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long")
     return (
         joined.withColumn("n_lines", before)
-        .withColumn("n_removed", F.size(removed).cast("long"))
         .withColumn("removed", removed)
+        .withColumn("n_removed", F.size("removed").cast("long"))
         .withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
         .drop(doc, version, gone)
     )

@@ -107,8 +107,7 @@ WITH lines AS (
 ), gone AS (
   SELECT DISTINCT doc_id, unnest(range(a, b + 1)) AS i FROM ranked WHERE r > 1
 ), removed AS (
-  SELECT DISTINCT g.doc_id, g.i FROM gone g JOIN placed p USING (doc_id, i)
-  UNION SELECT g.doc_id, g.i FROM gone g
+  SELECT DISTINCT doc_id, i FROM gone JOIN placed USING (doc_id, i)
 )
 SELECT d.doc_id,
   CASE WHEN count(l.i) = 0 THEN any_value(d.text) ELSE coalesce(string_agg(l.line, chr(10) ORDER BY l.i) FILTER (WHERE r.i IS NULL), '') END AS text,
