@@ -162,9 +162,11 @@ def _declared(e: Element, titled: bool, inside: bool) -> bool:
 def main_text(page: str, found: list[Element], templates: set[int], keys: list[int]) -> str:
     """The text of a cleaned page without template subtrees and declared boilerplate."""
     inside = _within(found)
+    # What holds the headline or the largest article is no boilerplate, whatever its name says.
+    outer = max((e for e, w in zip(found, inside) if e.tag in _SECTIONS and not w), key=lambda e: e.end - e.start, default=None)
     titled: set[int] = set()
     for e in found:
-        if e.tag == "h1" or e.tag in _SECTIONS:
+        if e.tag == "h1" or e is outer:
             p = e.parent
             while p is not None and id(p) not in titled:
                 titled.add(id(p))
