@@ -25,23 +25,23 @@ format has it); very long words are encoded whole; repeated rows get equal answe
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import ship
-from .common import free_name
 
 #: Where the public model lies; a parameter of every function that reads it.
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-MEMO_WORDS = 600_000
-#: Texts are taken together up to about so many characters, so that there are many words of each length.
-CHARS_AT_A_TIME = 2_000_000
+MEMO_WORDS = 400_000
+#: Texts are taken together up to about so many bytes, so that there are many words of each length.
+BYTES_AT_A_TIME = 2_000_000
 _NONE = np.iinfo(np.int64).max
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -56,7 +56,7 @@ class Codec:
         if any(SPACE in p.lstrip(SPACE) for p in texts):
             raise ValueError("pieces that cross white space are not supported")
         self.surface = [p.encode() if k == "normal" else bytes([int(p[3:5], 16)]) if k == "byte" else b"\xe2\x81\x87" if k == "unknown" else b"" for p, k in zip(pieces, kinds)]
-        self.lengths = [len(p) for p in pieces]
+        self.lengths = np.array([len(p) for p in pieces], np.int64)
         self.longest = max(map(len, texts))
         self.scores = np.array(scores, np.float64)
         # Merge order: better scores first, equal ones by id.
@@ -66,11 +66,16 @@ class Codec:
         keys = np.array([_hash(p) for p in texts], np.uint64)
         ids = np.fromiter(texts.values(), np.int64)
         self.keys, self.ids = np.sort(keys), ids[np.argsort(keys)]
+        # One bit of each key's high bits tells most substrings that are no piece before the sorted keys are searched.
+        self.seen = np.zeros(1 << 22, bool)
+        self.seen[(self.keys >> np.uint64(42)).astype(np.int64)] = True
         self.powers = _powers(self.longest + 1)
         inner = {c for p in texts if len(p) > 1 for c in p} - {SPACE}
+        if not inner <= texts.keys():
+            raise ValueError("pieces with characters that are no pieces themselves are not supported")
         joined = "".join(map(re.escape, sorted(inner)))
         self.chunks = f"{SPACE}*[{joined}]+|{SPACE}+|[^{SPACE}{joined}]" if joined else f"{SPACE}+|[^{SPACE}]"
-        self.memo: dict[str, tuple[int, ...]] = {}
+        self.memo: dict[str, bytes] = {}  # ids as int32
         if bpe:
             self._merges(texts)
 
@@ -141,8 +146,11 @@ class Codec:
             sizes = np.arange(1, min(self.longest, end) + 1)
             key = prefix[:, [end]] - prefix[:, end - sizes] * self.powers[sizes]
             key = _mixed(key, sizes.astype(np.uint64))
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            piece = np.where(self.keys[at] == key, self.ids[at], -1)
+            piece = np.full(key.shape, -1, np.int64)
+            maybe = np.nonzero(self.seen[(key >> np.uint64(42)).astype(np.int64)])
+            asked = key[maybe]
+            at = np.minimum(np.searchsorted(self.keys, asked), len(self.keys) - 1)
+            piece[maybe] = np.where(self.keys[at] == asked, self.ids[at], -1)
             if self.bpe:
                 piece = np.where((piece >= 0) & self.whole[piece], piece, -1)
                 before = back[:, end - sizes]
@@ -158,6 +166,20 @@ class Codec:
             back[:, end] = np.where(np.isfinite(best[:, end]), piece[rows, choice], -1)
         return back
 
+    def _followed(self, back: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Follows the backpointers of all words at a time: the pieces of each word in order, and their numbers."""
+        end = np.full(len(back), back.shape[1] - 1)
+        steps = []
+        while end.any():
+            piece = np.where(end > 0, back[np.arange(len(back)), end], -1)
+            if (piece[end > 0] < 0).any():
+                raise ValueError("a word with a character that has no piece")
+            steps.append(piece)
+            end = end - np.where(piece >= 0, self.lengths[piece], 0)
+        path = np.stack(steps[::-1], axis=1)
+        there = path >= 0
+        return path[there], there.sum(axis=1)
+
     def _fallback(self, char: str) -> tuple[int, ...]:
         raw = char.encode("utf-8", "surrogatepass")
         return tuple(self.bytes[b] for b in raw) if len(self.bytes) == 256 else (self.unknown,)
@@ -169,22 +191,17 @@ class Codec:
         by_length: dict[int, list[str]] = {}
         for w in words:
             by_length.setdefault(len(w), []).append(w)
-        lengths = self.lengths
         for length, own in by_length.items():
             step = max(1, 100_000 // length)
             for at in range(0, len(own), step):
                 part = own[at : at + step]
-                for word, pieces in zip(part, self._viterbi(part).tolist()):
-                    found, end = [], length
-                    while end:
-                        piece = pieces[end]
-                        if piece < 0:  # a character without a piece: words are cut so that it stands alone
-                            found.append(self._fallback(word[end - 1]))
-                            end -= 1
-                        else:
-                            found.append((piece,))
-                            end -= lengths[piece]
-                    self.memo[word] = tuple(chain.from_iterable(reversed(found)))
+                if length == 1 and self._viterbi(part)[:, 1].min() < 0:  # characters without a piece stand alone
+                    back = self._viterbi(part)[:, 1].tolist()
+                    self.memo.update((w, np.array((p,) if p >= 0 else self._fallback(w), np.int32).tobytes()) for w, p in zip(part, back))
+                    continue
+                ids, counts = self._followed(self._viterbi(part))
+                raw, ends = ids.astype(np.int32).tobytes(), (4 * np.cumsum(counts)).tolist()
+                self.memo.update((w, raw[a:b]) for w, a, b in zip(part, [0, *ends], ends))
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         chunks = re.compile(self.chunks)
@@ -196,7 +213,7 @@ class Codec:
                 new = {*chain.from_iterable(cut)}
             self.learn(new)
         memo = self.memo.__getitem__
-        return [np.fromiter(chain.from_iterable(map(memo, words)), np.int32) for words in cut]
+        return [np.frombuffer(b"".join(map(memo, words)), np.int32) for words in cut]
 
     def decode(self, ids: np.ndarray) -> str:
         raw = b"".join(map(self.surface.__getitem__, ids.tolist()))
@@ -238,24 +255,44 @@ def load(path: str = MODEL_PATH) -> Codec:
     return Codec(pieces, [p.score for p in model.pieces], [kinds[p.type] for p in model.pieces], model.trainer_spec.model_type == 2, model.trainer_spec.unk_id)
 
 
+def _added(df: DataFrame, fields: T.StructType, values: Callable[[pa.Array], list[pa.Array]], text: str) -> DataFrame:
+    """df with columns computed from Arrow batches, cut so that a task holds about BYTES_AT_A_TIME of texts and their results."""
+    names = {f.name.lower() for f in fields}
+    kept = [f for f in df.schema if f.name.lower() not in names]
+    place = [f.name for f in df.schema].index(text)
+    others = [i for i, f in enumerate(df.schema) if f.name.lower() not in names]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(place)
+            sizes = pc.list_value_length(column) if pa.types.is_list(column.type) else pc.binary_length(column)
+            part = np.cumsum(pc.fill_null(sizes, 0).to_numpy(zero_copy_only=False).astype(np.int64)) // BYTES_AT_A_TIME
+            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+            for low, high in zip(cuts, cuts[1:]):
+                if high > low:
+                    piece = batch.slice(low, high - low)
+                    yield pa.RecordBatch.from_arrays(
+                        [*[piece.column(i) for i in others], *values(piece.column(place))], names=[*[f.name for f in kept], *[f.name for f in fields]]
+                    )
+
+    return df.mapInArrow(run, T.StructType([*kept, *fields.fields]))
+
+
+_IDS = T.StructType([T.StructField("token_ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType())])
+
+
+def _lists(ids: list[np.ndarray]) -> list[pa.Array]:
+    counts = np.array([len(x) for x in ids], np.int64)
+    ends = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
+    flat = np.concatenate(ids) if ids else np.empty(0, np.int32)
+    return [pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.astype(np.int32))), pa.array(counts)]
+
+
 def encode(docs: DataFrame, codec: Codec, text: str = "text") -> DataFrame:
     """docs with ``token_ids`` and ``n_tokens`` (taken over if docs has them)."""
     ship(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(codec)  # bounded by the vocabulary
-
-    @F.pandas_udf("array<int>")
-    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            out, part, size = [], [], 0
-            for text in texts:
-                part.append(text)
-                size += len(text or "")
-                if size >= CHARS_AT_A_TIME:
-                    out += held.value.encode(part)
-                    part, size = [], 0
-            yield pd.Series(out + held.value.encode(part), dtype=object)
-
-    return docs.withColumn("token_ids", ids(F.col(text))).withColumn("n_tokens", F.size("token_ids").cast("long"))
+    return _added(docs, _IDS, lambda texts: _lists(held.value.encode(texts.to_pylist())), text)
 
 
 def decode(encoded: DataFrame, codec: Codec, ids: str = "token_ids") -> DataFrame:
@@ -263,17 +300,22 @@ def decode(encoded: DataFrame, codec: Codec, ids: str = "token_ids") -> DataFram
     ship(encoded.sparkSession)
     held = encoded.sparkSession.sparkContext.broadcast(codec)
 
-    @F.pandas_udf("string")
-    def texts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for rows in batches:
-            yield pd.Series([held.value.decode(np.asarray(r)) for r in rows], dtype=object)
+    def texts(rows: pa.Array) -> list[pa.Array]:
+        return [pa.array([held.value.decode(np.asarray(r or (), np.int64)) for r in rows.to_pylist()], pa.string())]
 
-    return encoded.withColumn("decoded", texts(F.col(ids)))
+    return _added(encoded, T.StructType([T.StructField("decoded", T.StringType())]), texts, ids)
 
 
 def round_trip(docs: DataFrame, codec: Codec) -> DataFrame:
     """(doc_id, n_tokens, token_ids, same): ids of each text, and whether decoding them gives the text."""
-    answer = free_name(docs, "_ids")
-    back = decode(encode(docs.select("doc_id", "text"), codec).withColumnRenamed("token_ids", answer), codec, answer)
-    normal = F.replace(F.coalesce("text", F.lit("")), F.lit(SPACE), F.lit(" "))
-    return back.select("doc_id", "n_tokens", F.col(answer).alias("token_ids"), (F.col("decoded") == normal).alias("same"))
+    ship(docs.sparkSession)
+    held = docs.sparkSession.sparkContext.broadcast(codec)
+
+    def both(texts: pa.Array) -> list[pa.Array]:
+        plain = texts.to_pylist()
+        ids = held.value.encode(plain)
+        same = [held.value.decode(i) == (t or "").replace(SPACE, " ") for i, t in zip(ids, plain)]
+        return [*_lists(ids), pa.array(same)]
+
+    fields = T.StructType([*_IDS.fields, T.StructField("same", T.BooleanType())])
+    return _added(docs.select("doc_id", "text"), fields, both, "text").select("doc_id", "n_tokens", "token_ids", "same")
