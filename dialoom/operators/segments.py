@@ -328,3 +328,62 @@ def median_smoothed(rows: DataFrame, value: str, half: int = 6, by: Sequence[str
 
 def speaker_class(speaker: Column) -> Column:
     return F.when(speaker.startswith("SPEAKER_BG"), "background").when(speaker.startswith("SPEAKER_9"), "outlier").otherwise("main")
+
+
+def run_cuts(runs: DataFrame, segments: DataFrame, by: Sequence[str] = BY, key: str = "face", least: float = 0.7) -> DataFrame:
+    """Segments cut where the runs of another face begin: runs (by, seg_ord, face, start, end) within segments; short runs are dropped first,
+    then neighbours with equal faces count as one. Segments with one face stay whole."""
+    kept = runs.filter(F.col("end") - F.col("start") >= least)
+    w = Window.partitionBy(*by, "seg_ord").orderBy("start")
+    first = kept.withColumn("_new", ~F.lag(key).over(w).eqNullSafe(F.col(key))).filter("_new").select(*by, "seg_ord", key, F.col("start").alias("_at"))
+    numbered = first.withColumn("_i", F.row_number().over(Window.partitionBy(*by, "seg_ord").orderBy("_at")))
+    met = segments.join(numbered, [*by, "seg_ord"], "left")
+    begin = F.when(F.col("_i") > 1, F.greatest("_at", "start")).otherwise(F.col("start"))
+    cut = met.withColumn("_b", begin)
+    after = F.lead("_b").over(Window.partitionBy(*by, "seg_ord").orderBy("_b"))
+    return cut.withColumn("end", F.coalesce(after, "end")).withColumn("start", F.col("_b")).withColumn("part", F.coalesce("_i", F.lit(1))).drop("_b", "_i", "_at").filter("end > start")
+
+
+def binned(evidence: DataFrame, step: float = 0.1, by: Sequence[str] = BY, key: str = "face") -> DataFrame:
+    """(by, seg_ord, bin, face): the face with the largest summed score in each bin of time; evidence (by, seg_ord, t, face, score)."""
+    summed = evidence.groupBy(*by, "seg_ord", F.floor(F.col("t") / step).alias("bin"), key).agg(F.sum("score").alias("s"))
+    return summed.groupBy(*by, "seg_ord", "bin").agg(F.max(F.struct("s", key)).alias("m")).select(*by, "seg_ord", "bin", F.col(f"m.{key}").alias(key))
+
+
+def union_of(rows: DataFrame, pad_before: float = 0.0, pad_after: float = 0.0, by: Sequence[str] = BY) -> DataFrame:
+    """(by, start, end): the time covered by the intervals, padded, as disjoint intervals. Its complement is gaps()."""
+    padded = rows.select(*by, F.greatest(F.col("start") - pad_before, F.lit(0.0)).alias("start"), (F.col("end") + pad_after).alias("end"))
+    w = Window.partitionBy(*by).orderBy("start", "end")
+    reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    marked = padded.withColumn("_n", F.coalesce((F.col("start") > reach).cast("int"), F.lit(1))).withColumn("_i", F.sum("_n").over(w))
+    return marked.groupBy(*by, "_i").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_i")
+
+
+def interpolated(rows: DataFrame, value: str, by: Sequence[str] = BY, frame: str = "frame") -> DataFrame:
+    """Missing values between two known ones on the straight line between them; at the ends the nearest known one."""
+    known = F.when(F.col(value).isNotNull(), F.struct(F.col(frame).alias("f"), F.col(value).alias("v")))
+    so_far = (Window.unboundedPreceding, Window.currentRow)
+    past = F.last(known, ignorenulls=True).over(Window.partitionBy(*by).orderBy(frame).rowsBetween(*so_far))
+    after = F.last(known, ignorenulls=True).over(Window.partitionBy(*by).orderBy(F.desc(frame)).rowsBetween(*so_far))
+    met = rows.withColumn("_p", past).withColumn("_a", after)
+    share = (F.col(frame) - F.col("_p.f")) / F.when(F.col("_a.f") > F.col("_p.f"), F.col("_a.f") - F.col("_p.f")).otherwise(1)
+    between = F.col("_p.v") + (F.col("_a.v") - F.col("_p.v")) * share
+    return met.withColumn(value, F.coalesce(between, "_p.v", "_a.v")).drop("_p", "_a")
+
+
+def signal_features(frames: DataFrame, by: Sequence[str] = BY, silence: float = 0.01, clipped: float = 0.999) -> DataFrame:
+    """Figures of framewise levels (by, frame, rms, peak, voiced): shares of silent, voiced and clipped frames, overall RMS and peak."""
+    return frames.groupBy(*by).agg(
+        F.count("*").alias("frames"), F.avg((F.col("rms") < silence).cast("double")).alias("silence_ratio"), F.avg(F.col("voiced").cast("double")).alias("voiced_ratio"),
+        F.avg((F.col("peak") >= clipped).cast("double")).alias("clipping_ratio"), F.sqrt(F.avg(F.col("rms") * F.col("rms"))).alias("rms"), F.max("peak").alias("peak"),
+    )
+
+
+def raw_statistics(rows: DataFrame, by: Sequence[str] = BY) -> DataFrame:
+    """Counts of main, outlier and background speakers, and the total, mean, least and largest duration."""
+    kind, length = speaker_class(F.col("speaker")), F.col("end") - F.col("start")
+    count = lambda k: F.count_distinct(F.when(kind == k, F.col("speaker")))
+    return rows.groupBy(*by).agg(
+        count("main").alias("main_count"), count("outlier").alias("outlier_count"), count("background").alias("background_count"), F.count("*").alias("n_segments"),
+        F.sum(length).alias("total_seconds"), F.avg(length).alias("mean_seconds"), F.min(length).alias("min_seconds"), F.max(length).alias("max_seconds"),
+    )

@@ -351,3 +351,48 @@ def repair(rows: DataFrame, steps: Sequence[tuple[str, dict]]) -> DataFrame:
     for name, parameters in steps:
         rows = rows.transform(lambda d, f=MODULES[name], p=parameters: f(d, **p))
     return rows
+
+
+def part_reassign(rows: DataFrame, gap: float, margin: float, by: Sequence[str] = BY) -> DataFrame:
+    """Parts of a speaker between silences of at least ``gap`` seconds go to another speaker whose centroid fits the part's mean vector
+    better, by the margin, than that of the speaker's other parts."""
+    parts = time_gap_parts(rows, gap, by)
+    part = sums(parts, [*by, "speaker", "part"]).select(*by, "speaker", "part", F.col("total").alias("v"), F.col("n").alias("k"))
+    whole = sums(parts, [*by, "speaker"]).select(*by, F.col("speaker").alias("label"), "total", "n")
+    met = part.join(whole, list(by)) if by else part.crossJoin(whole)
+    own = F.col("label") == F.col("speaker")
+    rest = F.when(own, minus(F.col("total"), F.col("v"))).otherwise(F.col("total"))
+    sim = F.when(own & (F.col("n") == F.col("k")), F.lit(1.0)).otherwise(cosine(F.col("v"), rest))
+    scored = met.withColumn("sim", sim).groupBy(*by, "speaker", "part").agg(
+        F.max(F.when(own, F.col("sim"))).alias("own_sim"), F.max(F.when(~own, F.struct("sim", "label"))).alias("other"))
+    moved = scored.filter(F.col("other.sim") > F.col("own_sim") + margin).select(*by, "speaker", "part", F.col("other.label").alias("_to"))
+    return parts.join(moved, [*by, "speaker", "part"], "left").withColumn("speaker", F.coalesce("_to", "speaker")).drop("_to", "part")
+
+
+def mint_by_faces(chunks: DataFrame, dominant: DataFrame, sims: DataFrame | None = None, veto: float = 0.6, by: Sequence[str] = BY) -> DataFrame:
+    """A label whose chunks show two or more faces gives the chunks of its rarer faces new labels, unless the voices say otherwise:
+    sims (by, chunk_ord, own_sim), where own_sim at or above the veto keeps a chunk."""
+    met = chunks.join(dominant, [*by, "chunk_ord"], "left")
+    counts = met.filter("face IS NOT NULL").groupBy(*by, "speaker", "face").agg(F.count("*").alias("_n"))
+    ranked = counts.withColumn("_r", F.row_number().over(Window.partitionBy(*by, "speaker").orderBy(F.desc("_n"), "face")))
+    met = met.join(ranked.select(*by, "speaker", "face", "_r"), [*by, "speaker", "face"], "left")
+    if sims is not None:
+        met = met.join(sims.select(*by, "chunk_ord", F.col("own_sim").alias("_s")), [*by, "chunk_ord"], "left")
+    else:
+        met = met.withColumn("_s", F.lit(None).cast("double"))
+    new = (F.col("_r") > 1) & (F.coalesce("_s", F.lit(0.0)) < veto)
+    return met.withColumn("speaker", F.when(new, F.concat("speaker", F.lit("_m"), (F.col("_r") - 1).cast("string"))).otherwise(F.col("speaker"))).drop("_r", "_s")
+
+
+def sub_split(rows: DataFrame, keys: Sequence[str], threshold: float, least: int = 3, by: Sequence[str] = BY) -> DataFrame:
+    """Average-link clusters within each label; where at least two have ``least`` rows, all but the largest become _b, _c and so on."""
+    own = cluster(rows, keys, lambda x: linkage(x, threshold, "average"), "K", [*by, "speaker"])
+    sized = own.groupBy(*by, "speaker", "cluster").agg(F.count("*").alias("_n"), F.min(keys[0]).alias("_f"))
+    big = sized.filter(F.col("_n") >= least).withColumn("_k", F.count("*").over(Window.partitionBy(*by, "speaker"))).filter("_k >= 2")
+    ranked = big.withColumn("_r", F.row_number().over(Window.partitionBy(*by, "speaker").orderBy(F.desc("_n"), "_f")))
+    name = F.when(F.col("_r") > 1, F.concat("speaker", F.lit("_"), F.char(F.lit(96) + F.col("_r"))))
+    to = own.join(ranked.select(*by, "speaker", "cluster", "_r"), [*by, "speaker", "cluster"], "left").select(*by, *keys, name.alias("_to"))
+    return rows.join(to, [*by, *keys], "left").withColumn("speaker", F.coalesce("_to", "speaker")).drop("_to")
+
+
+MODULES |= {"part_reassign": part_reassign, "face_mint": mint_by_faces, "sub_split": sub_split}

@@ -176,3 +176,89 @@ def find_rows(rows: DataFrame, speaker: str | None = None, emotion: str | None =
     if problems_only:
         out = out.filter("status IN ('blocked', 'error', 'stale') OR NOT accepted")
     return out
+
+
+#: Other spellings of reference modes and emotion labels.
+REFERENCE_MODES = {"self": "self", "own": "self", "chunk": "self", "bank": "bank", "speaker": "bank", "best": "bank", "auto": "auto", "default": "auto", "": "auto"}
+EMOTION_SYNONYMS = {"happiness": "happy", "joy": "happy", "sadness": "sad", "anger": "angry", "fearful": "fear", "surprised": "surprise", "calm": "neutral", "<unk>": "unknown"}
+
+
+def _named(value: Column, names: dict[str, str]) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), value)
+
+
+def reference_mode(value: Column) -> Column:
+    """The canonical reference mode; an unknown one is an error."""
+    word = F.lower(F.trim(F.coalesce(value, F.lit(""))))
+    known = _named(word, REFERENCE_MODES)
+    return F.when(known.isNotNull(), known).otherwise(F.raise_error(F.concat(F.lit("unknown reference mode: "), word)).cast("string"))
+
+
+def emotion_label(value: Column) -> Column:
+    """The part after the last slash in lower case, synonyms resolved."""
+    word = F.lower(F.trim(F.element_at(F.split(F.coalesce(value, F.lit("")), "/"), -1)))
+    return F.coalesce(_named(word, EMOTION_SYNONYMS), word)
+
+
+def label_scores(rows: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
+    """(keys, label, scores): rows (keys, label, score) with labels made canonical; of equal labels the larger score counts."""
+    best = rows.withColumn("label", emotion_label(F.col("label"))).groupBy(*keys, "label").agg(F.max("score").alias("score"))
+    return best.groupBy(*keys).agg(F.max_by("label", F.struct("score", "label")).alias("top"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", "score")))).alias("scores")).withColumnRenamed("top", "label")
+
+
+def keep_columns(rows: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Those of the named columns that there are, in the given order."""
+    return rows.select(*[n for n in names if n in rows.columns])
+
+
+def duration_of(duration: Column, start: Column, end: Column) -> Column:
+    """The duration, or where it is missing the difference of the ends."""
+    return F.coalesce(duration, F.when(end > start, end - start))
+
+
+def dub_duration(*places: Column) -> Column:
+    """The first positive duration among the places where one may stand."""
+    return F.coalesce(*[F.when(p > 0, p) for p in places])
+
+
+def scoped_reference(rows: DataFrame, by: Sequence[str] = ("clip_id",)) -> DataFrame:
+    """rows (chunk_id, speaker, reference) with ``reference_state``: ok, missing, or other_speaker where the reference is another's."""
+    other = rows.select(*by, F.col("chunk_id").alias("reference"), F.col("speaker").alias("_owner"))
+    met = rows.join(other, [*by, "reference"], "left")
+    state = F.when(F.col("reference").isNull(), "none").when(F.col("_owner").isNull(), "missing").when(F.col("_owner") != F.col("speaker"), "other_speaker").otherwise("ok")
+    return met.withColumn("reference_state", state).drop("_owner")
+
+
+def mark_stale(rows: DataFrame, ids: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
+    """rows with ``stale`` set for the given keys; missing_keys() tells the keys that no row has."""
+    marked = ids.select(*keys).distinct().withColumn("_m", F.lit(True))
+    old = F.coalesce(F.col("stale"), F.lit(False)) if "stale" in rows.columns else F.lit(False)
+    return rows.join(marked, list(keys), "left").withColumn("stale", old | F.coalesce("_m", F.lit(False))).drop("_m")
+
+
+def scene_dialogue(rows: DataFrame, text: str = "text_src", by: Sequence[str] = ("clip_id",)) -> DataFrame:
+    """(by, dialogue): a scene's lines in order, blank ones left out."""
+    kept = rows.filter(X.normalized(F.col(text)) != "")
+    ordered = F.array_sort(F.collect_list(F.struct("chunk_ord", X.normalized(F.col(text)).alias("line"))))
+    return kept.groupBy(*by).agg(F.array_join(F.transform(ordered, lambda x: x.line), "\n").alias("dialogue"))
+
+
+def reply_rows(replies: DataFrame, reply: str = "reply") -> DataFrame:
+    """Replies holding {"items": [{"chunk_id": ..., "value": ...}]} somewhere -> their items with an id and a value; the others are dropped."""
+    parsed = F.from_json(X.json_object_text(F.col(reply)), "struct<items:array<struct<chunk_id:string,value:string>>>")
+    items = replies.select(*[c for c in replies.columns if c != reply], F.inline(parsed.items))
+    return items.filter((F.trim(F.coalesce("chunk_id", F.lit(""))) != "") & F.col("value").isNotNull())
+
+
+def reply_text(reply: Column) -> Column:
+    """The text of a reply in any of the usual layouts of text services; null if there is none."""
+    paths = ("$.choices[0].message.content", "$.choices[0].text", "$.candidates[0].content.parts[0].text", "$.output_text", "$.content[0].text", "$.text")
+    return F.coalesce(*[F.nullif(F.trim(F.get_json_object(reply, p)), F.lit("")) for p in paths])
+
+
+def validated(rows: DataFrame, gates: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
+    """rows with the gate of gates (keys, gate) attached; a rejected one sets error and stale, an accepted one clears the error."""
+    met = rows.join(gates.select(*keys, F.col("gate").alias("_g")), list(keys), "left")
+    bad = F.col("_g").isNotNull() & ~F.col("_g.accepted")
+    error = F.when(bad, F.array_join("_g.critical_flags", ",")).when(F.col("_g").isNotNull(), None).otherwise(F.col("error"))
+    return met.withColumn("error", error).withColumn("stale", F.coalesce("stale", F.lit(False)) | bad).withColumnRenamed("_g", "gate")

@@ -167,3 +167,23 @@ def read_environment(text: str) -> dict[str, str]:
             value = value.strip()
             found[name.strip()] = value[1:-1] if len(value) > 1 and value[0] == value[-1] and value[0] in "'\"" else value
     return found
+
+
+def read_runs(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Run records, a JSON object a file, newest file first; files that do not parse are skipped."""
+    shape = T.StructType([*schema.fields, T.StructField(_BAD, T.StringType())])
+    rows = spark.read.schema(shape).option("multiLine", True).option("columnNameOfCorruptRecord", _BAD).json(path)
+    rows = rows.withColumn("modified", F.col("_metadata.file_modification_time")).filter(F.col(_BAD).isNull() & F.col(schema.fields[0].name).isNotNull())
+    return rows.drop(_BAD).orderBy(F.desc("modified"), schema.fields[0].name)
+
+
+def safe_path_part(name: Column) -> Column:
+    """A file name part: all but letters, digits, dot, dash and underscore become underscores, none at the ends."""
+    return F.coalesce(F.nullif(F.regexp_replace(F.regexp_replace(F.coalesce(name, F.lit("")), r"[^\w.-]+", "_"), r"^[_.]+|[_.]+$", ""), F.lit("")), F.lit("item"))
+
+
+def expanded(template: Column, values: dict[str, Column]) -> Column:
+    """A template with each {name} replaced by its value."""
+    for name, value in values.items():
+        template = F.replace(template, F.lit(f"{{{name}}}"), F.coalesce(value.cast("string"), F.lit("")))
+    return template

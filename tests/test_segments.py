@@ -94,3 +94,15 @@ def test_empty_tables(spark):
     for f in (segments.merge_chunks, segments.structure_profile, segments.sandwich, segments.stabilise, segments.boundaries):
         assert f(none).count() == 0
     assert segments.gaps(none, 1.0, total=F.lit(3.0)).count() == 0
+
+
+def test_union_interpolation_and_cuts(spark):
+    rows = seg(spark, [("A", 0, 2), ("B", 1, 3), ("A", 5, 6)])
+    assert sorted((r.start, r.end) for r in segments.union_of(rows, 0.5, 0.5).collect()) == [(0.0, 3.5), (4.5, 6.5)]
+    line = spark.createDataFrame([(0, f, v) for f, v in enumerate([None, 1.0, None, None, 4.0, None])], "clip_id int, frame int, x double")
+    assert [r.x for r in segments.interpolated(line, "x").orderBy("frame").collect()] == [1.0, 1.0, 2.0, 3.0, 4.0, 4.0]
+    runs = spark.createDataFrame([(0, 0, 1, 0.0, 0.9), (0, 0, 2, 1.0, 1.1), (0, 0, 1, 1.1, 1.9), (0, 2, 1, 5.0, 5.4), (0, 2, 2, 5.4, 6.0)], "clip_id long, seg_ord long, face int, start double, end double")
+    got = sorted((r.seg_ord, r.start, r.end) for r in segments.run_cuts(runs, rows, least=0.3).collect())
+    assert got == [(0, 0.0, 2.0), (1, 1.0, 3.0), (2, 5.0, 5.4), (2, 5.4, 6.0)]
+    stats = segments.raw_statistics(seg(spark, [("SPEAKER_01", 0, 1), ("SPEAKER_90", 1, 2), ("SPEAKER_BG1", 2, 4)])).first()
+    assert (stats.main_count, stats.outlier_count, stats.background_count, stats.total_seconds) == (1, 1, 1, 4.0)

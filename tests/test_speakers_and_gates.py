@@ -124,3 +124,35 @@ def test_tracks(spark):
     assert visual.track_boxes(rows, least_frames=2).count() == 2
     ragged = spark.createDataFrame([(0, 1, [1, 2, 3], [0.1, 0.2, 0.3], [0.5, 0.6])], "clip_id int, track_id int, frames array<int>, ts array<double>, scores array<double>")
     assert visual.track_frames(ragged).count() == 2
+
+
+def test_small_timeline_rules(spark):
+    rows = spark.createDataFrame([("c", "1", 1, "a", "2"), ("c", "2", 2, "b", "1"), ("c", "3", 3, "a", None), ("c", "4", 4, "a", "9"), ("c", "5", 5, "a", "3")], "clip_id string, chunk_id string, chunk_ord int, speaker string, reference string")
+    state = {r.chunk_id: r.reference_state for r in timeline.scoped_reference(rows).collect()}
+    assert state == {"1": "other_speaker", "2": "other_speaker", "3": "none", "4": "missing", "5": "ok"}
+    assert timeline.mark_stale(rows, rows.filter("chunk_ord < 3")).filter("stale").count() == 2
+    assert timeline.keep_columns(rows, ["speaker", "nothing", "clip_id"]).columns == ["speaker", "clip_id"]
+    labels = spark.createDataFrame([("c", "1", "x/Happiness", 0.4), ("c", "1", "happy", 0.6), ("c", "1", "sad", 0.5)], "clip_id string, chunk_id string, label string, score double")
+    got = timeline.label_scores(labels).first()
+    assert got.label == "happy" and got.scores == {"happy": 0.6, "sad": 0.5}
+    with pytest.raises(Exception, match="unknown reference mode"):
+        spark.sql("SELECT 'odd' AS m").select(timeline.reference_mode(F.col("m"))).collect()
+
+
+def test_replies(spark):
+    rows = spark.createDataFrame([(1, '```json\n{"items":[{"chunk_id":"a","value":"x"},{"chunk_id":"","value":"y"}]}\n```'), (2, "no json"), (3, None)], "n int, reply string")
+    assert [(r.n, r.chunk_id, r.value) for r in timeline.reply_rows(rows).collect()] == [(1, "a", "x")]
+    texts = spark.createDataFrame([('{"choices":[{"message":{"content":" hi "}}]}',), ('{"output_text":"yo"}',), ("{}",)], "r string")
+    assert [r[0] for r in texts.select(timeline.reply_text(F.col("r"))).collect()] == ["hi", "yo", None]
+
+
+def test_parts_move_to_the_better_voice(spark):
+    e = {"a": [1.0, 0.0], "b": [0.0, 1.0]}
+    items = [("a", 0, "a"), ("a", 1, "a"), ("b", 2, "b"), ("b", 3, "b"), ("a", 50, "b"), ("a", 51, "b")]
+    rows = spark.createDataFrame([(0, i, s, float(t), t + 0.9, e[v]) for i, (s, t, v) in enumerate(items)], "clip_id int, chunk_ord int, speaker string, start double, end double, embedding array<double>")
+    got = {r.chunk_ord: r.speaker for r in speakers.part_reassign(rows, 5.0, 0.2).collect()}
+    assert got == {0: "a", 1: "a", 2: "b", 3: "b", 4: "b", 5: "b"}
+    split = {r.chunk_ord: r.speaker for r in speakers.sub_split(rows, ["chunk_ord"], 0.5, least=2).collect()}
+    assert split == {0: "a", 1: "a", 2: "b", 3: "b", 4: "a_b", 5: "a_b"}
+    faces = spark.createDataFrame([(0, 0, 1), (0, 1, 1), (0, 4, 2)], "clip_id int, chunk_ord int, face int")
+    assert {r.chunk_ord: r.speaker for r in speakers.mint_by_faces(rows, faces).collect()}[4] == "a_m1"
