@@ -1,5 +1,6 @@
 """The queries of data_queries.py in SQL."""
 
+from .interval_queries import _merge_sql
 from .oracle_views import CHUNKS, CLOCK, EMB, RUNS, STEPS, cos, norm
 
 _TOK = r"'[A-Za-z0-9ㄱ-ㆎ가-힣]+'"
@@ -222,4 +223,7 @@ QUALIFY row_number() OVER (PARTITION BY run_id, s ORDER BY ts DESC, event_id DES
 SELECT doc_id, 'unlabelled' FROM (SELECT doc_id FROM documents EXCEPT ALL SELECT doc_id FROM labels) UNION ALL SELECT doc_id, 'semi' FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)""",
     "rollup_totals": "SELECT lang, source, count(*) AS n, sum(n_chars)::BIGINT AS chars, grouping(lang, source) AS level FROM documents GROUP BY ROLLUP (lang, source)",
     "cube_totals": "SELECT o_orderstatus, o_orderpriority, count(*) AS n, grouping(o_orderstatus, o_orderpriority) AS level FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)",
+    "challenge_reasons": f"WITH {CLOCK}" + _merge_sql("clk", "8.0") + """ SELECT clip_id, chunk_ord,
+  CASE WHEN "end" - start BETWEEN 4 AND 90 THEN array_to_string(list_filter([CASE WHEN "end" - start >= 40 THEN 'long' END, CASE WHEN source_segment_count > 1 THEN 'merged' END,
+    CASE WHEN "end" - start < 40 THEN 'eligible' END], lambda x: x IS NOT NULL), ',') END AS reasons FROM n""",
 }

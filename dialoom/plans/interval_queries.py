@@ -367,4 +367,20 @@ WHERE h.gap_end - h.gap_start >= 10.0 AND c.start + 20.5 >= h.gap_start AND c.st
     "last_n": "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 5",
     "clock_format": f"""WITH {CLOCK} SELECT clip_id, seg_ord, (floor("end")::BIGINT // 60)::VARCHAR || ':' || lpad((floor("end")::BIGINT % 60)::VARCHAR, 2, '0') AS at FROM clk""",
     "time_windows": "SELECT epoch(time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '1970-01-01'))::BIGINT AS window_start, event_type, count(*) AS events FROM events GROUP BY ALL",
+    "der": f"""WITH {CLOCK}, s AS (SELECT * FROM clk WHERE seg_ord < 200), t AS (SELECT clip_id, max("end") AS total FROM s GROUP BY 1),
+c AS (SELECT clip_id, unnest(range(0, ceil(total / 0.5::DOUBLE - 1e-9::DOUBLE)::BIGINT)) * 0.5::DOUBLE + 0.25::DOUBLE AS t FROM t),
+f AS (SELECT c.* FROM c WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.clip_id = c.clip_id AND (c.t BETWEEN s.start - 0.25 AND s.start + 0.25 OR c.t BETWEEN s."end" - 0.25 AND s."end" + 0.25))),
+l AS (SELECT f.clip_id, f.t, arg_min(s.speaker, s.start) AS ref, arg_min(s.other, s.start) AS pred FROM f LEFT JOIN s ON s.clip_id = f.clip_id AND s.start <= f.t AND f.t < s."end" GROUP BY ALL),
+n AS (SELECT clip_id, pred, ref, count(*) * 0.5::DOUBLE AS v FROM l WHERE ref IS NOT NULL GROUP BY ALL),
+r AS (SELECT DISTINCT clip_id, ref FROM n), g AS (SELECT p.clip_id, p.pred, r.ref, coalesce(n.v, 0) AS v FROM (SELECT DISTINCT clip_id, pred FROM n) p JOIN r USING (clip_id) LEFT JOIN n USING (clip_id, pred, ref)),
+m AS (
+  SELECT a.clip_id, a.v + b.v + c.v AS best FROM g a JOIN g b ON b.clip_id = a.clip_id AND a.pred = 'm0' AND b.pred = 'm1' AND a.ref <> b.ref
+  JOIN g c ON c.clip_id = a.clip_id AND c.pred = 'm2' AND c.ref <> a.ref AND c.ref <> b.ref QUALIFY row_number() OVER (PARTITION BY a.clip_id ORDER BY best DESC) = 1
+), x AS (SELECT clip_id, count(ref) * 0.5::DOUBLE AS reference_seconds, count(DISTINCT pred) - count(DISTINCT ref) AS count_error FROM l GROUP BY 1)
+SELECT clip_id, reference_seconds, 0.0::DOUBLE AS missed, 0.0::DOUBLE AS false_alarm, reference_seconds - best AS confusion, best AS correct, count_error,
+  round((reference_seconds - best) / reference_seconds, 9) AS der, round(best / reference_seconds, 9) AS accuracy FROM x JOIN m USING (clip_id)""",
+    "local_split": f"""WITH {CLOCK}, f AS (SELECT clip_id, unnest(range(floor(start)::BIGINT, floor("end")::BIGINT)) AS f, speaker, speaker || other AS b, start FROM clk),
+g AS (SELECT clip_id, f, max_by(speaker, start) AS a, max_by(b, start) AS b FROM f GROUP BY ALL), n AS (SELECT clip_id, a, b, count(*) AS frames FROM g GROUP BY ALL),
+r AS (SELECT *, count(*) OVER (PARTITION BY clip_id, a) AS k, row_number() OVER (PARTITION BY clip_id, a ORDER BY frames DESC, b) AS r FROM n)
+SELECT clip_id, a || CASE WHEN k > 1 AND r > 1 THEN '_s' || (r - 1) ELSE '' END AS speaker, sum(frames)::BIGINT AS frames FROM r GROUP BY ALL""",
 }
