@@ -19,9 +19,11 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     )
     for _ in range(most_rounds):
         both = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("low"))
+        # Written, so that a node with very many neighbours only meets its minimum in a join, which Spark can split.
+        low = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("low")), "star-minima")
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("low").alias("v")).filter("u != v").distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("low"))
+        large = written(large, "large-stars")
+        down = written(large.groupBy("u").agg(F.min("v").alias("low")), "star-minima")
         small = large.join(down, "u").select(F.explode(F.array(F.struct("u", F.col("low").alias("v")), F.struct(F.col("v").alias("u"), F.col("low").alias("v")))).alias("x")).select("x.*").filter("u != v").distinct()
         following = written(small, "links")
         if following.count() == links.count() and following.join(links, ["u", "v"], "left_anti").isEmpty():

@@ -188,7 +188,8 @@ def shingle_set(text: str | None, size: int) -> set:
 
 def _hub_pairs(members: DataFrame) -> DataFrame:
     """(a, b): each document with the smallest id it shares a band with."""
-    low = members.groupBy("key").agg(F.min("id").alias("hub"))
+    # Written, so that a band held by very many documents only meets its minimum in a join, which Spark can split.
+    low = written(members.groupBy("key").agg(F.min("id").alias("hub")), "band-minima")
     met = members.join(low, "key").filter("hub != id").groupBy("id").agg(F.min("hub").alias("hub"))
     return met.select(F.col("hub").alias("a"), F.col("id").alias("b"))
 
@@ -196,8 +197,10 @@ def _hub_pairs(members: DataFrame) -> DataFrame:
 def _open_documents(members: DataFrame, labels: DataFrame) -> DataFrame:
     """(id, component, pool): documents in bands that still hold several components; pool: those connected by such bands."""
     own = members.join(labels, members.id == labels.node, "left").select("id", "key", F.coalesce("component", "id").alias("component"))
+    own = written(own, "labelled-members")
     several = own.groupBy("key").agg(F.min("component").alias("l"), F.max("component").alias("h"), F.min("id").alias("first")).filter("l != h")
-    held = written(own.join(several.select("key", "first"), "key").select("id", "component", "first"), "open-members")
+    several = written(several.select("key", "first"), "open-bands")
+    held = written(own.join(several, "key").select("id", "component", "first"), "open-members")
     pools = components(held.select(F.col("first").alias("a"), F.col("id").alias("b")))
     return held.select("id", "component").distinct().join(pools.select(F.col("node").alias("id"), F.col("component").alias("pool")), "id")
 
@@ -309,6 +312,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
     reps = written(classes.select("rep.*", "low", "high"), "classes")
     spread = reps.select("id", F.explode("bands").alias("key"))
     met = spread.groupBy("key").agg(F.min("id").alias("low_id"), F.max("id").alias("high_id")).filter("low_id != high_id").select("key")
+    met = written(met, "shared-bands")
     members = written(spread.join(met, "key", "left_semi"), "band-members")
     # Verification reads the texts of documents that share a band, no others.
     texts = written(numbered.join(members.select("id").distinct(), "id", "left_semi"), "candidate-texts")
