@@ -1,7 +1,7 @@
 """A corpus pipeline over documents: each stage reads what the one before has written.
 
 language_id    learns from the labelled rows and drops documents that it rejects as no known language
-line_dedup     removes later repeated runs of lines of 50 words or more
+line_dedup     removes later repeated runs of lines of 50 words or more, and documents of which nothing else is left
 near_dedup     keeps one document of each group of near duplicates (five words, similarity 0.8)
 mix            repeats or leaves out documents so that sources reach their targets, in training order
 encode         SentencePiece ids of each document
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dialoom.llm import language_id, line_dedup, minhash, mixing, sentencepiece_codec
-from dialoom.llm.common import read_table, written
+from dialoom.llm.common import WORD, read_table, written
 
 
 def drop_unknown_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,10 +23,10 @@ def drop_unknown_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every row, with repeated runs gone from its text and n_chars counted again."""
+    """Rows with repeated runs gone from their texts and n_chars counted again; a row of which nothing is left is a copy and goes."""
     names = docs.columns
     packed = docs.select("doc_id", "text", F.struct(*[c for c in names if c not in ("doc_id", "text")]).alias("row"))
-    short = line_dedup.dedup_lines(packed).select("doc_id", "text", "row.*")
+    short = line_dedup.dedup_lines(packed).filter((F.col("n_removed") == 0) | F.col("text").rlike(WORD)).select("doc_id", "text", "row.*")
     return short.withColumn("n_chars", F.length("text").cast("long")).select(*names)
 
 
