@@ -86,11 +86,12 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     shared = windows.groupBy("fingerprint").agg(
         F.min(place).alias("low"), F.max(place).alias("high")
     ).filter("low != high").select("fingerprint")
-    matched = windows.join(shared, "fingerprint", "left_semi")
+    # Tables of minima are written, so that a passage that very many documents hold only meets its row in a join, which Spark can split.
+    matched = written(windows.join(written(shared, "shared-lines"), "fingerprint", "left_semi"), "matched-windows")
     earliest = matched.groupBy("key").agg(F.min(place).alias("origin"), F.max(place).alias("latest")).filter(
         "origin != latest"
     ).select("key", "origin")
-    later = matched.join(earliest, "key").filter(F.struct("doc", "version", "first") != F.col("origin"))
+    later = matched.join(written(earliest, "line-origins"), "key").filter(F.struct("doc", "version", "first") != F.col("origin"))
     return later.groupBy("doc", "version").agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.sequence("first", "last"))))).alias("removed")
     )
