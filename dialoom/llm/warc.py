@@ -8,8 +8,8 @@ specification asks.
 
 The files come from Spark's own text writer, which commits them whole and redoes the tasks of lost executors, on
 any file system: it writes the bytes as they are, and its line separator is an empty skippable frame
-(``P*M\\x18`` and four zero bytes), which readers of Zstandard pass over. Frames are dealt to files of about
-``FILE_BYTES`` by a hash of the payload's digest and page_id.
+(``P*M\\x18`` and four zero bytes), which readers of Zstandard pass over. Pages are dealt to files of about
+``FILE_BYTES`` of payload by a hash of the payload's digest and page_id.
 
 Reading: each file is one row, its frames are walked from the dictionary on; revisit records take length and digest from
 their own headers.
@@ -119,10 +119,11 @@ def write_archives(pages: DataFrame, path: str) -> str:
     ship(pages.sparkSession)
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     own = pages.select("page_id", "url", payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
-    # Only digests held by more than one page go through the join that finds their response.
+    own = own.withColumn("key", F.coalesce(F.col("page_id").cast("string"), F.lit("")))
+    # Which pages revisit which is found among digests alone; payloads move once, to the file they are written to.
     shared = own.groupBy("digest").agg(F.max("page_id").alias("response"), F.count("*").alias("n")).filter("n > 1").select("digest", "response")
-    named = own.join(shared, "digest", "left")
-    named = named.withColumn("refers_to", F.when(~named.page_id.eqNullSafe(F.col("response")), F.col("response")))
+    revisits = own.select("digest", "key", "page_id").join(shared, "digest").filter("NOT page_id <=> response")
+    revisits = revisits.select("digest", "key", F.col("response").alias("refers_to")).distinct()
     size, = pages.agg(F.sum(F.octet_length(payload))).first()
     files = max(1, -(-(size or 0) // FILE_BYTES))
     count, = pages.agg(F.count("*")).first()
@@ -142,9 +143,9 @@ def write_archives(pages: DataFrame, path: str) -> str:
                 own_frames.append(writer.compress(data))
             yield pd.DataFrame({"frame": own_frames})
 
-    dealt = named.select("page_id", "url", "payload", "refers_to", "digest")
+    dealt = own.repartition(files, "digest", "key").join(revisits.repartition(files, "digest", "key"), ["digest", "key"], "left")
     plain = dealt.withColumn("page_id", F.col("page_id").cast("string")).withColumn("refers_to", F.col("refers_to").cast("string"))
-    archived = plain.repartition(files, "digest", "page_id").drop("digest").mapInPandas(compress, "frame binary")
+    archived = plain.select("page_id", "url", "payload", "refers_to").mapInPandas(compress, "frame binary")
     archived.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", SEPARATOR).text(path)
     return path
 
