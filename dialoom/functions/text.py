@@ -19,7 +19,10 @@ POLITE_ENDINGS = ("요", "니다", "습니다", "세요", "죠", "실례합니
 CASUAL_ENDINGS = ("야", "어", "아", "해", "거야", "주", "줄래", "하지 마")
 #: Units a second: least, wanted, most.
 RATES = {"korean": (3.6, 4.8, 6.2), "japanese": (4.2, 5.8, 7.4), "other": (2.0, 3.0, 4.2)}
-NEGATIVE_WORDS = ("angry", "cry", "die", "fear", "hate", "hurt", "kill", "sad", "terrible", "wrong")
+NEGATIVE_WORDS = (
+    "die died dying dead death kill killed killing bleed bleeding blood hurt pain help emergency 911 wrong stop no don't can't never lose "
+    "losing lost scared afraid terrified panic hate angry fault sorry cry crying hospital injured wound"
+).split()
 
 
 def normalized(text: Column) -> Column:

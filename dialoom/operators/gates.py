@@ -1,5 +1,7 @@
 """Rule gates: each stage's rules are named conditions; an assessment is made of those that hold.
 
+The rules' names and limits are fixed values: readers of assessments know them.
+
 An assessment is struct(stage, accepted, critical_flags, warnings, score): accepted without critical flags, score
 1 - min(.75, .25 a flag) - min(.2, .05 a warning), not below 0. Feature columns may be null: a feature struct that is null
 raises nothing, a voiced ratio of 0 counts as missing (1), as a silence or clipping ratio that is null counts as 0.

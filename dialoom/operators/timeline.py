@@ -179,8 +179,13 @@ def find_rows(rows: DataFrame, speaker: str | None = None, emotion: str | None =
 
 
 #: Other spellings of reference modes and emotion labels.
-REFERENCE_MODES = {"self": "self", "own": "self", "chunk": "self", "bank": "bank", "speaker": "bank", "best": "bank", "auto": "auto", "default": "auto", "": "auto"}
-EMOTION_SYNONYMS = {"happiness": "happy", "joy": "happy", "sadness": "sad", "anger": "angry", "fearful": "fear", "surprised": "surprise", "calm": "neutral", "<unk>": "unknown"}
+REFERENCE_MODES = {
+    "": "auto", "auto": "auto", "default": "auto", "hybrid": "auto", "self": "self", "self_only": "self", "force_self": "self",
+    "speaker_bank": "speaker_bank", "speaker_best": "speaker_bank", "bank": "speaker_bank", "best": "speaker_bank", "manual": "manual",
+}
+EMOTION_SYNONYMS = {
+    "disgust": "disgusted", "fear": "fearful", "happiness": "happy", "sadness": "sad", "surprise": "surprised", "": "unknown", "unk": "unknown", "<unk>": "unknown",
+}
 
 
 def _named(value: Column, names: dict[str, str]) -> Column:
@@ -195,8 +200,8 @@ def reference_mode(value: Column) -> Column:
 
 
 def emotion_label(value: Column) -> Column:
-    """The part after the last slash in lower case, synonyms resolved."""
-    word = F.lower(F.trim(F.element_at(F.split(F.coalesce(value, F.lit("")), "/"), -1)))
+    """The part after the last slash in lower case, blanks as underscores, synonyms resolved."""
+    word = F.replace(F.lower(F.trim(F.element_at(F.split(F.coalesce(value, F.lit("")), "/"), -1))), F.lit(" "), F.lit("_"))
     return F.coalesce(_named(word, EMOTION_SYNONYMS), word)
 
 

@@ -441,9 +441,9 @@ def word_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as log lines of runs: a third starts a step, a third ends one, the others are text."""
     e = views.table(spark, sf_dir, "events")
-    step = F.concat(F.lit("s"), (F.col("event_id") % 4).cast("string"))
-    line = F.when(F.col("event_type") == "view", F.concat(F.lit("[step:start] "), step)).when(F.col("event_type") == "click", F.concat(F.lit("[step:done] "), step)).when(
-        F.col("event_type") == "error", F.concat(F.lit("[step:fail] "), step, F.lit(" it broke"))).otherwise(F.concat(F.lit("text "), F.col("event_type")))
+    step = F.concat(F.lit("s_"), F.element_at(F.split(F.lit("a b c d"), " "), (F.col("event_id") % 4 + 1).cast("int")))
+    line = F.when(F.col("event_type") == "view", F.concat(F.lit("10:00 Starting step: "), step)).when(F.col("event_type") == "click", F.concat(F.lit("Completed step: "), step)).when(
+        F.col("event_type") == "error", F.concat(F.lit("Step failed: "), step, F.lit(" | it broke"))).otherwise(F.concat(F.lit("text "), F.col("event_type")))
     return e.select(F.concat(F.lit("r"), F.col("user_id").cast("string")).alias("run_id"), (F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)).alias("ts"), "event_id", line.alias("value"))
 
 

@@ -1,12 +1,13 @@
 """The queries of data_queries.py in SQL."""
 
+from ..functions.text import NEGATIVE_WORDS
 from .interval_queries import _merge_sql
 from .oracle_views import CHUNKS, CLOCK, EMB, RUNS, STEPS, cos, norm
 
 _TOK = r"'[A-Za-z0-9ㄱ-ㆎ가-힣]+'"
 _LATIN = "'[A-Za-z0-9]+'"
 _SYL = "'[A-Za-z0-9ㄱ-ㆎ가-힣぀-ヿ一-鿿]'"
-_NEGATIVE = "'(?i)\\b(angry|cry|die|fear|hate|hurt|kill|sad|terrible|wrong)\\b'"
+_NEGATIVE = "'(?i)\\b(" + "|".join(NEGATIVE_WORDS).replace("'", "''") + ")\\b'"
 
 
 def _chars(t: str) -> str:
@@ -60,7 +61,7 @@ best AS (
 )"""
 
 _LOG = """log AS (
-  SELECT 'r' || user_id AS run_id, epoch_us(ts) / 1e6::DOUBLE AS ts, event_id, 's' || (event_id % 4) AS s,
+  SELECT 'r' || user_id AS run_id, epoch_us(ts) / 1e6::DOUBLE AS ts, event_id, 's_' || substr('abcd', event_id % 4 + 1, 1) AS s,
     CASE event_type WHEN 'view' THEN 'step_start' WHEN 'click' THEN 'step_done' WHEN 'error' THEN 'step_error' ELSE 'log' END AS type, event_type FROM events
 ), st AS (SELECT * FROM log WHERE type <> 'log'), dur AS (
   SELECT *, CASE WHEN type <> 'step_start' THEN coalesce(CASE WHEN lag(type) OVER w = 'step_start' THEN round_even((ts - lag(ts) OVER w) * 1000, 0)::BIGINT END, 0) END AS duration_ms

@@ -12,9 +12,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..session import ship
 
 # How steps announce themselves in a log line.
-START = r"^\[step:start\]\s+(\S+)"
-DONE = r"^\[step:done\]\s+(\S+)"
-FAIL = r"^\[step:(?:fail|error)\]\s+(\S+)(?:\s+(.*))?$"
+START = r"Starting step:\s+([a-z_]+)\s*$"
+DONE = r"Completed step:\s+([a-z_]+)\s*$"
+FAIL = r"Step failed:\s+([a-z_]+)\s*\|\s*(.*)$"
 REPLAY = 5000
 
 

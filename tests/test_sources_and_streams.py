@@ -61,7 +61,9 @@ def test_small_readers(spark, tmp_path):
     assert spark.read.option("header", True).csv(f"file://{tmp_path}/csv").first().parameters == '{"a":2}'
 
 
-LINES = ["[step:start] a", "text", "[step:done] a", "[step:done] b", "[step:start] c", "[step:fail] c out of memory", "[step:start] a"]
+LINES = [
+    "12:00 Starting step: a", "text", "12:02 Completed step: a", "Completed step: b", "Starting step: c", "Step failed: c | out of memory", "Starting step: a",
+]
 
 
 def log(spark):
