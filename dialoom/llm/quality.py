@@ -9,7 +9,7 @@ The estimate runs as Spark jobs, over all rows: hash parts of at most about ``PA
 C-steps from random starts in their own task and give their best estimate; the one with the least determinant starts the
 group's own C-steps, in each of which all rows get their distances, the h-quantile of these bounds the core, and
 sums of products over the core (partial sums in each task) give the next mean and covariance. No group is
-ever in one task. Only means and covariances of groups (languages x sources) reach the driver.
+ever in one task. Only means and covariances of groups (languages x sources, half a KB each) reach the driver.
 
 The limit for squared distances is the chi-square quantile at ``TAIL``, times the factor that makes the group's median
 squared distance that of chi-square, times ``SLACK`` squared, since text statistics have longer tails than a normal cloud.
@@ -35,7 +35,7 @@ from ..session import ship
 from .common import free_name, written
 
 CORE = 0.75
-PART_ROWS = 4_000
+PART_ROWS = 1_000
 LEAST_ROWS = 100
 STEPS = 2
 #: Added to each variance: differences of a tenth in a logarithm mean nothing.
@@ -176,9 +176,9 @@ def robust_estimates(rows: DataFrame, keys: list[str]) -> dict[tuple, tuple[np.n
 
     for _ in range(STEPS):
         measured = with_distance()
-        bounds = {r.number: r.b for r in measured.groupBy("number").agg(F.percentile_approx("distance", F.lit(CORE), F.lit(2000)).alias("b")).collect()}
-        limit = F.element_at(F.create_map(*[F.lit(x) for p in bounds.items() for x in p]), F.col("number"))
-        core = measured.filter(F.col("distance") <= limit)
+        bounds = measured.groupBy("number").agg(F.percentile_approx("distance", F.lit(CORE), F.lit(2000)).alias("bound"))
+        bounds = spark.createDataFrame(bounds.collect(), "number int, bound double")  # a row for each group
+        core = measured.join(F.broadcast(bounds), "number").filter("distance <= bound")
         sums = [F.sum(F.get("stats", F.lit(i))).alias(f"s{i}") for i in range(SIZE)]
         products = [F.sum(F.get("stats", F.lit(i)) * F.get("stats", F.lit(j))).alias(f"p{i}_{j}") for i, j in upper]
         for r in core.groupBy("number").agg(F.count("*").alias("n"), *sums, *products).collect():
