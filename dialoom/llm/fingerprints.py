@@ -22,7 +22,7 @@ K = 128
 SHINGLE = 5
 #: Ranges of doc_id that neighbours are looked up in, and their sorted windows.
 ROWS_A_RANGE = 4_000
-MOST_RANGES = 2_000
+MOST_RANGES = 10_000
 
 
 def sketch(text: Column, k: int = K, shingle: int = SHINGLE) -> Column:
@@ -97,7 +97,7 @@ def with_next(docs: DataFrame, carried: list[str], order: str = "doc_id") -> Dat
     steps = [i / ranges for i in range(1, ranges)]
     cuts = sorted({c for c in docs.agg(F.percentile_approx(order, steps, 10 * ranges)).first()[0] or []}) if steps else []
     # Ranges are numbered in descending order; a null comes after all numbers.
-    number = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c > F.col(order))) if cuts else F.lit(0)
+    number = F.lit(len(cuts)) - _cuts_below(F.col(order), cuts)
     placed = docs.withColumn(bucket, F.when(F.col(order).isNull(), len(cuts) + 1).otherwise(number)).withColumn(tie, F.xxhash64("text"))
     heads = placed.select(bucket, order, tie).groupBy(bucket).agg(
         F.max(F.struct(F.col(order).isNotNull().alias("known"), order, tie)).alias("head")
@@ -115,6 +115,17 @@ def with_next(docs: DataFrame, carried: list[str], order: str = "doc_id") -> Dat
     return both.filter(~F.col(ghost)).drop(bucket, ghost, tie)
 
 
+def _cuts_below(value: Column, cuts: list[int]) -> Column:
+    """How many of the sorted cuts are at most the value: first the group of about sqrt(n) cuts, then the place in it."""
+    if not cuts:
+        return F.lit(0)
+    width = round(len(cuts) ** 0.5) or 1
+    groups = F.array(*[F.array(*[F.lit(c) for c in cuts[i : i + width]]) for i in range(0, len(cuts), width)])
+    group = F.size(F.filter(groups, lambda g: F.get(g, F.lit(0)) <= value))
+    place = F.size(F.filter(F.get(groups, group - 1), lambda c: c <= value))
+    return F.when(group == 0, 0).otherwise((group - 1) * width + place)
+
+
 def edited_text(text: Column, following: Column) -> Column:
     """The last half of the text (rounded down) replaced by the first as many code points of the following one."""
     half = F.floor(F.length(text) / 2).cast("int")
