@@ -2,10 +2,14 @@
 
 1. Each page is cut into its element subtrees. A subtree is known by a hash of its markup and text (white space
    collapsed) together with its host.
-2. Spark counts, for each host, on how many pages each subtree occurs, and the pages of the host.
-3. Subtrees that recur on at least ``MIN_PAGES`` pages and ``SHARE`` of the host's pages are the site's template and are
-   deleted from each page. Prose within the article (paragraphs, headings, quotes, list items) goes only from
-   ``PROSE_PAGES`` pages and ``PROSE_SHARE`` on, since articles quote each other and sites print articles twice.
+2. Spark counts, for each host, on how many distinct pages each subtree occurs, and the pages of the host. Copies of a page
+   and versions of one url are one page.
+3. Subtrees that recur on at least ``MIN_PAGES`` pages, and one more for each tenfold of ``FEW_PAGES`` that the host has, are
+   the site's template and are deleted from each page, however small their share of a large host. A share is needed besides
+   where the page's own text may recur, since articles quote each other and sites print articles twice: prose
+   (paragraphs, headings, quotes, list items) within the article goes from ``PROSE_PAGES`` pages and ``PROSE_SHARE`` on;
+   prose of a page without article or main element, and what holds the page's largest article, from ``MIN_PAGES`` and
+   ``SHARE`` on.
 4. Of what stays, elements that declare what they are (nav, header, footer, aside, form, script, style and the
    like, or such a role, class or id) go too: a menu may differ on each page. The article or main element, if
    there is one, else the body, gives the text.
@@ -17,7 +21,7 @@ The templates of all hosts are keys of 8 bytes. Where these are at most ``BROADC
 tasks, else each page's keys are joined to them in Spark; both give the same text.
 
 Defined cases: null or empty html gives an empty text; a null url or one without host belongs to the host ''; repeated
-rows count as pages; unclosed elements end with their parent, a cut-off page at its end; extra columns pass through
+rows count as one page; unclosed elements end with their parent, a cut-off page at its end; extra columns pass through
 (``text`` and ``n_chars`` are taken over).
 """
 
@@ -30,13 +34,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
 from .common import free_name, written
 
 MIN_PAGES = 5
+FEW_PAGES = 100
 SHARE = 0.2
 PROSE_PAGES = 10
 PROSE_SHARE = 0.5
@@ -138,8 +143,29 @@ def _within(found: list[Element]) -> list[bool]:
     return [out[id(e)] for e in found]
 
 
-def prose_in_article(found: list[Element]) -> list[bool]:
-    return [w and e.tag in _PROSE for e, w in zip(found, _within(found))]
+def _outer(found: list[Element], inside: list[bool]) -> Element | None:
+    """The largest article or main element that lies in no other."""
+    return max((e for e, w in zip(found, inside) if e.tag in _SECTIONS and not w), key=lambda e: e.end - e.start, default=None)
+
+
+#: What a subtree is to its page, which says how often it must recur.
+SITE, UNMARKED, IN_ARTICLE = 0, 1, 2
+
+
+def kinds(found: list[Element]) -> list[int]:
+    """IN_ARTICLE: prose within an article. UNMARKED: prose of a page without one, or what holds the largest. Else SITE."""
+    inside = _within(found)
+    outer = _outer(found, inside)
+    holders: set[int] = set()
+    e = outer
+    while e is not None:
+        holders.add(id(e))
+        e = e.parent
+    out = []
+    for e, w in zip(found, inside):
+        prose = e.tag in _PROSE
+        out.append(IN_ARTICLE if w and prose else UNMARKED if id(e) in holders or prose and outer is None else SITE)
+    return out
 
 
 def _declared(e: Element, titled: bool, inside: bool) -> bool:
@@ -163,7 +189,7 @@ def main_text(page: str, found: list[Element], templates: set[int], keys: list[i
     """The text of a cleaned page without template subtrees and declared boilerplate."""
     inside = _within(found)
     # What holds the headline or the largest article is no boilerplate, whatever its name says.
-    outer = max((e for e, w in zip(found, inside) if e.tag in _SECTIONS and not w), key=lambda e: e.end - e.start, default=None)
+    outer = _outer(found, inside)
     titled: set[int] = set()
     for e in found:
         if e.tag == "h1" or e is outer:
@@ -230,34 +256,55 @@ def _blocks(page: str, start: int, end: int, blocks: list[str], parts: list[str]
 
 
 def _keyed(pages: DataFrame) -> DataFrame:
-    """(host_key, key, prose): of each page the distinct subtrees with text."""
+    """(host_key, key, kind, copy, address): of each page the distinct subtrees, with keys of its content and of its url."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            hosts, keys, prose = [], [], []
-            for host, html in zip(batch.host, batch.html):
+            hosts, keys, ranks, copies, addresses = [], [], [], [], []
+            for host, url, html in zip(batch.host, batch.url, batch.html):
                 page = clean(html)
                 found = elements(page)
-                own = {k: p for k, p in zip(subtree_keys(host, page, found), prose_in_article(found))}
+                own: dict[int, int] = {}
+                for key, kind in zip(subtree_keys(host, page, found), kinds(found)):
+                    own[key] = min(kind, own.get(key, kind))
+                copy = xxhash.xxh3_64_intdigest(page) - (1 << 63)
                 hosts += [xxhash.xxh3_64_intdigest(host) - (1 << 63)] * len(own)
                 keys += own.keys()
-                prose += own.values()
-            yield pd.DataFrame({"host_key": np.array(hosts, np.int64), "key": np.array(keys, np.int64), "prose": np.array(prose, bool)})
+                ranks += own.values()
+                copies += [copy] * len(own)
+                addresses += [copy if url is None else xxhash.xxh3_64_intdigest(url) - (1 << 63)] * len(own)
+            longs = {"host_key": hosts, "key": keys, "kind": ranks, "copy": copies, "address": addresses}
+            yield pd.DataFrame({name: np.array(values, np.int64) for name, values in longs.items()})
 
-    return pages.mapInPandas(cut, "host_key long, key long, prose boolean")
+    return pages.mapInPandas(cut, "host_key long, key long, kind long, copy long, address long")
+
+
+def _distinct_pages() -> Column:
+    return F.least(F.count_distinct("copy"), F.count_distinct("address"))
 
 
 def template_keys(pages: DataFrame) -> DataFrame:
-    """(key): the template subtrees of all hosts; pages has host and html."""
-    counts = _keyed(pages).groupBy("host_key", "key").agg(F.count("*").alias("pages"), F.bool_and("prose").alias("prose"))
-    often = counts.filter(F.col("pages") >= F.when(F.col("prose"), PROSE_PAGES).otherwise(MIN_PAGES))
+    """(key): the template subtrees of all hosts; pages has host, url and html."""
+    counts = _keyed(pages).groupBy("host_key", "key").agg(_distinct_pages().alias("pages"), F.min("kind").alias("kind"))
+    often = counts.filter(F.col("pages") >= F.when(F.col("kind") == IN_ARTICLE, PROSE_PAGES).otherwise(MIN_PAGES))
 
-    def hashed(hosts: pd.Series) -> pd.Series:
-        return pd.Series([xxhash.xxh3_64_intdigest(h) - (1 << 63) for h in hosts], dtype="int64")
+    def hashed(texts: pd.Series) -> pd.Series:
+        return pd.Series([xxhash.xxh3_64_intdigest(x) - (1 << 63) for x in texts], dtype="int64")
+
+    def host_pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            copies = hashed(batch.html.map(clean))
+            addresses = [c if u is None else xxhash.xxh3_64_intdigest(u) - (1 << 63) for c, u in zip(copies, batch.url)]
+            yield pd.DataFrame({"host_key": hashed(batch.host), "copy": copies, "address": np.array(addresses, np.int64)})
 
-    sizes = pages.groupBy("host").agg(F.count("*").alias("all")).select(F.pandas_udf(hashed, "long")("host").alias("host_key"), "all")
-    share = F.when(F.col("prose"), F.lit(PROSE_SHARE)).otherwise(F.lit(SHARE))
-    return often.join(sizes, "host_key").filter(F.col("pages") >= share * F.col("all")).select("key")
+    sizes = pages.mapInPandas(host_pages, "host_key long, copy long, address long").groupBy("host_key").agg(_distinct_pages().alias("all"))
+    tenfolds = F.greatest(F.lit(0.0), F.log10(F.col("all") / FEW_PAGES))
+    least = (
+        F.when(F.col("kind") == SITE, MIN_PAGES + F.floor(tenfolds))
+        .when(F.col("kind") == UNMARKED, SHARE * F.col("all"))
+        .otherwise(PROSE_SHARE * F.col("all"))
+    )
+    return often.join(sizes, "host_key").filter(F.col("pages") >= least).select("key")
 
 
 def extract(pages: DataFrame, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
@@ -266,7 +313,7 @@ def extract(pages: DataFrame, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
     own, page_key, answer = (free_name(pages, f"_{x}") for x in ("host", "page", "answer"))
     named = pages.withColumn(own, host)
-    plain = named.select(F.col(own).alias("host"), "html")
+    plain = named.select(F.col(own).alias("host"), "url", "html")
     templates = written(template_keys(plain), "templates")
 
     if templates.count() <= broadcast_keys:

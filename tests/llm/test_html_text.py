@@ -50,3 +50,26 @@ def test_article_prose_is_no_template(spark):
     out = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, PAGES)).collect()}
     # The headline is the same on all pages: that is template.
     assert out[3] == "own 3\n\nA passage that a third of the articles of this site quote." and out[4] == "own 4"
+
+
+def test_blocks_on_a_small_share_of_a_large_host(spark):
+    advert, notice = "<div class='x7'><div>Buy the red kettle now</div></div>", "<section><p>We close early this week</p></section>"
+    rows = []
+    for i in range(200):
+        extra = (advert if i % 20 == 0 else "") + (notice if i % 7 == 0 else "")  # 5 and 15 %
+        rows.append((i, f"http://a.example/{i}", f"<body><div><p>story {i} of many</p></div>{extra}</body>"))
+        rows.append((1000 + i, f"http://c.example/{i}", page(f"<p>own {i}</p>{extra}", menu=f"m{i}").replace("Head", f"Head {i}")))
+    # Copies of a page at other urls, and versions of one url, are one page: their own text stays.
+    rows += [(2000 + i, f"http://b.example/{i}", "<body><div>the same story</div></body>") for i in range(30)]
+    rows += [(3000 + i, "http://d.example/", f"<body><div>the same story</div><p>seen {i}</p></body>") for i in range(30)]
+    out = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    for i in range(200):
+        assert out[i] == f"story {i} of many" and out[1000 + i] == f"Head {i}\n\nown {i}"
+    assert out[2000] == "the same story" and out[3001] == "the same story\n\nseen 1"
+
+
+def test_quotes_stay_on_pages_without_article(spark):
+    quote = "<p>A passage that a tenth of the pages quote.</p>"
+    rows = [(i, f"http://a.example/{i}", f"<body><div>{quote if i % 10 == 0 else ''}<p>own {i}</p></div></body>") for i in range(100)]
+    out = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    assert out[0] == "A passage that a tenth of the pages quote.\n\nown 0" and out[1] == "own 1"
