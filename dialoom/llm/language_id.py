@@ -6,8 +6,11 @@ several centroids, found by spherical k-means within the language. The language
 centroid with the largest cosine; the cosine, clipped to 0..1, is the score.
 
 Rejection by distance: for each language and length class (powers of two of the number of letters) the
-limit is a share of the similarity that the training texts, and their own beginnings of that length, have to
-their centroid. A text below its limit is rejected: it is unlike everything learned.
+limit is a share of the low similarities that the training texts, and their own beginnings of that length, have to
+their centroid. Junk among the labelled rows is left out of the limits: a text whose similarity at some length from
+``2 ** CERTAIN`` on lies over ``FAR`` deviations (1.4826 x the median deviation) below the median counts neither there nor at
+greater lengths. Classes above the longest one that a text reaches have that class's limit. A text below its limit is
+rejected: it is unlike everything learned.
 
 Bounds: at most about ``MAX_TEXTS`` labelled texts of each language are learned from, spread over the corpus by
 a hash of doc_id (a documented bound on the fit alone; every text is classified, and whole). The model
@@ -36,6 +39,8 @@ CLUSTERS = 3
 MAX_TEXTS = 600
 #: A text is rejected below this share of the low similarities seen in training at its length.
 REJECT_SHARE = 0.6
+FAR = 3.0
+CERTAIN = 5
 UNKNOWN = "und"
 
 _letters: np.ndarray | None = None
@@ -95,6 +100,32 @@ def _cluster(rows: np.ndarray, k: int) -> np.ndarray:
     return centers
 
 
+def _limits(texts: list[str], idf: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    """The limit of each length class."""
+    low, junk = np.full(16, np.nan), np.zeros(len(texts), bool)
+    for c in range(16):
+        reach = np.array([i for i, t in enumerate(texts) if len(t) >= 2**c], np.int64)
+        own, n = _vectors([texts[i][: int(1.5 * 2**c)] if c < 15 else texts[i] for i in reach])
+        reach, own = reach[n > 0], own[n > 0]
+        if not len(reach):
+            continue
+        near = (_unit(own * idf) @ centers.T).max(axis=1)
+        usual = near[~junk[reach]]
+        if not len(usual):
+            continue
+        middle = np.median(usual)
+        far = near < middle - FAR * 1.4826 * np.median(np.abs(usual - middle)) - 1e-6
+        low[c] = np.quantile(near[~far & ~junk[reach]], 0.01) * REJECT_SHARE
+        if c >= CERTAIN:
+            junk[reach[far]] = True
+    limits, last = np.zeros(16), np.inf
+    for c in range(15, -1, -1):  # no class has a higher limit than a longer one; a class that no text reaches takes the next longer one's
+        last = last if np.isnan(low[c]) else min(last, low[c])
+        limits[c] = last
+    reached = limits[np.isfinite(limits)]
+    return np.where(np.isfinite(limits), limits, reached[-1] if len(reached) else 0.0)
+
+
 _MODEL = T.StructType([
     T.StructField("lang", T.StringType()), T.StructField("centroids", T.ArrayType(T.ArrayType(T.FloatType()))),
     T.StructField("limits", T.ArrayType(T.DoubleType())),
@@ -159,14 +190,7 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
         if not len(rows):
             return pd.DataFrame({"lang": [], "centroids": [], "limits": []})
         centers = _cluster(rows, clusters)
-        limits, last = np.zeros(16), 1.0
-        for c in range(15, -1, -1):  # a class that no text reaches takes the limit of the next longer one
-            cut = [t if len(t) < 1.5 * 2**c else t[: int(1.5 * 2**c)] for t in group.text if len(t) >= 2**c]
-            own, n = _vectors(cut) if cut else (np.empty((0, DIMENSIONS)), np.empty(0))
-            if len(own) and (n > 0).any():
-                near = (_unit(own[n > 0] * idf) @ centers.T).max(axis=1)
-                last = min(last, float(np.quantile(near, 0.01)) * REJECT_SHARE)
-            limits[c] = last if last < 1 else 0.0
+        limits = _limits(group.text.tolist(), idf, centers)
         return pd.DataFrame({"lang": [group.lang.iloc[0]], "centroids": [centers.tolist()], "limits": [limits.tolist()]})
 
     model = sample.groupBy("lang").applyInPandas(fit, _MODEL).collect()  # bounded: languages x clusters x dimensions

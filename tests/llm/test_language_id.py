@@ -44,3 +44,45 @@ def test_edges(spark):
 def test_clusters_are_used():
     rows = language_id._unit(language_id.np.eye(6, language_id.DIMENSIONS)[[0, 0, 1, 1, 2, 2]])
     assert len(language_id._cluster(rows, 3)) == 3
+
+
+def words(syllables, letters, draw):
+    out, n = [], 0
+    while n < letters:
+        out.append("".join(draw.choice(syllables) for _ in range(draw.randint(1, 4))))
+        n += len(out[-1])
+    return " ".join(out)
+
+
+def test_a_language_left_out_is_rejected_at_every_length(spark):
+    draw = random.Random(5)
+    tongues = {**{k: v.split() for k, v in SYLLABLES.items()}, "dd": "mor vel sta zin pra lo gu wi".split()}
+
+    def noise(letters):  # each row of junk in an alphabet of its own
+        first = draw.randrange(0x4E00, 0x9000)
+        return "".join(chr(first + draw.randrange(40)) for _ in range(letters))
+
+    for left in tongues:
+        rows = []
+        for lang in tongues.keys() - {left}:
+            for c in range(4, 11):  # no training text is longer than 2 ** 11 letters, but one of junk
+                rows += [(words(tongues[lang], 1.2 * 2**c, draw), lang) for _ in range(12)]
+            rows += [(noise(draw.choice((40, 100, 300))), lang) for _ in range(7)]
+            rows.append((noise(9000), lang))
+        model = language_id.learn(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, lang string"))
+        for c in range(5, 16):
+            for lang in tongues:
+                texts = [words(tongues[lang], 1.2 * 2**c, draw) for _ in range(10 if c < 11 else 3)]
+                names, _, rejected = model.classify(texts)
+                if lang == left:
+                    assert rejected.all(), (left, c)
+                else:
+                    assert not rejected.any() and {*names} == {lang}, (left, lang, c)
+
+
+def test_junk_does_not_move_the_limits(spark):
+    draw = random.Random(6)
+    good = [(i, words(SYLLABLES["bb"].split(), draw.choice((200, 500)), draw), "bb") for i in range(186)]
+    junk = [(1000 + i, "".join(draw.choices("qwxyz jkvpf 0123 #", k=draw.choice((300, 800)))), "bb") for i in range(14)]
+    clean, mixed = (language_id.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string")) for rows in (good, good + junk))
+    assert (mixed.limits[0, 5:] > 0.8 * clean.limits[0, 5:]).all()
