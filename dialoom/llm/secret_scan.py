@@ -43,10 +43,12 @@ SENSITIVE = {
 PLACEHOLDER = re.compile(r"(?i)x{4,}|\*{3,}|\.{3}|change|example|your|placeholder|dummy|sample|todo|none|null|true|false|<.*>|\$\{.*\}")
 MIN_SCORE = 4
 
-_NAME = r"[A-Za-z_$][\w$]*(?:[.-][A-Za-z_$][\w$]*|\[\s*[\"'][\w$.-]+[\"']\s*\]){0,8}"
+# No bound on names, blanks or types: possessive repetitions give nothing back, and the lookbehind bars starts within a name.
+_NAME = r"[A-Za-z_$][\w$]*+(?:[.-][A-Za-z_$][\w$]*+|\[\s*+[\"'][\w$.-]++[\"']\s*+\])*+"
 _PAIR = re.compile(
-    rf"""(?<![\w$.-])(?P<quote>["']?)(?P<name>{_NAME})(?P=quote)\x20{{0,8}}(?::\x20?[A-Za-z_][\w.<>\[\]]{{0,40}}\x20?=|:=|=>|={{1,3}}|:)\x20{{0,8}}"""
-    r"""(?:[rbuf]{0,2}(?P<string>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')|(?P<bare>[^\s"',;(){}\[\]<>|]+))""",
+    rf"""(?<![\w$.-])(?P<quote>["']?)(?P<name>{_NAME})(?P=quote)[\x20\t]*+"""
+    r"""(?::[\x20\t]*+[A-Za-z_][\w.<>\[\]]*+[\x20\t]*+=|:=|=>|={1,3}|:)[\x20\t]*+"""
+    r"""(?:[rbuf]{0,2}(?P<string>"(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+')|(?P<bare>[^\s"',;(){}\[\]<>|]++))""",
     re.A,
 )
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")

@@ -1,4 +1,5 @@
 import hashlib
+import time
 
 from dialoom.llm import secret_scan
 
@@ -46,3 +47,21 @@ def test_table_and_edges(spark):
     none = hashlib.sha256(b"").hexdigest()
     assert [(r.n_assign, r.base_sha256 == none) for r in out] == [(0, True), (0, True), (1, False), (1, False), (0, False)]
     assert secret_scan.scan(docs.limit(0)).count() == 0
+
+
+def test_pairs_have_no_bounds():
+    value = "Zx81kQpLm2vR7TtE"
+    assert literals(f'db_pwd{" " * 10}={" " * 10}"{value}"') == [value]
+    assert literals(f'db_pwd\t=\t"{value}"\nauth_pwd:\t{value}x') == [value, value + "x"]
+    assert literals(f"{'.'.join('abcdefghi')}.pwd={value}") == [value]
+    assert literals(f"pwd: {'Very' * 15}[str] = '{value}'") == [value]
+    assert literals(f'{"k." * 12}name{" " * 20}= "{value}"\ndb_pwd = name') == [value]
+
+
+def test_lexing_is_linear():
+    n = 100_000
+    hard = ["a." * n, "a" + " " * n, "a: " + "b<" * n, "a['b']" * n, 'a["' * n, "a:b " * n, 'a="' + '\\"' * n, "a " * n, ":" + "a:" * n, "a" * n + "\t" * n + "-"]
+    for text in hard:
+        start = time.process_time()
+        secret_scan.literal_spans(text + "=:")
+        assert time.process_time() - start < 5
