@@ -8,11 +8,12 @@
    the site's template and are deleted from each page, however small their share of a large host. A share is needed besides
    where the page's own text may recur, since articles quote each other and sites print articles twice: prose
    (paragraphs, headings, quotes, list items) within the article goes from ``PROSE_PAGES`` pages and ``PROSE_SHARE`` on;
-   prose of a page without article or main element, and what holds the page's largest article, from ``MIN_PAGES`` and
-   ``SHARE`` on.
+   prose of a page without article or main element, and what holds the page's largest article or half of an article or
+   main element, from ``MIN_PAGES`` and ``SHARE`` on. The page's largest article and main elements always stay.
 4. Of what stays, elements that declare what they are (nav, header, footer, aside, form, script, style and the
-   like, or such a role, class or id) go too: a menu may differ on each page. The article or main element, if
-   there is one, else the body, gives the text.
+   like, or such a role, class or id) go too: a menu may differ on each page. Main elements, and articles beside them,
+   give the text, all they hold, in page order. Without main it is the smallest element around all articles that are left
+   and the headline (an h1 in one of them, else the first h1); without either, the whole page.
 
 Text: character references decoded, white space within a block (line breaks too) made one space, trimmed, blocks in
 page order joined by two ``\\n``. Nothing else is dropped.
@@ -153,7 +154,7 @@ SITE, UNMARKED, IN_ARTICLE = 0, 1, 2
 
 
 def kinds(found: list[Element]) -> list[int]:
-    """IN_ARTICLE: prose within an article. UNMARKED: prose of a page without one, or what holds the largest. Else SITE."""
+    """IN_ARTICLE: prose within an article. UNMARKED: prose of a page without one, or what holds the largest or half of one. Else SITE."""
     inside = _within(found)
     outer = _outer(found, inside)
     holders: set[int] = set()
@@ -161,10 +162,13 @@ def kinds(found: list[Element]) -> list[int]:
     while e is not None:
         holders.add(id(e))
         e = e.parent
+    section: dict[int, Element | None] = {}
     out = []
     for e, w in zip(found, inside):
-        prose = e.tag in _PROSE
-        out.append(IN_ARTICLE if w and prose else UNMARKED if id(e) in holders or prose and outer is None else SITE)
+        p = e.parent
+        around = section[id(e)] = None if not w else section[id(p)] or p
+        prose, bulk = e.tag in _PROSE, around is not None and 2 * (e.end - e.start) >= around.end - around.start
+        out.append(IN_ARTICLE if w and prose else UNMARKED if bulk or id(e) in holders or prose and outer is None else SITE)
     return out
 
 
@@ -185,6 +189,10 @@ def _declared(e: Element, titled: bool, inside: bool) -> bool:
     return False
 
 
+def _holds(around: Element, e: Element) -> bool:
+    return around.start <= e.start and e.end <= around.end
+
+
 def main_text(page: str, found: list[Element], templates: set[int], keys: list[int]) -> str:
     """The text of a cleaned page without template subtrees and declared boilerplate."""
     inside = _within(found)
@@ -198,25 +206,28 @@ def main_text(page: str, found: list[Element], templates: set[int], keys: list[i
                 titled.add(id(p))
                 p = p.parent
     gone: list[tuple[int, int]] = []
-    articles: list[Element] = []
+    sections: list[Element] = []
+    headlines: list[Element] = []
     until = -1
     for e, key, w in zip(found, keys, inside):
         if e.start < until:
             continue
         own = e.tag in _SECTIONS and not w
-        if not own and key in templates and e.tag not in ("html", "body") or _declared(e, id(e) in titled, w or own):
+        stays = e is outer or own and e.tag == "main"
+        if not stays and key in templates and e.tag not in ("html", "body") or _declared(e, id(e) in titled, w or own):
             gone.append((e.start, e.end))
             until = e.end
-        elif e.tag in _SECTIONS:
-            articles.append(e)
-    for tag in ("article", "main"):
-        chosen = [e for e in articles if e.tag == tag]
-        if chosen:
-            largest = max(e.end - e.start for e in chosen)
-            spans = [(e.start, e.end) for e in chosen if 2 * (e.end - e.start) >= largest]
-            break
-    else:
-        spans = [(0, len(page))]
+        elif own:
+            sections.append(e)
+        elif e.tag == "h1":
+            headlines.append(e)
+    if sections and all(e.tag == "article" for e in sections):
+        titles = [] if any(_holds(a, h) for a in sections for h in headlines) else headlines[:1]
+        around: Element | None = sections[0]
+        while around is not None and not all(_holds(around, e) for e in sections + titles):
+            around = around.parent
+        sections = [around] if around is not None else []
+    spans = [(e.start, e.end) for e in sections] or [(0, len(page))]
     blocks, parts, last, end = [], [], 0, -1
     for low, high in spans:
         if high <= end:

@@ -73,3 +73,27 @@ def test_quotes_stay_on_pages_without_article(spark):
     rows = [(i, f"http://a.example/{i}", f"<body><div>{quote if i % 10 == 0 else ''}<p>own {i}</p></div></body>") for i in range(100)]
     out = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, PAGES)).collect()}
     assert out[0] == "A passage that a tenth of the pages quote.\n\nown 0" and out[1] == "own 1"
+
+
+def test_all_of_main_is_read():
+    first, second = f"<article><p>{'one ' * 70}</p></article>", f"<article><p>{'two ' * 30}</p></article>"
+    both = f"{('one ' * 70).strip()}\n\n{('two ' * 30).strip()}"
+    assert text(f"<body><nav>n</nav><main>{first}{second}</main></body>") == both
+    assert text(f"<body><div>{first}{second}</div><div>beside</div></body>") == both
+    assert text("<main><h1>T</h1><p>intro</p><article><p>body</p></article></main><div>d</div>") == "T\n\nintro\n\nbody"
+    assert text("<body><div>d</div><div><h1>T</h1><article><p>body</p></article></div></body>") == "T\n\nbody"
+    assert text("<main><p>long text</p><article><p>teaser</p></article><p>end</p></main>") == "long text\n\nteaser\n\nend"
+    related = '<article class="related"><p>r</p></article><div class="comments"><article><p>c</p></article></div>'
+    assert text(f"<body><h1>T</h1>{first}{related}</body>") == f"T\n\n{('one ' * 70).strip()}"
+    assert text(f"<div><h1>Site</h1></div><article><h1>T</h1><p>x</p></article>") == "T\n\nx"
+
+
+def test_recurring_small_articles_go_and_reprinted_ones_stay(spark):
+    teaser = "<article><p>Teaser of another story</p></article>"
+    story = "<div><p>The reprinted story, all of it and in full length</p></div>"
+    rows = [(i, f"http://a.example/{i}", f"<body><main><article><h1>h{i}</h1><p>story {i} of many, longer than the teaser</p></article>{teaser}</main></body>") for i in range(60)]
+    rows += [(100 + i, f"http://a.example/p{i}", f"<body><div>v{i}</div><article><h1>p{i}</h1>{story}</article></body>") for i in range(8)]
+    rows += [(200 + i, f"http://b.example/{i}", f"<body><article><h1>h{i}</h1><p>story {i} of many, longer than the teaser</p></article>{teaser}</body>") for i in range(20)]
+    out = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    assert out[3] == "h3\n\nstory 3 of many, longer than the teaser" and out[203] == out[3]
+    assert out[103] == "p3\n\nThe reprinted story, all of it and in full length"
