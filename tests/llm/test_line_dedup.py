@@ -1,4 +1,5 @@
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -60,3 +61,24 @@ def test_edges(spark):
 def test_no_python_in_the_plan(spark):
     plan = line_dedup.dedup_lines(spark.createDataFrame([(1, "a")], DOCS))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan
+
+
+def test_common_lines_in_many_contexts(spark):
+    """Fingerprints whose first place stands in another context: the match is found at their other places."""
+    draw = random.Random(5)
+    common = [f"c{i} c" for i in range(3)]
+    lines = [draw.choice(common) if draw.random() < 0.6 else f"own{draw.randint(0, 6)} x" for _ in range(160)]
+    docs = [(d, "\n".join(lines[draw.randint(0, 140) :][: draw.randint(4, 18)])) for d in range(30)]
+    found = line_dedup.dedup_lines(spark.createDataFrame(docs, DOCS), min_words=7).collect()
+    want = brute(docs, 7)
+    assert sum(map(len, want.values())) > 20 and {r.doc_id: list(r.removed) for r in found} == want
+
+
+def test_very_long_documents(spark):
+    long = "\n".join(f"line {i} has some words here" for i in range(30_000))
+    docs = spark.createDataFrame([(1, long), (2, f"first\n{long}\n\nlast"), (3, "\n".join(["again and again"] * 20_000))], DOCS)
+    start = time.time()
+    out = {r.doc_id: r for r in line_dedup.dedup_lines(docs).collect()}
+    assert time.time() - start < 120
+    assert out[1].text == long and out[2].text == "first\n\nlast" and out[2].n_removed == 30_000
+    assert out[3].n_lines == 20_000 and out[3].text == "again and again"  # occurrences may overlap
