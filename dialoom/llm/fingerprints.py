@@ -8,7 +8,9 @@ overlapping by ``SHINGLE - 1`` words).
 
 Defined cases: null text counts as empty; two empty sketches have the likeness 1, an empty and another 0; equal texts
 have equal sketches. Rows that repeat a doc_id follow each other in the order of a hash of their texts, a null doc_id
-comes last in the descending order. Extra columns pass through.
+comes last in the descending order. Very long texts are one row's work, linear in their words. Tied hashes are one hash; ties
+of doc_id are ordered by text hash. ``with_next`` lets extra columns pass and uses free names; ``fingerprint_documents`` returns
+its own columns only, so no name clashes.
 """
 
 from __future__ import annotations
@@ -84,9 +86,11 @@ def as_text(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda h: F.lpad(F.hex(h), 16, "0")), "")
 
 
-def with_next(docs: DataFrame, carried: list[str], order: str = "doc_id") -> DataFrame:
+def with_next(docs: DataFrame, carried: list[str], order: str = "doc_id", computed: dict[str, Column] | None = None) -> DataFrame:
     """docs with ``next_<column>`` of the row that follows in descending order; after the last comes the first.
 
+    computed: further columns, added once the rows of the neighbouring ranges are found, so that finding them does not compute them.
+
     A range of ids is sorted in one task, and each range also gets the first row of the range that follows it. So rows
     move once and no task sees more than about ``ROWS_A_RANGE`` rows, whatever the number of rows, up to
     MOST_RANGES ranges, which then grow.
@@ -109,6 +113,7 @@ def with_next(docs: DataFrame, carried: list[str], order: str = "doc_id") -> Dat
     ghosts = placed.join(F.broadcast(target), placed[order].eqNullSafe(target.head_id) & (placed[tie] == target.head_tie))
     ghosts = ghosts.withColumn(bucket, F.col("to")).drop("to", "head_id", "head_tie").dropDuplicates([bucket])
     both = placed.withColumn(ghost, F.lit(False)).unionByName(ghosts.withColumn(ghost, F.lit(True)))
+    both = both.withColumns(computed or {})
     down = Window.partitionBy(bucket).orderBy(F.col(ghost), F.col(order).desc_nulls_last(), F.col(tie).desc())
     for name in carried:
         both = both.withColumn(f"next_{name}", F.lead(name).over(down))
@@ -135,7 +140,7 @@ def edited_text(text: Column, following: Column) -> Column:
 def fingerprint_documents(docs: DataFrame, k: int = K, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, text) -> sketches of each text and its edited text, and the likeness of neighbours."""
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    own = with_next(own.withColumn("sketch", sketch(F.col("text"), k, shingle)), ["text", "sketch"])
+    own = with_next(own, ["text", "sketch"], computed={"sketch": sketch(F.col("text"), k, shingle)})
     own = own.withColumn("edited", edited_text(F.col("text"), F.col("next_text")))
     own = own.withColumn("edited_sketch", sketch(F.col("edited"), k, shingle))
     return own.select(
