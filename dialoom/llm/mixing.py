@@ -16,12 +16,16 @@ Targets: all sources share ``percent`` % of all words by weight; none takes more
 what it leaves goes to the others by weight. That is the level L with sum(min(most * size, L * weight)) = total,
 found in one pass over the sources in the order of most * size / weight.
 
+The words of a text are counted once, into a narrow table (doc_id, source, size) from which targets, supply positions and times
+follow; ``training_order``, which carries the texts, counts them once more there.
+
 Supply positions are running sums over (source, slice of the digest) plus the sum of the slices before. A source of n
 documents has about sqrt(n) slices of sqrt(n) documents, so that neither a slice nor a source's list of slices is large.
 
 Defined cases: null text has size 0 and is never taken; a null source is a source, last in the order of sources; a null
 doc_id has a fixed digest; rows that repeat a doc_id are separate documents in the order of their sizes, equal rows
-in either order with the same result; an empty table gives an empty one; a source without words has the target 0.
+in either order with the same result; an empty table gives an empty one; a source without words has the target 0. A very long
+text is taken whole or not at all. Extra columns pass through; internal columns take names that docs does not use.
 """
 
 from __future__ import annotations
@@ -74,27 +78,40 @@ def targets(sized: DataFrame, weights: Sequence[int] = WEIGHTS, percent: int = P
     return found.select("source", "place", "documents", "source_size", "weight", target.otherwise(F.col("reached") * F.col("weight")).alias("target"))
 
 
+def sizes(docs: DataFrame) -> DataFrame:
+    """(doc_id, source, size): the words of each text, counted once and written."""
+    return written(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "sizes")
+
+
 def curriculum(
     docs: DataFrame, weights: Sequence[int] = WEIGHTS, schedules: Sequence[tuple[float, float]] = SCHEDULES, percent: int = PERCENT,
     most: int = MOST, slice_rows: int | None = None,
 ) -> DataFrame:
     """docs with ``size``, ``source_size``, ``target``, ``times`` and ``positions`` (array of training times, one for each time).
 
-    These names are taken over if docs has them. Text only passes through; it takes no part in a shuffle but one by source slice.
+    These names are taken over if docs has them. docs without ``text`` has its ``size`` already. Text only passes through; it takes
+    no part in a shuffle but one by source slice.
     """
-    sized = docs.withColumn("size", n_words(F.col("text")))
-    per = written(targets(sized.select("source", "size"), weights, percent, most), "targets")
+    sized = docs.withColumn("size", n_words(F.col("text"))) if "text" in docs.columns else docs
+    counted = sizes(docs) if "text" in docs.columns else sized.select("doc_id", "source", "size")
+    per = written(targets(counted.select("source", "size"), weights, percent, most), "targets")
     cuts = F.ceil(F.col("documents") / F.lit(slice_rows)) if slice_rows else F.ceil(F.sqrt("documents"))
     sources, slices = per.agg(F.count("*"), F.sum(cuts)).first()
-    digest, slice_, base, own, ahead = (free_name(docs, f"_{x}") for x in ("digest", "slice", "base", "own", "ahead"))
+    digest, slice_, base, own, ahead = (free_name(sized, f"_{x}") for x in ("digest", "slice", "base", "own", "ahead"))
     per = per.select(
         F.col("source").alias(own), "source_size", "target", cuts.alias(slice_),
         _cycled([a for a, _ in schedules], F.col("place")).alias(base), _cycled([b for _, b in schedules], F.col("place")).alias(ahead),
     )
-    named = sized.withColumn(digest, F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
-    drawn = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
-    named = named.join(_small(per, sources), named.source.eqNullSafe(per[own])).drop(own).withColumn(slice_, F.floor(drawn * F.col(slice_) / F.lit(1 << 32)))
-    sums = named.groupBy("source", slice_).agg(F.sum("size").alias(own))
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        """rows with their source's figures and slice."""
+        named = rows.withColumn(digest, F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
+        drawn = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
+        named = named.join(_small(per, sources), named.source.eqNullSafe(per[own])).drop(own)
+        return named.withColumn(slice_, F.floor(drawn * F.col(slice_) / F.lit(1 << 32)))
+
+    named = dealt(sized)
+    sums = dealt(counted).groupBy("source", slice_).agg(F.sum("size").alias(own))
     before = Window.partitionBy("source").orderBy(slice_).rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(F.col("source").alias("_s"), F.col(slice_).alias("_k"), F.coalesce(F.sum(own).over(before), F.lit(0)).alias(own))
     placed = named.join(_small(sums, slices or 0), named.source.eqNullSafe(sums["_s"]) & (named[slice_] == sums["_k"])).drop("_s", "_k")
@@ -116,6 +133,12 @@ def curriculum(
     )
 
 
+def ordered(docs: DataFrame, **parameters) -> DataFrame:
+    """curriculum of (doc_id, source, text) without the text, range-sorted by first training position; rows never trained come last."""
+    first = F.try_element_at("positions", F.lit(1))
+    return curriculum(sizes(docs), **parameters).orderBy(first.asc_nulls_last(), "doc_id")
+
+
 def training_order(docs: DataFrame, **parameters) -> DataFrame:
     """docs, each row as often as the mix takes it, range-sorted by training position; the columns of docs."""
     names, position, rest = docs.columns, free_name(docs, "_position"), free_name(docs, "_rest")

@@ -37,11 +37,14 @@ def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, size, source_size, target, taken, position): position is the first training time, null if never."""
-    mixed = mixing.curriculum(read_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    """(doc_id, size, source_size, target, taken, position, next_position), range-sorted by position.
+
+    The positions are the training times of the first and second taking, null if there is none; no document is taken a third time.
+    """
+    mixed = mixing.ordered(read_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return mixed.select(
         "doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"),
-        F.round(F.try_element_at("positions", F.lit(1)), 9).alias("position"),
+        *[F.round(F.try_element_at("positions", F.lit(i)), 9).alias(name) for i, name in ((1, "position"), (2, "next_position"))],
     )
 
 
@@ -155,8 +158,10 @@ WITH d AS (
 SELECT doc_id, size, source_size, target,
   CASE WHEN size = 0 THEN 0 ELSE size * ((x <= target)::BIGINT + (x + source_size <= target)::BIGINT) END::BIGINT AS taken,
   round(CASE WHEN size > 0 AND x <= target THEN
-    CASE WHEN a = b THEN x / target ELSE (sqrt(a * a + 2 * (b - a) * (x / target * (a + b) / 2)) - a) / (b - a) END END, 9) AS position
-FROM m""",
+    CASE WHEN a = b THEN x / target ELSE (sqrt(a * a + 2 * (b - a) * (x / target * (a + b) / 2)) - a) / (b - a) END END, 9) AS position,
+  round(CASE WHEN size > 0 AND y <= target THEN
+    CASE WHEN a = b THEN y / target ELSE (sqrt(a * a + 2 * (b - a) * (y / target * (a + b) / 2)) - a) / (b - a) END END, 9) AS next_position
+FROM (SELECT *, x + source_size AS y FROM m)""",
     "op9_warc": """
 WITH p AS (
   SELECT page_id, coalesce(html, '') AS body FROM pages

@@ -25,7 +25,7 @@ format has it); very long words are encoded whole; repeated rows get equal answe
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from itertools import chain
 
 import numpy as np
@@ -306,8 +306,8 @@ def decode(encoded: DataFrame, codec: Codec, ids: str = "token_ids") -> DataFram
     return _added(encoded, T.StructType([T.StructField("decoded", T.StringType())]), texts, ids)
 
 
-def round_trip(docs: DataFrame, codec: Codec) -> DataFrame:
-    """(doc_id, n_tokens, token_ids, same): ids of each text, and whether decoding them gives the text."""
+def round_trip(docs: DataFrame, codec: Codec, carried: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, n_tokens, token_ids, same, carried columns): ids of each text, and whether decoding them gives the text."""
     ship(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(codec)
 
@@ -318,4 +318,4 @@ def round_trip(docs: DataFrame, codec: Codec) -> DataFrame:
         return [*_lists(ids), pa.array(same)]
 
     fields = T.StructType([*_IDS.fields, T.StructField("same", T.BooleanType())])
-    return _added(docs.select("doc_id", "text"), fields, both, "text").select("doc_id", "n_tokens", "token_ids", "same")
+    return _added(docs.select("doc_id", "text", *carried), fields, both, "text").select("doc_id", "n_tokens", "token_ids", "same", *carried)

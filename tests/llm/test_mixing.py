@@ -63,3 +63,16 @@ def test_training_order_and_edges(spark):
     assert mixing.curriculum(docs.limit(0)).count() == 0
     nothing = spark.createDataFrame([(1, None, "s")], DOCS)
     assert mixing.curriculum(nothing).first().times == 0
+
+
+def test_query_rows_are_range_sorted(spark):
+    docs = spark.createDataFrame(rows(600), DOCS)
+    out = [r.positions for r in mixing.ordered(docs).collect()]
+    firsts = [p[0] for p in out if p]
+    assert firsts == sorted(firsts) and all(not p for p in out[len(firsts):]) and all(p == sorted(p) for p in out)
+
+
+def test_very_long_and_equal_rows(spark):
+    docs = spark.createDataFrame([(1, "w " * 500_000, "a", 1), (2, "w", "b", 2), (2, "w", "b", 2)], DOCS + ", _slice int")
+    out = mixing.curriculum(docs).collect()
+    assert sorted(r["size"] for r in out) == [1, 1, 500_000] and all(r.size * r.times <= 2 * r.size for r in out)

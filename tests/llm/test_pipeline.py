@@ -8,7 +8,8 @@ import duckdb
 import pytest
 
 import corpus_pipeline
-from dialoom.llm import queries, sentencepiece_codec
+from dialoom.llm import mixing, queries, sentencepiece_codec
+from dialoom.llm.common import written
 
 from .test_language_id import SYLLABLES
 from .test_line_dedup import brute as brute_lines
@@ -71,12 +72,15 @@ def test_stages_against_brute_force(spark):
     _, encoded = run("encode", mixed)
     assert Counter((r.doc_id, tuple(r.token_ids)) for r in encoded) == Counter((r.doc_id, tuple(codec.encode([r.text])[0].tolist())) for r in taken)
     assert all(r.same and r.n_tokens == len(r.token_ids) for r in encoded)
+    # Written and reread, as between stages: the places give the training order, in whatever order the rows are read.
+    again, _ = run("encode", written(mixed, "mixed"))
+    assert [r.doc_id for r in again.orderBy("place").collect()] == [r.doc_id for r in mixing.training_order(single).collect()]
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not here")
 def test_run_on_the_smallest_tables(spark):
     out = corpus_pipeline.run(spark, SF)
-    assert out.columns == ["doc_id", "n_tokens", "token_ids", "same"] and out.filter("NOT same").isEmpty() and out.count() > 50
+    assert out.columns == ["doc_id", "n_tokens", "token_ids", "same", "place"] and out.filter("NOT same OR place IS NULL").isEmpty() and out.count() > 50
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not here")
