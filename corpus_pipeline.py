@@ -4,12 +4,20 @@ language_id    learns from the labelled rows and drops documents that it rejects
 line_dedup     removes later repeated runs of lines of 50 words or more, and documents of which nothing else is left
 near_dedup     keeps one document of each group of near duplicates (five words, similarity 0.8)
 mix            repeats or leaves out documents so that sources reach their targets, in training order
-encode         SentencePiece ids of each document
+encode         SentencePiece ids of each document, with its place in the training order
+
+The mix's order is that of its files and of the rows in each. A reread deals files to tasks in another order, so the last stage
+takes each row's place from the file it stands in.
+
+Defined cases, in every stage: null and empty texts and texts without a letter go in the first one; null sources and ids are values
+like others; repeated rows get equal decisions; very long texts are worked through whole; ties are broken by doc_id; empty tables
+give empty tables; further columns of documents pass through until the last stage, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dialoom.llm import language_id, line_dedup, minhash, mixing, sentencepiece_codec
@@ -41,8 +49,19 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, token_ids, same) for each row."""
-    return sentencepiece_codec.round_trip(docs, sentencepiece_codec.load())
+    """(doc_id, n_tokens, token_ids, same, place) for each row; ascending places are the order of the rows in docs' files."""
+    return sentencepiece_codec.round_trip(docs.withColumn("place", place_in_files(docs)), sentencepiece_codec.load(), carried=["place"])
+
+
+def place_in_files(docs: DataFrame) -> Column:
+    """A number that rises from row to row and from file to file as Spark numbered them on writing; null where docs is no table of files."""
+    try:
+        name, row = docs.select("_metadata.file_name", "_metadata.row_index").columns
+    except AnalysisException:
+        return F.lit(None).cast("long")
+    name, row = F.col("_metadata.file_name"), F.col("_metadata.row_index")
+    task, file = (F.regexp_extract(name, pattern, 1).cast("long") for pattern in (r"^part-(\d+)", r"-c(\d+)"))
+    return F.shiftleft(task, 40) + F.shiftleft(file, 34) + row
 
 
 STAGES = [
