@@ -5,30 +5,37 @@ normal cloud). For each language and source the minimum covariance determinant e
 lie: over the h = ``CORE`` share of rows with the smallest distances the mean and covariance are those of least
 determinant. A text whose squared Mahalanobis distance is beyond the limit is an outlier and is not kept.
 
-The estimate runs as Spark jobs, over all rows: hash parts of at most about ``PART_ROWS`` rows of a group each run
-C-steps from random starts in their own task and give their best estimate; the one with the least determinant starts the
-group's own C-steps, in each of which all rows get their distances, the h-quantile of these bounds the core, and
-sums of products over the core (partial sums in each task) give the next mean and covariance. No group is
-ever in one task. Only means and covariances of groups (languages x sources, half a KB each) reach the driver.
-
-The limit for squared distances is the chi-square quantile at ``TAIL``, times the factor that makes the group's median
-squared distance that of chi-square, times ``SLACK`` squared, since text statistics have longer tails than a normal cloud.
-A group with fewer than ``LEAST_ROWS`` rows uses its language's estimate, a language with fewer that of the corpus, and
-if that has fewer too, no text is an outlier.
-
-Defined cases: null text has no words and fails the base rules; null language or source is a group like others; repeated
-rows get equal answers; a statistic that does not vary gets a small variance so that distances stay defined.
+Estimates are made at three levels, for each language and source, each language, and the corpus, and each is shrunk towards the one
+above it with the weight n / (n + ``PRIOR_ROWS``), n being the group's rows; the corpus's towards variances of ``PRIOR_VARIANCE``
+around its own mean. So each group is judged by an estimate of its own from its first row on, and there is no least size.
+
+The estimate runs as Spark jobs, over all rows and all groups of all levels at once: hash parts of at most about ``PART_ROWS``
+rows of a group each run C-steps from random starts in their own task and give their best estimate; the one with the least
+determinant starts the group's own C-steps, in each of which all rows get their distances, the h-quantile of these bounds the core,
+and sums of products over the core (partial sums in each task) give the next mean and covariance, until no group's
+log determinant moves by more than ``SETTLED``, or ``MOST_STEPS`` steps are done. No group is ever in one task. Estimates stay
+in tables with a row for each group; nothing but the number of unsettled groups reaches the driver.
+
+The limit for squared distances is the chi-square quantile at ``TAIL_SIGMAS``, times the factor that makes the group's median
+squared distance that of chi-square (shrunk like the estimate), times ``SLACK`` squared, since text statistics have longer tails
+than a normal cloud.
+
+Defined cases: null text has no words and fails the base rules; null language or source is a group like others; a group without
+regular texts is judged by the level above it, and without any regular text the distance is null; repeated rows get equal
+answers; equal distances are all within the core or all beyond; of equal determinants the first part counts; a statistic that does
+not vary gets a small variance so that distances stay defined; very long texts are one row's work, linear in their words; an
+empty table gives an empty one. ``assess`` returns its own columns only, so extra columns go and no name clashes;
+``count_statistics`` lets them pass.
 """
 
 from __future__ import annotations
 
-import json
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
@@ -36,8 +43,10 @@ from .common import free_name, written
 
 CORE = 0.75
 PART_ROWS = 1_000
-LEAST_ROWS = 100
-STEPS = 2
+PRIOR_ROWS = 100
+PRIOR_VARIANCE = 1.0
+SETTLED = 0.01
+MOST_STEPS = 12
 #: Added to each variance: differences of a tenth in a logarithm mean nothing.
 LEAST_VARIANCE = 0.01
 TAIL_SIGMAS = 3.7
@@ -134,88 +143,152 @@ def count_statistics(docs: DataFrame) -> DataFrame:
     return out.drop(answer)
 
 
-def robust_estimates(rows: DataFrame, keys: list[str]) -> dict[tuple, tuple[np.ndarray, np.ndarray, float]]:
-    """Of rows (keys, hash, stats), for each group of at least LEAST_ROWS: mean, covariance, limit of squared distances."""
-    sizes = {tuple(r[:-1]): r.n for r in rows.groupBy(*keys).agg(F.count("*").alias("n")).collect()}
-    sizes = {k: n for k, n in sizes.items() if n >= LEAST_ROWS}
-    if not sizes:
-        return {}
-    keyed = rows.withColumn("group", F.to_json(F.array(*[F.col(k).cast("string") for k in keys])) if keys else F.lit("[]"))
-    names = {_json(k): k for k in sizes}
-    numbers = {name: i for i, name in enumerate(sorted(names))}
-    spark = rows.sparkSession
-    table = spark.createDataFrame([(name, i, -(-sizes[names[name]] // PART_ROWS)) for name, i in numbers.items()], "group string, number int, parts int")
-    # One row for each group with enough rows; they are counted, so small.
-    dealt = keyed.join(F.broadcast(table), "group").select("number", F.pmod("hash", "parts").alias("part"), "stats")
-    shape = "number int, mean array<double>, cov array<double>, size double"
+_PAIRS = [(i, j) for i in range(SIZE) for j in range(i, SIZE)]
+_GROUP = "level int, lang string, source string"
+_ESTIMATE = f"{_GROUP}, n long, logdet double, mean array<double>, cov array<double>"
+_KEYS = ["level", "lang", "source"]
+
+
+def _same_group(left: DataFrame, right: DataFrame, level: Column | None = None) -> Column:
+    """Null-safe equality of groups; a level leaves out what it does not tell apart."""
+    level = left["level"] if level is None else level
+    return (level == right["level"]) & left["lang"].eqNullSafe(right["lang"]) & left["source"].eqNullSafe(right["source"])
+
+
+def _of_level(level: Column) -> list[Column]:
+    """Level, language and source of a row's group at a level: 0 the corpus, 1 its language, 2 its language and source."""
+    return [level.alias("level"), F.when(level >= 1, F.col("lang")).alias("lang"), F.when(level >= 2, F.col("source")).alias("source")]
+
+
+def _distance(stats: Column, mean: Column, inverse: Column) -> Column:
+    """Squared Mahalanobis distance in plain arithmetic; inverse: the upper triangle, row by row."""
+    d = [F.get(stats, F.lit(i)) - F.get(mean, F.lit(i)) for i in range(SIZE)]
+    terms = [F.get(inverse, F.lit(k)) * d[i] * d[j] * (1 if i == j else 2) for k, (i, j) in enumerate(_PAIRS)]
+    return sum(terms[1:], terms[0])
+
+
+def _inverted(estimates: DataFrame) -> DataFrame:
+    """estimates with ``inverse``, the upper triangle of the covariance's inverse."""
+
+    def invert(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        upper = np.triu_indices(SIZE)
+        for batch in batches:
+            yield batch.assign(inverse=[np.linalg.inv(np.reshape(c, (SIZE, SIZE)))[upper] for c in batch["cov"]])
+
+    return estimates.mapInPandas(invert, _ESTIMATE + ", inverse array<double>")
+
+
+def _first_estimates(dealt: DataFrame) -> DataFrame:
+    """Of rows (level, lang, source, part, stats), the estimate of each group's part with the least determinant."""
 
     def start(part: pd.DataFrame) -> pd.DataFrame:
         x = np.stack(part.stats.to_numpy())
         mean, cov, size = minimum_determinant(x[np.lexsort(x.T)])
-        return pd.DataFrame({"number": [part.number.iloc[0]], "mean": [mean], "cov": [cov.ravel()], "size": [size]})
-
-    starts = dealt.groupBy("number", "part").applyInPandas(start, shape).groupBy("number").agg(F.min_by(F.struct("mean", "cov"), "size").alias("e"))
-    now = {r.number: (np.array(r.e.mean), np.array(r.e.cov).reshape(SIZE, SIZE)) for r in starts.collect()}
-    upper = [(i, j) for i in range(SIZE) for j in range(i, SIZE)]
-
-    def with_distance() -> DataFrame:
-        held = {k: (m, np.linalg.inv(c)) for k, (m, c) in now.items()}
-
-        @F.pandas_udf("double")
-        def distance(number: pd.Series, stats: pd.Series) -> pd.Series:
-            out = np.empty(len(number))
-            if len(number):
-                x, of = np.stack(stats.to_numpy()), number.to_numpy()
-                for k in np.unique(of):
-                    at = of == k
-                    d = x[at] - held[k][0]
-                    out[at] = np.einsum("ij,ij->i", d @ held[k][1], d)
-            return pd.Series(out)
-
-        return dealt.withColumn("distance", distance("number", "stats"))
-
-    for _ in range(STEPS):
-        measured = with_distance()
-        bounds = measured.groupBy("number").agg(F.percentile_approx("distance", F.lit(CORE), F.lit(2000)).alias("bound"))
-        bounds = spark.createDataFrame(bounds.collect(), "number int, bound double")  # a row for each group
-        core = measured.join(F.broadcast(bounds), "number").filter("distance <= bound")
-        sums = [F.sum(F.get("stats", F.lit(i))).alias(f"s{i}") for i in range(SIZE)]
-        products = [F.sum(F.get("stats", F.lit(i)) * F.get("stats", F.lit(j))).alias(f"p{i}_{j}") for i, j in upper]
-        for r in core.groupBy("number").agg(F.count("*").alias("n"), *sums, *products).collect():
-            mean = np.array([r[f"s{i}"] for i in range(SIZE)]) / r.n
-            cov = np.empty((SIZE, SIZE))
-            for i, j in upper:
-                cov[i, j] = cov[j, i] = r[f"p{i}_{j}"] / r.n - mean[i] * mean[j]
-            now[r.number] = mean, cov + np.diag(np.full(SIZE, LEAST_VARIANCE))
-    middles = {r.number: r.m for r in with_distance().groupBy("number").agg(F.percentile_approx("distance", F.lit(0.5), F.lit(2000)).alias("m")).collect()}
-    tail, middle = chi_square_quantile(TAIL_SIGMAS, SIZE), chi_square_quantile(0, SIZE)
-    return {names[name]: (*now[i], tail * max(middles[i] / middle, 1e-9) * SLACK**2) for name, i in numbers.items()}
-
-
-def _json(key: tuple) -> str:
-    return json.dumps(list(key), separators=(",", ":"), ensure_ascii=False)
+        return part[[*_KEYS, "part"]].head(1).assign(n=len(x), logdet=size, mean=[mean], cov=[cov.ravel()])
+
+    parts = dealt.groupBy(*_KEYS, "part").applyInPandas(start, f"{_GROUP}, part int, n long, logdet double, mean array<double>, cov array<double>")
+    best = F.min(F.struct("logdet", "part", "mean", "cov"))
+    return parts.groupBy(*_KEYS).agg(F.sum("n").alias("n"), best.alias("e")).select(*_KEYS, "n", "e.logdet", "e.mean", "e.cov")
+
+
+def _with_distance(dealt: DataFrame, estimates: DataFrame) -> DataFrame:
+    held = _inverted(estimates)
+    joined = dealt.join(held, _same_group(dealt, held)).select(*[dealt[k] for k in _KEYS], "stats", "n", "mean", "inverse")
+    return joined.select(*_KEYS, "stats", "n", _distance(F.col("stats"), F.col("mean"), F.col("inverse")).alias("distance"))
+
+
+def _step(dealt: DataFrame, estimates: DataFrame) -> DataFrame:
+    """Estimates of the cores that lie nearest by the given estimates."""
+    measured = _with_distance(dealt, estimates)
+    bounds = measured.groupBy(*_KEYS).agg(F.percentile_approx("distance", F.lit(CORE), F.lit(2000)).alias("bound"))
+    bounds = written(bounds, "quality-bounds")
+    core = measured.join(bounds, _same_group(measured, bounds)).filter("distance <= bound").select(*[measured[k] for k in _KEYS], "stats", "n")
+    at = [F.get("stats", F.lit(i)) for i in range(SIZE)]
+    sums = core.groupBy(*_KEYS).agg(
+        F.first("n").alias("n"), F.count("*").alias("rows"), *[F.sum(a).alias(f"s{i}") for i, a in enumerate(at)],
+        *[F.sum(at[i] * at[j]).alias(f"p{i}_{j}") for i, j in _PAIRS],
+    )
+
+    def estimate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            means, covs, sizes = [], [], []
+            for row in batch.itertuples():
+                mean = np.array([getattr(row, f"s{i}") for i in range(SIZE)]) / row.rows
+                cov = np.empty((SIZE, SIZE))
+                for i, j in _PAIRS:
+                    cov[i, j] = cov[j, i] = getattr(row, f"p{i}_{j}") / row.rows - mean[i] * mean[j]
+                cov += np.diag(np.full(SIZE, LEAST_VARIANCE))
+                means.append(mean)
+                covs.append(cov.ravel())
+                sizes.append(np.linalg.slogdet(cov)[1])
+            yield batch[[*_KEYS, "n"]].assign(logdet=sizes, mean=means, cov=covs)
+
+    return sums.mapInPandas(estimate, _ESTIMATE)
+
+
+def _shrunk(own: Column, above: Column) -> Column:
+    weight = F.col("n") / (F.col("n") + F.lit(PRIOR_ROWS))
+    return weight * own + (1 - weight) * above
+
+
+def _levelled(estimates: DataFrame, names: list[str]) -> DataFrame:
+    """estimates with the arrays so named shrunk towards those of the level above, from the corpus downwards."""
+    prior = {"mean": F.col("mean"), "cov": F.array(*[F.lit(PRIOR_VARIANCE if i == j else 0.0) for i in range(SIZE) for j in range(SIZE)])}
+    mix = lambda own, above: F.zip_with(own, above, _shrunk)
+    done = estimates.filter("level = 0").withColumns({x: mix(F.col(x), prior[x]) if x in prior else F.col(x) for x in names})
+    levels = [done]
+    for level in (1, 2):
+        over = done.select("lang", *[F.col(x).alias(f"above_{x}") for x in names]).withColumnRenamed("lang", "above_lang")
+        own = estimates.filter(F.col("level") == level)
+        met = own.join(over, F.when(F.lit(level == 2), own.lang).eqNullSafe(over.above_lang))
+        done = met.withColumns({x: mix(F.col(x), F.col(f"above_{x}")) for x in names}).select(*estimates.columns)
+        levels.append(done)
+    return levels[0].union(levels[1]).union(levels[2])
+
+
+def robust_estimates(regular: DataFrame) -> DataFrame:
+    """Of rows (lang, source, hash, stats): (level, lang, source, n, mean, cov, inverse, limit) of the groups of all levels, shrunk."""
+    levels = F.explode(F.sequence(F.lit(0), F.lit(2))).alias("level")
+    every = regular.select("hash", "stats", "lang", "source", levels).select(*_of_level(F.col("level")), "hash", "stats")
+    counts = written(every.groupBy(*_KEYS).agg(F.ceil(F.count("*") / F.lit(PART_ROWS)).alias("parts")), "quality-groups")
+    dealt = every.join(counts, _same_group(every, counts)).select(*[every[k] for k in _KEYS], F.pmod("hash", "parts").cast("int").alias("part"), "stats")
+    dealt = written(dealt, "quality-rows")
+    now = written(_first_estimates(dealt), "quality-estimates")
+    for _ in range(MOST_STEPS):
+        following = written(_step(dealt, now), "quality-estimates")
+        moved = now.join(following, _same_group(now, following)).filter(F.abs(now["logdet"] - following["logdet"]) > SETTLED)
+        now, unsettled = following, moved.count()
+        if not unsettled:
+            break
+    now = written(_levelled(now, ["mean", "cov"]), "quality-estimates")
+    middle = F.array(F.percentile_approx("distance", F.lit(0.5), F.lit(2000)))
+    medians = _with_distance(dealt, now).groupBy(*_KEYS).agg(F.first("n").alias("n"), middle.alias("middle"))
+    medians = _levelled(medians, ["middle"]).select(*_KEYS, F.get("middle", F.lit(0)).alias("middle"))
+    factor = F.greatest(F.col("middle") / F.lit(float(chi_square_quantile(0, SIZE))), F.lit(1e-9))
+    held = _inverted(now)
+    limit = (float(chi_square_quantile(TAIL_SIGMAS, SIZE)) * SLACK**2 * factor).alias("limit")
+    return held.join(medians, _same_group(held, medians)).select(*[held[k] for k in _KEYS], held["n"], "mean", "cov", "inverse", limit)
 
 
 def assess(docs: DataFrame, min_words: int = MIN_WORDS, most_repeated: int = MOST_REPEATED) -> DataFrame:
-    """(doc_id, counts, base_failed, distance, kept) of docs with doc_id, text, lang and source."""
+    """(doc_id, counts, base_failed, distance, kept) of docs with doc_id, text, lang and source; distance: 1 is the limit."""
     own = docs.select("doc_id", "text", "lang", "source")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words"))
     counted = count_statistics(own).drop("text").withColumn("base_failed", failed)
     counted = written(counted.withColumn("hash", F.xxhash64("doc_id", "stats")), "quality-counts")
-    regular = counted.filter(~F.col("base_failed")).select("lang", "source", "hash", "stats")
-    levels = [(keys, robust_estimates(regular, keys)) for keys in (["lang", "source"], ["lang"], [])]
-    held = [(len(keys), {k: (m, np.linalg.inv(c), limit) for k, (m, c, limit) in found.items()}) for keys, found in levels]
-
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            share = []
-            for lang, source, stats in zip(batch.lang, batch.source, batch.stats):
-                key = (None if pd.isna(lang) else lang, None if pd.isna(source) else source)
-                found = next((groups[key[:n]] for n, groups in held if key[:n] in groups), None)
-                d = None if found is None else np.asarray(stats) - found[0]
-                share.append(None if found is None else float(d @ found[1] @ d / found[2]))
-            yield batch.assign(distance=pd.Series(share, dtype="float64", index=batch.index))[names]
-
-    names = ["doc_id", *_NAMES, "base_failed", "distance"]
-    judged = counted.mapInPandas(judge, "doc_id long, " + ", ".join(f"{k} long" for k in _NAMES) + ", base_failed boolean, distance double")
-    return judged.withColumn("kept", ~F.col("base_failed") & ~(F.coalesce("distance", F.lit(0.0)) > 1))
+    estimates = robust_estimates(counted.filter(~F.col("base_failed")).select("lang", "source", "hash", "stats"))
+    estimates = written(estimates.select(*_KEYS, "mean", "inverse", "limit"), "quality-limits")
+    judged = counted
+    for level in (2, 1, 0):
+        held = estimates.filter(F.col("level") == level).select(
+            F.col("lang").alias("held_lang"), F.col("source").alias("held_source"), F.struct("mean", "inverse", "limit").alias(f"level_{level}")
+        )
+        lang, source = F.when(F.lit(level >= 1), judged["lang"]), F.when(F.lit(level >= 2), judged["source"])
+        met = lang.eqNullSafe(held["held_lang"]) & source.eqNullSafe(held["held_source"])
+        judged = judged.join(held, met, "left").drop("held_lang", "held_source")
+    nearest = F.coalesce("level_2", "level_1", "level_0")
+    judged = judged.withColumn("level_0", nearest)
+    share = _distance(F.col("stats"), F.col("level_0.mean"), F.col("level_0.inverse")) / F.col("level_0.limit")
+    judged = judged.withColumn("distance", share)
+    kept = (~F.col("base_failed") & ~(F.coalesce("distance", F.lit(0.0)) > 1)).alias("kept")
+    return judged.select("doc_id", *_NAMES, "base_failed", "distance", kept)

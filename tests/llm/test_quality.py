@@ -59,3 +59,36 @@ def test_empty_and_small(spark):
     assert quality.assess(spark.createDataFrame([], DOCS)).count() == 0
     few = quality.assess(spark.createDataFrame([(1, "w " * 40 + "x y z " * 3 + "a b c d e f g h i j k", "en", "s")], DOCS + "")).first()
     assert few.distance is None and few.kept != few.base_failed
+    one = quality.assess(spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(60)), "en", "s")], DOCS)).first()
+    assert one.distance < 1e-9 and one.kept  # a single regular row is its own mean
+
+
+def test_every_group_has_its_own_shrunk_estimate(spark):
+    """Against a brute-force version: 35 rows of one group, all subsets' determinants in one task, shrinking by hand."""
+    draw = np.random.default_rng(4)
+    x = {"s": draw.normal(size=(35, quality.SIZE)), "t": draw.normal(2, 0.5, size=(300, quality.SIZE)), None: draw.normal(size=(3, quality.SIZE))}
+    rows = [("en", k, int(draw.integers(1 << 40)), v.tolist()) for k, part in x.items() for v in part]
+    docs = spark.createDataFrame(rows, "lang string, source string, hash long, stats array<double>")
+    found = {(r.level, r.lang, r.source): r for r in quality.robust_estimates(docs).collect()}
+    assert len(found) == 5 and found[2, "en", "s"].n == 35 and found[1, "en", None].n == 338
+    every = np.concatenate(list(x.values()))
+    own, n = {k: quality.minimum_determinant(v, starts=50, steps=50) for k, v in [*x.items(), ("all", every)]}, len(every)
+    weight = n / (n + quality.PRIOR_ROWS)
+    cov = weight * own["all"][1] + (1 - weight) * quality.PRIOR_VARIANCE * np.eye(quality.SIZE)
+    mean = own["all"][0]
+    cov = weight * own["all"][1] + (1 - weight) * cov  # the language is the corpus here
+    for k, v in x.items():
+        w = len(v) / (len(v) + quality.PRIOR_ROWS)
+        got = found[2, "en", k]
+        assert np.allclose(got.mean, w * own[k][0] + (1 - w) * mean, atol=0.1)
+        want = w * own[k][1] + (1 - w) * cov
+        assert abs(np.linalg.slogdet(np.reshape(got["cov"], want.shape))[1] - np.linalg.slogdet(want)[1]) < 0.5
+    assert found[2, "en", "s"].limit != found[1, "en", None].limit
+
+
+def test_ties_long_texts_and_other_columns(spark):
+    text = " ".join(f"w{i % 997} and x{i % 89}" for i in range(100_000))
+    plain = " ".join(f"w{i} is" for i in range(60))
+    docs = spark.createDataFrame([(i, plain, "en", "s", "q") for i in range(20)] + [(99, text, "en", "s", "q")], DOCS + ", distance string")
+    out = {r.doc_id: r for r in quality.assess(docs).collect()}
+    assert len({(out[i].distance, out[i].kept) for i in range(20)}) == 1 and out[3].kept and out[99].n_words == 300_000
