@@ -1,4 +1,5 @@
 import hashlib
+import random
 import time
 
 from dialoom.llm import secret_scan
@@ -63,5 +64,87 @@ def test_lexing_is_linear():
     hard = ["a." * n, "a" + " " * n, "a: " + "b<" * n, "a['b']" * n, 'a["' * n, "a:b " * n, 'a="' + '\\"' * n, "a " * n, ":" + "a:" * n, "a" * n + "\t" * n + "-"]
     for text in hard:
         start = time.process_time()
-        secret_scan.literal_spans(text + "=:")
+        secret_scan.literal_spans(text + "=: key")
         assert time.process_time() - start < 5
+
+
+V = "Zx81kQpLm2vR7TtE"
+
+
+def test_values_over_lines_and_in_brackets():
+    a, b = V[:9], V[9:]
+    assert literals(f'db_pwd = (\n  "{a}"\n  "{b}"\n)') == [a, b]
+    assert literals(f'db_pwd = "{a}" + \\\n  "{b}"\nx = 1') == [a, b]
+    assert literals(f'HALF = "{a}"\ndb_pwd = HALF + "{b}"') == [a, b]
+    assert literals(f'client_secret = """{V}"""') == [V] and literals(f"client_secret = r\'\'\'{V}\'\'\'") == [V]
+    assert literals(f'credentials = ["{V}", "{V}x"]\nname = "{V}"') == [V, V + "x"]
+    assert literals(f'auth_pwd = SecretStr("{V}")\ndb_pwd = os.getenv("{V}")') == [V]
+
+
+def test_configuration_forms():
+    assert literals(f"private_key: |\n  {V}\n  {V}\nother: 1") == [f"{V}\n  {V}"]
+    assert literals(f"base: &k {V}x\npwd: *k") == [V + "x"]
+    assert literals(f'{{"user": "u", "client_pwd": "{V}", "n": {{"name": "{V}"}}}}') == [V]
+    assert literals(f"[db]\nuser = me\npwd = {V}\n") == [V]
+    assert literals(f"<db><pwd>\n {V} </pwd><user>{V}</user></db>") == [V]
+    assert literals(f'<string name="client_pwd">{V}</string><add key="client_pwd" value="{V}x"/>') == [V, V + "x"]
+    assert literals(f'<db pwd="{V}" user="{V}"/>') == [V]
+
+
+def test_calls_and_scopes():
+    assert literals(f'connect(user="{V}", pwd="{V}x")') == [V + "x"]
+    assert literals(f'os.putenv("CLIENT_PWD", "{V}"); set_pwd("{V}x")') == [V, V + "x"]
+    assert literals(f'KEY = "{V}"\ndef f():\n    KEY = "plain"\n    return KEY\n\ndb_pwd = KEY') == [V]
+    assert literals(f'k = "{V}"; function f() {{ k = "plain"; }} pwd = k;') == [V]
+    assert literals(f"it isn\'t set: the pwd = {V}") == [V]
+    assert literals("the key: it opens the door; access = granted, auth: none") == []
+
+
+def brute_base(text):
+    """Base spans by trying every start, kind by kind."""
+    word = set("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_.=-")
+
+    def run(i, chars):
+        j = i
+        while j < len(text) and text[j] in chars:
+            j += 1
+        return j
+
+    def assign(i):
+        for name in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            cut = text[i : i + len(name)]
+            if cut.isascii() and cut.lower() == name:
+                j = i + len(name)
+                for k in ([j + 1] if text[j : j + 1] in tuple("\"'") else []) + [j]:
+                    k = run(k, " ")
+                    if text[k : k + 1] in (":", "="):
+                        k = run(k + 1, " ")
+                        k += text[k : k + 1] in ("\"", "'")
+                        if run(k, word) > k:
+                            return run(k, word), run(k, word) - k
+        return None
+
+    def plain(head, chars):
+        def at(i):
+            if text.startswith(head, i) and run(i + len(head), chars) > i + len(head):
+                return run(i + len(head), chars), run(i + len(head), chars) - i
+        return at
+
+    out = []
+    kinds = (assign, 6), (plain("AKIA", set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")), 20), (plain("", set("0123456789abcdef")), 24)
+    for number, (match, least) in enumerate(kinds):
+        i = 0
+        while i < len(text):
+            m = match(i)
+            if m and m[1] >= least:
+                out.append((i, number, m[0]))
+            i = m[0] if m else i + 1
+    return sorted(out)
+
+
+def test_base_spans_match_brute_force():
+    draw = random.Random(8)
+    pool = ["password", "Passwd", "SECRET", "token", "api_key", "APIKEY", "=", ":", " ", "\"", "'", "AKIA", "A1B2C3D4E5F6G7H8", "0a1b2c3d", "ffffffff", "xyz", "/+_.", "\n", "é"]
+    for _ in range(3000):
+        text = "".join(draw.choice(pool) for _ in range(draw.randint(1, 14)))
+        assert secret_scan.base_spans(text) == brute_base(text), text
