@@ -12,19 +12,23 @@ words than a shingle is one shingle). Two documents are linked if 100 * |common|
    probability of 5e-11, at 0.8 of 5e-8. Sets so small that only equal sets can be linked are not banded.
 4. Hubs: each document meets one other, the smallest id over its bands. Confirmed links give first components, in which
    most copies of one text are together after one comparison each. A band whose members are all in one component is done.
-5. What is open then: documents that share open bands make a pool. A pool is cut into blocks of about ``BLOCK`` documents, by
-   whether they are in its largest component, by size class (linked sets differ by one class at most) and by hash; small
-   pools share blocks. Blocks meet blocks, all sets of a block with all of the other at a time in numpy, but not those within
+5. What is open then: within each open band registers are compared, and documents whose estimate allows a link are connected to
+   a pool (a forest of at most as many rows as the band has members; bands of over ``BAND_MEMBERS`` connect all of theirs). So
+   chance meetings of unlike documents make no large pools. A pool is cut into blocks of about ``BLOCK`` documents and
+   ``BLOCK_SHINGLES`` shingles, by whether they are in its largest component, by size class (linked sets differ by one class at
+   most) and by hash; small pools share blocks. Blocks meet blocks, all sets of a block with all of the other at a time in numpy, but not those within
    the largest component; a task has two blocks, and gives the links that connect components, no lists of pairs. So
    thousands of near copies just below the threshold cost blocks squared, not rows squared.
 6. In either step the estimate comes first: equal registers over registers filled in either, less the collisions expected
    from the stored bits. A pair whose corrected estimate is over five standard errors below the threshold goes; the others
-   are verified on their full sets.
+   are verified on their full sets; links found in blocks, where sets are of hashes, again on the texts' words.
 7. Components of confirmed links; the smallest id of each stays.
 
 Defined cases: a null or wordless text has an empty set, links with nothing and stays. Rows that repeat an id
-are one document, with the text that sorts first; its decision holds for each of the rows. Rows with a null id
-are kept, unlinked. Extra columns pass through.
+are one document, with the text that sorts first; its decision holds for each of the rows, and each row gets one. Rows with a null
+id are kept, unlinked, with the size of their set. Of documents with equal claims the smallest id counts. A very long text is one
+row's work; a block has few of them. Extra columns pass through ``dedup``, whatever their names; ``near_duplicates`` has columns of
+its own only.
 """
 
 from __future__ import annotations
@@ -48,6 +52,11 @@ BAND = 4
 BANDS = REGISTERS // BAND
 #: Documents in a block. A matter of work, not of results.
 BLOCK = 256
+#: Shingles in a block, and members of a band that are compared one by one. Neither changes results.
+BLOCK_SHINGLES = 2_000_000
+BAND_MEMBERS = 512
+#: Rows of one key in a join are spread over so many tasks.
+SALTS = 16
 #: Which registers an empty one borrows from, in turn.
 _LENDERS = np.random.default_rng(20240101).integers(0, REGISTERS, (REGISTERS, 96))
 
@@ -154,29 +163,28 @@ def _verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame, size: int, pe
         for batch in batches:
             if len(batch):
                 a, b = (np.frombuffer(b"".join(batch[x]), np.uint16).reshape(-1, REGISTERS) for x in ("regs_a", "regs_b"))
-                guess, filled = estimate(a, b, batch.n_a.to_numpy(), batch.n_b.to_numpy())
-                want = percent / 100
-                error = np.sqrt(want * (1 - want) / np.maximum(filled, 1))
-                yield batch.loc[guess >= want - 5 * error, ["a", "b"]]
+                yield batch.loc[_likely(a, b, batch.n_a.to_numpy(), batch.n_b.to_numpy(), percent), ["a", "b"]]
+
+    return _confirmed(close.mapInPandas(likely, "a long, b long"), texts, size, percent)
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Of the pairs (a, b), those whose full shingle sets are similar enough."""
 
     def linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[int, set] = {}
+        last: tuple[int | None, set] = (None, set())  # neighbouring pairs mostly share the first document
         for batch in batches:
             keep = []
             for a, b, text_a, text_b in zip(batch.a, batch.b, batch.text_a, batch.text_b):
-                for number, text in ((a, text_a), (b, text_b)):
-                    if number not in known:
-                        if len(known) > 64:
-                            known.clear()
-                        known[number] = shingle_set(text, size)
-                one, two = known.get(a) or shingle_set(text_a, size), known[b]
+                if last[0] != a:
+                    last = a, shingle_set(text_a, size)
+                one, two = last[1], shingle_set(text_b, size)
                 common = len(one & two)
                 keep.append(100 * common >= percent * (len(one) + len(two) - common))
             yield batch.loc[keep, ["a", "b"]]
 
-    probable = close.mapInPandas(likely, "a long, b long")
     body = lambda x: texts.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}"))
-    return probable.join(body("a"), "a").join(body("b"), "b").mapInPandas(linked, "a long, b long")
+    return pairs.join(body("a"), "a").join(body("b"), "b").mapInPandas(linked, "a long, b long")
 
 
 def shingle_set(text: str | None, size: int) -> set:
@@ -194,22 +202,67 @@ def _hub_pairs(members: DataFrame) -> DataFrame:
     return met.select(F.col("hub").alias("a"), F.col("id").alias("b"))
 
 
-def _open_documents(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """(id, component, pool): documents in bands that still hold several components; pool: those connected by such bands."""
+def _salted(table: DataFrame) -> DataFrame:
+    """Each row of a table with a row for each key, once for each salt."""
+    return table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
+def _with_salt(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+
+
+def possible_links(ids: np.ndarray, component: np.ndarray, n: np.ndarray, regs: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """A forest over the members of a band: those whose estimate allows a link, each first with the one that has most."""
+    group = list(range(len(ids)))
+
+    def top(x: int) -> int:
+        while group[x] != x:
+            group[x] = group[group[x]]
+            x = group[x]
+        return x
+
+    out = []
+    for i in range(1, len(ids)):
+        before = np.arange(i)
+        ask = (component[:i] != component[i]) & (100 * np.minimum(n[:i], n[i]) >= percent * np.maximum(n[:i], n[i]))
+        before = before[ask]
+        if len(before):
+            for j in before[_likely(regs[before], np.broadcast_to(regs[i], (len(before), REGISTERS)), n[before], np.full(len(before), n[i]), percent)]:
+                x, y = top(i), top(int(j))
+                if x != y:
+                    group[x] = y
+                    out.append((int(ids[i]), int(ids[j])))
+    return out
+
+
+def _open_documents(members: DataFrame, labels: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """(id, component, pool): documents in bands that still hold several components; pool: those that possible links connect."""
     own = members.join(labels, members.id == labels.node, "left").select("id", "key", F.coalesce("component", "id").alias("component"))
     own = written(own, "labelled-members")
-    several = own.groupBy("key").agg(F.min("component").alias("l"), F.max("component").alias("h"), F.min("id").alias("first")).filter("l != h")
-    several = written(several.select("key", "first"), "open-bands")
-    held = written(own.join(several, "key").select("id", "component", "first"), "open-members")
-    pools = components(held.select(F.col("first").alias("a"), F.col("id").alias("b")))
-    return held.select("id", "component").distinct().join(pools.select(F.col("node").alias("id"), F.col("component").alias("pool")), "id")
+    several = own.groupBy("key").agg(
+        F.min("component").alias("l"), F.max("component").alias("h"), F.min("id").alias("first"), F.count("*").alias("members")
+    ).filter("l != h")
+    several = written(several.select("key", "first", "members"), "open-bands")
+    held = written(own.join(several, "key").select("key", "id", "component", "first", "members"), "open-members")
+
+    def connect(band: pd.DataFrame) -> pd.DataFrame:
+        band = band.sort_values("id")
+        regs = np.frombuffer(b"".join(band.regs), np.uint16).reshape(-1, REGISTERS)
+        found = possible_links(band.id.to_numpy(), band.component.to_numpy(), band.n.to_numpy(), regs, percent)
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    small = held.filter(F.col("members") <= BAND_MEMBERS).join(reps.select("id", "n", "regs"), "id").select("key", "id", "component", "n", "regs")
+    edges = small.groupBy("key").applyInPandas(connect, "a long, b long")
+    edges = edges.union(held.filter(F.col("members") > BAND_MEMBERS).select(F.col("first").alias("a"), F.col("id").alias("b")))
+    pools = components(edges).select(F.col("node").alias("id"), F.col("component").alias("pool"))
+    return held.select("id", "component").distinct().join(pools, "id")
 
 
 def _blocks(open_docs: DataFrame, percent: int) -> DataFrame:
     """(id, component, n, block) and, exploded by it, (meeting): the pairs of blocks each document takes part in."""
     parts = open_docs.groupBy("pool", "component").agg(F.count("*").alias("part"))
     pools = parts.groupBy("pool").agg(F.sum("part").alias("all"), F.max(F.struct("part", "component")).alias("main"))
-    sized = open_docs.join(pools, "pool")
+    sized = _with_salt(open_docs).join(_salted(pools), ["pool", "salt"])
     small = F.col("all") <= BLOCK // 4
     few = open_docs.count() // BLOCK + 1
     # Small pools share cells; their documents meet each other there and nobody else.
@@ -218,9 +271,10 @@ def _blocks(open_docs: DataFrame, percent: int) -> DataFrame:
         (~small & (F.col("component") == F.col("main.component")) & (F.col("main.part") > 1)).alias("main"),
         F.when(small, 0).otherwise(F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)))).cast("int").alias("size_class"),
     )
-    placed = sized.withColumn("cell", cell)
-    counts = placed.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(float(BLOCK))).cast("int").alias("cuts"))
-    placed = placed.join(counts, "cell").select("id", "component", "cell", F.pmod(F.xxhash64("id"), "cuts").cast("int").alias("cut"))
+    placed = written(sized.withColumn("cell", cell).select("id", "component", "n", "salt", "cell"), "open-cells")
+    size = F.greatest(F.count("*") / F.lit(float(BLOCK)), F.sum("n") / F.lit(float(BLOCK_SHINGLES)))
+    counts = written(placed.groupBy("cell").agg(F.ceil(size).cast("int").alias("cuts")), "cell-cuts")
+    placed = placed.join(_salted(counts), ["cell", "salt"]).select("id", "component", "cell", F.pmod(F.xxhash64("id"), "cuts").cast("int").alias("cut"))
     blocks = counts.select("cell", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("cut"))
     a, b = (blocks.select(F.col("cell.pool").alias("pool"), F.col("cell.shared").alias("shared"), F.struct("cell", "cut").alias(x)) for x in "ab")
     meet = a.join(b, ["pool", "shared"]).filter(
@@ -230,6 +284,13 @@ def _blocks(open_docs: DataFrame, percent: int) -> DataFrame:
     return placed.withColumn("block", F.struct("cell", "cut")).join(sides, "block").select("meeting", "id", "component")
 
 
+def _likely(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, percent: int) -> np.ndarray:
+    """Which rows of registers have an estimate at most five standard errors below the threshold."""
+    guess, filled = estimate(a, b, n_a, n_b)
+    want = percent / 100
+    return guess >= want - 5 * np.sqrt(want * (1 - want) / np.maximum(filled, 1))
+
+
 def block_links(ids: np.ndarray, component: np.ndarray, sets: list[np.ndarray], regs: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """Links between the sets of some hundred documents that connect different components: a forest of them."""
     count = np.array([len(x) for x in sets])
@@ -239,8 +300,7 @@ def block_links(ids: np.ndarray, component: np.ndarray, sets: list[np.ndarray],
     keep = []
     for at in range(0, len(rows), 1 << 16):
         i, j = rows[at : at + (1 << 16)], cols[at : at + (1 << 16)]
-        guess, filled = estimate(regs[i], regs[j], count[i], count[j])
-        keep.append(guess >= percent / 100 - 5 * np.sqrt(percent / 100 * (1 - percent / 100) / np.maximum(filled, 1)))
+        keep.append(_likely(regs[i], regs[j], count[i], count[j], percent))
     likely = np.concatenate(keep) if keep else np.zeros(0, bool)
     rows, cols = rows[likely], cols[likely]
     if not len(rows):
@@ -298,14 +358,16 @@ def _block_edges(open_docs: DataFrame, reps: DataFrame, texts: DataFrame, size:
         sets = [np.frombuffer(x, np.uint64) for x in block.set]
         return pd.DataFrame(block_links(block.id.to_numpy(), block.component.to_numpy(), sets, regs, percent), columns=["a", "b"], dtype="int64")
 
-    return rows.groupBy("meeting").applyInPandas(compare, "a long, b long").distinct()
+    return _confirmed(rows.groupBy("meeting").applyInPandas(compare, "a long, b long").distinct(), texts, size, percent)
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, n_shingles, component): a row for each id of docs."""
+    """(id, n_shingles, component): a row for each row of docs; without id there is no component."""
     ship(docs.sparkSession)
-    numbered = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).filter("id IS NOT NULL")
-    if not numbered.groupBy("id").count().filter("count > 1").isEmpty():
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    numbered = rows.filter("id IS NOT NULL")
+    repeated = not numbered.groupBy("id").count().filter("count > 1").isEmpty()
+    if repeated:
         numbered = numbered.groupBy("id").agg(F.min("text").alias("text"))
     every = written(sketches(numbered, size, percent), "sketches")
     classes = every.filter("n > 0").groupBy("low", "high").agg(F.min(F.struct("id", "n", "regs", "bands")).alias("rep"))
@@ -318,17 +380,19 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
     texts = written(numbered.join(members.select("id").distinct(), "id", "left_semi"), "candidate-texts")
     hubs = written(_verified(_hub_pairs(members), reps, texts, size, percent), "hub-links")
     labels = written(components(hubs), "labels")
-    open_docs = written(_open_documents(members, labels), "open-documents")
+    open_docs = written(_open_documents(members, labels, reps, percent), "open-documents")
     if not open_docs.isEmpty():
         rest = written(_block_edges(open_docs, reps, texts, size, percent), "block-links")
         labels = written(components(hubs.union(rest)), "labels")
     joined = every.join(reps.select("low", "high", F.col("id").alias("rep")), ["low", "high"], "left")
     final = joined.join(labels, joined.rep == labels.node, "left")
-    return final.select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component"))
+    final = final.select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component"))
+    unnumbered = sketches(rows.filter("id IS NULL"), size, percent).select("id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component"))
+    return (rows.filter("id IS NOT NULL").select("id").join(final, "id") if repeated else final).union(unnumbered)
 
 
 def dedup(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """docs without near duplicates: of each component the rows of the smallest doc_id stay, all columns as they are."""
     mark = free_name(docs, "_gone")
-    gone = near_duplicates(docs, size, percent).filter("id != component").select(F.col("id").alias(mark))
+    gone = near_duplicates(docs, size, percent).filter("id != component").select(F.col("id").alias(mark)).distinct()
     return docs.join(gone, docs.doc_id == gone[mark], "left_anti")

@@ -33,7 +33,7 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) on shingles of three words at 85 %."""
     found = minhash.near_duplicates(read_table(spark, sf_dir, "documents"), size=3, percent=85)
-    return found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"))
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

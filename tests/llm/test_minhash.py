@@ -48,7 +48,8 @@ def corpus(seed):
 
 def test_matches_brute_force(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK", 8)  # so that pools are cut into several blocks
-    for seed, size, percent in ((1, 3, 85), (2, 5, 80)):
+    for seed, size, percent, members in ((1, 3, 85, 512), (2, 5, 80, 3)):
+        monkeypatch.setattr(minhash, "BAND_MEMBERS", members)  # and that bands are beyond what is compared one by one
         rows = corpus(seed)
         found = minhash.near_duplicates(spark.createDataFrame(rows, DOCS), size, percent).collect()
         assert {r.id: (r.n_shingles, r.component) for r in found} == brute(rows, size, percent)
@@ -76,6 +77,29 @@ def test_edges(spark):
     assert [(d, c) for _, d, c in kept] == [(1, 1), (1, 2), (3, 4), (4, 6), (5, 7), (5, 8), (6, 9)]
     assert minhash.dedup(docs).filter("doc_id IS NULL").count() == 1
     assert minhash.near_duplicates(docs.limit(0)).count() == 0
+    every = sorted(((r.id is None, r.id, r.n_shingles, r.component) for r in minhash.near_duplicates(docs).collect()), key=str)
+    assert every == sorted(
+        [(False, 1, 36, 1)] * 2 + [(False, 2, 36, 1), (False, 3, 0, 3), (True, None, 36, None), (False, 4, 0, 4)] + [(False, 5, 1, 5)] * 2 + [(False, 6, 3, 6)], key=str
+    )  # a row for each row
+
+
+def test_possible_links_are_a_forest_that_holds_every_possible_pair():
+    draw = np.random.default_rng(3)
+    base = draw.integers(0, 2**63, 400).astype(np.uint64)
+    sets = [np.unique(np.concatenate((base[: 400 - cut], draw.integers(0, 2**63, cut).astype(np.uint64)))) for cut in draw.integers(0, 300, 40)]
+    regs, n = np.stack([minhash.registers(x) for x in sets]), np.array([len(x) for x in sets])
+    ids, component = np.arange(40), np.arange(40) // 2
+    found = minhash.possible_links(ids, component, n, regs, 85)
+    top = {i: {i} for i in range(40)}
+    for a, b in found:
+        assert component[a] != component[b] and top[a] is not top[b]
+        for x in (both := top[a] | top[b]):
+            top[x] = both
+    for i in range(40):
+        for j in range(i):
+            common = len(np.intersect1d(sets[i], sets[j]))
+            if 100 * common >= 85 * (n[i] + n[j] - common) and component[i] != component[j]:
+                assert top[i] is top[j]
 
 
 def test_estimate_and_registers():
