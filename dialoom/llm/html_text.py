@@ -1,7 +1,7 @@
 """HTML extraction with site template removal.
 
-1. Each page is cut into its element subtrees. A subtree is known by a hash of its markup and text (white space
-   collapsed) together with its host.
+1. Each page is cut into its element subtrees. A subtree is known by a hash of its start tag, its own text (white space
+   collapsed) and its children's hashes, built from the leaves upwards, together with its host.
 2. Spark counts, for each host, on how many distinct pages each subtree occurs, and the pages of the host. Copies of a page
    and versions of one url are one page.
 3. Subtrees that recur on at least ``MIN_PAGES`` pages, and one more for each tenfold of ``FEW_PAGES`` that the host has, are
@@ -22,14 +22,17 @@ The templates of all hosts are keys of 8 bytes. Where these are at most ``BROADC
 tasks, else each page's keys are joined to them in Spark; both give the same text.
 
 Defined cases: null or empty html gives an empty text; a null url or one without host belongs to the host ''; repeated
-rows count as one page; unclosed elements end with their parent, a cut-off page at its end; extra columns pass through
-(``text`` and ``n_chars`` are taken over).
+rows count as one page; unclosed elements end with their parent, a cut-off page at its end; of equally large articles the first
+is the page's largest; very long and deeply nested pages take time linear in their length; extra columns pass through, whatever
+their names (``text`` and ``n_chars`` are taken over).
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -91,10 +94,12 @@ def elements(page: str) -> list[Element]:
     """All block and structure elements of a cleaned page in the order of their start tags, with their ends."""
     found: list[Element] = []
     stack: list[Element] = []
+    opened: Counter[str] = Counter()  # open elements by tag, so that the stack is searched only for what it holds
 
     def close(down_to: int, at: int) -> None:
         for e in stack[down_to:]:
             e.end = at
+            opened[e.tag] -= 1
         del stack[down_to:]
 
     for m in _TAG.finditer(page):
@@ -102,14 +107,14 @@ def elements(page: str) -> list[Element]:
         if tag not in _BLOCKS:
             continue
         if m[1]:
-            for i in range(len(stack) - 1, -1, -1):
+            for i in range(len(stack) - 1, -1, -1) if opened[tag] else ():
                 if stack[i].tag == tag:
                     close(i + 1, m.start())
                     close(i, m.end())
                     break
             continue
         same, bounds = _ENDS.get(tag, ((), ()))
-        for i in range(len(stack) - 1, -1, -1):
+        for i in range(len(stack) - 1, -1, -1) if opened["p"] or any(opened[x] for x in same) else ():
             if stack[i].tag == "p":
                 close(i, m.start())
                 break
@@ -123,6 +128,7 @@ def elements(page: str) -> list[Element]:
         found.append(e)
         if tag in ("head",) or not m[3].endswith("/"):
             stack.append(e)
+            opened[tag] += 1
         else:
             e.end = m.end()
     close(0, len(page))
@@ -130,9 +136,21 @@ def elements(page: str) -> list[Element]:
 
 
 def subtree_keys(host: str, page: str, found: list[Element]) -> list[int]:
-    """A signed 64-bit key of host and subtree for each element."""
-    seed = xxhash.xxh3_64_intdigest(host)
-    return [xxhash.xxh3_64_intdigest(page[e.start : e.end], seed) - (1 << 63) for e in found]
+    """A signed 64-bit key of host and subtree for each element: a hash of its own markup and text and of its children's hashes."""
+    seed, digest = xxhash.xxh3_64_intdigest(host), xxhash.xxh3_64_intdigest
+    hashes = [0] * len(found)
+    #: For each element that has children read already: where its text goes on, from the end, and what follows there.
+    tails: dict[int, tuple[int, list[str]]] = {}
+    for i in range(len(found) - 1, -1, -1):  # children stand after their parents and are hashed before them
+        e = found[i]
+        upto, parts = tails.pop(id(e), (e.end, []))
+        parts.append(page[e.start : upto])
+        hashes[i] = digest("\0".join(parts), seed)
+        if e.parent is not None:
+            upto, siblings = tails.get(id(e.parent)) or (e.parent.end, [])
+            siblings += (page[e.end : upto], f"{hashes[i]:x}")
+            tails[id(e.parent)] = e.start, siblings
+    return [h - (1 << 63) for h in hashes]
 
 
 def _within(found: list[Element]) -> list[bool]:
@@ -222,18 +240,22 @@ def main_text(page: str, found: list[Element], templates: set[int], keys: list[i
         elif e.tag == "h1":
             headlines.append(e)
     if sections and all(e.tag == "article" for e in sections):
-        titles = [] if any(_holds(a, h) for a in sections for h in headlines) else headlines[:1]
+        starts = [a.start for a in sections]  # in page order, none within another
+        titled_one = any(at and _holds(sections[at - 1], h) for h in headlines for at in (bisect_right(starts, h.start),))
+        titles = [] if titled_one else headlines[:1]
         around: Element | None = sections[0]
-        while around is not None and not all(_holds(around, e) for e in sections + titles):
+        low, high = min(e.start for e in sections + titles), max(e.end for e in sections + titles)
+        while around is not None and not (around.start <= low and high <= around.end):
             around = around.parent
         sections = [around] if around is not None else []
     spans = [(e.start, e.end) for e in sections] or [(0, len(page))]
+    begins, ends = [a for a, _ in gone], [b for _, b in gone]
     blocks, parts, last, end = [], [], 0, -1
     for low, high in spans:
         if high <= end:
             continue
         low = max(low, end)
-        cut = [g for g in gone if g[0] < high and g[1] > low]
+        cut = gone[bisect_right(ends, low) : bisect_left(begins, high)]  # both in page order and disjoint
         last = low
         for a, b in [*cut, (high, high)]:
             _blocks(page, last, a, blocks, parts)

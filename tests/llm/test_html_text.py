@@ -1,3 +1,8 @@
+import random
+import time
+
+from pyspark.sql import functions as F
+
 from dialoom.llm import html_text
 
 PAGES = "page_id long, url string, html string"
@@ -97,3 +102,61 @@ def test_recurring_small_articles_go_and_reprinted_ones_stay(spark):
     out = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, PAGES)).collect()}
     assert out[3] == "h3\n\nstory 3 of many, longer than the teaser" and out[203] == out[3]
     assert out[103] == "p3\n\nThe reprinted story, all of it and in full length"
+
+
+def test_deep_and_long_pages_are_linear():
+    n = 20_000
+    for hard in ("<div><p>x" * n, "<ul><li>" * n, "<div>" * n + "<p>x</p>" * n, "<p>x</section>" * n, "<article><h1>t</h1><p>x</article>" * n):
+        start = time.process_time()
+        text(hard)
+        assert time.process_time() - start < 6
+
+
+def test_keys_tell_subtrees_apart():
+    cut = lambda h: dict(zip([(e.tag, h[e.start : e.end]) for e in html_text.elements(h)], html_text.subtree_keys("a", h, html_text.elements(h))))
+    one = cut("<div>a<p>b</p>c<ul><li>d</li></ul></div><div>a<p>b</p>c<ul><li>d</li></ul></div>")
+    assert len({*one.values()}) == len(one) == 4
+    differ = ["<div>a<p>b</p>c</div>", "<div>a<p>b</p></div>", "<div>ac<p>b</p></div>", "<div><p>a</p><p>b</p>c</div>", "<div class=x>a<p>b</p>c</div>", "<div>a<p>b</p><p>c</p></div>"]
+    assert len({html_text.subtree_keys("a", h, html_text.elements(h))[0] for h in differ}) == len(differ)
+    assert html_text.subtree_keys("a", differ[0], html_text.elements(differ[0]))[0] != html_text.subtree_keys("b", differ[0], html_text.elements(differ[0]))[0]
+
+
+def brute_templates(rows):
+    """(host, markup) of subtrees outside articles and main elements that recur on enough pages, by comparing whole subtrees."""
+    seen, pages = {}, {}
+    for _, url, html in rows:
+        host, page_ = url.split("/")[2], html_text.clean(html)
+        pages.setdefault(host, set()).add(url)
+        for e in html_text.elements(page_):
+            seen.setdefault((host, page_[e.start : e.end], e.tag), set()).add(url)
+    return {(h, m) for (h, m, tag), urls in seen.items() if len(urls) >= html_text.MIN_PAGES and tag in ("div", "section", "ul") and len(pages[h]) <= 100}
+
+
+def test_templates_match_brute_force(spark):
+    """Planted blocks with neutral names, with and without article; emptying the template set changes each page's text."""
+    draw, rows = random.Random(4), []
+    blocks = [f"<div class='k{i}'><div>block {i} of the site</div></div>" for i in range(12)]
+    for i in range(120):
+        host, own = f"h{i % 3}.example", f"<h1>title {i}</h1><p>{' '.join(f'w{draw.randint(0, 999)}' for _ in range(60))}</p>"
+        extra = "".join(b for k, b in enumerate(blocks) if draw.random() < (k + 1) / 24)
+        rows.append((i, f"http://{host}/{i}", f"<body><article>{own}{extra}</article></body>" if i % 2 else f"<body><section>{own}</section>{extra}</body>"))
+    pages = spark.createDataFrame(rows, PAGES)
+    known = {r.key for r in html_text.template_keys(pages.withColumn("host", F.regexp_extract("url", "//([^/]*)", 1))).collect()}
+    want = brute_templates(rows)
+    found = set()
+    for _, url, html in rows:
+        host, page_ = url.split("/")[2], html_text.clean(html)
+        every = html_text.elements(page_)
+        found |= {(host, page_[e.start : e.end]) for e, k in zip(every, html_text.subtree_keys(host, page_, every)) if k in known}
+    assert want and found == want
+    out = {r.page_id: r.text for r in html_text.extract(pages).collect()}
+    for i, url, html in rows:
+        host, kept = url.split("/")[2], [b for b in blocks if b in html and (url.split("/")[2], b) not in want]
+        words = html.split("<p>")[1].split("</p>")[0]
+        assert out[i] == "\n\n".join([f"title {i}", words, *[b.split("<div>")[1].split("</div>")[0] for b in kept]])
+        if any((host, b) in want and b in html for b in blocks):
+            assert text(html, host=host) != out[i]  # without templates the blocks stay
+
+
+def test_equally_large_articles():
+    assert text("<body><div><article><p>one</article></div><div><article><p>two</article></div></body>") == "one\n\ntwo"
