@@ -56,3 +56,14 @@ def test_edges(spark):
     out = warc.archive_and_read(clash).collect()
     assert [r.record_type for r in out] == ["response"] * 4
     assert warc.archive_and_read(clash.limit(0)).count() == 0
+
+
+def test_revisits_name_the_record_they_refer_to(spark):
+    path = warc.write_archives(spark.createDataFrame(rows(), PAGES), table_path(spark, "warc-test"))
+    heads = [warc.parse(x)[0] for name in glob.glob(path.removeprefix("file://") + "/part-*") for x in warc.frames(open(name, "rb").read())]
+    responses = {h["warc-record-id"]: h for h in heads if h["warc-type"] == "response"}
+    revisits = [h for h in heads if h["warc-type"] == "revisit"]
+    assert revisits and any(h["warc-type"] == "warcinfo" for h in heads)
+    for h in revisits:
+        response = responses[h["warc-refers-to"]]
+        assert response["warc-payload-digest"] == h["warc-payload-digest"] and response["warc-target-uri"] == h["warc-refers-to-target-uri"]
