@@ -159,8 +159,14 @@ def join_tokens(words: Column, language: Column) -> Column:
     return F.when(is_japanese(language) | name.startswith("zh") | name.contains("chinese"), F.array_join(kept, "")).otherwise(F.array_join(kept, " "))
 
 
+# Fixed value: what stands for a line without text.
+EMPTY_LINE = "[empty or unrecognized line]"
+
+
 def transcript_line(number: Column, chunk_id: Column, speaker: Column, start: Column, end: Column, text: Column) -> Column:
-    return F.format_string("%03d. [%s] [%s] [%.2f-%.2fs] %s", number, chunk_id, speaker, start, end, text)
+    """One line of a transcript, with the whole text."""
+    line = F.coalesce(F.nullif(normalized(text), F.lit("")), F.lit(EMPTY_LINE))
+    return F.format_string("%03d. [%s] [%s] [%.2f-%.2fs] %s", number, chunk_id, speaker, start, end, line)
 
 
 def share_of_words(text: Column, low: Column, high: Column) -> Column:

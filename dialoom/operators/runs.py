@@ -163,12 +163,33 @@ def parameter_grid(spark, values: dict[str, Sequence], fixed: dict[str, object]
     return grid.withColumn("trial", F.row_number().over(Window.orderBy(*order)) if order else F.lit(1)).drop("_", *order)
 
 
-def plateaus(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """(by, main_count, first, last, length): runs of equal main counts over rising thresholds."""
-    w = Window.partitionBy(*by).orderBy("threshold") if by else Window.orderBy("threshold")
-    new = (~F.lag("main_count").over(w).eqNullSafe(F.col("main_count"))).cast("int")
-    runs = rows.withColumn("_n", new).withColumn("_run", F.sum("_n").over(w))
-    return runs.groupBy(*by, "_run").agg(F.first("main_count").alias("main_count"), F.min("threshold").alias("first"), F.max("threshold").alias("last"), F.count("*").alias("length")).drop("_run")
+def plateaus(rows: DataFrame, by: Sequence[str] = (), range_rows: int = 100_000) -> DataFrame:
+    """(by, main_count, first, last, length): runs of equal main counts over rising thresholds.
+
+    Rows are cut into ranges of about ``range_rows`` thresholds. Runs are found within each range, and then again among the
+    runs, of which a range has few where a plateau is long: no task needs a whole group.
+    """
+    count, = rows.agg(F.count("*")).first()
+    steps = [i / (-(-count // range_rows)) for i in range(1, -(-count // range_rows))]
+    cuts = sorted({c for c in rows.agg(F.percentile_approx("threshold", steps)).first()[0]}) if steps else []
+    part = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: F.col("threshold") >= c)) if cuts else F.lit(0)
+
+    def joined(runs: DataFrame, keys: Sequence[str]) -> DataFrame:
+        w = Window.partitionBy(*keys).orderBy("first", "last")
+        new = runs.withColumn("_n", (~F.lag("main_count").over(w).eqNullSafe(F.col("main_count"))).cast("int"))
+        return new.withColumn("_run", F.sum("_n").over(w)).groupBy(*keys, "_run").agg(
+            F.first("main_count").alias("main_count"), F.min("first").alias("first"), F.max("last").alias("last"), F.sum("length").alias("length")
+        ).drop("_run")
+
+    single = rows.select(*by, "main_count", F.col("threshold").alias("first"), F.col("threshold").alias("last"), F.lit(1).cast("long").alias("length"), part.alias("_part"))
+    within = joined(single, [*by, "_part"])
+    if not cuts:
+        return within.drop("_part")
+    # Only the first and last run of a range can go on in a neighbour; the others are whole.
+    ends = Window.partitionBy(*by, "_part")
+    marked = within.withColumn("_end", (F.col("first") == F.min("first").over(ends)) | (F.col("last") == F.max("last").over(ends)))
+    edge = marked.filter("_end").withColumn("_key", F.lit(0))
+    return joined(edge, [*by, "_key"]).drop("_key").unionByName(marked.filter("NOT _end").drop("_part", "_end"))
 
 
 def canonical_parameters(parameters: Column, aliases: dict[str, str], allowed: Sequence[str]) -> Column:

@@ -176,22 +176,29 @@ def named(labels: np.ndarray, prefix: str) -> list[str]:
 
 
 def cluster(rows: DataFrame, keys: Sequence[str], kernel: Callable[[np.ndarray], np.ndarray], prefix: str, by: Sequence[str] = BY, most: int | None = None) -> DataFrame:
-    """(by, keys, cluster): a kernel over the vectors of each group of ``by``, in the order of keys; groups over ``most`` rows stay unlabelled."""
+    """(by, keys, cluster): a kernel over the vectors of each group of ``by``, in the order of keys.
+
+    Rows of groups over ``most`` rows, whose kernel would need a matrix too large for a task, keep their ``speaker`` as cluster.
+    """
     ship(rows.sparkSession)
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     columns = [*by, *keys]
+    kept = None
     if most is not None:
-        rows = rows.withColumn("_n", F.count("*").over(Window.partitionBy(*by))).filter(F.col("_n") <= most)
+        sizes = rows.groupBy(*by).agg(F.count("*").alias("_n"))
+        sized = rows.join(sizes, list(by))
+        rows, kept = sized.filter(F.col("_n") <= most), sized.filter(F.col("_n") > most).select(*columns, F.col("speaker").alias("cluster"))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(list(keys))
         return group[columns].assign(cluster=named(kernel(_units(group.embedding)), prefix))
 
-    return rows.select(*columns, "embedding").groupBy(*by).applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in columns) + ", cluster string")
+    done = rows.select(*columns, "embedding").groupBy(*by).applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in columns) + ", cluster string")
+    return done if kept is None else done.union(kept)
 
 
 def recluster(rows: DataFrame, keys: Sequence[str], tau: float, by: Sequence[str] = BY, most: int = 2000) -> DataFrame:
-    """Average-link clusters R0, R1... of each clip that has at most ``most`` rows."""
+    """Average-link clusters R0, R1... of each clip; one with over ``most`` rows keeps its speakers."""
     return cluster(rows, keys, lambda x: linkage(x, tau, "average"), "R", by, most)
 
 

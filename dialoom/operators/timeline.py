@@ -63,14 +63,17 @@ def carry_over(now: DataFrame, before: DataFrame, value: str, keys: Sequence[str
 
 def signature(*columns: Column, places: int = 6) -> Column:
     """SHA-256 of the columns' canonical text: texts with white space normalised, numbers rounded, nulls kept apart."""
-    parts = []
-    for c in columns:
-        parts.append(F.coalesce(F.concat(F.lit("="), X.normalized(c.cast("string"))), F.lit("0")))
+    parts = [F.coalesce(F.concat(F.lit("="), F.when(_is_text(c), X.normalized(c.cast("string"))).otherwise(number_text(c, places))), F.lit("0")) for c in columns]
     return F.sha2(F.to_json(F.array(*parts)), 256)
 
 
+def _is_text(c: Column) -> Column:
+    return F.typeof(c).isin("string", "boolean", "date", "timestamp", "timestamp_ntz")
+
+
 def number_text(c: Column, places: int = 6) -> Column:
-    return F.bround(c, places).cast("string")
+    """A number's text after rounding, so that noise in the last digits makes no difference; null for other texts."""
+    return F.bround(c.try_cast("double") + F.lit(0.0), places).cast("string")
 
 
 def staleness(now: DataFrame, before: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:

@@ -118,7 +118,7 @@ def neighbour_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def transcript_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = views.chunks(spark, sf_dir)
-    line = X.transcript_line(F.col("chunk_ord") + 1, F.col("chunk_id"), F.col("speaker"), F.col("start"), F.col("end"), F.substring("text_src", 1, 40))
+    line = X.transcript_line(F.col("chunk_ord") + 1, F.col("chunk_id"), F.col("speaker"), F.col("start"), F.col("end"), F.col("text_src"))
     ordered = F.array_sort(F.collect_list(F.struct("chunk_ord", line.alias("line"))))
     return c.groupBy("clip_id").agg(F.array_join(F.transform(ordered, lambda x: x.line), "\n").alias("transcript"))
 
@@ -175,13 +175,13 @@ def merge_patch(spark: SparkSession, sf_dir: str) -> DataFrame:
     before, after = _patched(spark, sf_dir)
     updates = after.filter("doc_id % 10 = 0").select("doc_id", "text", F.lit(None).cast("string").alias("source"))
     out = timeline.patch(before, updates, ["text", "source"], {"text": ["output"]}, ["doc_id"])
-    return out.select("doc_id", F.length("text").alias("length"), "source", "output", "stale")
+    return out.select("doc_id", "text", "source", "output", "stale")
 
 
 def audit_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     before, after = _patched(spark, sf_dir)
     out = timeline.audit(before, after.withColumn("lang", F.when(F.col("doc_id") % 9 == 0, "xx").otherwise(F.col("lang"))), ["text", "lang", "source"], ["doc_id"])
-    return out.select("doc_id", "field", F.length("before").alias("before"), F.length("after").alias("after"))
+    return out.select("doc_id", "field", "before", "after")
 
 
 def carry_over(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -299,7 +299,7 @@ def plateaus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = V.centroids(views.embeddings(spark, sf_dir), ["speaker"])
-    return c.select("speaker", "n", F.round(F.get("centroid", F.lit(0)), 9).alias("x0"), F.round(F.get("centroid", F.lit(63)), 9).alias("x63"))
+    return c.select("speaker", "n", F.posexplode("centroid").alias("place", "x")).withColumn("x", F.round("x", 9))
 
 
 def nearest_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -406,10 +406,10 @@ def cluster_purity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def expectations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Windows of every 20th segment: it should be the second model's label, or quiet, or begin a sequence."""
+    """Windows from every segment on: it should be the second model's label, or quiet, or begin a sequence."""
     rows = views.on_one_clock(spark, sf_dir)
-    e = rows.filter("seg_ord % 20 = 0").select(
-        "clip_id", F.col("seg_ord").cast("string").alias("id"), F.when(F.col("seg_ord") % 60 == 0, "single_role").when(F.col("seg_ord") % 60 == 20, "ordered_roles").otherwise("non_asr").alias("kind"),
+    e = rows.select(
+        "clip_id", F.col("seg_ord").cast("string").alias("id"), F.when(F.col("seg_ord") % 3 == 0, "single_role").when(F.col("seg_ord") % 3 == 1, "ordered_roles").otherwise("non_asr").alias("kind"),
         "start", (F.col("start") + 120.0).alias("end"), F.lit(None).cast("double").alias("weight"), F.col("other").alias("role"), F.array("other", F.lit(None).cast("string")).alias("roles"))
     mapping = evaluate.role_mapping(evaluate.role_overlaps(e, rows, ["clip_id"], 40.0), ["clip_id"])
     out = evaluate.expectation_scores(evaluate.assess_expectations(e, rows, mapping, ["clip_id"], least_coverage=0.1, width=40.0), ["clip_id"])
@@ -418,7 +418,7 @@ def expectations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def role_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = views.on_one_clock(spark, sf_dir)
-    e = rows.filter("seg_ord % 20 = 0").select("clip_id", F.col("seg_ord").alias("id"), F.lit("single_role").alias("kind"), "start", (F.col("start") + 120.0).alias("end"), F.col("other").alias("role"))
+    e = rows.select("clip_id", F.col("seg_ord").alias("id"), F.lit("single_role").alias("kind"), "start", (F.col("start") + 120.0).alias("end"), F.col("other").alias("role"))
     return evaluate.role_overlaps(e, rows, ["clip_id"], 40.0)
 
 

@@ -115,7 +115,7 @@ z AS (SELECT *, CASE WHEN source_units > 0 THEN greatest(lo, least(greatest(lo,
     "register_memory": f"""WITH {CHUNKS} SELECT clip_id, chunk_ord, last_value(CASE WHEN text_src LIKE '%?' THEN 'polite' WHEN text_src LIKE '%!' THEN 'casual' END IGNORE NULLS)
   OVER (PARTITION BY clip_id, speaker ORDER BY chunk_ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS register FROM chunks""",
     "neighbour_lines": f"WITH {CHUNKS} SELECT clip_id, chunk_ord, lag(text_src) OVER w AS previous_line, lead(text_src) OVER w AS next_line FROM chunks WINDOW w AS (PARTITION BY clip_id ORDER BY chunk_ord)",
-    "transcript_render": f"""WITH {CHUNKS} SELECT clip_id, string_agg(printf('%03d. [%s] [%s] [%.2f-%.2fs] %s', chunk_ord + 1, chunk_id, speaker, round(start, 2), round("end", 2), left(text_src, 40)), chr(10) ORDER BY chunk_ord) AS transcript FROM chunks GROUP BY clip_id""",
+    "transcript_render": f"""WITH {CHUNKS} SELECT clip_id, string_agg(printf('%03d. [%s] [%s] [%.2f-%.2fs] %s', chunk_ord + 1, chunk_id, speaker, round(start, 2), round("end", 2), coalesce(nullif({norm('text_src')}, ''), '[empty or unrecognized line]')), chr(10) ORDER BY chunk_ord) AS transcript FROM chunks GROUP BY clip_id""",
     "emotion_blend": """WITH c AS (SELECT user_id, event_type, count(*)::DOUBLE AS n FROM events GROUP BY ALL), t AS (SELECT user_id, sum(n) AS t FROM c GROUP BY 1),
 l AS (SELECT unnest(['click', 'view', 'purchase', 'error', 'signup']) AS e, unnest([1, 2, 3, 4, 5]) AS o),
 s AS (SELECT t.user_id, l.e, l.o, coalesce(c.n, 0) / t.t AS p FROM t CROSS JOIN l LEFT JOIN c ON c.user_id = t.user_id AND c.event_type = l.e),
@@ -133,10 +133,10 @@ SELECT clip_id, chunk_ord, CASE WHEN s IS NOT NULL AND s <> speaker THEN s ELSE
   CASE WHEN has AND clip_id % 3 = 0 THEN NULL WHEN has THEN 'ref' WHEN chunk_ord % 2 = 0 THEN chunk_id END AS reference FROM o""",
     "signature_stale": f"""WITH {_DOCS} SELECT a.doc_id, CASE WHEN a.doc_id % 11 = 0 THEN 'new' WHEN {norm('a.text')} = {norm('b.text')} THEN 'fresh' ELSE 'stale' END AS state FROM a JOIN b USING (doc_id)""",
     "reuse_split": f"""WITH {_DOCS} SELECT a.doc_id, CASE WHEN {norm('a.text')} = {norm('b.text')} THEN 'reused' ELSE 'changed' END AS part FROM a JOIN b USING (doc_id)""",
-    "merge_patch": f"""WITH {_DOCS} SELECT b.doc_id, length(CASE WHEN b.doc_id % 10 = 0 THEN a.text ELSE b.text END) AS length, b.source,
+    "merge_patch": f"""WITH {_DOCS} SELECT b.doc_id, CASE WHEN b.doc_id % 10 = 0 THEN a.text ELSE b.text END AS text, b.source,
   CASE WHEN b.doc_id % 10 = 0 AND a.text <> b.text THEN NULL ELSE b.output END AS output, b.doc_id % 10 = 0 AND a.text <> b.text AS stale FROM a JOIN b USING (doc_id)""",
-    "audit_diff": f"""WITH {_DOCS} SELECT doc_id, 'text' AS field, length(b.text) AS before, length(a.text) AS after FROM a JOIN b USING (doc_id) WHERE a.text <> b.text
-UNION ALL SELECT doc_id, 'lang', length(lang), 2 FROM b WHERE doc_id % 9 = 0 AND lang <> 'xx'""",
+    "audit_diff": f"""WITH {_DOCS} SELECT doc_id, 'text' AS field, b.text AS before, a.text AS after FROM a JOIN b USING (doc_id) WHERE a.text <> b.text
+UNION ALL SELECT doc_id, 'lang', lang, 'xx' FROM b WHERE doc_id % 9 = 0 AND lang <> 'xx'""",
     "carry_over": f"""WITH {CHUNKS}, n AS (SELECT clip_id, chunk_ord + (clip_id % 2 = 0)::INT AS chunk_ord, {norm('text_src')} AS t FROM chunks),
 b AS (SELECT clip_id, chunk_ord, {norm('text_src')} AS t, 'say ' || chunk_id AS i, count(*) OVER (PARTITION BY clip_id, {norm('text_src')}) AS k FROM chunks)
 SELECT n.clip_id, n.chunk_ord, coalesce(x.i, y.i) AS instruction, CASE WHEN x.i IS NOT NULL THEN 'id' WHEN y.i IS NOT NULL THEN 'text' ELSE 'none' END AS carried
@@ -181,7 +181,7 @@ SELECT trial, cells, done, CASE WHEN done = 0 THEN 'failed' WHEN done < cells TH
 FROM (SELECT unnest([0.1, 0.5]) AS v) g, (SELECT unnest([1, 2, 3]) AS v) m, (SELECT unnest(['a', 'b']) AS v) k""",
     "plateaus": """WITH p AS (SELECT p_partkey AS t, floor(p_size / 20)::BIGINT AS m FROM part), r AS (SELECT *, row_number() OVER (ORDER BY t) - row_number() OVER (PARTITION BY m ORDER BY t) AS g FROM p)
 SELECT m AS main_count, min(t) AS first, max(t) AS last, count(*) AS length FROM r GROUP BY m, g""",
-    "centroids": f"WITH {EMB} SELECT speaker, n, round(total[1] / sqrt(list_dot_product(total, total)), 9) AS x0, round(total[64] / sqrt(list_dot_product(total, total)), 9) AS x63 FROM total",
+    "centroids": f"WITH {EMB} SELECT speaker, n, unnest(range(0, len(total)))::INT AS place, round(unnest(total) / sqrt(list_dot_product(total, total)), 9) AS x FROM total",
     "nearest_centroid": f"""WITH {_SIMS} SELECT chunk_ord, speaker, best, round(best_sim, 9) AS best_sim, round(second_sim, 9) AS second_sim,
   CASE WHEN best_sim >= 0.2 AND best_sim - second_sim >= 0.02 THEN best ELSE speaker END AS label FROM best""",
     "disagreements": f"WITH {_SIMS} SELECT chunk_ord, speaker, best FROM best WHERE best <> speaker",
@@ -205,8 +205,20 @@ SELECT clip_id, seg_ord AS chunk_ord, (sum(new::INT) OVER (PARTITION BY clip_id,
 SELECT c.clip_id, c.seg_ord AS chunk_ord, f.face, count(*) AS frames, sum(f.score) AS score FROM clk c JOIN f ON f.clip_id = c.clip_id AND f.score >= 0.25 AND c.start <= f.t AND f.t < c."end" GROUP BY ALL""",
     "cluster_purity": f"""WITH {CLOCK}, n AS (SELECT clip_id, other AS cluster, speaker, count(*) AS n FROM clk GROUP BY ALL)
 SELECT clip_id, cluster, speaker, round(n / sum(n) OVER (PARTITION BY clip_id, cluster), 9) AS purity FROM n QUALIFY row_number() OVER (PARTITION BY clip_id, cluster ORDER BY n DESC, speaker DESC) = 1""",
-    "role_overlaps": f"""WITH {CLOCK}, e AS (SELECT clip_id, start, start + 120 AS "end", other AS role FROM clk WHERE seg_ord % 20 = 0)
+    "role_overlaps": f"""WITH {CLOCK}, e AS (SELECT clip_id, start, start + 120 AS "end", other AS role FROM clk)
 SELECT e.clip_id, e.role, c.speaker, sum(least(e."end", c."end") - greatest(e.start, c.start)) AS seconds FROM e JOIN clk c ON c.clip_id = e.clip_id AND c.start < e."end" AND e.start < c."end" GROUP BY ALL""",
+    "expectations": f"""WITH {CLOCK}, e AS (SELECT clip_id, seg_ord AS id, ['single_role', 'ordered_roles', 'non_asr'][seg_ord % 3 + 1] AS kind, start, start + 120 AS "end", other AS role FROM clk),
+o AS (SELECT e.clip_id, e.id, e.kind, e.role, c.speaker, c.start, c.seg_ord, least(e."end", c."end") - greatest(e.start, c.start) AS s
+  FROM e JOIN clk c ON c.clip_id = e.clip_id AND c.start < e."end" AND e.start < c."end"),
+r AS (SELECT clip_id, role, speaker, sum(s) AS s FROM o WHERE kind = 'single_role' GROUP BY ALL),
+combos AS (SELECT a.clip_id, a.speaker AS m0, b.speaker AS m1, c.speaker AS m2, a.s + b.s + c.s AS s FROM r a JOIN r b ON b.clip_id = a.clip_id AND a.role = 'm0' AND b.role = 'm1' AND a.speaker <> b.speaker
+  JOIN r c ON c.clip_id = a.clip_id AND c.role = 'm2' AND c.speaker NOT IN (a.speaker, b.speaker)),
+best AS (SELECT * FROM combos QUALIFY row_number() OVER (PARTITION BY clip_id ORDER BY s DESC) = 1),
+m AS (SELECT clip_id, unnest(['m0', 'm1', 'm2']) AS role, unnest([m0, m1, m2]) AS speaker FROM best),
+t AS (SELECT e.clip_id, e.id, e.kind, m.speaker AS named, coalesce(sum(o.s), 0) AS spoken, coalesce(sum(o.s) FILTER (o.speaker = m.speaker), 0) AS mine, coalesce(bool_or(o.s >= 0.25 AND o.speaker = m.speaker), false) AS heard
+  FROM e LEFT JOIN m ON m.clip_id = e.clip_id AND m.role = e.role LEFT JOIN o ON o.clip_id = e.clip_id AND o.id = e.id GROUP BY ALL),
+p AS (SELECT clip_id, kind, coalesce(CASE kind WHEN 'single_role' THEN mine >= 12 WHEN 'ordered_roles' THEN heard ELSE spoken <= 12 END, false) AS passed FROM t)
+SELECT clip_id, kind, count(*) AS expected, count(*) FILTER (passed) AS passed, round(count(*) FILTER (passed) / count(*)::DOUBLE, 9) AS score FROM p GROUP BY GROUPING SETS ((clip_id, kind), (clip_id))""",
     "adoption": f"""WITH {CLOCK}, p AS (SELECT clip_id * 1000 + seg_ord // 4 AS clip_id, speaker, sum("end" - start) AS s, coalesce(sum("end" - start) FILTER (seg_ord % 2 = 0), 0) AS c FROM clk GROUP BY ALL)
 SELECT clip_id, count(*) FILTER (s >= 20) >= 2 AND bool_or(speaker <> 'view' AND c >= 25) AS adopt FROM p GROUP BY 1""",
     "word_cut": """WITH e AS (SELECT vec_id // 50 AS clip_id, vec_id AS i, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS p FROM embeddings),

@@ -119,7 +119,7 @@ def median_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def overlap_dominant(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of 100 s against the segments."""
     rows = views.on_one_clock(spark, sf_dir)
-    window = rows.filter("seg_ord % 5 = 0").select("clip_id", F.col("seg_ord").alias("window"), "start", (F.col("start") + 100.0).alias("end"))
+    window = rows.select("clip_id", F.col("seg_ord").alias("window"), "start", (F.col("start") + 100.0).alias("end"))
     return range_join.dominant_label(window, rows, CLIP, ["window"], 50.0)
 
 
@@ -136,7 +136,7 @@ def label_at(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nearest_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = views.on_one_clock(spark, sf_dir).filter("seg_ord % 3 = 0")
+    rows = views.on_one_clock(spark, sf_dir)
     points = views.on_one_clock(spark, sf_dir).select("clip_id", F.col("seg_ord").alias("point"), (F.col("start") + 11.0).alias("t"))
     return range_join.nearest_interval(points, rows, F.col("t"), CLIP, ["point"]).select("clip_id", "point", "near_ord", "near_speaker", "distance")
 
@@ -174,7 +174,7 @@ def frame_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def der(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Error of the second labelling, frames of half a second, collar a quarter."""
-    rows = views.on_one_clock(spark, sf_dir).filter("seg_ord < 200")
+    rows = views.on_one_clock(spark, sf_dir)
     out = frames.error_report(rows, rows.withColumn("speaker", F.col("other")), CLIP, 0.5, 0.25, 40.0)
     return out.select("clip_id", "reference_seconds", "missed", "false_alarm", "confusion", "correct", "count_error", F.round("der", 9).alias("der"), F.round("accuracy", 9).alias("accuracy"))
 
@@ -326,7 +326,7 @@ SELECT clip_id, min(f) * 0.125::DOUBLE AS start, (max(f) + 1) * 0.125::DOUBLE AS
 r AS (SELECT *, t * 8 - row_number() OVER (PARTITION BY clip_id, live ORDER BY t) AS g FROM f)
 SELECT clip_id, min(t) AS start, max(t) AS "end", count(*) AS frames FROM r WHERE live GROUP BY clip_id, g HAVING max(t) - min(t) >= 0.25""",
     "median_filter": f"""WITH {CLOCK} SELECT clip_id, seg_ord, median("end" - start) OVER (PARTITION BY clip_id ORDER BY seg_ord ROWS BETWEEN 6 PRECEDING AND 6 FOLLOWING) AS smoothed FROM clk""",
-    "overlap_dominant": f"""WITH {CLOCK}, w AS (SELECT clip_id, seg_ord AS "window", start, start + 100.0::DOUBLE AS "end" FROM clk WHERE seg_ord % 5 = 0),
+    "overlap_dominant": f"""WITH {CLOCK}, w AS (SELECT clip_id, seg_ord AS "window", start, start + 100.0::DOUBLE AS "end" FROM clk),
 s AS (
   SELECT w.clip_id, w."window", c.speaker, sum(least(w."end", c."end") - greatest(w.start, c.start)) AS s, min(c.start) AS f
   FROM w JOIN clk c ON c.clip_id = w.clip_id AND c.start < w."end" AND w.start < c."end" GROUP BY ALL
@@ -341,7 +341,7 @@ SELECT w.clip_id, w."window", coalesce(b.speaker, 'NONE') AS label, coalesce(b.s
 ) SELECT p.clip_id, p.seg_ord AS point, p.start + 45.0::DOUBLE AS t, m.label FROM clk p LEFT JOIN m ON m.clip_id = p.clip_id AND m.point = p.seg_ord""",
     "nearest_interval": f"""WITH {CLOCK}, d AS (
   SELECT p.clip_id, p.seg_ord AS point, s.seg_ord AS near_ord, s.speaker AS near_speaker, greatest(s.start - (p.start + 11.0), (p.start + 11.0) - s."end", 0.0)::DOUBLE AS distance, s.start, s."end"
-  FROM clk p JOIN clk s ON s.clip_id = p.clip_id AND s.seg_ord % 3 = 0 AND s.start BETWEEN p.start - 400 AND p.start + 400
+  FROM clk p JOIN clk s ON s.clip_id = p.clip_id AND s.start BETWEEN p.start - 400 AND p.start + 400
 ), b AS (
   SELECT *, CASE WHEN start <= point * 30.0 + 11.0 THEN 0 ELSE 1 END AS later FROM d
 ) SELECT clip_id, point, near_ord, near_speaker, distance FROM b QUALIFY row_number() OVER (PARTITION BY clip_id, point ORDER BY distance, later, CASE WHEN later = 0 THEN -"end" ELSE start END, near_ord) = 1""",
@@ -367,10 +367,15 @@ WHERE h.gap_end - h.gap_start >= 10.0 AND c.start + 20.5 >= h.gap_start AND c.st
     "last_n": "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 5",
     "clock_format": f"""WITH {CLOCK} SELECT clip_id, seg_ord, (floor("end")::BIGINT // 60)::VARCHAR || ':' || lpad((floor("end")::BIGINT % 60)::VARCHAR, 2, '0') AS at FROM clk""",
     "time_windows": "SELECT epoch(time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '1970-01-01'))::BIGINT AS window_start, event_type, count(*) AS events FROM events GROUP BY ALL",
-    "der": f"""WITH {CLOCK}, s AS (SELECT * FROM clk WHERE seg_ord < 200), t AS (SELECT clip_id, max("end") AS total FROM s GROUP BY 1),
-c AS (SELECT clip_id, unnest(range(0, ceil(total / 0.5::DOUBLE - 1e-9::DOUBLE)::BIGINT)) * 0.5::DOUBLE + 0.25::DOUBLE AS t FROM t),
-f AS (SELECT c.* FROM c WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.clip_id = c.clip_id AND (c.t BETWEEN s.start - 0.25 AND s.start + 0.25 OR c.t BETWEEN s."end" - 0.25 AND s."end" + 0.25))),
-l AS (SELECT f.clip_id, f.t, arg_min(s.speaker, s.start) AS ref, arg_min(s.other, s.start) AS pred FROM f LEFT JOIN s ON s.clip_id = f.clip_id AND s.start <= f.t AND f.t < s."end" GROUP BY ALL),
+    # Frame k has its middle at k / 2 + 1/4; each segment and collar lists its frames, so that all joins are on (clip, frame).
+    "der": f"""WITH {CLOCK}, t AS (SELECT clip_id, max("end") AS total FROM clk GROUP BY 1),
+c AS (SELECT clip_id, unnest(range(0, ceil(total / 0.5::DOUBLE - 1e-9::DOUBLE)::BIGINT)) AS k FROM t),
+e AS (SELECT clip_id, start AS e FROM clk UNION SELECT clip_id, "end" FROM clk),
+h AS (SELECT DISTINCT clip_id, unnest(range(ceil((e - 0.5::DOUBLE) / 0.5::DOUBLE)::BIGINT, floor(e / 0.5::DOUBLE)::BIGINT + 1)) AS k FROM e),
+f AS (SELECT * FROM c ANTI JOIN h USING (clip_id, k)),
+g0 AS (SELECT clip_id, unnest(range(ceil((start - 0.25::DOUBLE) / 0.5::DOUBLE)::BIGINT, ceil(("end" - 0.25::DOUBLE) / 0.5::DOUBLE)::BIGINT)) AS k, speaker, other, start FROM clk),
+g1 AS (SELECT clip_id, k, arg_min(speaker, start) AS ref, arg_min(other, start) AS pred FROM g0 GROUP BY ALL),
+l AS (SELECT f.clip_id, f.k, ref, pred FROM f LEFT JOIN g1 USING (clip_id, k)),
 n AS (SELECT clip_id, pred, ref, count(*) * 0.5::DOUBLE AS v FROM l WHERE ref IS NOT NULL GROUP BY ALL),
 r AS (SELECT DISTINCT clip_id, ref FROM n), g AS (SELECT p.clip_id, p.pred, r.ref, coalesce(n.v, 0) AS v FROM (SELECT DISTINCT clip_id, pred FROM n) p JOIN r USING (clip_id) LEFT JOIN n USING (clip_id, pred, ref)),
 m AS (

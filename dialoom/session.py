@@ -24,12 +24,14 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir of the cluster, else (local tests) an own temporary one."""
+    """The folder all executors share: spark.checkpoint.dir of the cluster; in local mode, where none is set, a temporary one."""
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
     if not folder:
         folder = context.getCheckpointDir() if hasattr(context, "getCheckpointDir") else None
     if not folder:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='dialoom-')}"
         context.setCheckpointDir(folder)
     return folder
