@@ -215,9 +215,9 @@ combos AS (SELECT a.clip_id, a.speaker AS m0, b.speaker AS m1, c.speaker AS m2,
   JOIN r c ON c.clip_id = a.clip_id AND c.role = 'm2' AND c.speaker NOT IN (a.speaker, b.speaker)),
 best AS (SELECT * FROM combos QUALIFY row_number() OVER (PARTITION BY clip_id ORDER BY s DESC) = 1),
 m AS (SELECT clip_id, unnest(['m0', 'm1', 'm2']) AS role, unnest([m0, m1, m2]) AS speaker FROM best),
-t AS (SELECT e.clip_id, e.id, e.kind, m.speaker AS named, coalesce(sum(o.s), 0) AS spoken, coalesce(sum(o.s) FILTER (o.speaker = m.speaker), 0) AS mine, coalesce(bool_or(o.s >= 0.25 AND o.speaker = m.speaker), false) AS heard
+t AS (SELECT e.clip_id, e.id, e.kind, m.speaker AS named, coalesce(sum(o.s), 0) AS spoken, coalesce(sum(o.s) FILTER (o.speaker = m.speaker), 0) AS mine, coalesce(arg_min(o.seg_ord, o.start) FILTER (o.s >= 0.12 AND o.speaker = m.speaker) < max(o.seg_ord) FILTER (o.s >= 0.12 AND o.speaker <> m.speaker), false) AS heard
   FROM e LEFT JOIN m ON m.clip_id = e.clip_id AND m.role = e.role LEFT JOIN o ON o.clip_id = e.clip_id AND o.id = e.id GROUP BY ALL),
-p AS (SELECT clip_id, kind, coalesce(CASE kind WHEN 'single_role' THEN mine >= 12 WHEN 'ordered_roles' THEN heard ELSE spoken <= 12 END, false) AS passed FROM t)
+p AS (SELECT clip_id, kind, coalesce(CASE kind WHEN 'single_role' THEN mine >= 12 WHEN 'ordered_roles' THEN heard ELSE spoken <= 30 END, false) AS passed FROM t)
 SELECT clip_id, kind, count(*) AS expected, count(*) FILTER (passed) AS passed, round(count(*) FILTER (passed) / count(*)::DOUBLE, 9) AS score FROM p GROUP BY GROUPING SETS ((clip_id, kind), (clip_id))""",
     "adoption": f"""WITH {CLOCK}, p AS (SELECT clip_id * 1000 + seg_ord // 4 AS clip_id, speaker, sum("end" - start) AS s, coalesce(sum("end" - start) FILTER (seg_ord % 2 = 0), 0) AS c FROM clk GROUP BY ALL)
 SELECT clip_id, count(*) FILTER (s >= 20) >= 2 AND bool_or(speaker <> 'view' AND c >= 25) AS adopt FROM p GROUP BY 1""",
