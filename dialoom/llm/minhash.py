@@ -213,25 +213,21 @@ def _with_salt(docs: DataFrame) -> DataFrame:
 
 def possible_links(ids: np.ndarray, component: np.ndarray, n: np.ndarray, regs: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """A forest over the members of a band: those whose estimate allows a link, each first with the one that has most."""
-    group = list(range(len(ids)))
-
-    def top(x: int) -> int:
-        while group[x] != x:
-            group[x] = group[group[x]]
-            x = group[x]
-        return x
-
+    group = np.arange(len(ids))
     out = []
     for i in range(1, len(ids)):
-        before = np.arange(i)
-        ask = (component[:i] != component[i]) & (100 * np.minimum(n[:i], n[i]) >= percent * np.maximum(n[:i], n[i]))
-        before = before[ask]
-        if len(before):
-            for j in before[_likely(regs[before], np.broadcast_to(regs[i], (len(before), REGISTERS)), n[before], np.full(len(before), n[i]), percent)]:
-                x, y = top(i), top(int(j))
-                if x != y:
-                    group[x] = y
-                    out.append((int(ids[i]), int(ids[j])))
+        left = np.flatnonzero((component[:i] != component[i]) & (100 * np.minimum(n[:i], n[i]) >= percent * np.maximum(n[:i], n[i])))
+        width = 8
+        while len(left):
+            # One link with a tree is enough, so what is connected by now is not compared again.
+            part, left = left[:width], left[width:]
+            width *= 2
+            likely = part[_likely(regs[part], np.broadcast_to(regs[i], (len(part), REGISTERS)), n[part], np.full(len(part), n[i]), percent)]
+            for tree, at in zip(*np.unique(group[likely], return_index=True)):
+                if tree != group[i]:
+                    group[group == tree] = group[i]
+                    out.append((int(ids[i]), int(ids[likely[at]])))
+            left = left[group[left] != group[i]]
     return out
 
 
@@ -240,9 +236,10 @@ def _open_documents(members: DataFrame, labels: DataFrame, reps: DataFrame, perc
     own = members.join(labels, members.id == labels.node, "left").select("id", "key", F.coalesce("component", "id").alias("component"))
     own = written(own, "labelled-members")
     several = own.groupBy("key").agg(
-        F.min("component").alias("l"), F.max("component").alias("h"), F.min("id").alias("first"), F.count("*").alias("members")
+        F.min("component").alias("l"), F.max("component").alias("h"), F.min("id").alias("first"), F.count("*").alias("members"), F.bit_xor(F.xxhash64("id")).alias("set")
     ).filter("l != h")
-    several = written(several.select("key", "first", "members"), "open-bands")
+    # Copies share many bands: of bands with the same members one is enough.
+    several = written(several.groupBy("first", "members", "set").agg(F.min("key").alias("key")).select("key", "first", "members"), "open-bands")
     held = written(own.join(several, "key").select("key", "id", "component", "first", "members"), "open-members")
 
     def connect(band: pd.DataFrame) -> pd.DataFrame:
