@@ -145,7 +145,7 @@ def count_statistics(docs: DataFrame) -> DataFrame:
 
 _PAIRS = [(i, j) for i in range(SIZE) for j in range(i, SIZE)]
 _GROUP = "level int, lang string, source string"
-_ESTIMATE = f"{_GROUP}, n long, logdet double, mean array<double>, cov array<double>"
+_ESTIMATE = f"{_GROUP}, n long, logdet double, mean array<double>, cov array<double>, inverse array<double>"
 _KEYS = ["level", "lang", "source"]
 
 
@@ -167,15 +167,19 @@ def _distance(stats: Column, mean: Column, inverse: Column) -> Column:
     return sum(terms[1:], terms[0])
 
 
+def _upper_inverse(cov: np.ndarray) -> np.ndarray:
+    """The upper triangle of a covariance's inverse, row by row."""
+    return np.linalg.inv(np.reshape(cov, (SIZE, SIZE)))[np.triu_indices(SIZE)]
+
+
 def _inverted(estimates: DataFrame) -> DataFrame:
-    """estimates with ``inverse``, the upper triangle of the covariance's inverse."""
+    """estimates with ``inverse`` of their covariances."""
 
     def invert(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        upper = np.triu_indices(SIZE)
         for batch in batches:
-            yield batch.assign(inverse=[np.linalg.inv(np.reshape(c, (SIZE, SIZE)))[upper] for c in batch["cov"]])
+            yield batch.assign(inverse=[_upper_inverse(c) for c in batch["cov"]])
 
-    return estimates.mapInPandas(invert, _ESTIMATE + ", inverse array<double>")
+    return estimates.drop("inverse").mapInPandas(invert, _ESTIMATE)
 
 
 def _first_estimates(dealt: DataFrame) -> DataFrame:
@@ -184,16 +188,15 @@ def _first_estimates(dealt: DataFrame) -> DataFrame:
     def start(part: pd.DataFrame) -> pd.DataFrame:
         x = np.stack(part.stats.to_numpy())
         mean, cov, size = minimum_determinant(x[np.lexsort(x.T)])
-        return part[[*_KEYS, "part"]].head(1).assign(n=len(x), logdet=size, mean=[mean], cov=[cov.ravel()])
+        return part[[*_KEYS, "part"]].head(1).assign(n=len(x), logdet=size, mean=[mean], cov=[cov.ravel()], inverse=[_upper_inverse(cov)])
 
-    parts = dealt.groupBy(*_KEYS, "part").applyInPandas(start, f"{_GROUP}, part int, n long, logdet double, mean array<double>, cov array<double>")
-    best = F.min(F.struct("logdet", "part", "mean", "cov"))
-    return parts.groupBy(*_KEYS).agg(F.sum("n").alias("n"), best.alias("e")).select(*_KEYS, "n", "e.logdet", "e.mean", "e.cov")
+    parts = dealt.groupBy(*_KEYS, "part").applyInPandas(start, f"{_GROUP}, part int, n long, logdet double, mean array<double>, cov array<double>, inverse array<double>")
+    best = F.min(F.struct("logdet", "part", "mean", "cov", "inverse"))
+    return parts.groupBy(*_KEYS).agg(F.sum("n").alias("n"), best.alias("e")).select(*_KEYS, "n", "e.logdet", "e.mean", "e.cov", "e.inverse")
 
 
 def _with_distance(dealt: DataFrame, estimates: DataFrame) -> DataFrame:
-    held = _inverted(estimates)
-    joined = dealt.join(held, _same_group(dealt, held)).select(*[dealt[k] for k in _KEYS], "stats", "n", "mean", "inverse")
+    joined = dealt.join(estimates, _same_group(dealt, estimates)).select(*[dealt[k] for k in _KEYS], "stats", "n", "mean", "inverse")
     return joined.select(*_KEYS, "stats", "n", _distance(F.col("stats"), F.col("mean"), F.col("inverse")).alias("distance"))
 
 
@@ -211,7 +214,7 @@ def _step(dealt: DataFrame, estimates: DataFrame) -> DataFrame:
 
     def estimate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            means, covs, sizes = [], [], []
+            means, covs, sizes, inverses = [], [], [], []
             for row in batch.itertuples():
                 mean = np.array([getattr(row, f"s{i}") for i in range(SIZE)]) / row.rows
                 cov = np.empty((SIZE, SIZE))
@@ -221,9 +224,11 @@ def _step(dealt: DataFrame, estimates: DataFrame) -> DataFrame:
                 means.append(mean)
                 covs.append(cov.ravel())
                 sizes.append(np.linalg.slogdet(cov)[1])
-            yield batch[[*_KEYS, "n"]].assign(logdet=sizes, mean=means, cov=covs)
+                inverses.append(_upper_inverse(cov))
+            yield batch[[*_KEYS, "n"]].assign(logdet=sizes, mean=means, cov=covs, inverse=inverses)
 
-    return sums.mapInPandas(estimate, _ESTIMATE)
+    # Read back, a row for each group is a few tasks for Python, however many partitions the sums had.
+    return written(sums, "quality-sums").mapInPandas(estimate, _ESTIMATE)
 
 
 def _shrunk(own: Column, above: Column) -> Column:
@@ -260,12 +265,12 @@ def robust_estimates(regular: DataFrame) -> DataFrame:
         now, unsettled = following, moved.count()
         if not unsettled:
             break
-    now = written(_levelled(now, ["mean", "cov"]), "quality-estimates")
+    now = written(_inverted(written(_levelled(now, ["mean", "cov"]), "quality-estimates")), "quality-estimates")
     middle = F.array(F.percentile_approx("distance", F.lit(0.5), F.lit(2000)))
     medians = _with_distance(dealt, now).groupBy(*_KEYS).agg(F.first("n").alias("n"), middle.alias("middle"))
     medians = _levelled(medians, ["middle"]).select(*_KEYS, F.get("middle", F.lit(0)).alias("middle"))
     factor = F.greatest(F.col("middle") / F.lit(float(chi_square_quantile(0, SIZE))), F.lit(1e-9))
-    held = _inverted(now)
+    held = now
     limit = (float(chi_square_quantile(TAIL_SIGMAS, SIZE)) * SLACK**2 * factor).alias("limit")
     return held.join(medians, _same_group(held, medians)).select(*[held[k] for k in _KEYS], held["n"], "mean", "cov", "inverse", limit)
 
