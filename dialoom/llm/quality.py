@@ -14,7 +14,8 @@ rows of a group each run C-steps from random starts in their own task and give t
 determinant starts the group's own C-steps, in each of which all rows get their distances, the h-quantile of these bounds the core,
 and sums of products over the core (partial sums in each task) give the next mean and covariance, until no group's
 log determinant moves by more than ``SETTLED``, or ``MOST_STEPS`` steps are done. No group is ever in one task. Estimates stay
-in tables with a row for each group; nothing but the number of unsettled groups reaches the driver.
+in tables with a row for each group and a task for each ``TASK_GROUPS`` of them; nothing but the numbers of groups and of unsettled
+ones reaches the driver.
 
 The limit for squared distances is the chi-square quantile at ``TAIL_SIGMAS``, times the factor that makes the group's median
 squared distance that of chi-square (shrunk like the estimate), times ``SLACK`` squared, since text statistics have longer tails
@@ -47,6 +48,8 @@ PRIOR_ROWS = 100
 PRIOR_VARIANCE = 1.0
 SETTLED = 0.01
 MOST_STEPS = 12
+#: Rows of tables with a row for each group that a task writes.
+TASK_GROUPS = 10_000
 #: Added to each variance: differences of a tenth in a logarithm mean nothing.
 LEAST_VARIANCE = 0.01
 TAIL_SIGMAS = 3.7
@@ -145,7 +148,7 @@ def count_statistics(docs: DataFrame) -> DataFrame:
 
 _PAIRS = [(i, j) for i in range(SIZE) for j in range(i, SIZE)]
 _GROUP = "level int, lang string, source string"
-_ESTIMATE = f"{_GROUP}, n long, logdet double, mean array<double>, cov array<double>, inverse array<double>"
+_ESTIMATE = f"{_GROUP}, n long, before double, logdet double, mean array<double>, cov array<double>, inverse array<double>"
 _KEYS = ["level", "lang", "source"]
 
 
@@ -160,6 +163,11 @@ def _of_level(level: Column) -> list[Column]:
     return [level.alias("level"), F.when(level >= 1, F.col("lang")).alias("lang"), F.when(level >= 2, F.col("source")).alias("source")]
 
 
+def _gathered(df: DataFrame, groups: int) -> DataFrame:
+    """Rows for each group in as few partitions as they need, however many their shuffle had."""
+    return df.repartition(max(1, -(-groups // TASK_GROUPS)))
+
+
 def _distance(stats: Column, mean: Column, inverse: Column) -> Column:
     """Squared Mahalanobis distance in plain arithmetic; inverse: the upper triangle, row by row."""
     d = [F.get(stats, F.lit(i)) - F.get(mean, F.lit(i)) for i in range(SIZE)]
@@ -192,23 +200,25 @@ def _first_estimates(dealt: DataFrame) -> DataFrame:
 
     parts = dealt.groupBy(*_KEYS, "part").applyInPandas(start, f"{_GROUP}, part int, n long, logdet double, mean array<double>, cov array<double>, inverse array<double>")
     best = F.min(F.struct("logdet", "part", "mean", "cov", "inverse"))
-    return parts.groupBy(*_KEYS).agg(F.sum("n").alias("n"), best.alias("e")).select(*_KEYS, "n", "e.logdet", "e.mean", "e.cov", "e.inverse")
+    first = parts.groupBy(*_KEYS).agg(F.sum("n").alias("n"), best.alias("e"))
+    return first.select(*_KEYS, "n", F.lit(None).cast("double").alias("before"), "e.logdet", "e.mean", "e.cov", "e.inverse")
 
 
 def _with_distance(dealt: DataFrame, estimates: DataFrame) -> DataFrame:
-    joined = dealt.join(estimates, _same_group(dealt, estimates)).select(*[dealt[k] for k in _KEYS], "stats", "n", "mean", "inverse")
-    return joined.select(*_KEYS, "stats", "n", _distance(F.col("stats"), F.col("mean"), F.col("inverse")).alias("distance"))
+    joined = dealt.join(estimates, _same_group(dealt, estimates)).select(*[dealt[k] for k in _KEYS], "stats", "n", "logdet", "mean", "inverse")
+    return joined.select(*_KEYS, "stats", "n", "logdet", _distance(F.col("stats"), F.col("mean"), F.col("inverse")).alias("distance"))
 
 
-def _step(dealt: DataFrame, estimates: DataFrame) -> DataFrame:
-    """Estimates of the cores that lie nearest by the given estimates."""
+def _step(dealt: DataFrame, estimates: DataFrame, groups: int) -> DataFrame:
+    """Estimates of the cores that lie nearest by the given estimates; ``before``: the given log determinants."""
     measured = _with_distance(dealt, estimates)
     bounds = measured.groupBy(*_KEYS).agg(F.percentile_approx("distance", F.lit(CORE), F.lit(2000)).alias("bound"))
-    bounds = written(bounds, "quality-bounds")
-    core = measured.join(bounds, _same_group(measured, bounds)).filter("distance <= bound").select(*[measured[k] for k in _KEYS], "stats", "n")
+    bounds = written(_gathered(bounds, groups), "quality-bounds")
+    core = measured.join(bounds, _same_group(measured, bounds)).filter("distance <= bound")
+    core = core.select(*[measured[k] for k in _KEYS], "stats", "n", "logdet")
     at = [F.get("stats", F.lit(i)) for i in range(SIZE)]
     sums = core.groupBy(*_KEYS).agg(
-        F.first("n").alias("n"), F.count("*").alias("rows"), *[F.sum(a).alias(f"s{i}") for i, a in enumerate(at)],
+        F.first("n").alias("n"), F.first("logdet").alias("before"), F.count("*").alias("rows"), *[F.sum(a).alias(f"s{i}") for i, a in enumerate(at)],
         *[F.sum(at[i] * at[j]).alias(f"p{i}_{j}") for i, j in _PAIRS],
     )
 
@@ -225,10 +235,9 @@ def _step(dealt: DataFrame, estimates: DataFrame) -> DataFrame:
                 covs.append(cov.ravel())
                 sizes.append(np.linalg.slogdet(cov)[1])
                 inverses.append(_upper_inverse(cov))
-            yield batch[[*_KEYS, "n"]].assign(logdet=sizes, mean=means, cov=covs, inverse=inverses)
+            yield batch[[*_KEYS, "n", "before"]].assign(logdet=sizes, mean=means, cov=covs, inverse=inverses)
 
-    # Read back, a row for each group is a few tasks for Python, however many partitions the sums had.
-    return written(sums, "quality-sums").mapInPandas(estimate, _ESTIMATE)
+    return written(_gathered(sums, groups).mapInPandas(estimate, _ESTIMATE), "quality-estimates")
 
 
 def _shrunk(own: Column, above: Column) -> Column:
@@ -258,16 +267,16 @@ def robust_estimates(regular: DataFrame) -> DataFrame:
     counts = written(every.groupBy(*_KEYS).agg(F.ceil(F.count("*") / F.lit(PART_ROWS)).alias("parts")), "quality-groups")
     dealt = every.join(counts, _same_group(every, counts)).select(*[every[k] for k in _KEYS], F.pmod("hash", "parts").cast("int").alias("part"), "stats")
     dealt = written(dealt, "quality-rows")
-    now = written(_first_estimates(dealt), "quality-estimates")
+    groups = counts.count()
+    now = written(_gathered(_first_estimates(dealt), groups), "quality-estimates")
     for _ in range(MOST_STEPS):
-        following = written(_step(dealt, now), "quality-estimates")
-        moved = now.join(following, _same_group(now, following)).filter(F.abs(now["logdet"] - following["logdet"]) > SETTLED)
-        now, unsettled = following, moved.count()
-        if not unsettled:
+        now = _step(dealt, now, groups)
+        if not now.filter(F.abs(F.col("logdet") - F.col("before")) > SETTLED).count():
             break
-    now = written(_inverted(written(_levelled(now, ["mean", "cov"]), "quality-estimates")), "quality-estimates")
+    now = written(_inverted(_gathered(_levelled(now, ["mean", "cov"]), groups)), "quality-estimates")
     middle = F.array(F.percentile_approx("distance", F.lit(0.5), F.lit(2000)))
     medians = _with_distance(dealt, now).groupBy(*_KEYS).agg(F.first("n").alias("n"), middle.alias("middle"))
+    medians = written(_gathered(medians, groups), "quality-medians")
     medians = _levelled(medians, ["middle"]).select(*_KEYS, F.get("middle", F.lit(0)).alias("middle"))
     factor = F.greatest(F.col("middle") / F.lit(float(chi_square_quantile(0, SIZE))), F.lit(1e-9))
     held = now
