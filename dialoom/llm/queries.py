@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, html_text, language_id, line_dedup, minhash, mixing, quality, secret_scan, sentencepiece_codec, warc
+from . import divergence, fingerprints, html_text, language_id, line_dedup, minhash, mixing, quality, secret_scan, sentencepiece_codec, warc
 from .common import read_table
 
 
@@ -78,11 +78,16 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(lang, source, part, item, value, rank): each group's distances to its language's other sources, and its most overused terms."""
+    return divergence.audit(read_table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_line_dedup, op2_language_id, op3_html_extraction, op4_minhash_dedup, op5_source_mixing, op6_sentencepiece,
-        op7_secret_scan, op8_quality_rules, op9_warc, op10_fingerprints,
+        op7_secret_scan, op8_quality_rules, op9_warc, op10_fingerprints, op11_source_divergence,
     )
 }
 
@@ -174,4 +179,33 @@ SELECT page_id, payload_bytes,
   CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id = top THEN NULL ELSE top END AS refers_to
 FROM g""",
+    "op11_source_divergence": """
+WITH w AS (
+  SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS terms FROM documents
+), g AS (SELECT DISTINCT lang, source FROM w),
+o AS (SELECT lang, source, d, unnest(terms) AS term FROM w),
+k AS (SELECT lang, term, count(*) AS n FROM o GROUP BY lang, term HAVING count(DISTINCT d) >= 10),
+l AS (SELECT lang, count(*) AS v, sum(n) AS n FROM k GROUP BY lang),
+c AS (SELECT o.lang, o.source, o.term, count(*) AS n FROM o JOIN k ON k.lang = o.lang AND k.term = o.term GROUP BY 1, 2, 3),
+t AS (SELECT lang, source, sum(n) AS n FROM c GROUP BY lang, source),
+s AS (
+  SELECT g.lang, g.source, k.term, c.n,
+    (1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 2)) // (coalesce(t.n, 0) + 2 * l.v))::BIGINT AS p,
+    (1 + (1000000000::HUGEINT * (k.n + 2)) // (l.n + 2 * l.v))::BIGINT AS q
+  FROM g JOIN k ON k.lang = g.lang JOIN l ON l.lang = g.lang
+  LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+  LEFT JOIN t ON t.lang = g.lang AND t.source = g.source
+), f AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+  FROM s a JOIN s b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3
+), r AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, (((p - q) * (p - q)) // (p + q))::BIGINT FROM s WHERE n > 0 AND p > q
+), z AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM r)
+SELECT * FROM z WHERE part = 'pair' OR rank <= 10""",
 }
