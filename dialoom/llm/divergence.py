@@ -40,8 +40,8 @@ BLOCK_TERMS = 16_384
 SCALE = 1_000_000_000
 #: Languages and groups are joined by broadcast up to so many rows (counted), else by shuffles.
 BROADCAST_ROWS = 5_000
-#: A task hands on its counts when it holds so many of them.
-HELD_TERMS = 200_000
+#: A task hands on its counts when it holds so many.
+HELD_TERMS = 400_000
 
 #: Maps A-Z to a-z and every ASCII byte but letters to a blank, so that splitting gives the terms.
 _LETTERS = bytes(b if b >= 128 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
@@ -50,25 +50,25 @@ _COUNTS = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, source, text bytes) -> counts of terms; a row with an empty term stands for each group."""
-    held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+    held: dict[tuple[str, str], dict[bytes, int]] = {}  # occurrences * 2^32 + documents
 
     def counts() -> Iterator[pa.RecordBatch]:
-        for (lang, source), (n, docs) in held.items():
-            terms = list(n)
-            yield pa.record_batch(
-                [pa.array([lang] * len(terms)), pa.array([source] * len(terms)), pa.array(terms, pa.binary()), pa.array([n[t] for t in terms], pa.int64()), pa.array([docs[t] for t in terms], pa.int64())],
-                schema=_COUNTS,
-            )
+        for (lang, source), both in held.items():
+            packed = np.fromiter(both.values(), np.int64, len(both))
+            group = [pa.repeat(pa.scalar(x, pa.string()), len(both)) for x in (lang, source)]
+            yield pa.record_batch([*group, pa.array(both, pa.binary()), pa.array(packed >> 32), pa.array(packed & 0xFFFFFFFF)], schema=_COUNTS)
 
+    terms = 0
     for batch in batches:
         for lang, source, text in zip(*(batch.column(i) for i in range(3)), strict=True):
-            n, docs = held.setdefault((lang.as_py(), source.as_py()), (Counter({b"": 0}), Counter({b"": 0})))
-            terms = text.as_py().translate(_LETTERS).split()
-            n.update(terms)
-            docs.update(set(terms))
-        if sum(len(n) for n, _ in held.values()) > HELD_TERMS:
-            yield from counts()
-            held.clear()
+            both = held.setdefault((lang.as_py(), source.as_py()), {b"": 0})
+            get, before = both.get, len(both)
+            for term, n in Counter(text.as_py().translate(_LETTERS).split()).items():
+                both[term] = get(term, 0) + (n << 32) + 1
+            terms += len(both) - before
+            if terms > HELD_TERMS:
+                yield from counts()
+                held, terms = {}, 0
     yield from counts()
 
 
@@ -122,9 +122,8 @@ _PRICED = pa.schema([("lang", pa.string()), ("lower", pa.string()), ("upper", pa
 
 def _price_pair(lower: pa.Table, upper: pa.Table) -> pa.Table:
     """One block of one pair: a row from each side."""
-    (x,), (y,) = lower.to_pylist(), upper.to_pylist()
-    sides = [(np.array(r["ids"], np.int64), np.array(r["counts"], np.int64), r["out_of"]) for r in (x, y)]
-    return pa.table([[x["lang"]], [x["lower"]], [x["upper"]], [price(*sides, x["terms"])]], schema=_PRICED)
+    sides = [(t["ids"].chunk(0).flatten().to_numpy(), t["counts"].chunk(0).flatten().to_numpy(), t["out_of"][0].as_py()) for t in (lower, upper)]
+    return pa.table([lower["lang"], lower["lower"], lower["upper"], [price(*sides, lower["terms"][0].as_py())]], schema=_PRICED)
 
 
 def _share(count: str, out_of: str) -> Column:
