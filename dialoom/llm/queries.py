@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import divergence, fingerprints, html_text, language_id, line_dedup, minhash, mixing, quality, secret_scan, sentencepiece_codec, warc
+from . import divergence, fingerprints, html_text, language_id, line_dedup, minhash, mixing, periodic, quality, secret_scan, sentencepiece_codec, warc
 from .common import read_table
 
 
@@ -83,11 +83,28 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(read_table(spark, sf_dir, "documents").select("text", "lang", "source"))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_runs, start, length, period, exponent_milli, runs_sha256, collapsed_sha256) of texts with planted tails."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = periodic.find_runs(docs.withColumn("text", periodic.planted(F.col("doc_id"), F.col("text"))))
+    # Runs are in the order of the ties, so that only a greater exponent takes the place of an earlier one.
+    more = lambda best, x: best.isNull() | (x.length * best.period > best.length * x.period)
+    best = F.aggregate("runs", F.get("runs", F.size("runs")), lambda best, x: F.when(more(best, x), x).otherwise(best))
+    lines = F.array_join(F.transform("runs", lambda r: F.format_string("%d,%d,%d\n", r.start, r.length, r.period)), "")
+    found = found.select("doc_id", "runs", "collapsed", best.alias("best"), lines.alias("lines"))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("(1000 * best.length) div best.period").alias("exponent_milli"),
+        F.sha2("lines", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_line_dedup, op2_language_id, op3_html_extraction, op4_minhash_dedup, op5_source_mixing, op6_sentencepiece,
         op7_secret_scan, op8_quality_rules, op9_warc, op10_fingerprints, op11_source_divergence,
+        op13_periodic_runs,
     )
 }
 
