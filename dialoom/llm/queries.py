@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import divergence, fingerprints, html_text, language_id, line_dedup, minhash, mixing, periodic, quality, secret_scan, sentencepiece_codec, warc
+from . import divergence, fingerprints, html_text, language_id, line_dedup, minhash, mixing, neighbours, periodic, quality, secret_scan, sentencepiece_codec, warc
 from .common import read_table
 
 
@@ -83,6 +83,11 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(read_table(spark, sf_dir, "documents").select("text", "lang", "source"))
 
 
+def op12_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, rank, vec_id, score): the 20 nearest of every row whose id is divisible by 20."""
+    return neighbours.nearest(read_table(spark, sf_dir, "embeddings"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, n_runs, start, length, period, exponent_milli, runs_sha256, collapsed_sha256) of texts with planted tails."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -104,7 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_line_dedup, op2_language_id, op3_html_extraction, op4_minhash_dedup, op5_source_mixing, op6_sentencepiece,
         op7_secret_scan, op8_quality_rules, op9_warc, op10_fingerprints, op11_source_divergence,
-        op13_periodic_runs,
+        op12_nearest_vectors, op13_periodic_runs,
     )
 }
 
