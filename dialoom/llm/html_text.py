@@ -11,7 +11,8 @@
    prose of a page without article or main element, and what holds the page's largest article or half of an article or
    main element, from ``MIN_PAGES`` and ``SHARE`` on. The page's largest article and main elements always stay.
 4. Of what stays, elements that declare what they are (nav, header, footer, aside, form, script, style and the
-   like, or such a role, class or id) go too: a menu may differ on each page. Main elements, and articles beside them,
+   like, or such a role, class or id) go too: a menu may differ on each page. Within an article or main element a class or id must
+   be made up of such names alone, and paragraphs and the like have no name. Main elements, and articles beside them,
    give the text, all they hold, in page order. Without main it is the smallest element around all articles that are left
    and the headline (an h1 in one of them, else the first h1); without either, the whole page.
 
@@ -21,7 +22,7 @@ page order joined by two ``\\n``. Nothing else is dropped.
 The templates of all hosts are keys of 8 bytes. Where these are at most ``BROADCAST_KEYS`` (counted) they travel with the
 tasks, else each page's keys are joined to them in Spark; both give the same text.
 
-Defined cases: null or empty html gives an empty text; a null url or one without host belongs to the host ''; repeated
+Defined cases: null or empty html gives an empty text; an empty table gives an empty table; a null url or one without host belongs to the host ''; repeated
 rows count as one page; unclosed elements end with their parent, a cut-off page at its end; of equally large articles the first
 is the page's largest; very long and deeply nested pages take time linear in their length; extra columns pass through, whatever
 their names (``text`` and ``n_chars`` are taken over).
@@ -72,7 +73,8 @@ _ENDS = {
     "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
 }
 
-_STRIP = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW.replace(' ', '|')})\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)", re.S | re.I)
+_STRIP = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW.replace(' ', '|')})(?=[\s/>])[^>]*(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S | re.I)
+_RAW_END = re.compile(rf"</({RAW.replace(' ', '|')})(?=[\s/>])[^>]*>", re.I)
 _SPACE = re.compile(r"\s+")
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*'|["'])*?)(?:>|\Z)""")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
@@ -86,8 +88,23 @@ class Element:
 
 
 def clean(html: str | None) -> str:
-    """Without comments, declarations and elements whose content is no text; white space collapsed."""
-    return _SPACE.sub(" ", _STRIP.sub(" ", html or ""))
+    """Without comments, declarations and elements whose content is no text; white space collapsed.
+
+    Of such an element that nothing closes only the tag goes, unless it is a script or style, which then runs to the end of the page;
+    svg and math may close themselves. Names with more to them (``<video-player>``) are other elements.
+    """
+    html = html or ""
+    ends: dict[str, list[tuple[int, int]]] = {}
+    for m in _RAW_END.finditer(html):
+        ends.setdefault(m[1].lower(), []).append(m.span())
+    kept, at = [], 0
+    while m := _STRIP.search(html, at):
+        kept += [html[at : m.start()], " "]
+        at, name = m.end(), (m[1] or "").lower()
+        if name and not (name in ("svg", "math") and m[0].endswith("/>")):
+            i = bisect_left(closing := ends.get(name, []), (at,))
+            at = closing[i][1] if i < len(closing) else len(html) if name in ("script", "style") else at
+    return _SPACE.sub(" ", "".join([*kept, html[at:]]))
 
 
 def elements(page: str) -> list[Element]:
@@ -190,8 +207,9 @@ def kinds(found: list[Element]) -> list[int]:
     return out
 
 
-def _declared(e: Element, titled: bool, inside: bool) -> bool:
-    """Whether an element says it is no part of an article. titled: it holds an h1, an article or main."""
+def _declared(e: Element, titled: bool, inside: bool, within: bool) -> bool:
+    """Whether an element says it is no part of an article. titled: it holds an h1, an article or main. within: it lies within an
+    article or main, inside: it does or is one."""
     if e.tag in _DROPPED:
         return not titled or not inside and e.tag != "header" and e.tag != "form"
     if not e.attributes or e.tag in ("html", "body"):
@@ -202,8 +220,11 @@ def _declared(e: Element, titled: bool, inside: bool) -> bool:
             return True
         if name == "role" and value in _ROLES and not titled:
             return True
-        if name in ("class", "id") and not titled and not _NAMES.isdisjoint(re.split(r"[^a-z]+", value)):
-            return True
+        if name in ("class", "id") and not titled:
+            names = [set(re.findall(r"[a-z]+", x)) for x in value.split()]
+            # Within an article a word of a longer name ("related-work", "notice-board") says nothing, nor does the name of a paragraph.
+            if e.tag not in _PROSE and any(x and x <= _NAMES for x in names) if within else any(x & _NAMES for x in names):
+                return True
     return False
 
 
@@ -232,7 +253,7 @@ def main_text(page: str, found: list[Element], templates: set[int], keys: list[i
             continue
         own = e.tag in _SECTIONS and not w
         stays = e is outer or own and e.tag == "main"
-        if not stays and key in templates and e.tag not in ("html", "body") or _declared(e, id(e) in titled, w or own):
+        if not stays and key in templates and e.tag not in ("html", "body") or _declared(e, id(e) in titled, w or own, w):
             gone.append((e.start, e.end))
             until = e.end
         elif own:

@@ -17,7 +17,8 @@ a hash of doc_id (a documented bound on the fit alone; every text is classified,
 is languages x ``CLUSTERS`` x ``DIMENSIONS`` floats, some hundred KB, and travels with the tasks.
 
 Defined cases: null text or text without a letter gives ``und`` with score 0, rejected. Equal cosines go to
-the language that sorts first. Rows without lang or doc_id are never learned from, but classified. No labelled
+the language that sorts first. A language none of whose texts has a letter is not learned. Very long texts are
+counted whole. An empty table gives an empty table. Rows without lang or doc_id are never learned from, but classified. No labelled
 row at all: everything is ``und``. Repeated rows get equal answers; extra columns pass through.
 """
 
@@ -188,7 +189,7 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
         plain, letters = _vectors(group.text.tolist())
         rows = _unit(plain * idf)[letters > 0]
         if not len(rows):
-            return pd.DataFrame({"lang": [], "centroids": [], "limits": []})
+            return pd.DataFrame({"lang": [], "centroids": [], "limits": []}, dtype=object)  # a language without a letter has no centroid
         centers = _cluster(rows, clusters)
         limits = _limits(group.text.tolist(), idf, centers)
         return pd.DataFrame({"lang": [group.lang.iloc[0]], "centroids": [centers.tolist()], "limits": [limits.tolist()]})

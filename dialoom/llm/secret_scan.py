@@ -14,9 +14,10 @@ Base kinds are patterns. The method adds spans of kind ``literal``.
 4. Each value is scored: how sensitive the target's words are, plus length, character classes and entropy, less for
    placeholders and plain words. From ``MIN_SCORE`` on, the spans of its literals are reported, each once.
 
-Positions are code points, end exclusive. Nothing is cut or sampled; a text is one row's work, linear in its length.
+Positions are code points, end exclusive. Nothing is cut or sampled; a text is one row's work, linear in its length but for constants
+that grow line by line, whose literals are gone through again at each growth. A constant holds each literal once.
 
-Defined cases: null text has no spans; a quote that its line does not close is no string; two pairs that reach one literal
+Defined cases: null text has no spans; a very long text is scanned whole; an empty table gives an empty table; a quote that its line does not close is no string; two pairs that reach one literal
 report it once; an assignment of a name to itself keeps its value; a literal inside a base span is reported too, since kinds are independent;
 repeated rows get equal answers; extra columns pass through.
 """
@@ -139,6 +140,11 @@ def _looks_up(callee: str) -> bool:
 Spans = list[tuple[int, int]]
 
 
+def _joined(*spans: Spans) -> Spans:
+    """All spans in order, each once: a name that is added to itself holds its literals no oftener than before."""
+    return list(dict.fromkeys(s for part in spans for s in part))
+
+
 class _Pairs:
     """Reads the tokens of one text and collects the literals that reach sensitive names."""
 
@@ -255,7 +261,7 @@ class _Pairs:
                     break  # a key
                 reference = _REFERENCE.match(self.text[start:end])
                 known = self.known(reference[1]) if reference else None
-                parts = parts + (known if known else [(start, end)])
+                parts = _joined(parts, known if known else [(start, end)])
                 joined = False
             elif mark and mark in "([":
                 depth += 1
@@ -292,7 +298,7 @@ class _Pairs:
                 reference = _REFERENCE.match(literal)
                 known = self.known(reference[1]) if reference else None
                 if known:
-                    parts = parts + known
+                    parts = _joined(parts, known)
                 elif not (parts or depth or _PATH.match(literal)):
                     parts = parts + [(first, last)]
                 while i < len(self.tokens) and self.tokens[i][1] < m.end():
@@ -329,7 +335,7 @@ class _Pairs:
     def bind(self, name: str, values: list[Spans], keep: bool = True) -> None:
         values = [v for v in values if v]
         if keep and values:
-            spans = [s for v in values for s in v]
+            spans = _joined(*values)
             for key in {name, name.rsplit(".", 1)[-1]}:
                 if self.scopes:
                     self.scopes[-1][1].setdefault(key, self.constants.get(key))

@@ -160,3 +160,25 @@ def test_templates_match_brute_force(spark):
 
 def test_equally_large_articles():
     assert text("<body><div><article><p>one</article></div><div><article><p>two</article></div></body>") == "one\n\ntwo"
+
+
+def test_elements_that_are_no_text_end_where_they_end():
+    """Custom elements, self-closed and unclosed ones take nothing with them."""
+    for name in html_text.RAW.split():
+        odd = f"<p>first</p><{name}-player x='1'></{name}-player><p>second</p><{name}-menu>x</{name}-menu>"
+        assert text(page(odd)).split("\n\n")[:3] == ["Head", "first", "second"], name
+        whole = f"<p>first</p><{name} a=1>gone</{name} ><p>second</p>"
+        assert text(page(whole)) == "Head\n\nfirst\n\nsecond", name
+        open_ = text(page(f"<p>first</p><{name}><p>second</p>"))
+        assert open_ == ("Head\n\nfirst" if name in ("script", "style") else "Head\n\nfirst\n\nsecond"), name
+    for name in ("svg", "math"):
+        assert text(page(f"<p>first</p><{name} class='i'/><p>second</p><{name}/><p>third</p>")) == "Head\n\nfirst\n\nsecond\n\nthird"
+    began = time.time()
+    assert len(text(page("<button>x" * 100_000))) > 100_000
+    assert time.time() - began < 20
+
+
+def test_names_within_an_article():
+    body = "<section id='related-work'><p>a</p></section><div class='notice-board'><p>b</p></div><p class='social'>c</p><div class='x comments'><p>gone</p></div>"
+    assert text(page(body)) == "Head\n\na\n\nb\n\nc"
+    assert text(page("<p>a</p>") + "<div class='cookie-bar'>gone</div>") == "Head\n\na"

@@ -86,3 +86,12 @@ def test_junk_does_not_move_the_limits(spark):
     junk = [(1000 + i, "".join(draw.choices("qwxyz jkvpf 0123 #", k=draw.choice((300, 800)))), "bb") for i in range(14)]
     clean, mixed = (language_id.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string")) for rows in (good, good + junk))
     assert (mixed.limits[0, 5:] > 0.8 * clean.limits[0, 5:]).all()
+
+
+def test_a_language_without_letters(spark):
+    docs = spark.createDataFrame(corpus(60, 2) + [(200 + i, "12345 678", "digits") for i in range(9)], "doc_id long, text string, lang string")
+    model = language_id.learn(docs)
+    assert model.names == ["aa", "bb", "cc"]
+    assert {r.lang_pred for r in language_id.identify(docs.filter("lang = 'digits'"), model).collect()} == {"und"}
+    only = language_id.learn(docs.filter("lang = 'digits'"))
+    assert {r.lang_pred for r in language_id.identify(docs, only).collect()} == {"und"}

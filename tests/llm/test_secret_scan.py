@@ -148,3 +148,13 @@ def test_base_spans_match_brute_force():
     for _ in range(3000):
         text = "".join(draw.choice(pool) for _ in range(draw.randint(1, 14)))
         assert secret_scan.base_spans(text) == brute_base(text), text
+
+
+def test_names_added_to_themselves():
+    """A constant holds each literal once, so that doubling it makes no more of it."""
+    began = time.time()
+    text = 'a = "Zk9QpLm2Xv8R"\n' + "a = a + a\n" * 200 + "password = a + a\n"
+    assert literals(text) == ["Zk9QpLm2Xv8R"]
+    swapped = 'a = "Zk9QpLm2Xv8R"\nb = "Tr5WqYb7Nc1D"\n' + "a = a + b\nb = b + a\n" * 200 + "password = b\n"
+    assert literals(swapped) == ["Zk9QpLm2Xv8R", "Tr5WqYb7Nc1D"]
+    assert time.time() - began < 1
