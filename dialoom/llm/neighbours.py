@@ -38,17 +38,20 @@ from ..session import ship
 from .common import written
 
 MOST = 20
+#: 255 at most.
 PROJECTIONS = 64
 BLOCK_ROWS = 16_384
 #: Queries that meet a block together.
 QUERY_ROWS = 512
-SURE = 0.97
+SURE = 0.93
 #: Half a window's width at R = 1; a direction shows a distance of 1 with standard deviation 1.
 WIDTH = 1.0
 #: R begins there, or at this share of the distance that bounds it, and grows by this factor; distances are 2 at most.
 FIRST_RADIUS = 0.25
-FIRST_SHARE = 0.6
+FIRST_SHARE = 0.7
 STEP = 1.5
+#: Windows that gain less than this part of all places are read on, others are counted anew.
+FEW_GAINED = 8
 SEED = 20
 
 
@@ -90,7 +93,11 @@ def search(
     """
     n, (asked, width) = len(vectors), shown.shape
     scales = np.linalg.norm(queries, axis=1) * norm
-    counts, waiting = np.zeros((asked, n), np.uint16), np.ones((asked, n), bool)
+    counts, waiting = np.zeros((asked, n), np.uint8), np.ones((asked, n), bool)
+    ranks = np.empty((width, n), np.uint16 if n < 1 << 16 else np.uint32)  # places in the sorted arrays, by vector
+    np.put_along_axis(ranks, order, np.arange(n, dtype=ranks.dtype)[None, :], 1)
+    past, within = np.empty(n, ranks.dtype), np.empty(n, bool)
+    hits = within.view(np.uint8)
     low = np.stack([np.searchsorted(values[i], shown[:, i]) for i in range(width)], axis=1)
     high = low.copy()
     found = [(np.empty(0, np.int64), np.empty(0)) for _ in range(asked)]
@@ -104,12 +111,19 @@ def search(
             high[going, i] = np.maximum(before_high[:, i], np.searchsorted(values[i], shown[going, i] + reach, "right"))
         still = []
         for k, q in enumerate(going.tolist()):
-            own = counts[q]
-            sides = zip(low[q].tolist(), before_low[k].tolist(), before_high[k].tolist(), high[q].tolist(), order, strict=True)
-            for wider_low, low_, high_, wider_high, whose in sides:
-                own[whose[wider_low:low_]] += 1
-                own[whose[high_:wider_high]] += 1
-            reached = np.flatnonzero(waiting[q] & (own >= least))
+            own, sides = counts[q], (low[q], before_low[k], before_high[k], high[q])
+            if FEW_GAINED * ((sides[1] - sides[0]).sum() + (sides[3] - sides[2]).sum()) < width * n:
+                gained = []
+                for wider_low, low_, high_, wider_high, whose in zip(*(x.tolist() for x in sides), order, strict=True):
+                    gained += [whose[wider_low:low_], whose[high_:wider_high]]
+                own += np.bincount(np.concatenate(gained), minlength=n).astype(np.uint8)
+            else:  # where windows gain much, it is less work to look at each vector's places: unsigned, so that lower ones are beyond
+                own[:] = 0
+                for begin, held, at in zip(low[q].tolist(), (high[q] - low[q]).tolist(), ranks, strict=True):
+                    np.subtract(at, at.dtype.type(begin), out=past)
+                    np.less(past, held, out=within)
+                    np.add(own, hits, out=own)
+            reached = np.flatnonzero(waiting[q] & (counts[q] >= least))
             if len(reached):
                 waiting[q, reached] = False
                 found[q] = tuple(np.concatenate(x) for x in zip(found[q], (reached, vectors[reached] @ queries[q]), strict=True))
