@@ -1,21 +1,22 @@
 """Time grids: intervals as frames, label pairs of two models, diarization error, fusion of models, local splits.
 
-A frame is a whole number; its time is a multiple of the step. Frames of a clip are as many as its seconds over the
-step, so these tables are wide in time, but never more than that: all counting is grouped with partial sums.
+A frame is a whole number; its time is a multiple of the step. Labelings are compared as pieces: stretches of frames between
+neighbouring boundaries of any of them, so that tables grow with the number of segments and not with time. Only ``grid`` has a
+row for each frame.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
-from itertools import permutations
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ship
-from .range_join import first_label_at, point_join
+from ..session import ship, written
+from .range_join import nearest_interval, point_join
 
 
 def grid(segments: DataFrame, step: float, by: Sequence[str]) -> DataFrame:
@@ -30,37 +31,104 @@ def label_pairs(a: DataFrame, b: DataFrame, by: Sequence[str]) -> DataFrame:
     return a.withColumnRenamed("speaker", "a").join(b.withColumnRenamed("speaker", "b"), [*by, "frame"]).groupBy(*by, "a", "b").agg(F.count("*").alias("frames"))
 
 
+def first_middle(t: Column, step: float, after: bool = False) -> Column:
+    """The first frame whose middle is at or after (after: only after) a time, in the numbers that middles have as doubles."""
+    guess = (F.floor(t / step - 0.5) + 1 if after else F.ceil(t / step - 0.5)).cast("long")
+    middle = lambda k: k * step + step / 2
+    past = (lambda k: middle(k) > t) if after else (lambda k: middle(k) >= t)
+    return F.when(past(guess - 1), guess - 1).when(past(guess), guess).otherwise(guess + 1)
+
+
+def spans(segments: DataFrame, low: Column, high: Column, by: Sequence[str], later: bool) -> DataFrame:
+    """(by, low, high, label, place): segments as frames low to high - 1; where they overlap the later one wins, or the earlier one."""
+    start, order = F.col("start").cast("double"), F.col("seg_ord").cast("long")
+    return _placed(segments, low, high, by, F.col("speaker"), start if later else -start, order if later else -order)
+
+
+def _placed(rows: DataFrame, low: Column, high: Column, by: Sequence[str], label: Column, first: Column, second: Column) -> DataFrame:
+    place = F.struct(first.cast("double").alias("p"), second.cast("long").alias("q"))
+    return rows.select(*by, low.cast("long").alias("low"), high.cast("long").alias("high"), label.alias("label"), place.alias("place")).filter("low < high")
+
+
+def pieces(labelings: Mapping[str, DataFrame], by: Sequence[str], width: float) -> DataFrame:
+    """(by, low, high, a column for each labeling): the stretches between neighbouring boundaries of any labeling, each with the label
+    that has the largest place there, or null; stretches without any label are left out.
+
+    width: about as many frames as a usual span has (a matter of speed).
+    """
+    every = reduce(DataFrame.unionByName, [x.withColumn("name", F.lit(name)) for name, x in labelings.items()])
+    edges = every.select(*by, F.explode(F.array("low", "high")).alias("low")).distinct()
+    between = edges.withColumn("high", F.lead("low").over(Window.partitionBy(*by).orderBy("low"))).filter("high IS NOT NULL")
+    held = point_join(between, every.withColumnsRenamed({"low": "start", "high": "end"}), F.col("low"), by, width)
+    of = lambda name, c: F.when(F.col("r_name") == name, F.col(c))
+    return held.groupBy(*by, "low", "high").agg(*[F.max_by(of(name, "r_label"), of(name, "r_place")).alias(name) for name in labelings])
+
+
+def frame_overlap(a: DataFrame, b: DataFrame, step: float, by: Sequence[str], width: float) -> DataFrame:
+    """(by, a, b, frames): how many frames of two labelings have which pair of labels, by the rule of ``grid``."""
+    low, high = F.floor(F.col("start") / step), F.floor(F.col("end") / step)
+    met = pieces({name: spans(x, low, high, by, later=True) for name, x in (("a", a), ("b", b))}, by, width / step)
+    return met.filter("a IS NOT NULL AND b IS NOT NULL").groupBy(*by, "a", "b").agg(F.sum(F.col("high") - F.col("low")).alias("frames"))
+
+
 def scored_frames(reference: DataFrame, predicted: DataFrame, total: DataFrame, step: float, collar: float, by: Sequence[str], width: float) -> DataFrame:
-    """(by, frame, ref, pred): labels at frame middles of each clip (total: by, seconds), without those near reference boundaries."""
-    clock = total.withColumn("frame", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("seconds") / step - 1e-9).cast("int") - 1, F.lit(0))))).select(
-        *by, "frame", (F.col("frame") * step + step / 2).alias("t")
-    )
+    """(by, ref, pred, frames): labels at frame middles of each clip (total: by, seconds), without those near reference boundaries.
+
+    Of overlapping segments the one that begins first has the frame.
+    """
+    low, high = first_middle(F.col("start"), step), first_middle(F.col("end"), step)
+    nothing = (F.lit(""), F.lit(0), F.lit(0))
+    clip = _placed(total, F.lit(0), F.greatest(F.ceil(F.col("seconds") / step - 1e-9), F.lit(1)), by, *nothing)
+    labelings = {"in_clip": clip, "ref": spans(reference, low, high, by, later=False), "pred": spans(predicted, low, high, by, later=False)}
     if collar > 0:
-        edges = reference.select(*by, F.explode(F.array("start", "end")).alias("edge")).distinct()
-        near = edges.select(*by, (F.col("edge") - collar).alias("start"), (F.col("edge") + collar).alias("end"))
-        clock = clock.join(point_join(clock, near, F.col("t"), by, width, closed=True).select(*by, "frame").distinct(), [*by, "frame"], "left_anti")
-    known = first_label_at(clock, reference, F.col("t"), by, ["frame"], width).withColumnRenamed("label", "ref")
-    return first_label_at(known, predicted, F.col("t"), by, ["frame"], width).withColumnRenamed("label", "pred")
+        edge = reference.select(*by, F.explode(F.array("start", "end")).alias("edge")).distinct()
+        labelings["near"] = _placed(edge, first_middle(F.col("edge") - collar, step), first_middle(F.col("edge") + collar, step, after=True), by, *nothing)
+    met = pieces(labelings, by, width / step).filter("in_clip IS NOT NULL" + (" AND near IS NULL" if collar > 0 else ""))
+    return met.groupBy(*by, "ref", "pred").agg(F.sum(F.col("high") - F.col("low")).alias("frames"))
+
+
+def assigned(value: np.ndarray) -> np.ndarray:
+    """The column of each row of a matrix with no more rows than columns, by the one-to-one assignment of the largest total.
+
+    Rows are added one by one, each by the cheapest path of reassignments, found over reduced costs that stay non-negative.
+    """
+    n, m = value.shape
+    cost = value.max(initial=0.0) - value
+    of_row, of_column = np.zeros(n), np.zeros(m)  # what the reduced costs are less
+    holder, column = np.full(m, -1), np.full(n, -1)
+    for new in range(n):
+        far, came, seen = np.full(m, np.inf), np.full(m, -1), np.zeros(m, bool)
+        row, so_far = new, 0.0
+        while True:
+            through = so_far + cost[row] - of_row[row] - of_column
+            nearer = ~seen & (through < far)
+            far[nearer], came[nearer] = through[nearer], row
+            end = int(np.where(seen, np.inf, far).argmin())
+            so_far = far[end]
+            if holder[end] < 0:
+                break
+            seen[end], row = True, holder[end]
+        of_row[new] += so_far
+        of_row[holder[seen]] += so_far - far[seen]
+        of_column[seen] -= so_far - far[seen]
+        while True:
+            row = came[end]
+            holder[end] = row
+            column[row], end = end, column[row]
+            if row == new:
+                break
+    return column
 
 
 def best_mapping(counts: list[tuple[str, str, float]]) -> dict[str, str]:
-    """One-to-one mapping of predicted to reference labels with the largest total; exhaustive up to 8 labels, else greedy."""
+    """One-to-one mapping of predicted to reference labels with the largest total; pairs that never meet are left out."""
     rows, cols = sorted({a for a, _, _ in counts}), sorted({b for _, b, _ in counts})
-    value = {(a, b): v for a, b, v in counts}
-    if max(len(rows), len(cols)) <= 8:
-        small, large, turned = (rows, cols, False) if len(rows) <= len(cols) else (cols, rows, True)
-        best, found = -1.0, {}
-        for chosen in permutations(large, len(small)):
-            pairs = [(y, x) if turned else (x, y) for x, y in zip(small, chosen)]
-            gain = sum(value.get(p, 0.0) for p in pairs)
-            if gain > best:
-                best, found = gain, {a: b for a, b in pairs if value.get((a, b), 0.0) > 0}
-        return found
-    found = {}
-    for (a, b), v in sorted(value.items(), key=lambda x: (-x[1], x[0])):
-        if v > 0 and a not in found and b not in found.values():
-            found[a] = b
-    return found
+    value = np.zeros((len(rows), len(cols)))
+    for a, b, v in counts:
+        value[rows.index(a), cols.index(b)] = v
+    turned = len(rows) > len(cols)
+    pairs = enumerate(assigned(value.T if turned else value).tolist())
+    return {rows[i]: cols[j] for i, j in sorted((j, i) if turned else (i, j) for i, j in pairs) if value[i, j] > 0}
 
 
 def label_mapping(counts: DataFrame, by: Sequence[str], pred: str = "pred", ref: str = "ref", value: str = "value") -> DataFrame:
@@ -81,11 +149,11 @@ def label_mapping(counts: DataFrame, by: Sequence[str], pred: str = "pred", ref:
 
 
 def error_rates(frames: DataFrame, step: float, by: Sequence[str]) -> DataFrame:
-    """(by, reference_seconds, missed, false_alarm, confusion, correct, der, accuracy, count_error) of scored frames."""
-    counts = frames.filter("ref IS NOT NULL AND pred IS NOT NULL").groupBy(*by, "pred", "ref").agg((F.count("*") * step).alias("value"))
+    """(by, reference_seconds, missed, false_alarm, confusion, correct, der, accuracy, count_error) of (by, ref, pred, frames)."""
+    counts = frames.filter("ref IS NOT NULL AND pred IS NOT NULL").groupBy(*by, "pred", "ref").agg((F.sum("frames") * step).alias("value"))
     mapped = label_mapping(counts, by).withColumnRenamed("ref", "mapped")
     named = frames.join(mapped, [*by, "pred"], "left")
-    seconds = lambda c: F.count_if(c) * step
+    seconds = lambda c: F.coalesce(F.sum(F.when(c, F.col("frames"))), F.lit(0)) * step
     ref, pred, same = F.col("ref").isNotNull(), F.col("pred").isNotNull(), F.coalesce(F.col("mapped") == F.col("ref"), F.lit(False))
     out = named.groupBy(*by).agg(
         seconds(ref).alias("reference_seconds"), seconds(ref & ~pred).alias("missed"), seconds(~ref & pred).alias("false_alarm"),
@@ -104,42 +172,69 @@ def error_report(reference: DataFrame, predicted: DataFrame, by: Sequence[str],
     if total is None:
         both = reference.select(*by, "end").union(predicted.select(*by, "end"))
         total = both.groupBy(*by).agg(F.max("end").alias("seconds"))
-    return error_rates(scored_frames(reference, predicted, total, step, collar, by, width), step, by)
+    # A row for each pair of labels of a clip: written, since the mapping and the rates both read it.
+    return error_rates(written(scored_frames(reference, predicted, total, step, collar, by, width), "scored-frames"), step, by)
 
 
-def fuse(a: DataFrame, b: DataFrame, by: Sequence[str], least_share: float = 0.03, least_frames: int = 30) -> DataFrame:
-    """Two frame grids as one: b's labels are renamed to those of a that they mostly meet, a wins where both have one.
-
-    Labels of too few frames give theirs to the nearest frame of another label (the earlier of two equally near).
-    """
-    counts = label_pairs(a, b, by)
-    to = counts.groupBy(*by, "b").agg(F.max(F.struct("frames", "a")).alias("m")).select(*by, F.col("b").alias("speaker"), F.col("m.a").alias("to"))
-    renamed = b.join(to, [*by, "speaker"], "left").select(*by, "frame", F.coalesce("to", F.concat(F.lit("b:"), "speaker")).alias("other"))
-    joined = a.join(renamed, [*by, "frame"], "full_outer").select(*by, "frame", F.coalesce("speaker", "other").alias("speaker"))
-    in_clip = Window.partitionBy(*by)
-    sized = joined.withColumn("_n", F.count("*").over(Window.partitionBy(*by, "speaker"))).withColumn("_all", F.count("*").over(in_clip))
-    small = (F.col("_n") < least_frames) | (F.col("_n") < least_share * F.col("_all"))
-    held = sized.withColumn("_keep", F.when(~small, F.struct("frame", "speaker")))
-    # Both passes run with a growing frame, the second one backwards: a shrinking frame would be evaluated anew for each row.
-    so_far = (Window.unboundedPreceding, Window.currentRow)
-    near = held.withColumn("_p", F.last("_keep", True).over(in_clip.orderBy("frame").rowsBetween(*so_far))).withColumn(
-        "_f", F.last("_keep", True).over(in_clip.orderBy(F.desc("frame")).rowsBetween(*so_far))
-    )
-    past = F.col("_p").isNotNull() & (F.col("_f").isNull() | (F.col("frame") - F.col("_p.frame") <= F.col("_f.frame") - F.col("frame")))
-    return near.select(*by, "frame", F.coalesce(F.when(past, F.col("_p.speaker")).otherwise(F.col("_f.speaker")), "speaker").alias("speaker"))
+def fuse(
+    a: DataFrame, b: DataFrame, by: Sequence[str], fps: float = 25.0, least_share: float = 0.03, least_frames: int = 30,
+    least_seconds: float = 0.3, width: float = 5.0,
+) -> DataFrame:
+    """(by, seg_ord, speaker, start, end): two models' segments as one labeling.
 
+    1. b's labels become those of a that they meet in most frames; a label that meets none takes that of the labelled frame of a
+       nearest to the middle of its first segment. a wins where both speak, b fills in where only it does.
+    2. Speakers of too few frames or too small a share give each of their runs to the speaker of the run nearest by its middle;
+       neighbours of one speaker then become one run.
+    3. Speakers are named SPEAKER_00 and so on, as their labels sort, and runs shorter than ``least_seconds`` are added to the run before.
 
-def fuse_all(grids: Sequence[DataFrame], by: Sequence[str], **limits) -> DataFrame:
+    A clip that only one model has segments for keeps these.
+    """
+    each = [x.select(*by, "seg_ord", "speaker", "start", "end") for x in (a, b)]
+    in_both = each[0].select(*by).distinct().join(each[1].select(*by).distinct(), list(by), "left_semi")
+    alone = reduce(DataFrame.unionByName, [x.join(in_both, list(by), "left_anti") for x in each])
+    a, b = (x.join(in_both, list(by), "left_semi") for x in each)
+    low, high = F.floor(F.col("start") * fps), F.floor(F.col("end") * fps) + 1
+    # As lists are written over: of overlapping segments the later in order has the frame.
+    met = written(pieces({name: _placed(x, low, high, by, F.col("speaker"), F.lit(0), F.col("seg_ord")) for name, x in (("a", a), ("b", b))}, by, width * fps), "pieces")
+    ordered = Window.partitionBy(*by).orderBy("low")
+
+    pairs = met.filter("a IS NOT NULL AND b IS NOT NULL").groupBy(*by, "a", "b").agg(F.sum(F.col("high") - F.col("low")).alias("n"), F.min("low").alias("first"))
+    most = pairs.groupBy(*by, "b").agg(F.max_by("a", F.struct("n", (-F.col("first")).alias("f"))).alias("to"))
+    firsts = b.groupBy(*by, F.col("speaker").alias("b")).agg(F.min_by(F.struct("start", "end"), "seg_ord").alias("s"))
+    unmet = firsts.join(most, [*by, "b"], "left_anti").withColumn("at", F.floor((F.col("s.start") + F.col("s.end")) / 2 * fps).cast("double"))
+    heard = met.filter("a IS NOT NULL").select(*by, F.col("low").alias("seg_ord"), F.col("a").alias("speaker"), F.col("low").cast("double").alias("start"), (F.col("high") - 1).cast("double").alias("end"))
+    near = nearest_interval(unmet.select(*by, "b", "at"), heard, F.col("at"), by, ["b"]).select(*by, "b", F.col("near_speaker").alias("to"))
+    named = met.join(most.unionByName(near), [*by, "b"], "left").withColumn("speaker", F.coalesce("a", "to", "b")).filter("speaker IS NOT NULL")
+
+    new = ~(F.lag("speaker").over(ordered).eqNullSafe(F.col("speaker")) & F.lag("high").over(ordered).eqNullSafe(F.col("low")))
+    runs = named.withColumn("_run", F.sum(new.cast("int")).over(ordered)).groupBy(*by, "_run").agg(
+        F.first("speaker").alias("speaker"), F.round(F.min("low") / fps, 3).alias("start"), F.round(F.max("high") / fps, 3).alias("end"))
+    runs = written(runs, "speaker-runs")
+    sizes = runs.groupBy(*by, "speaker").agg(F.sum(F.floor((F.col("end") - F.col("start")) * fps)).alias("n"))
+    all_ = F.sum("n").over(Window.partitionBy(*by))
+    minor = (F.col("n") < least_frames) | (F.col("n") / F.greatest(all_, F.lit(1)) < least_share)
+    sizes = sizes.select(*by, "speaker", minor.alias("minor"))
+    runs = runs.join(sizes, [*by, "speaker"]).withColumn("middle", (F.col("start") + F.col("end")) / 2)
+    major = runs.filter("NOT minor").select(*by, F.col("_run").alias("seg_ord"), "speaker", F.col("middle").alias("start"), F.col("middle").alias("end"))
+    taken = nearest_interval(runs.filter("minor").select(*by, "_run", "middle"), major, F.col("middle"), by, ["_run"]).select(*by, "_run", F.col("near_speaker").alias("to"))
+    runs = runs.join(taken, [*by, "_run"], "left").withColumn("speaker", F.coalesce("to", "speaker"))
+
+    in_order, in_clip = Window.partitionBy(*by).orderBy("_run"), Window.partitionBy(*by)
+    absorbed = F.max("minor").over(in_clip) & F.lag("speaker").over(in_order).eqNullSafe(F.col("speaker"))
+    runs = runs.withColumn("_run", F.sum((~absorbed).cast("int")).over(in_order)).groupBy(*by, "_run").agg(
+        F.first("speaker").alias("speaker"), F.min("start").alias("start"), F.max("end").alias("end"))
+    number = F.dense_rank().over(Window.partitionBy(*by).orderBy("speaker")) - 1
+    runs = runs.withColumn("speaker", F.concat(F.lit("SPEAKER_"), F.lpad(number.cast("string"), 2, "0")))
+    stays = (F.col("end") - F.col("start") >= least_seconds) | (F.row_number().over(in_order) == 1)
+    runs = runs.withColumn("_run", F.sum(stays.cast("int")).over(in_order)).groupBy(*by, "_run").agg(
+        F.min_by("speaker", "start").alias("speaker"), F.min("start").alias("start"), F.max("end").alias("end"))
+    return runs.select(*by, F.col("_run").cast("long").alias("seg_ord"), "speaker", "start", "end").unionByName(alone)
+
+
+def fuse_all(models: Sequence[DataFrame], by: Sequence[str], **limits) -> DataFrame:
     """Left fold of fuse over the models there are."""
-    return reduce(lambda a, b: fuse(a, b, by, **limits), grids)
-
-
-def relabelled(frames: DataFrame, by: Sequence[str], prefix: str = "SPEAKER_") -> DataFrame:
-    """Labels named by their first frame: SPEAKER_00, SPEAKER_01 and so on."""
-    first = frames.groupBy(*by, "speaker").agg(F.min("frame").alias("_f"))
-    named = first.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy("_f", "speaker")) - 1)
-    name = F.concat(F.lit(prefix), F.lpad(F.col("_n").cast("string"), 2, "0"))
-    return frames.join(named.select(*by, "speaker", name.alias("name")), [*by, "speaker"]).select(*by, "frame", F.col("name").alias("speaker"))
+    return reduce(lambda a, b: fuse(a, b, by, **limits), models)
 
 
 def local_split(base: DataFrame, other: DataFrame, by: Sequence[str], step: float, confined: float = 0.6, least: float = 0.5) -> DataFrame:

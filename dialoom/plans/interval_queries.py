@@ -164,8 +164,7 @@ def as_of_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def frame_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = views.on_one_clock(spark, sf_dir)
-    a, b = frames.grid(rows, 0.5, CLIP), frames.grid(rows.withColumn("speaker", F.col("other")), 0.5, CLIP)
-    return frames.label_pairs(a, b, CLIP)
+    return frames.frame_overlap(rows, rows.withColumn("speaker", F.col("other")), 0.5, CLIP, 40.0)
 
 
 def frame_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,10 +179,11 @@ def der(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fusion_two_way(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first model hears half of each five minutes and some rare speakers; one of the second's labels never meets it."""
     rows = views.on_one_clock(spark, sf_dir)
-    a = frames.grid(rows.filter("seg_ord % 4 <> 0"), 1.0, CLIP)
-    b = frames.grid(rows.withColumn("speaker", F.col("other")), 1.0, CLIP)
-    return segments.frame_runs(frames.relabelled(frames.fuse_all([a, b], CLIP), CLIP), F.lit(1.0))
+    a = rows.filter("seg_ord % 10 < 5").withColumn("speaker", F.when(F.col("seg_ord") % 200 == 3, F.lit("rare")).otherwise(F.col("speaker")))
+    b = rows.withColumn("speaker", F.when(F.col("seg_ord") % 10 == 8, F.concat(F.lit("lone"), F.floor(F.col("seg_ord") / 500).cast("string"))).otherwise(F.col("other")))
+    return frames.fuse(a, b, CLIP, fps=4.0, width=40.0)
 
 
 def local_split(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -388,4 +388,30 @@ SELECT clip_id, reference_seconds, 0.0::DOUBLE AS missed, 0.0::DOUBLE AS false_a
 g AS (SELECT clip_id, f, max_by(speaker, start) AS a, max_by(b, start) AS b FROM f GROUP BY ALL), n AS (SELECT clip_id, a, b, count(*) AS frames FROM g GROUP BY ALL),
 r AS (SELECT *, count(*) OVER (PARTITION BY clip_id, a) AS k, row_number() OVER (PARTITION BY clip_id, a ORDER BY frames DESC, b) AS r FROM n)
 SELECT clip_id, a || CASE WHEN k > 1 AND r > 1 THEN '_s' || (r - 1) ELSE '' END AS speaker, sum(frames)::BIGINT AS frames FROM r GROUP BY ALL""",
+    "fusion_two_way": f"""WITH {CLOCK}, a AS (
+  SELECT clip_id, seg_ord, CASE WHEN seg_ord % 200 = 3 THEN 'rare' ELSE speaker END AS speaker, start, "end" FROM clk WHERE seg_ord % 10 < 5
+), b AS (
+  SELECT clip_id, seg_ord, CASE WHEN seg_ord % 10 = 8 THEN 'lone' || (seg_ord // 500) ELSE other END AS speaker, start, "end" FROM clk
+), fa AS (SELECT clip_id, f, max_by(speaker, seg_ord) AS a FROM (SELECT *, unnest(range(floor(start * 4)::BIGINT, floor("end" * 4)::BIGINT + 1)) AS f FROM a) GROUP BY ALL),
+fb AS (SELECT clip_id, f, max_by(speaker, seg_ord) AS b FROM (SELECT *, unnest(range(floor(start * 4)::BIGINT, floor("end" * 4)::BIGINT + 1)) AS f FROM b) GROUP BY ALL),
+fr AS (SELECT coalesce(fa.clip_id, fb.clip_id) AS clip_id, coalesce(fa.f, fb.f) AS f, a, b FROM fa FULL JOIN fb ON fa.clip_id = fb.clip_id AND fa.f = fb.f),
+p AS (SELECT clip_id, a, b, count(*) AS n, min(f) AS first FROM fr WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY ALL),
+t1 AS (SELECT clip_id, b, a AS "to" FROM p QUALIFY row_number() OVER (PARTITION BY clip_id, b ORDER BY n DESC, first) = 1),
+u AS (SELECT clip_id, speaker AS b, arg_min(floor((start + "end") / 2 * 4)::BIGINT, seg_ord) AS at FROM b WHERE (clip_id, speaker) NOT IN (SELECT (clip_id, b) FROM t1) GROUP BY ALL),
+t2 AS (SELECT u.clip_id, u.b, fa.a AS "to" FROM u JOIN fa ON fa.clip_id = u.clip_id QUALIFY row_number() OVER (PARTITION BY u.clip_id, u.b ORDER BY abs(fa.f - u.at), fa.f) = 1),
+t AS (SELECT * FROM t1 UNION ALL SELECT * FROM t2),
+c AS (SELECT fr.clip_id, fr.f, coalesce(fr.a, t."to", fr.b) AS s FROM fr LEFT JOIN t ON t.clip_id = fr.clip_id AND t.b = fr.b),
+i AS (SELECT *, f - row_number() OVER (PARTITION BY clip_id, s ORDER BY f) AS k FROM c),
+r AS (SELECT clip_id, s, round(min(f) / 4.0::DOUBLE, 3) AS start, round((max(f) + 1) / 4.0::DOUBLE, 3) AS "end" FROM i GROUP BY clip_id, s, k),
+z AS (SELECT clip_id, s, sum(floor(("end" - start) * 4)::BIGINT) AS n FROM r GROUP BY ALL),
+m AS (SELECT clip_id, s, n < 30 OR n / sum(n) OVER (PARTITION BY clip_id) < 0.03 AS minor FROM z),
+r2 AS (SELECT r.*, m.minor, row_number() OVER (PARTITION BY r.clip_id ORDER BY r.start) AS k, (start + "end") / 2 AS mid FROM r JOIN m ON m.clip_id = r.clip_id AND m.s = r.s),
+nx AS (SELECT x.clip_id, x.k, y.s FROM r2 x JOIN r2 y ON y.clip_id = x.clip_id AND NOT y.minor WHERE x.minor QUALIFY row_number() OVER (PARTITION BY x.clip_id, x.k ORDER BY abs(y.mid - x.mid), y.k) = 1),
+r3 AS (SELECT r2.clip_id, r2.k, coalesce(nx.s, r2.s) AS s, r2.start, r2."end", max(r2.minor) OVER (PARTITION BY r2.clip_id) AS had FROM r2 LEFT JOIN nx ON nx.clip_id = r2.clip_id AND nx.k = r2.k),
+r4 AS (SELECT *, (had AND lag(s) OVER (PARTITION BY clip_id ORDER BY k) IS NOT DISTINCT FROM s) AS joined FROM r3),
+r5 AS (SELECT *, sum((NOT joined)::INT) OVER (PARTITION BY clip_id ORDER BY k) AS g FROM r4),
+r6 AS (SELECT clip_id, g, any_value(s) AS s, min(start) AS start, max("end") AS "end" FROM r5 GROUP BY ALL),
+r7 AS (SELECT *, 'SPEAKER_' || lpad((dense_rank() OVER (PARTITION BY clip_id ORDER BY s) - 1)::VARCHAR, 2, '0') AS speaker, "end" - start >= 0.3 OR row_number() OVER (PARTITION BY clip_id ORDER BY g) = 1 AS stays FROM r6),
+r8 AS (SELECT *, sum(stays::INT) OVER (PARTITION BY clip_id ORDER BY g) AS h FROM r7)
+SELECT clip_id, h::BIGINT AS seg_ord, arg_min(speaker, start) AS speaker, min(start) AS start, max("end") AS "end" FROM r8 GROUP BY clip_id, h""",
 }

@@ -1,6 +1,8 @@
 """Hand-worked cases and sequential models of the interval operators."""
 
 import random
+from collections import Counter
+from itertools import permutations
 
 import pytest
 from pyspark.sql import functions as F
@@ -71,12 +73,102 @@ def test_error_rates_by_hand(spark):
     assert (out.confusion, out.correct, out.der, out.accuracy, out.count_error) == (0.5, 1.5, 0.25, 0.75, 0)
 
 
-def test_best_mapping_beyond_eight_labels_is_greedy():
-    counts = [(f"p{i}", f"r{i}", 10.0 + i) for i in range(10)] + [("p0", "r9", 30.0)]
-    assert frames.best_mapping(counts)["p0"] == "r9" and "p9" not in frames.best_mapping(counts)
+def best_total(counts):
+    """The largest total of a one-to-one mapping, by trying all."""
+    rows, cols = sorted({a for a, _, _ in counts}), sorted({b for _, b, _ in counts})
+    value = {(a, b): v for a, b, v in counts}
+    few, many, turned = (rows, cols, False) if len(rows) <= len(cols) else (cols, rows, True)
+    return max(sum(value.get((y, x) if turned else (x, y), 0.0) for x, y in zip(few, chosen)) for chosen in permutations(many, len(few)))
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_best_mapping_equals_all_permutations(seed):
+    draw = random.Random(seed)
+    rows, cols = draw.randint(1, 6), draw.randint(1, 6)
+    counts = [(f"p{i}", f"r{j}", float(draw.choice((draw.randint(0, 5), draw.random())))) for i in range(rows) for j in range(cols) if draw.random() < 0.8] or [("p", "r", 1.0)]
+    found = frames.best_mapping(counts)
+    value = {(a, b): v for a, b, v in counts}
+    assert len(set(found.values())) == len(found) and all(value[x] > 0 for x in found.items())
+    assert abs(sum(value[x] for x in found.items()) - best_total(counts)) < 1e-9
+
+
+def test_best_mapping_where_the_largest_first_is_wrong():
+    """12 labels in a ring: taking the largest count first gets 10 of each pair of neighbours, the best mapping 9 + 9."""
+    counts = [(f"p{i:02d}", f"r{i:02d}", 9.0) for i in range(12)] + [(f"p{i:02d}", f"r{i + 1:02d}", 10.0) for i in range(0, 12, 2)]
+    assert frames.best_mapping(counts) == {f"p{i:02d}": f"r{i:02d}" for i in range(12)}
     assert frames.best_mapping([("a", "x", 2.0), ("a", "y", 3.0), ("b", "y", 4.0)]) == {"a": "x", "b": "y"}
 
 
+def brute_fuse(a, b, fps):
+    """Two models' (speaker, start, end) lists fused frame by frame."""
+    n = int(max(x[2] for x in a + b) * fps) + 1
+    at = []
+    for rows in (a, b):
+        line = [None] * n
+        for s, x, y in rows:
+            for f in range(int(x * fps), min(n, int(y * fps) + 1)):
+                line[f] = s
+        at.append(line)
+    pairs = Counter((x, y) for x, y in zip(*at) if x and y)
+    to = {}
+    for (x, y), _ in sorted(pairs.items(), key=lambda p: -p[1]):
+        to.setdefault(y, x)
+    for s, x, y in b:
+        if s not in to:
+            to[s] = at[0][min((f for f in range(n) if at[0][f]), key=lambda f: abs(f - int((x + y) / 2 * fps)))]
+    line = [x or to.get(y, y) for x, y in zip(*at)]
+    runs = []
+    for f, s in enumerate(line):
+        if s and f and line[f - 1] == s:
+            runs[-1][2] = round((f + 1) / fps, 3)
+        elif s:
+            runs.append([s, round(f / fps, 3), round((f + 1) / fps, 3)])
+    size = Counter()
+    for s, x, y in runs:
+        size[s] += int((y - x) * fps)
+    minor = {s for s in size if size[s] < 30 or size[s] / (sum(size.values()) or 1) < 0.03}
+    if minor:
+        major = [r for r in map(list, runs) if r[0] not in minor]
+        for r in runs:
+            if r[0] in minor and major:
+                r[0] = min(major, key=lambda m: abs((m[1] + m[2]) / 2 - (r[1] + r[2]) / 2))[0]
+        merged = []
+        for r in runs:
+            if merged and merged[-1][0] == r[0]:
+                merged[-1][2] = r[2]
+            else:
+                merged.append(r)
+        runs = merged
+    names = {s: f"SPEAKER_{i:02d}" for i, s in enumerate(sorted({r[0] for r in runs}))}
+    out = []
+    for s, x, y in runs:
+        if out and y - x < 0.3:
+            out[-1][2] = y
+        else:
+            out.append([names[s], x, y])
+    return [tuple(r) for r in out]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_fusion_equals_frame_by_frame(spark, seed):
+    draw = random.Random(seed)
+
+    def model(labels, n):
+        rows, t = [], draw.random() * 3
+        for _ in range(n):
+            length = draw.choice((0.04, 0.1, 0.2, 0.6, 2.0, 5.0))
+            rows.append((draw.choice(labels), round(t, 3), round(t + length, 3)))
+            t += length + draw.choice((0.0, 0.0, 0.1, 1.0, 4.0, -0.3))
+        return sorted(rows, key=lambda r: r[1])
+
+    a, b = model("AAABBC", 30), model("xxyz", 40) + [("w", 400.0, 400.1)]
+    want = brute_fuse(a, b, 25.0)
+    got = frames.fuse(seg(spark, a), seg(spark, b), ["clip_id"]).orderBy("seg_ord").collect()
+    assert [(r.speaker, r.start, r.end) for r in got] == want
+    alone = frames.fuse(seg(spark, a), seg(spark, []), ["clip_id"]).orderBy("seg_ord").collect()
+    assert [(r.speaker, r.start, r.end) for r in alone] == a
+
+
 @pytest.mark.parametrize("width", [0.7, 3.0, 50.0])
 def test_overlap_join_equals_brute_force(spark, width):
     draw = random.Random(2)
