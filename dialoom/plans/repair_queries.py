@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import sweep
+from ..operators import passes, sweep
 from ..session import table_path
 from . import views
 from .oracle_views import CLOCK
 
+CLIP = ["clip_id"]
+
 TRIALS = [*sweep.grid_trials({"gap": [0.0, 8.0, 30.0], "least": [2.0, 30.0]}), {"gap": -1.0, "least": 2.0}]
 REPORT = "chunks long, speech double, short_share double"
 
@@ -23,10 +25,59 @@ def sweep_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("item").alias("clip_id"), "trial", "attempt", "status", "error", "chunks", "speech", F.round("short_share", 9).alias("short_share"))
 
 
-QUERIES = {f.__name__: f for f in (sweep_resumed,)}
+def _embed(spark: SparkSession, sf_dir: str):
+    """Stands for a voice model: each stretch of a clip has one of the table's vectors."""
+    e = views.embeddings(spark, sf_dir).select(F.col("chunk_ord").alias("_vec"), "embedding")
+    n = e.count()
+    tick = lambda c: F.floor(F.col(c) * 8).cast("long")
+    return lambda rows: rows.withColumn("_vec", F.pmod(tick("start") + 31 * tick("end") + 7 * F.col("clip_id"), F.lit(n))).join(e, "_vec", "left").drop("_vec")
+
+
+def _spoken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.on_one_clock(spark, sf_dir)
+    return rows.select("clip_id", "seg_ord", "speaker", "start", "end", F.concat(F.col("seg_ord").cast("string"), F.lit(" one  two three four five six")).alias("text"))
+
+
+def visual_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A face track for each segment, speaking from 6 s after its start for half its length."""
+    rows = _spoken(spark, sf_dir)
+    runs = rows.select("clip_id", F.col("seg_ord").alias("track_id"), (F.col("start") + 6.25).alias("start"), (F.col("start") + 6.25 + (F.col("end") - F.col("start")) / 2).alias("end"))
+    total = rows.select("clip_id", F.lit(30_100.0).alias("seconds")).distinct()
+    return passes.visual_split(rows, runs, _embed(spark, sf_dir), total=total, least_sim=0.15, margin=0.1, width=40.0)
+
+
+def face_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten frames of a track in each segment; tracks of seven faces."""
+    rows = _spoken(spark, sf_dir).withColumn("speaker", F.when(F.col("seg_ord") % 11 == 5, F.lit("SPEAKER_BG1")).otherwise(F.col("speaker")))
+    seen = rows.select("clip_id", (F.col("seg_ord") % 50).alias("track_id"), "speaker", "seg_ord", F.floor("start").alias("t"), F.explode(F.sequence(F.lit(0), F.lit(9))).alias("k"))
+    frames = seen.select("clip_id", "track_id", (F.col("t") + 3 * F.col("k")).alias("frame"), ((F.col("seg_ord") * 7 + F.col("k") * 3) % 10 / 8.0).alias("score"))
+    clusters = seen.select("clip_id", "track_id", (F.col("track_id") % 7).alias("cluster")).distinct()
+    counts = seen.groupBy("clip_id", "speaker", "track_id").agg(F.count("*").alias("n"))
+    return passes.face_match(rows, frames, clusters, counts, fps=1.0, ratio=0.25, width=40.0)
+
+
+def retry_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clips of 50 segments; speakers by type and other label, some of them outliers or background."""
+    rows = views.on_one_clock(spark, sf_dir)
+    kind = F.col("seg_ord") % 13
+    name = F.when(kind == 4, F.lit("SPEAKER_BG")).when(kind % 3 == 0, F.concat(F.lit("SPEAKER_9"), kind.cast("string"))).otherwise(F.concat("speaker", "other"))
+    few = rows.withColumn("clip_id", F.col("clip_id") * 1000 + F.floor(F.col("seg_ord") / 50)).withColumn("speaker", F.when(F.col("clip_id") % 4 == 0, F.col("other")).otherwise(name))
+    return passes.retry_decision(few, _embed(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (sweep_resumed, visual_split, face_match, retry_decision)}
 
 _TRIALS = ", ".join(f"({i}, {t['gap']}::DOUBLE, {t['least']}::DOUBLE)" for i, t in enumerate(TRIALS, 1))
 
+# The vector of a stretch, and neighbours of one speaker joined.
+_VOICE = "vec AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings)"
+_VEC = '(floor({r}.start * 8)::BIGINT + 31 * floor({r}."end" * 8)::BIGINT + 7 * {r}.clip_id) % (SELECT count(*) FROM embeddings)'
+_JOINED = """q AS (
+  SELECT *, coalesce(lag(speaker) OVER w = speaker AND start - lag("end") OVER w <= 0.1, false) AS same FROM u WINDOW w AS (PARTITION BY clip_id ORDER BY start, k, o, n)
+), y AS (SELECT *, sum((NOT same)::INT) OVER (PARTITION BY clip_id ORDER BY start, k, o, n) AS run FROM q)
+SELECT clip_id, run::BIGINT AS seg_ord, arg_min(speaker, (start, k, o, n)) AS speaker, min(start) AS start, arg_max("end", (start, k, o, n)) AS "end",
+  coalesce(string_agg(text, ' ' ORDER BY start, k, o, n) FILTER (text <> ''), '') AS text, arg_min(origin, (start, k, o, n)) AS origin FROM y GROUP BY clip_id, run"""
+
 ORACLE_SQL = {
     "sweep_resumed": f"""WITH {CLOCK}, t(trial, gap, least) AS (VALUES {_TRIALS}), a AS (
   SELECT clk.*, t.*, lag(speaker) OVER w IS DISTINCT FROM speaker AS switched FROM clk, t WINDOW w AS (PARTITION BY clip_id, trial ORDER BY start, seg_ord)
@@ -42,4 +93,64 @@ r AS (
 SELECT clip_id, trial, CASE WHEN trial <= 3 THEN 1 ELSE 2 END AS attempt, CASE WHEN gap < 0 THEN 'failed' WHEN trial <= 3 THEN 'skipped' ELSE 'done' END AS status,
   CASE WHEN gap < 0 THEN 'ValueError: gap is negative' END AS error, CASE WHEN gap >= 0 THEN chunks END AS chunks, CASE WHEN gap >= 0 THEN speech END AS speech,
   CASE WHEN gap >= 0 THEN round(short_share, 9) END AS short_share FROM r""",
+    "visual_split": f"""WITH {CLOCK}, {_VOICE}, s AS (
+  SELECT clip_id, seg_ord, speaker, start, "end", ['' || seg_ord, 'one', 'two', 'three', 'four', 'five', 'six'] AS w FROM clk
+), runs AS (SELECT clip_id, seg_ord AS track, start + 6.25::DOUBLE AS start, start + 6.25::DOUBLE + ("end" - start) / 2 AS "end" FROM clk),
+c0 AS (SELECT clip_id, speaker, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM s JOIN vec ON vec.id = {_VEC.format(r="s")} WHERE "end" - start >= 0.5),
+c1 AS (SELECT clip_id, speaker, i, avg(x) AS x FROM c0 GROUP BY ALL), c2 AS (SELECT clip_id, speaker, list(x ORDER BY i) AS c FROM c1 GROUP BY ALL),
+cent AS (SELECT clip_id, speaker AS label, list_transform(c, lambda x: x / sqrt(list_dot_product(c, c))) AS c FROM c2),
+reg AS (
+  SELECT s.clip_id, s.seg_ord, s.speaker, r.track, greatest(s.start, r.start) AS start, least(s."end", r."end") AS "end"
+  FROM s JOIN runs r ON r.clip_id = s.clip_id AND r.start < s."end" AND s.start < r."end" WHERE least(s."end", r."end") - greatest(s.start, r.start) >= 0.4
+), sim AS (SELECT reg.*, label, list_dot_product(v, c) AS sim FROM reg JOIN vec ON vec.id = {_VEC.format(r="reg")} JOIN cent ON cent.clip_id = reg.clip_id),
+best AS (
+  SELECT clip_id, seg_ord, speaker, track, start, "end", arg_min(label, (-sim, label)) AS best, max(sim) AS bs, max(sim) FILTER (label = speaker) AS os FROM sim GROUP BY ALL
+), cut AS (
+  SELECT * FROM best WHERE best <> speaker AND bs >= 0.15 AND bs > os + 0.1 QUALIFY row_number() OVER (PARTITION BY clip_id, seg_ord ORDER BY bs - os DESC, start, "end", track) = 1
+), j AS (
+  SELECT s.*, cut.start AS a, cut."end" AS b, best, (cut.start - s.start) / (s."end" - s.start) AS lo, (cut."end" - s.start) / (s."end" - s.start) AS hi FROM s LEFT JOIN cut ON cut.clip_id = s.clip_id AND cut.seg_ord = s.seg_ord
+), p AS (
+  SELECT clip_id, seg_ord AS o, 0 AS k, 0 AS n, start, "end", speaker, array_to_string(w, ' ') AS text, 'kept' AS origin FROM j WHERE a IS NULL
+  UNION ALL SELECT clip_id, seg_ord, 0, 0, start, a, speaker, array_to_string(w[1:round_even(7 * lo, 0)::INT], ' '), 'cut' FROM j WHERE a - start >= 0.2
+  UNION ALL SELECT clip_id, seg_ord, 0, 1, a, b, best, array_to_string(w[round_even(7 * lo, 0)::INT + 1:round_even(7 * hi, 0)::INT], ' '), 'visual' FROM j WHERE a IS NOT NULL
+  UNION ALL SELECT clip_id, seg_ord, 0, 2, b, "end", speaker, array_to_string(w[round_even(7 * hi, 0)::INT + 1:7], ' '), 'cut' FROM j WHERE "end" - b >= 0.2
+), h0 AS (SELECT *, lag("end") OVER (PARTITION BY clip_id ORDER BY start, k, o, n) AS prev FROM p),
+h AS (
+  SELECT clip_id, coalesce(prev, 0.0) AS start, start AS "end" FROM h0 WHERE (prev IS NULL AND start > 0.3) OR start - prev >= 0.5
+  UNION ALL SELECT clip_id, arg_max("end", (start, k, o, n)) AS e, 30100.0 FROM p GROUP BY clip_id HAVING 30100.0 - e >= 0.5
+), g AS (
+  SELECT h.clip_id, r.track, greatest(h.start, r.start) AS start, least(h."end", r."end") AS "end" FROM h JOIN runs r ON r.clip_id = h.clip_id AND r.start < h."end" AND h.start < r."end"
+  WHERE least(h."end", r."end") - greatest(h.start, r.start) >= 0.5
+), gs AS (SELECT g.*, label, list_dot_product(v, c) AS sim FROM g JOIN vec ON vec.id = {_VEC.format(r="g")} JOIN cent ON cent.clip_id = g.clip_id),
+ga AS (SELECT clip_id, track, start, "end", arg_min(label, (-sim, label)) AS speaker, max(sim) AS bs FROM gs GROUP BY ALL HAVING max(sim) >= 0.15),
+u AS (SELECT * FROM p UNION ALL SELECT clip_id, track, 1, 0, start, "end", speaker, '', 'gap' FROM ga), {_JOINED}""",
+    "face_match": f"""WITH {CLOCK}, s AS (
+  SELECT clip_id, seg_ord, CASE WHEN seg_ord % 11 = 5 THEN 'SPEAKER_BG1' ELSE speaker END AS speaker, start, "end", seg_ord || ' one two three four five six' AS text FROM clk
+), fr AS (SELECT clip_id, seg_ord % 50 AS track, speaker, seg_ord, floor(start)::BIGINT + 3 * k AS f, (seg_ord * 7 + k * 3) % 10 / 8.0::DOUBLE AS score FROM s, range(10) t(k)),
+per AS (SELECT clip_id, track % 7 AS cluster, speaker, count(*) AS n FROM fr GROUP BY ALL),
+own AS (SELECT clip_id, cluster, arg_min(speaker, (-n, speaker)) AS owner, max(n) / sum(n) AS ratio FROM per GROUP BY ALL),
+m AS (
+  SELECT s.clip_id, s.seg_ord, fr.track, count(*) AS n, avg(score) AS mean FROM s JOIN fr ON fr.clip_id = s.clip_id AND fr.f BETWEEN floor(s.start)::BIGINT AND floor(s."end")::BIGINT
+  WHERE NOT starts_with(s.speaker, 'SPEAKER_BG') GROUP BY ALL HAVING count(*) >= 3 AND avg(score) >= 0.5
+), b AS (
+  SELECT m.clip_id, m.seg_ord, arg_min(owner, (-mean, track)) AS owner, arg_min(ratio, (-mean, track)) AS ratio FROM m JOIN own ON own.clip_id = m.clip_id AND own.cluster = m.track % 7 GROUP BY ALL
+), u AS (
+  SELECT s.clip_id, s.seg_ord AS o, 0 AS k, 0 AS n, start, "end", CASE WHEN ratio >= 0.25 THEN owner ELSE speaker END AS speaker, text,
+    CASE WHEN ratio >= 0.25 AND owner <> speaker THEN 'face' ELSE 'kept' END AS origin FROM s LEFT JOIN b ON b.clip_id = s.clip_id AND b.seg_ord = s.seg_ord
+), {_JOINED}""",
+    "retry_decision": f"""WITH {CLOCK}, {_VOICE}, s AS (
+  SELECT clip_id * 1000 + seg_ord // 50 AS clip_id, seg_ord, CASE WHEN (clip_id * 1000 + seg_ord // 50) % 4 = 0 THEN other WHEN seg_ord % 13 = 4 THEN 'SPEAKER_BG'
+    WHEN seg_ord % 13 % 3 = 0 THEN 'SPEAKER_9' || (seg_ord % 13) ELSE speaker || other END AS speaker, start, "end" FROM clk
+), real AS (SELECT *, starts_with(speaker, 'SPEAKER_9') AS far FROM s WHERE NOT starts_with(speaker, 'SPEAKER_BG')),
+z AS (SELECT clip_id, count(*) AS n_segments FROM s GROUP BY 1),
+c AS (SELECT clip_id, count(DISTINCT speaker) FILTER (NOT far) AS n_main, count(DISTINCT speaker) FILTER (far) AS n_outlier FROM real GROUP BY 1),
+l AS (SELECT * FROM real QUALIFY row_number() OVER (PARTITION BY clip_id, speaker ORDER BY "end" - start DESC, start, seg_ord) = 1),
+v AS (SELECT clip_id, speaker, list_transform(v, lambda x: x / (sqrt(list_dot_product(v, v)) + 1e-9::DOUBLE)) AS v FROM l JOIN vec ON vec.id = {_VEC.format(r="l")}),
+p AS (SELECT a.clip_id, list_dot_product(a.v, b.v) AS sim FROM v a JOIN v b ON a.clip_id = b.clip_id AND a.speaker < b.speaker),
+d AS (SELECT clip_id, round_even(1 - avg(sim), 3) AS voice_diversity, count(*) FILTER (sim < 0.5) AS distinct_pairs FROM p GROUP BY 1),
+o AS (SELECT z.clip_id, n_segments, coalesce(n_main, 0) AS n_main, coalesce(n_outlier, 0) AS n_outlier, coalesce(voice_diversity, 0) AS voice_diversity, coalesce(distinct_pairs, 0) AS distinct_pairs FROM z LEFT JOIN c USING (clip_id) LEFT JOIN d USING (clip_id)),
+x AS (
+  SELECT *, CASE WHEN n_main + n_outlier < 5 THEN 'retry_higher' WHEN n_main + n_outlier > 12 THEN 'retry_lower' WHEN n_outlier > 2 * n_main AND n_main <= 2 THEN 'retry_lower'
+    WHEN n_main <= 4 AND voice_diversity >= 0.4 THEN 'retry_higher' ELSE 'accept' END AS action FROM o
+) SELECT *, CASE action WHEN 'accept' THEN 0.4 WHEN 'retry_lower' THEN 0.3 ELSE 0.5 END::DOUBLE AS threshold FROM x""",
 }
