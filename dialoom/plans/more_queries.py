@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars
 from ..functions import text as X
 from ..operators import evaluate, gates, runs, segments, speakers, timeline, visual, words
+from ..session import table_path
 from ..streaming import progress
 from . import views
 from .oracle_views import CHUNKS, CLOCK, EMB, RUNS, cos, norm
@@ -212,8 +213,25 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.unix_seconds("window_start").alias("window_start"), "event_type", "events")
 
 
+def event_windows_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream in batches of five days, of which some rows arrive ten days late: counts a day, and rows that came too late.
+
+    Rows without a window_start say how many rows of a type were dropped.
+    """
+    arrival = F.floor((F.unix_seconds("ts") - views.EPOCH) / 432_000).cast("int") + F.when(F.col("event_id") % 37 == 0, 2).otherwise(0)
+    e = views.table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")).select("event_id", "event_type", "ts", arrival.alias("arrival"))
+    source, out = table_path(spark, "event-source"), table_path(spark, "event-windows")
+    for number in sorted(r.arrival for r in e.select("arrival").distinct().collect()):  # a row for each batch
+        e.filter(F.col("arrival") == number).drop("arrival").coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(e.drop("arrival").schema).option("maxFilesPerTrigger", 1).parquet(source)
+    keys = ["window_start", "event_type"]
+    counted = progress.last_counts(progress.drained(progress.windowed_counts(stream, "ts", "1 day", "2 days", ["event_type"]), out, "update"), keys)
+    late = progress.late_counts(e, counted, ["event_type"]).select(F.lit(None).cast("timestamp").alias("window_start"), "event_type", F.col("late").alias("events"))
+    return counted.unionByName(late).select(F.unix_seconds("window_start").alias("window_start"), "event_type", "events")
+
+
 QUERIES = {f.__name__: f for f in (
-    missing_keys, all_reusable, rounded_signatures, mark_stale, scoped_references, scene_dialogue, validated, durations, label_scores, reference_modes,
+    event_windows_stream, missing_keys, all_reusable, rounded_signatures, mark_stale, scoped_references, scene_dialogue, validated, durations, label_scores, reference_modes,
     kept_columns, replies, text_edits, number_rules, speaker_statistics, covered_time, signal_features, binned_faces, face_run_cuts, word_runs, largest_boxes,
     pairwise_stats, identity_scores, compared, best_thresholds, threshold_advice, reconciled, steps_set, canonical_parameters, event_windows,
 )}
@@ -286,4 +304,13 @@ QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY p_size % 7 + 0.5 * (p_p
   WHEN max(l_returnflag) = 'A' THEN 'skipped' ELSE 'pending' END AS state FROM lineitem GROUP BY l_orderkey, l_linenumber""",
     "canonical_parameters": "SELECT s_suppkey, s_nationkey::VARCHAR AS threshold, s_suppkey::VARCHAR AS gap, 2 AS n FROM supplier",
     "event_windows": "SELECT epoch(time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01'))::BIGINT AS window_start, event_type, count(*) AS events FROM events GROUP BY ALL",
+    # A batch drops rows whose day lies before the watermark of the batch before it, as the engine has it: two days behind the latest
+    # row of all batches but the last one.
+    "event_windows_stream": """WITH e AS (
+  SELECT event_type, ts, time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01') AS day, (epoch(ts)::BIGINT - 1704067200) // 432000 + CASE WHEN event_id % 37 = 0 THEN 2 ELSE 0 END AS b FROM events
+), n AS (SELECT b, max(ts) AS top, row_number() OVER (ORDER BY b) AS k FROM e GROUP BY b),
+m AS (SELECT b, max(top) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING) - INTERVAL 2 DAYS AS mark FROM n),
+d AS (SELECT e.*, coalesce(day + INTERVAL 1 DAY <= mark, false) AS late FROM e JOIN m USING (b))
+SELECT epoch(day)::BIGINT AS window_start, event_type, count(*) AS events FROM d WHERE NOT late GROUP BY ALL
+UNION ALL SELECT NULL, event_type, count(*) FILTER (late) FROM d GROUP BY event_type""",
 }

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..session import ship
@@ -89,13 +90,72 @@ def push(events: DataFrame, send: Callable[[DataFrame, int], None], checkpoint:
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def heartbeats(spark, seconds: int = 15) -> DataFrame:
-    """A stream with a row every so many seconds."""
-    return spark.readStream.format("rate").option("rowsPerSecond", 1).load().filter(F.col("value") % seconds == 0).select(
-        F.lit("heartbeat").alias("type"), F.col("timestamp").alias("at"))
+_BEAT = "run_id string, beat int"
+
+
+def heartbeats(events: DataFrame, seconds: float = 15.0) -> DataFrame:
+    """Stream of (run_id, type) -> (run_id, beat): a row for each ``seconds`` in which a run that goes on said nothing, numbered from 1.
+
+    A timer of processing time for each run: any event sets it anew, run_done ends it. Start the query with a trigger shorter than that.
+    """
+    ship(events.sparkSession)
+    pause = round(1000 * seconds)
+
+    def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        beat = state.get[0] if state.exists else 0
+        out = []
+        if state.hasTimedOut:
+            beat += 1
+            out.append((key[0], beat))
+            ended = False
+        else:
+            ended = any((batch.type == "run_done").any() for batch in batches)
+        if ended:
+            if state.exists:
+                state.remove()
+        else:
+            state.update((beat,))
+            state.setTimeoutDuration(pause)
+        yield pd.DataFrame(out, columns=["run_id", "beat"])
+
+    said = events.select("run_id", "type")
+    return said.groupBy("run_id").applyInPandasWithState(advance, _BEAT, "beat int", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def windowed_counts(events: DataFrame, time: str, width: str, late: str, by: list[str]) -> DataFrame:
-    """Counts in event-time windows; rows later than ``late`` are dropped by the watermark. Batch gives the same without lateness."""
+    """Counts in event-time windows, batch or stream; a stream drops rows of windows that the watermark, ``late`` behind, has passed."""
     return events.withWatermark(time, late).groupBy(F.window(time, width).alias("w"), *by).agg(F.count("*").alias("events")).select(
         F.col("w.start").alias("window_start"), *by, "events")
+
+
+def session_counts(events: DataFrame, time: str, gap: str, late: str, by: list[str]) -> DataFrame:
+    """Sessions that end after ``gap`` without an event, batch or stream (append mode only, as a session comes out when it is closed)."""
+    return events.withWatermark(time, late).groupBy(F.session_window(time, gap).alias("w"), *by).agg(F.count("*").alias("events")).select(
+        F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), *by, "events")
+
+
+def drained(counts: DataFrame, folder: str, mode: str) -> DataFrame:
+    """Runs a stream of counts over all that its source holds now and returns what came out, with the ``batch`` it came in.
+
+    The checkpoint and the output are in folder, which all executors share: a later call goes on where this one ended. A batch that is
+    run again after a loss overwrites its own output.
+    """
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+
+    query = counts.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    shape = T.StructType([*counts.schema.fields, T.StructField("batch", T.IntegerType())])
+    return counts.sparkSession.read.schema(shape).parquet(f"{folder}/out")
+
+
+def last_counts(emitted: DataFrame, keys: list[str]) -> DataFrame:
+    """The last state of each key of an update-mode stream."""
+    return emitted.groupBy(*keys).agg(F.max_by("events", "batch").alias("events"))
+
+
+def late_counts(events: DataFrame, counted: DataFrame, by: list[str]) -> DataFrame:
+    """(by, arrived, late): rows of each key that came, and how many of them no window has counted."""
+    kept = counted.groupBy(*by).agg(F.sum("events").alias("kept"))
+    return events.groupBy(*by).agg(F.count("*").alias("arrived")).join(kept, by, "left").select(
+        *by, "arrived", (F.col("arrived") - F.coalesce("kept", F.lit(0))).alias("late"))
