@@ -320,14 +320,25 @@ def min_components(nodes: DataFrame, edges: DataFrame, by: Sequence[str] = BY, m
         after = written(after, "component-round")
         now = after.drop("_moved")
         if after.filter("_moved").isEmpty():
-            break
-    return now
+            return now
+    raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
 def consensus(nodes: DataFrame, votes: DataFrame, keys: Sequence[str], voters: int, threshold: float, by: Sequence[str] = BY) -> DataFrame:
-    """Rows put together by at least the threshold's share of voters are one speaker; so are chains of such rows."""
-    edges = agreement(votes, keys, voters, by).filter(F.col("share") >= threshold)
-    return min_components(nodes.select(*by, F.col(keys[0]).alias("node")), edges, by)
+    """Rows put together by at least the threshold's share of voters are one speaker; so are chains of such rows.
+
+    Rows with equal labels by all voters are one class: pairs are made of classes, which are few, not of rows. A class that fewer voters
+    know than the threshold asks for has no links, not even among its own rows.
+    """
+    known = votes.filter("label IS NOT NULL").groupBy(*by, F.col(keys[0]).alias("node")).agg(F.array_sort(F.collect_set(F.struct("voter", "label"))).alias("labels"))
+    known = written(known.filter(F.size("labels") / voters >= threshold), "label-tuples")
+    classes = written(known.groupBy(*by, "labels").agg(F.min("node").alias("first")), "label-classes")
+    ballots = classes.select(*by, F.col("first").alias(keys[0]), F.explode("labels").alias("v")).select(*by, keys[0], "v.voter", "v.label")
+    edges = agreement(ballots, keys, voters, by).filter(F.col("share") >= threshold)
+    joined = min_components(classes.select(*by, F.col("first").alias("node")), edges, by).withColumnRenamed("node", "first")
+    of = known.join(classes, [*by, "labels"]).join(joined, [*by, "first"]).select(*by, "node", "component")
+    every = nodes.select(*by, F.col(keys[0]).alias("node"))
+    return every.join(of, [*by, "node"], "left").withColumn("component", F.coalesce("component", "node"))
 
 
 def dominant_of_cluster(counts: DataFrame, by: Sequence[str] = BY) -> DataFrame:

@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ship
-from .range_join import overlap_join, point_join
+from ..session import ship, written
+from .range_join import nearest_interval, overlap_join, point_join
 
 
 def best_path(gain: np.ndarray, starts: np.ndarray, ends: np.ndarray, switch: float, pause: float) -> np.ndarray:
@@ -30,13 +30,23 @@ def best_path(gain: np.ndarray, starts: np.ndarray, ends: np.ndarray, switch: fl
 
 def assign_words(words: DataFrame, chunks: DataFrame, by: Sequence[str], switch: float = 0.4, pause: float = 0.8, width: float = 5.0) -> DataFrame:
     """words with ``speaker`` and ``chunk_ord``: coverage by each speaker as the gain, the best path through a clip's words, then that
-    speaker's chunk with the most overlap. Coverage is joined and summed in Spark; the path is one task a clip."""
+    speaker's chunk with the most overlap.
+
+    A word that no chunk overlaps counts for the speaker of the chunk nearest to its middle; a word that no chunk of its path's speaker
+    overlaps goes to the nearest of these. So every word has a chunk where its clip has one; of equally near ones the earlier. Coverage
+    and nearness are joined in Spark; the path is one task a clip.
+    """
     ship(words.sparkSession)
     kinds = {f.name: f.dataType.simpleString() for f in words.schema}
     met = overlap_join(words.select(*by, "word_ord", "start", "end"), chunks.select(*by, "chunk_ord", "speaker", "start", "end"), by, width)
     length = F.greatest(F.col("end") - F.col("start"), F.lit(1e-6))
     per_chunk = met.groupBy(*by, "word_ord", F.col("r_speaker").alias("speaker"), F.col("r_chunk_ord").alias("chunk_ord")).agg(F.sum(F.col("overlap") / length).alias("share"))
-    gains = per_chunk.groupBy(*by, "word_ord").agg(F.collect_list(F.struct("speaker", "share")).alias("gains"))
+    intervals = chunks.select(*by, F.col("chunk_ord").alias("seg_ord"), "speaker", "start", "end")
+    middle = (F.col("start") + F.col("end")) / 2
+    alone = words.select(*by, "word_ord", middle.alias("at")).join(per_chunk, [*by, "word_ord"], "left_anti")
+    beside = nearest_interval(alone, intervals, F.col("at"), by, ["word_ord"]).filter("near_speaker IS NOT NULL")
+    heard = per_chunk.unionByName(beside.select(*by, "word_ord", F.col("near_speaker").alias("speaker"), F.col("near_ord").alias("chunk_ord"), F.lit(1.0).alias("share")))
+    gains = heard.groupBy(*by, "word_ord").agg(F.collect_list(F.struct("speaker", "share")).alias("gains"))
     rows = words.select(*by, "word_ord", "start", "end").join(gains, [*by, "word_ord"], "left")
 
     def run(clip: pd.DataFrame) -> pd.DataFrame:
@@ -54,7 +64,10 @@ def assign_words(words: DataFrame, chunks: DataFrame, by: Sequence[str], switch:
     paths = rows.groupBy(*by).applyInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in (*by, "word_ord")) + ", speaker string")
     own = per_chunk.groupBy(*by, "word_ord", "speaker").agg(F.max(F.struct("share", (-F.col("chunk_ord")).alias("o"))).alias("m"))
     own = own.select(*by, "word_ord", "speaker", (-F.col("m.o")).alias("chunk_ord"))
-    return words.join(paths, [*by, "word_ord"], "left").join(own, [*by, "word_ord", "speaker"], "left")
+    out = written(words.join(paths, [*by, "word_ord"], "left").join(own, [*by, "word_ord", "speaker"], "left"), "word-paths")
+    lost = out.filter("chunk_ord IS NULL AND speaker IS NOT NULL").select(*by, "word_ord", "speaker", middle.alias("at"))
+    near = nearest_interval(lost, intervals, F.col("at"), [*by, "speaker"], ["word_ord"]).select(*by, "word_ord", "near_ord")
+    return out.join(near, [*by, "word_ord"], "left").withColumn("chunk_ord", F.coalesce("chunk_ord", "near_ord")).drop("near_ord")
 
 
 def word_runs(labelled: DataFrame, by: Sequence[str], least_seconds: float = 2.0, least_words: int = 3) -> DataFrame:

@@ -93,13 +93,12 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def text_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = views.table(spark, sf_dir, "documents")
-    lines = F.filter(F.slice(F.split(F.col("text"), " "), 1, 12), lambda w: ~w.rlike(r"\s"))
-    short = F.array_join(lines, " ")
+    lines, whole = F.split(X.normalized(F.col("text")), " "), F.col("text")
     return d.select(
         "doc_id", X.first_filled(F.lit("  "), F.when(F.col("doc_id") % 2 == 0, F.col("lang")), F.col("source")).alias("first_filled"),
-        X.without_cjk(F.concat(F.lit("가나 "), F.coalesce(short, F.lit("")), F.lit(" 日本"))).alias("without_cjk"), X.with_directive(X.with_directive(short, "Say:"), "Say:").alias("directed"),
+        X.without_cjk(F.concat(F.lit("가나 "), F.coalesce(whole, F.lit("")), F.lit(" 日本"))).alias("without_cjk"), X.with_directive(X.with_directive(whole, "Say:"), "Say:").alias("directed"),
         X.join_tokens(lines, F.col("lang")).alias("joined"), X.join_tokens(lines, F.lit("Japanese")).alias("joined_japanese"),
-        X.share_of_words(short, F.lit(0.25), F.lit(0.75)).alias("middle"), F.round(X.cps(short, F.col("n_chars").cast("double")), 9).alias("cps"),
+        X.share_of_words(whole, F.lit(0.25), F.lit(0.75)).alias("middle"), F.round(X.cps(whole, F.col("n_chars").cast("double")), 9).alias("cps"),
     )
 
 
@@ -236,8 +235,7 @@ QUERIES = {f.__name__: f for f in (
     pairwise_stats, identity_scores, compared, best_thresholds, threshold_advice, reconciled, steps_set, canonical_parameters, event_windows,
 )}
 
-_SHORT = "array_to_string(list_filter(string_split(text, ' ')[1:12], lambda w: NOT regexp_matches(w, '\\s')), '{}')"
-_S = _SHORT.format(" ")
+_S = norm("text")
 
 ORACLE_SQL = {
     "missing_keys": "SELECT DISTINCT l.doc_id * 2 AS doc_id FROM labels l WHERE l.doc_id * 2 NOT IN (SELECT doc_id FROM documents)",
@@ -259,10 +257,10 @@ SELECT clip_id, chunk_ord, (max(struct_pack(s := s, l := label))).l AS label, ma
     "kept_columns": f"WITH {CHUNKS} SELECT speaker, chunk_id, duration FROM chunks",
     "replies": "SELECT doc_id, 'c' || doc_id AS chunk_id, source AS value FROM documents WHERE doc_id % 4 <> 3 AND source IS NOT NULL",
     "text_edits": f"""SELECT doc_id, coalesce(CASE WHEN doc_id % 2 = 0 THEN nullif(trim(lang), '') END, nullif(trim(source), ''), '') AS first_filled,
-  {norm(f"coalesce({_S}, '')")} AS without_cjk, trim('Say: ' || trim(coalesce({_S}, ''))) AS directed,
+  {norm("text")} AS without_cjk, trim('Say: ' || trim(coalesce(text, ''))) AS directed,
   array_to_string(list_filter(string_split({_S}, ' '), lambda w: trim(w) <> ''), ' ') AS joined, array_to_string(list_filter(string_split({_S}, ' '), lambda w: trim(w) <> ''), '') AS joined_japanese,
-  coalesce(array_to_string(string_split({norm(_S)}, ' ')[round_even(len(string_split({norm(_S)}, ' ')) * 0.25::DOUBLE, 0)::INT + 1:round_even(len(string_split({norm(_S)}, ' ')) * 0.75::DOUBLE, 0)::INT], ' '), '') AS middle,
-  round(CASE WHEN n_chars > 0 THEN length(regexp_replace({norm(_S)}, '\\s+', '', 'g')) / n_chars::DOUBLE ELSE 0 END, 9) AS cps FROM documents""",
+  coalesce(array_to_string(string_split({_S}, ' ')[round_even(len(string_split({_S}, ' ')) * 0.25::DOUBLE, 0)::INT + 1:round_even(len(string_split({_S}, ' ')) * 0.75::DOUBLE, 0)::INT], ' '), '') AS middle,
+  round(CASE WHEN n_chars > 0 THEN length(regexp_replace({_S}, '\\s+', '', 'g')) / n_chars::DOUBLE ELSE 0 END, 9) AS cps FROM documents""",
     "number_rules": """WITH l AS (SELECT l_orderkey AS k, l_linenumber AS n, l_discount::DOUBLE AS d, l_quantity::DOUBLE AS q FROM lineitem), z AS (SELECT *, q / 5 + 0.1::DOUBLE AS f FROM l)
 SELECT DISTINCT k, n, round(CASE WHEN d > 0 THEN greatest(-120, 20 * log10(d)) ELSE -120 END, 9)::DOUBLE AS dbfs, round(pow(10::DOUBLE, (q - 60) / 20), 12) AS amplitude,
   round(greatest(least(q, 5 + q) - 5, 0) * 5 / (q * 10 + q * 10 - greatest(least(q, 5 + q) - 5, 0) * 5), 9)::DOUBLE AS iou,
