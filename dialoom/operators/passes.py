@@ -133,6 +133,68 @@ def face_match(
     return joined_neighbours(_placed(out, 0, F.col("seg_ord"), F.lit(0)).select(*by, "speaker", "start", "end", "text", "origin", "place"), by)
 
 
+def face_relabel(
+    segments: DataFrame, frames: DataFrame, clusters: DataFrame, by: Sequence[str] = BY, fps: float = 25.0, least_score: float = 0.5,
+    evidence: int = 5, ratio: float = 0.5, background: str = "SPEAKER_BG", least_seconds: float = 1.5, run_seconds: float = 0.7,
+    hole: int = 3, least_part: float = 0.2, width: float = 5.0,
+) -> DataFrame:
+    """(by, seg_ord, part, speaker, audio_speaker, start, end, origin): what faces say about who speaks, one decision for each segment.
+
+    frames: (by, track_id, frame, score); clusters: (by, track_id, cluster). Three proposals compete; the first that a segment has wins:
+    1. split: in a segment of at least ``least_seconds`` the speaking face changes (runs of one face, holes of ``hole`` frames bridged, runs
+       of ``run_seconds`` at least); each run is a part, of the face's owner;
+    2. spread: the segment's speaker has several faces, each best in enough of its segments; those of all but the most frequent one
+       become <speaker>_v<cluster>;
+    3. match: the owner of the segment's best face is another speaker.
+    A face's owner is the speaker whose main face it is most often; a speaker's main face needs ``evidence`` speaking frames and
+    ``ratio`` of all of the speaker's. Background segments are left alone. Ties go to the label or face that sorts first.
+    """
+    spoken = segments.filter(~F.col("speaker").startswith(background) & (F.col("speaker") != ""))
+    at = spoken.select(*by, "seg_ord", "speaker", F.floor(F.col("start") * fps).alias("start"), F.floor(F.col("end") * fps).alias("end"))
+    shown = frames.join(clusters, [*by, "track_id"]).select(*by, "track_id", "cluster", "frame", "score")
+    met = written(point_join(shown, at, F.col("frame"), by, width * fps, closed=True), "faces-in-segments").withColumnsRenamed({"r_seg_ord": "seg_ord", "r_speaker": "speaker"})
+    live = F.col("score") >= least_score
+
+    per = met.filter(live).groupBy(*by, "speaker", "cluster").agg(F.count("*").alias("n"))
+    first = lambda who, c: F.min_by(who, F.struct((-F.col("n")).alias("d"), c))
+    main = per.groupBy(*by, "speaker").agg(first("cluster", "cluster").alias("cluster"), F.max("n").alias("most"), F.sum("n").alias("all")).filter((F.col("most") >= evidence) & (F.col("most") / F.col("all") >= ratio))
+    owner = main.groupBy(*by, "cluster").agg(F.min("speaker").alias("owner"))  # a speaker has one main face, so each counts once
+
+    tracks = met.groupBy(*by, "seg_ord", "speaker", "track_id", "cluster").agg(F.count_if(live).alias("n"), F.sum("score").alias("sum")).filter(F.col("n") >= evidence)
+    best = tracks.groupBy(*by, "seg_ord", "speaker").agg(F.min_by("cluster", F.struct((-F.col("sum") / F.col("n")).alias("d"), "track_id")).alias("cluster"))
+    best = written(best, "best-faces")
+    strong = best.groupBy(*by, "speaker", "cluster").agg(F.count("*").alias("n")).filter(F.col("n") >= max(2, evidence // 2))
+    ranked = strong.withColumn("r", F.row_number().over(Window.partitionBy(*by, "speaker").orderBy(F.desc("n"), "cluster"))).filter("r > 1")
+    spread = best.join(ranked.select(*by, "speaker", "cluster"), [*by, "speaker", "cluster"]).select(*by, "seg_ord", F.concat("speaker", F.lit("_v"), F.col("cluster").cast("string")).alias("spread"))
+    matched = best.join(owner, [*by, "cluster"]).select(*by, "seg_ord", F.col("owner").alias("match"))
+
+    in_seg = Window.partitionBy(*by, "seg_ord").orderBy("frame", "cluster")
+    line = met.filter(live).join(spoken.filter(F.col("end") - F.col("start") >= least_seconds).select(*by, "seg_ord"), [*by, "seg_ord"], "left_semi").select(*by, "seg_ord", "frame", "cluster")
+    new = (F.lag("cluster").over(in_seg) == F.col("cluster")) & (F.col("frame") - F.lag("frame").over(in_seg) <= hole)
+    runs = line.withColumn("run", F.sum((~F.coalesce(new, F.lit(False))).cast("int")).over(in_seg)).groupBy(*by, "seg_ord", "run").agg(
+        F.first("cluster").alias("cluster"), F.min("frame").alias("low"), F.max("frame").alias("high"))
+    runs = runs.filter(F.col("high") - F.col("low") + 1 >= max(5, int(run_seconds * fps)))
+    in_runs = Window.partitionBy(*by, "seg_ord").orderBy("run")
+    runs = runs.withColumn("same", F.col("cluster").eqNullSafe(F.lag("cluster").over(in_runs))).filter("NOT same")
+    ends = F.lead("low").over(in_runs)
+    parts = runs.withColumn("next", ends).withColumn("part", F.row_number().over(in_runs) - 1).join(segments.select(*by, "seg_ord", "start", "end"), [*by, "seg_ord"])
+    parts = parts.withColumn("from", F.when(F.col("part") == 0, F.col("start")).otherwise(F.col("low") / fps)).withColumn("to", F.coalesce(F.col("next") / fps, "end"))
+    # A part too short to stand is left out; a segment of which fewer than two are left is not split.
+    stays = parts.filter(F.col("to") - F.col("from") >= least_part).withColumn("k", F.count("*").over(Window.partitionBy(*by, "seg_ord"))).filter("k >= 2")
+    stays = stays.join(owner, [*by, "cluster"], "left").select(*by, "seg_ord", "part", "from", "to", "owner")
+
+    out = segments.select(*by, "seg_ord", "speaker", "start", "end")
+    for proposal in (spread, matched, stays):
+        out = out.join(proposal, [*by, "seg_ord"], "left")
+    split, heard = F.col("part").isNotNull(), F.col("speaker")
+    return out.select(
+        *by, "seg_ord", F.coalesce("part", F.lit(0)).cast("int").alias("part"),
+        F.when(split, F.coalesce("owner", heard)).otherwise(F.coalesce("spread", "match", heard)).alias("speaker"), heard.alias("audio_speaker"),
+        F.when(split, F.round("from", 3)).otherwise(F.col("start")).alias("start"), F.when(split, F.round("to", 3)).otherwise(F.col("end")).alias("end"),
+        F.when(split, "split").when(F.col("spread").isNotNull(), "spread").when(F.col("match") != heard, "match").otherwise("kept").alias("origin"),
+    )
+
+
 def retry_decision(
     segments: DataFrame, embed: Embed, by: Sequence[str] = BY, background: str = "SPEAKER_BG", outlier: str = "SPEAKER_9",
     distinct_below: float = 0.5, low: float = 0.3, usual: float = 0.4, high: float = 0.5,

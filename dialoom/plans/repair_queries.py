@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import passes, sweep
+from ..operators import edits, passes, sweep
 from ..session import table_path
 from . import views
-from .oracle_views import CLOCK
+from .oracle_views import CHUNKS, CLOCK
 
 CLIP = ["clip_id"]
 
@@ -56,6 +56,16 @@ def face_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passes.face_match(rows, frames, clusters, counts, fps=1.0, ratio=0.25, width=40.0)
 
 
+def face_relabel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forty frames of two tracks in each segment, the second after the first; tracks of three faces, which speakers share unevenly."""
+    rows = _spoken(spark, sf_dir).withColumn("speaker", F.when(F.col("seg_ord") % 11 == 5, F.lit("SPEAKER_BG1")).otherwise(F.concat("speaker", F.floor(F.col("seg_ord") / 40).cast("string"))))
+    seen = rows.select("clip_id", "seg_ord", "start", F.explode(F.sequence(F.lit(0), F.lit(39))).alias("k"))
+    track = F.when(F.col("k") < F.col("seg_ord") % 40, F.col("seg_ord") % 20).otherwise(F.col("seg_ord") * 7 % 20)
+    frames = seen.select("clip_id", track.alias("track_id"), (F.floor(F.col("start") * 4) + F.col("k")).alias("frame"), ((F.col("seg_ord") + F.col("k") * 3) % 9 / 8.0).alias("score"))
+    clusters = frames.select("clip_id", "track_id", (F.col("track_id") % 3).alias("cluster")).distinct()
+    return passes.face_relabel(rows, frames, clusters, fps=4.0, least_score=0.25, ratio=0.4, hole=6, width=40.0)
+
+
 def retry_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clips of 50 segments; speakers by type and other label, some of them outliers or background."""
     rows = views.on_one_clock(spark, sf_dir)
@@ -65,7 +75,45 @@ def retry_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passes.retry_decision(few, _embed(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (sweep_resumed, visual_split, face_match, retry_decision)}
+def _dubbed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks with what a dubbed row remembers."""
+    c, n = views.chunks(spark, sf_dir), F.col("chunk_ord")
+    made = {name: F.lit("x") for name in ("dub_error", "dub_input_signature", "dub_reference_wav", "tts_instruct_text", "translation_blocked_reason")}
+    return c.select("clip_id", "chunk_id", "chunk_ord", "speaker", "text_src").withColumns(made).withColumns({
+        "dub_stale": F.lit(False), "translation_blocked": F.lit(True), "tts_instruct_source": F.when(n % 2 == 0, "manual").otherwise("llm"),
+        "reference_mode_override": F.when(n % 3 == 0, "self"), "reference_chunk_id_override": F.when(n % 3 == 1, "chunk_0000"),
+    })
+
+
+def edited_speakers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, n = _dubbed(spark, sf_dir), F.col("chunk_ord")
+    wanted = rows.filter("(clip_id + chunk_ord) % 5 < 3").select(
+        "clip_id", "chunk_id", F.when(n % 4 == 0, " narrator ").when(n % 4 == 1, F.col("speaker")).alias("speaker"),
+        F.when(n % 5 == 0, "auto").when(n % 5 == 1, "self").alias("reference_mode"), F.when(n % 7 == 0, " ").when(n % 7 == 1, "chunk_0009").alias("reference_chunk_id"),
+    )
+    out = edits.edit_speakers(rows, wanted)
+    return out.select("clip_id", "chunk_id", "speaker", "speaker_original", "speaker_override", "reference_mode_override", "reference_chunk_id_override", "dub_stale", "dub_error", "dub_reference_wav")
+
+
+def edited_emotions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, n = _dubbed(spark, sf_dir), F.col("chunk_ord")
+    scores = F.create_map(F.lit("joy"), n / 4.0, F.lit("anger"), 1.0 - n / 4.0, F.lit("none"), F.lit(None).cast("double"))
+    wanted = rows.filter("(clip_id + chunk_ord) % 5 < 3").select(
+        "clip_id", "chunk_id", F.when(n % 4 == 1, "calm").alias("emotion_label"), F.when(n % 2 == 0, scores).alias("emotion_scores"),
+        F.when(n % 3 == 0, F.concat(F.lit("  slowly  日本 "), "speaker")).when(n % 3 == 1, "日本").alias("tts_instruct_text"),
+    )
+    out = edits.edit_emotions(rows, wanted, "Say:")
+    return out.select("clip_id", "chunk_id", "emotion_label", "emotion_confidence", F.try_element_at("emotion_scores", F.lit("anger")).alias("anger"), "emotion_source", "tts_instruct_text", "tts_instruct_source", "dub_stale", "dub_input_signature")
+
+
+def edited_translations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _dubbed(spark, sf_dir)
+    wanted = rows.filter("(clip_id + chunk_ord) % 5 < 3").select("clip_id", "chunk_id", F.when(F.col("chunk_ord") % 3 == 0, " ").otherwise(F.lower("text_src")).alias("text"))
+    out = edits.edit_translations(rows, wanted)
+    return out.select("clip_id", "chunk_id", "text_translated", "text_tts", "translation_blocked", "translation_blocked_reason", "dub_stale", "tts_instruct_text", "tts_instruct_source")
+
+
+QUERIES = {f.__name__: f for f in (edited_speakers, edited_emotions, edited_translations, sweep_resumed, visual_split, face_match, face_relabel, retry_decision)}
 
 _TRIALS = ", ".join(f"({i}, {t['gap']}::DOUBLE, {t['least']}::DOUBLE)" for i, t in enumerate(TRIALS, 1))
 
@@ -78,7 +126,33 @@ _JOINED = """q AS (
 SELECT clip_id, run::BIGINT AS seg_ord, arg_min(speaker, (start, k, o, n)) AS speaker, min(start) AS start, arg_max("end", (start, k, o, n)) AS "end",
   coalesce(string_agg(text, ' ' ORDER BY start, k, o, n) FILTER (text <> ''), '') AS text, arg_min(origin, (start, k, o, n)) AS origin FROM y GROUP BY clip_id, run"""
 
+_EDITED = f"""WITH {CHUNKS}, r AS (
+  SELECT *, (clip_id + chunk_ord) % 5 < 3 AS hit, CASE WHEN chunk_ord % 2 = 0 THEN 'manual' ELSE 'llm' END AS src,
+    CASE WHEN chunk_ord % 3 = 0 THEN 'self' END AS mode0, CASE WHEN chunk_ord % 3 = 1 THEN 'chunk_0000' END AS ref0 FROM chunks
+)"""
+
 ORACLE_SQL = {
+    "edited_speakers": _EDITED + """, e AS (
+  SELECT *, hit AND chunk_ord % 4 = 0 AS renamed, CASE WHEN hit AND chunk_ord % 5 = 0 THEN 'auto' WHEN hit AND chunk_ord % 5 = 1 THEN 'self' END AS m,
+    CASE WHEN hit AND chunk_ord % 7 = 0 THEN '' WHEN hit AND chunk_ord % 7 = 1 THEN 'chunk_0009' END AS f FROM r
+), n AS (
+  SELECT *, CASE WHEN m = 'auto' THEN NULL ELSE coalesce(m, mode0) END AS mode1, CASE WHEN f = '' THEN NULL WHEN f IS NOT NULL THEN f WHEN m IS NOT NULL THEN NULL ELSE ref0 END AS ref1 FROM e
+), c AS (SELECT *, hit AND (renamed OR mode1 IS DISTINCT FROM mode0 OR ref1 IS DISTINCT FROM ref0) AS changed FROM n)
+SELECT clip_id, chunk_id, CASE WHEN renamed THEN 'narrator' ELSE speaker END AS speaker, CASE WHEN renamed THEN speaker END AS speaker_original, CASE WHEN renamed THEN true END AS speaker_override,
+  mode1 AS reference_mode_override, ref1 AS reference_chunk_id_override, changed AS dub_stale, CASE WHEN NOT changed THEN 'x' END AS dub_error, CASE WHEN NOT changed THEN 'x' END AS dub_reference_wav FROM c""",
+    "edited_emotions": _EDITED + """, e AS (
+  SELECT *, hit AND chunk_ord % 2 = 0 AS scored, hit AND chunk_ord % 4 = 1 AS named, hit AND chunk_ord % 3 < 2 AS told,
+    greatest(0, least(1, chunk_ord / 4.0::DOUBLE)) AS joy, greatest(0, least(1, 1 - chunk_ord / 4.0::DOUBLE)) AS anger FROM r
+), d AS (SELECT *, (scored OR named) AND NOT told AND src <> 'manual' AS dropped FROM e)
+SELECT clip_id, chunk_id, CASE WHEN named THEN 'calm' WHEN scored THEN CASE WHEN joy > anger THEN 'joy' ELSE 'anger' END END AS emotion_label,
+  CASE WHEN scored THEN greatest(joy, anger) END AS emotion_confidence, CASE WHEN scored THEN anger END AS anger, CASE WHEN scored OR named THEN 'manual' END AS emotion_source,
+  CASE WHEN told THEN CASE WHEN chunk_ord % 3 = 0 THEN 'Say: slowly ' || speaker END WHEN NOT dropped THEN 'x' END AS tts_instruct_text,
+  CASE WHEN told THEN CASE WHEN chunk_ord % 3 = 0 THEN 'manual' END WHEN NOT dropped THEN src END AS tts_instruct_source,
+  scored OR named OR told AS dub_stale, CASE WHEN NOT (scored OR named OR told) THEN 'x' END AS dub_input_signature FROM d""",
+    "edited_translations": _EDITED + """, e AS (SELECT *, CASE WHEN hit THEN CASE WHEN chunk_ord % 3 = 0 THEN ' ' ELSE lower(text_src) END END AS t FROM r)
+SELECT clip_id, chunk_id, t AS text_translated, t AS text_tts, CASE WHEN t IS NULL OR NOT regexp_matches(t, '\\S') THEN true END AS translation_blocked,
+  CASE WHEN t IS NULL OR NOT regexp_matches(t, '\\S') THEN 'x' END AS translation_blocked_reason, t IS NOT NULL AS dub_stale,
+  CASE WHEN t IS NULL THEN 'x' END AS tts_instruct_text, CASE WHEN t IS NULL THEN src END AS tts_instruct_source FROM e""",
     "sweep_resumed": f"""WITH {CLOCK}, t(trial, gap, least) AS (VALUES {_TRIALS}), a AS (
   SELECT clk.*, t.*, lag(speaker) OVER w IS DISTINCT FROM speaker AS switched FROM clk, t WINDOW w AS (PARTITION BY clip_id, trial ORDER BY start, seg_ord)
 ), b AS (SELECT *, sum(switched::INT) OVER (PARTITION BY clip_id, trial ORDER BY start, seg_ord) AS stretch FROM a),
@@ -153,4 +227,33 @@ x AS (
   SELECT *, CASE WHEN n_main + n_outlier < 5 THEN 'retry_higher' WHEN n_main + n_outlier > 12 THEN 'retry_lower' WHEN n_outlier > 2 * n_main AND n_main <= 2 THEN 'retry_lower'
     WHEN n_main <= 4 AND voice_diversity >= 0.4 THEN 'retry_higher' ELSE 'accept' END AS action FROM o
 ) SELECT *, CASE action WHEN 'accept' THEN 0.4 WHEN 'retry_lower' THEN 0.3 ELSE 0.5 END::DOUBLE AS threshold FROM x""",
+    "face_relabel": f"""WITH {CLOCK}, s AS (
+  SELECT clip_id, seg_ord, CASE WHEN seg_ord % 11 = 5 THEN 'SPEAKER_BG1' ELSE speaker || (seg_ord // 40) END AS speaker, start, "end" FROM clk
+), fr AS (
+  SELECT clip_id, CASE WHEN k < seg_ord % 40 THEN seg_ord % 20 ELSE seg_ord * 7 % 20 END AS track, floor(start * 4)::BIGINT + k AS f, (seg_ord + k * 3) % 9 / 8.0::DOUBLE AS score FROM s, range(40) t(k)
+), m AS (
+  SELECT s.clip_id, s.seg_ord, s.speaker, s.start, s."end", fr.track, fr.track % 3 AS c, fr.f, fr.score, score >= 0.25 AS live FROM s JOIN fr ON fr.clip_id = s.clip_id
+    AND fr.f BETWEEN floor(s.start * 4)::BIGINT AND floor(s."end" * 4)::BIGINT WHERE NOT starts_with(s.speaker, 'SPEAKER_BG')
+), per AS (SELECT clip_id, speaker, c, count(*) AS n FROM m WHERE live GROUP BY ALL),
+mn AS (SELECT clip_id, speaker, arg_min(c, (-n, c)) AS c, max(n) AS most, sum(n) AS a FROM per GROUP BY ALL HAVING max(n) >= 5 AND max(n) / sum(n) >= 0.4),
+own AS (SELECT clip_id, c, min(speaker) AS owner FROM mn GROUP BY ALL),
+tr AS (SELECT clip_id, seg_ord, speaker, track, c, count(*) FILTER (live) AS n, sum(score) AS s FROM m GROUP BY ALL HAVING count(*) FILTER (live) >= 5),
+best AS (SELECT clip_id, seg_ord, speaker, arg_min(c, (-s / n, track)) AS c FROM tr GROUP BY ALL),
+st AS (SELECT clip_id, speaker, c, count(*) AS n FROM best GROUP BY ALL HAVING count(*) >= 2),
+rk AS (SELECT *, row_number() OVER (PARTITION BY clip_id, speaker ORDER BY n DESC, c) AS r FROM st),
+sp AS (SELECT b.clip_id, b.seg_ord, b.speaker || '_v' || b.c AS spread FROM best b JOIN rk ON rk.clip_id = b.clip_id AND rk.speaker = b.speaker AND rk.c = b.c WHERE r > 1),
+mt AS (SELECT b.clip_id, b.seg_ord, owner AS "match" FROM best b JOIN own ON own.clip_id = b.clip_id AND own.c = b.c),
+l AS (SELECT *, lag(c) OVER w IS NOT DISTINCT FROM c AND f - lag(f) OVER w <= 6 AS j FROM m WHERE live AND "end" - start >= 1.5 WINDOW w AS (PARTITION BY clip_id, seg_ord ORDER BY f, c)),
+l2 AS (SELECT *, sum((NOT j)::INT) OVER (PARTITION BY clip_id, seg_ord ORDER BY f, c) AS run FROM l),
+ru AS (SELECT clip_id, seg_ord, run, any_value(c) AS c, min(f) AS lo, max(f) AS hi FROM l2 GROUP BY ALL HAVING max(f) - min(f) + 1 >= 5),
+r2 AS (SELECT *, lag(c) OVER (PARTITION BY clip_id, seg_ord ORDER BY run) IS NOT DISTINCT FROM c AS same FROM ru),
+r3 AS (SELECT *, lead(lo) OVER w AS nx, row_number() OVER w - 1 AS part FROM r2 WHERE NOT same WINDOW w AS (PARTITION BY clip_id, seg_ord ORDER BY run)),
+p AS (
+  SELECT r3.*, CASE WHEN part = 0 THEN s.start ELSE lo / 4.0::DOUBLE END AS a, coalesce(nx / 4.0::DOUBLE, s."end") AS b FROM r3 JOIN s ON s.clip_id = r3.clip_id AND s.seg_ord = r3.seg_ord
+), p2 AS (SELECT *, count(*) OVER (PARTITION BY clip_id, seg_ord) AS k FROM p WHERE b - a >= 0.2),
+p3 AS (SELECT p2.clip_id, p2.seg_ord, part, a, b, owner FROM p2 LEFT JOIN own ON own.clip_id = p2.clip_id AND own.c = p2.c WHERE k >= 2)
+SELECT s.clip_id, s.seg_ord, coalesce(part, 0)::INT AS part, CASE WHEN part IS NOT NULL THEN coalesce(owner, speaker) ELSE coalesce(spread, "match", speaker) END AS speaker, speaker AS audio_speaker,
+  CASE WHEN part IS NOT NULL THEN round(a, 3) ELSE start END AS start, CASE WHEN part IS NOT NULL THEN round(b, 3) ELSE "end" END AS "end",
+  CASE WHEN part IS NOT NULL THEN 'split' WHEN spread IS NOT NULL THEN 'spread' WHEN "match" <> speaker THEN 'match' ELSE 'kept' END AS origin
+FROM s LEFT JOIN sp ON sp.clip_id = s.clip_id AND sp.seg_ord = s.seg_ord LEFT JOIN mt ON mt.clip_id = s.clip_id AND mt.seg_ord = s.seg_ord LEFT JOIN p3 ON p3.clip_id = s.clip_id AND p3.seg_ord = s.seg_ord""",
 }
