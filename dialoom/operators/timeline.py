@@ -67,6 +67,17 @@ def signature(*columns: Column, places: int = 6) -> Column:
     return F.sha2(F.to_json(F.array(*parts)), 256)
 
 
+def file_signature(rows: DataFrame, listing: DataFrame, file: str, columns: Sequence[str], places: int = 3) -> DataFrame:
+    """rows with a ``signature`` of the columns and of the file they name: listing (path, length, modified), as ``sources.artifacts`` has it.
+
+    A file that is written again, even with the same length, gives another signature; so does one that is gone or comes back.
+    """
+    found = listing.select(F.col("path").alias(file), F.col("length").alias("_length"), F.unix_micros("modified").alias("_modified"))
+    met = rows.join(found, file, "left")
+    own = [F.col(c) for c in (file, *columns)]
+    return met.withColumn("signature", signature(*own, F.col("_length").cast("string"), F.col("_modified").cast("string"), places=places)).drop("_length", "_modified")
+
+
 def _is_text(c: Column) -> Column:
     return F.typeof(c).isin("string", "boolean", "date", "timestamp", "timestamp_ntz")
 

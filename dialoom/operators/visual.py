@@ -81,11 +81,14 @@ def largest_boxes(frames: DataFrame, k: int = 7, by: Sequence[str] = BY) -> Data
 def chain_boxes(boxes: list[tuple[int, tuple]], least_iou: float, hole: int) -> list[int]:
     """Track numbers of (frame, box) in frame order: a box joins the track whose last box it overlaps most, not too long ago."""
     tracks: list[tuple[int, np.ndarray]] = []
+    live: list[int] = []
     out = []
     for frame, box in boxes:
         b, best, found = np.asarray(box, float), least_iou, -1
-        for k, (last, a) in enumerate(tracks):
-            if 0 < frame - last <= hole:
+        live = [k for k in live if frame - tracks[k][0] <= hole]  # an ended track is never looked at again
+        for k in live:
+            last, a = tracks[k]
+            if 0 < frame - last:
                 side = np.maximum(np.minimum(a[2:], b[2:]) - np.maximum(a[:2], b[:2]), 0)
                 common = side[0] * side[1]
                 union = np.prod(a[2:] - a[:2]) + np.prod(b[2:] - b[:2]) - common
@@ -94,6 +97,7 @@ def chain_boxes(boxes: list[tuple[int, tuple]], least_iou: float, hole: int) ->
         if found < 0:
             tracks.append((frame, b))
             found = len(tracks) - 1
+            live.append(found)
         else:
             tracks[found] = (frame, b)
         out.append(found)
@@ -112,3 +116,17 @@ def track_boxes(boxes: DataFrame, least_iou: float = 0.5, hole: int = 10, least_
 
     shape = ", ".join(f"{k} {kinds[k]}" for k in by) + ", frame long, bbox array<double>, track int"
     return boxes.select(*by, "frame", "bbox").groupBy(*by).applyInPandas(run, shape)
+
+
+def interpolated(tracks: DataFrame, least_face: float = 1.0, by: Sequence[str] = ("shot_id",)) -> DataFrame:
+    """(by, track, frame, bbox): tracks with a box for each frame from their first to their last, those between two detections on the
+    line between them; of tracks whose mean width or mean height is above ``least_face``."""
+    w = Window.partitionBy(*by, "track").orderBy("frame")
+    pairs = tracks.withColumn("_f", F.lead("frame").over(w)).withColumn("_b", F.lead("bbox").over(w))
+    every = pairs.select(*by, "track", F.col("frame").alias("_a"), "bbox", "_f", "_b", F.explode(F.sequence("frame", F.coalesce(F.col("_f") - 1, "frame"))).alias("frame"))
+    share = (F.col("frame") - F.col("_a")) / (F.col("_f") - F.col("_a"))
+    between = F.zip_with("bbox", "_b", lambda x, y: x + (y - x) * share)
+    filled = every.select(*by, "track", "frame", F.when(F.col("_b").isNull(), F.col("bbox")).otherwise(between).alias("bbox"))
+    side = lambda i: F.avg(F.get("bbox", F.lit(i + 2)) - F.get("bbox", F.lit(i)))
+    large = filled.groupBy(*by, "track").agg(F.greatest(side(0), side(1)).alias("_s")).filter(F.col("_s") > least_face)
+    return filled.join(large.select(*by, "track"), [*by, "track"], "left_semi")

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import edits, passes, sweep
-from ..session import table_path
+from ..functions import sql
+from ..operators import edits, passes, sweep, timeline, visual
+from ..session import table_path, written
+from ..sources import tables
 from . import views
 from .oracle_views import CHUNKS, CLOCK
 
@@ -113,7 +115,46 @@ def edited_translations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("clip_id", "chunk_id", "text_translated", "text_tts", "translation_blocked", "translation_blocked_reason", "dub_stale", "tts_instruct_text", "tts_instruct_source")
 
 
-QUERIES = {f.__name__: f for f in (edited_speakers, edited_emotions, edited_translations, sweep_resumed, visual_split, face_match, face_relabel, retry_decision)}
+def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of each clip by the table function, and the longest pause of each speaker between them by the aggregate, all in SQL."""
+    sql.register(spark)
+    return spark.sql("""
+        WITH turns AS (
+          SELECT * FROM speaker_turns(TABLE(SELECT clip_id, speaker, start, end, seg_ord FROM {rows}) PARTITION BY clip_id ORDER BY (start, seg_ord))
+        )
+        SELECT * FROM (SELECT clip_id, speaker, count(*) AS turns, sum(segments) AS segments, max(end - start) AS longest FROM turns GROUP BY clip_id, speaker)
+        JOIN (SELECT clip_id, speaker, longest_pause(start, end) AS pause FROM turns GROUP BY clip_id, speaker) USING (clip_id, speaker)
+    """, rows=views.on_one_clock(spark, sf_dir).withColumn("clip_id", F.col("clip_id").cast("long")))
+
+
+def interpolated_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shots of 50 frames with one moving face, of which every seventh frame has no detection; faces of different sizes."""
+    rows = views.on_one_clock(spark, sf_dir).filter("seg_ord % 7 <> 3")
+    frame, shot = F.col("seg_ord") % 50, F.col("clip_id") * 20 + F.floor(F.col("seg_ord") / 50)
+    x, size = frame * 0.5 + F.col("seg_ord") % 3, 40.0 + shot % 5 * 20.0
+    boxes = rows.select(shot.cast("long").alias("shot_id"), frame.cast("long").alias("frame"), F.array(x, x + 1, x + size, x + 1 + size / 2).alias("bbox"))
+    out = visual.interpolated(visual.track_boxes(boxes), 70.0)
+    return out.select("shot_id", "track", "frame", *[F.round(F.get("bbox", F.lit(i)), 9).alias(n) for i, n in enumerate(("x1", "y1", "x2", "y2"))])
+
+
+def file_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders in files of twenty parts, a third of which is written again: what is stale."""
+    orders = views.table(spark, sf_dir, "orders").withColumn("part", (F.col("o_orderkey") % 20).cast("int"))
+    rows = orders.groupBy("part").agg(F.sum("o_totalprice").alias("total")).withColumn("file", F.concat(F.lit("part="), F.col("part").cast("string")))
+    path = table_path(spark, "order-parts")
+
+    def signed() -> DataFrame:
+        listed = tables.artifacts(spark, f"{path}/part=*/*.parquet").groupBy(F.regexp_extract("path", r"part=\d+", 0).alias("path")).agg(F.sum("length").alias("length"), F.max("modified").alias("modified"))
+        return written(timeline.file_signature(rows, listed, "file", ["total"]), "signed-files")
+
+    orders.repartition("part").write.partitionBy("part").parquet(path)
+    before = signed().withColumn("output", F.lit("x"))
+    again = orders.filter("part % 3 = 0").repartition("part")
+    again.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
+    return timeline.staleness(signed(), before, ["part"]).select("part", "state")
+
+
+QUERIES = {f.__name__: f for f in (sql_functions, interpolated_tracks, file_signatures, edited_speakers, edited_emotions, edited_translations, sweep_resumed, visual_split, face_match, face_relabel, retry_decision)}
 
 _TRIALS = ", ".join(f"({i}, {t['gap']}::DOUBLE, {t['least']}::DOUBLE)" for i, t in enumerate(TRIALS, 1))
 
@@ -256,4 +297,16 @@ SELECT s.clip_id, s.seg_ord, coalesce(part, 0)::INT AS part, CASE WHEN part IS N
   CASE WHEN part IS NOT NULL THEN round(a, 3) ELSE start END AS start, CASE WHEN part IS NOT NULL THEN round(b, 3) ELSE "end" END AS "end",
   CASE WHEN part IS NOT NULL THEN 'split' WHEN spread IS NOT NULL THEN 'spread' WHEN "match" <> speaker THEN 'match' ELSE 'kept' END AS origin
 FROM s LEFT JOIN sp ON sp.clip_id = s.clip_id AND sp.seg_ord = s.seg_ord LEFT JOIN mt ON mt.clip_id = s.clip_id AND mt.seg_ord = s.seg_ord LEFT JOIN p3 ON p3.clip_id = s.clip_id AND p3.seg_ord = s.seg_ord""",
+    "sql_functions": f"""WITH {CLOCK}, a AS (SELECT *, lag(speaker) OVER w IS DISTINCT FROM speaker AS new FROM clk WINDOW w AS (PARTITION BY clip_id ORDER BY start, seg_ord)),
+b AS (SELECT *, sum(new::INT) OVER (PARTITION BY clip_id ORDER BY start, seg_ord) AS turn FROM a),
+t AS (SELECT clip_id, turn, any_value(speaker) AS speaker, min(start) AS start, max("end") AS "end", count(*) AS segments FROM b GROUP BY clip_id, turn),
+p AS (SELECT *, start - max("end") OVER (PARTITION BY clip_id, speaker ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pause FROM t)
+SELECT clip_id, speaker, count(*) AS turns, sum(segments)::BIGINT AS segments, max("end" - start) AS longest, greatest(0, coalesce(max(pause), 0))::DOUBLE AS pause FROM p GROUP BY ALL""",
+    "interpolated_tracks": f"""WITH {CLOCK}, b AS (
+  SELECT clip_id * 20 + seg_ord // 50 AS shot_id, seg_ord % 50 AS frame, (seg_ord % 50) * 0.5::DOUBLE + seg_ord % 3 AS x FROM clk WHERE seg_ord % 7 <> 3
+), n AS (SELECT *, 40.0::DOUBLE + shot_id % 5 * 20.0::DOUBLE AS size, lead(frame) OVER w AS nf, lead(x) OVER w AS nx FROM b WINDOW w AS (PARTITION BY shot_id ORDER BY frame)),
+e AS (SELECT shot_id, size, unnest(range(frame, coalesce(nf, frame + 1))) AS f, frame, x, nf, nx FROM n WHERE size > 70),
+i AS (SELECT shot_id, size, f, CASE WHEN nf IS NULL THEN x ELSE x + (nx - x) * ((f - frame) / (nf - frame)::DOUBLE) END AS x FROM e)
+SELECT shot_id, 0 AS track, f AS frame, round(x, 9) AS x1, round(x + 1, 9) AS y1, round(x + size, 9) AS x2, round(x + 1 + size / 2, 9) AS y2 FROM i""",
+    "file_signatures": "SELECT DISTINCT (o_orderkey % 20)::INT AS part, CASE WHEN o_orderkey % 20 % 3 = 0 THEN 'stale' ELSE 'fresh' END AS state FROM orders",
 }
