@@ -107,6 +107,60 @@ def visual_split(
     return joined_neighbours(cut.unionByName(added), by)
 
 
+def focused_split(
+    segments: DataFrame, parts: DataFrame, gap_parts: DataFrame, pitch: DataFrame, embed: Embed, by: Sequence[str] = BY, total: DataFrame | None = None,
+    least_seconds: float = 1.5, least_part: float = 0.4, join_gap: float = 0.2, least_gap: float = 2.0, higher: float = 30.0, width: float = 5.0,
+) -> DataFrame:
+    """Segments cut where a second model, run on each one alone, hears several voices; its speech in gaps added.
+
+    parts: (by, seg_ord, label, start, end), the second model's segments within each long segment; gap_parts: (by, start, end), those it
+    finds where nobody speaks; pitch: (by, t, f0), null where there is none. A segment's parts of one label are joined, clipped to it,
+    given the most similar speaker's voice, and take its place if they are at least two and of two speakers; words go by shares of time,
+    one at least to each part, the rest to the last. Speech in a gap has the most similar voice too, but if its median pitch is more
+    than ``higher`` above every speaker's, it goes to the speaker of nearest pitch. Neighbours of one speaker are joined in the end.
+    """
+    segments = segments.select(*by, "seg_ord", "speaker", "start", "end", normalized(F.col("text")).alias("text"))
+    voice = written(voices(segments, embed, by), "voices")
+    long = segments.filter(F.col("end") - F.col("start") >= least_seconds).select(*by, "seg_ord", F.col("start").alias("_from"), F.col("end").alias("_to"))
+    w = Window.partitionBy(*by, "seg_ord").orderBy("start", "end", "label")
+    same = F.lag("label").over(w).eqNullSafe(F.col("label")) & (F.col("start") - F.lag("end").over(w) <= join_gap)
+    runs = parts.withColumn("_run", F.sum((~F.coalesce(same, F.lit(False))).cast("int")).over(w)).groupBy(*by, "seg_ord", "_run").agg(
+        F.first("label").alias("label"), F.min("start").alias("start"), F.max_by("end", F.struct("start", "end")).alias("end"))
+    in_seg = Window.partitionBy(*by, "seg_ord")
+    runs = runs.withColumn("_labels", F.size(F.collect_set("label").over(in_seg))).filter("_labels >= 2").join(long, [*by, "seg_ord"])
+    clipped = runs.select(*by, "seg_ord", F.greatest("start", "_from").alias("start"), F.least("end", "_to").alias("end")).filter(F.col("end") - F.col("start") >= least_part)
+    named = nearest_voice(embed(clipped).filter("embedding IS NOT NULL"), voice, ["seg_ord", "start", "end"], by)
+    several = named.withColumn("_n", F.size(F.collect_set("best").over(in_seg))).filter("_n >= 2").drop("_n")
+    in_order = in_seg.orderBy("start", "end")
+    length, words = F.col("end") - F.col("start"), F.split("text", " ")
+    dealt = several.join(segments.select(*by, "seg_ord", "text"), [*by, "seg_ord"]).withColumn("_words", F.when(F.col("text") == "", 0).otherwise(F.size(words)))
+    dealt = dealt.withColumn("_take", F.greatest(F.lit(1), F.bround(F.col("_words") * length / F.sum(length).over(in_seg)).cast("int")))
+    dealt = dealt.withColumn("_at", F.coalesce(F.sum("_take").over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    last = F.lead("start").over(in_order).isNull()
+    dealt = dealt.withColumn("_take", F.when(last, F.greatest(F.col("_words") - F.col("_at"), F.lit(0))).otherwise(F.col("_take")))
+    given = F.when(F.col("_words") > 0, F.array_join(F.slice(words, F.col("_at").cast("int") + 1, F.col("_take").cast("int")), " ")).otherwise("")
+    cut = dealt.select(*by, "seg_ord", F.col("best").alias("speaker"), "start", "end", given.alias("text"), F.lit("focused").alias("origin"), F.row_number().over(in_order).alias("n"))
+    whole = segments.join(cut.select(*by, "seg_ord").distinct(), [*by, "seg_ord"], "left_anti").select(*by, "seg_ord", "speaker", "start", "end", "text", F.lit("kept").alias("origin"), F.lit(0).alias("n"))
+    now = written(_placed(whole.unionByName(cut), 0, F.col("seg_ord"), F.col("n")).drop("seg_ord", "n"), "focused-segments")
+
+    def median_pitch(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+        """(by, keys, f0) where at least three voiced frames lie within."""
+        met = point_join(pitch.filter("f0 IS NOT NULL"), rows.select(*by, *keys, "start", "end"), F.col("t"), by, width)
+        return met.groupBy(*by, *[F.col(f"r_{k}").alias(k) for k in keys]).agg(F.median("f0").alias("f0"), F.count("*").alias("_n")).filter("_n >= 3").drop("_n")
+
+    spoken = median_pitch(segments.filter(F.col("end") - F.col("start") >= 1.0), ["seg_ord", "speaker"])
+    usual = written(spoken.groupBy(*by, "speaker").agg(F.median("f0").alias("usual")).join(voice.select(*by, F.col("label").alias("speaker")), [*by, "speaker"]), "pitches")
+    heard = overlap_join(holes(now, by, least_gap, least_gap, total), gap_parts.select(*by, "start", "end"), by, width)
+    heard = heard.select(*by, F.greatest("start", "r_start").alias("start"), F.least("end", "r_end").alias("end")).filter(F.col("end") - F.col("start") >= least_part).distinct()
+    heard = written(heard.withColumn("at", F.col("start")).withColumn("to", F.col("end")), "gap-parts")
+    near = nearest_voice(embed(heard).filter("embedding IS NOT NULL"), voice, ["start", "end"], by)
+    tone = median_pitch(heard, ["at", "to"]).join(usual, list(by)).groupBy(*by, F.col("at").alias("start"), F.col("to").alias("end")).agg(
+        F.min_by("speaker", F.struct(F.abs(F.col("f0") - F.col("usual")).alias("d"), "speaker")).alias("by_pitch"), (F.first("f0") > F.max("usual") + higher).alias("above"))
+    added = near.join(tone, [*by, "start", "end"], "left").withColumn("speaker", F.when(F.coalesce("above", F.lit(False)), F.col("by_pitch")).otherwise(F.col("best")))
+    added = _placed(added, 1, F.lit(0), F.lit(0)).select(*by, "speaker", "start", "end", F.lit("").alias("text"), F.lit("gap").alias("origin"), "place")
+    return joined_neighbours(now.unionByName(added), by)
+
+
 def face_match(
     segments: DataFrame, frames: DataFrame, clusters: DataFrame, counts: DataFrame, by: Sequence[str] = BY, fps: float = 25.0,
     least_frames: int = 3, least_score: float = 0.5, ratio: float = 0.5, background: str = "SPEAKER_BG", width: float = 5.0,

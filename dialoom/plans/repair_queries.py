@@ -48,6 +48,20 @@ def visual_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passes.visual_split(rows, runs, _embed(spark, sf_dir), total=total, least_sim=0.15, margin=0.1, width=40.0)
 
 
+def focused_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second model hears each segment as stretches of 2 to 5 s with two labels, and one stretch after its end; a pitch each second."""
+    rows = _spoken(spark, sf_dir)
+    step = 2.0 + F.col("seg_ord") % 7 / 2.0
+    cuts = rows.select("clip_id", "seg_ord", "start", "end", step.alias("step"), F.explode(F.sequence(F.lit(0), F.lit(5))).alias("k"))
+    parts = cuts.select("clip_id", "seg_ord", F.concat(F.lit("x"), (F.col("k") * (F.col("seg_ord") % 3 + 1) % 4 / 2).cast("int").cast("string")).alias("label"),
+        (F.col("start") + F.col("k") * F.col("step") - 0.5).alias("start"), (F.col("start") + (F.col("k") + 1) * F.col("step") - 0.625).alias("end"))
+    lone = rows.select("clip_id", (F.col("end") + 1.5).alias("start"), (F.col("end") + 6.25).alias("end"))
+    pitch = rows.select("clip_id", F.floor("start").alias("t0"), "seg_ord", F.explode(F.sequence(F.lit(0), F.lit(29))).alias("k")).select(
+        "clip_id", (F.col("t0") + F.col("k")).cast("double").alias("t"), F.when((F.col("seg_ord") + F.col("k")) % 5 > 0, 100.0 + (F.col("seg_ord") * 13 + F.col("k")) % 90).alias("f0"))
+    total = rows.select("clip_id", F.lit(30_100.0).alias("seconds")).distinct()
+    return passes.focused_split(rows, parts, lone, pitch, _embed(spark, sf_dir), total=total, higher=5.0, width=40.0)
+
+
 def face_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten frames of a track in each segment; tracks of seven faces."""
     rows = _spoken(spark, sf_dir).withColumn("speaker", F.when(F.col("seg_ord") % 11 == 5, F.lit("SPEAKER_BG1")).otherwise(F.col("speaker")))
@@ -154,7 +168,7 @@ def file_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeline.staleness(signed(), before, ["part"]).select("part", "state")
 
 
-QUERIES = {f.__name__: f for f in (sql_functions, interpolated_tracks, file_signatures, edited_speakers, edited_emotions, edited_translations, sweep_resumed, visual_split, face_match, face_relabel, retry_decision)}
+QUERIES = {f.__name__: f for f in (sql_functions, interpolated_tracks, file_signatures, edited_speakers, edited_emotions, edited_translations, sweep_resumed, visual_split, focused_split, face_match, face_relabel, retry_decision)}
 
 _TRIALS = ", ".join(f"({i}, {t['gap']}::DOUBLE, {t['least']}::DOUBLE)" for i, t in enumerate(TRIALS, 1))
 
@@ -309,4 +323,45 @@ e AS (SELECT shot_id, size, unnest(range(frame, coalesce(nf, frame + 1))) AS f,
 i AS (SELECT shot_id, size, f, CASE WHEN nf IS NULL THEN x ELSE x + (nx - x) * ((f - frame) / (nf - frame)::DOUBLE) END AS x FROM e)
 SELECT shot_id, 0 AS track, f AS frame, round(x, 9) AS x1, round(x + 1, 9) AS y1, round(x + size, 9) AS x2, round(x + 1 + size / 2, 9) AS y2 FROM i""",
     "file_signatures": "SELECT DISTINCT (o_orderkey % 20)::INT AS part, CASE WHEN o_orderkey % 20 % 3 = 0 THEN 'stale' ELSE 'fresh' END AS state FROM orders",
+    "focused_split": f"""WITH {CLOCK}, {_VOICE}, s AS (
+  SELECT clip_id, seg_ord, speaker, start, "end", ['' || seg_ord, 'one', 'two', 'three', 'four', 'five', 'six'] AS w FROM clk
+), c0 AS (SELECT clip_id, speaker, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM s JOIN vec ON vec.id = {_VEC.format(r="s")} WHERE "end" - start >= 0.5),
+c1 AS (SELECT clip_id, speaker, i, avg(x) AS x FROM c0 GROUP BY ALL), c2 AS (SELECT clip_id, speaker, list(x ORDER BY i) AS c FROM c1 GROUP BY ALL),
+cent AS (SELECT clip_id, speaker AS label, list_transform(c, lambda x: x / sqrt(list_dot_product(c, c))) AS c FROM c2),
+pt AS (
+  SELECT clip_id, seg_ord, (k * (seg_ord % 3 + 1) % 4) // 2 AS label, start + k * (2.0::DOUBLE + seg_ord % 7 / 2.0::DOUBLE) - 0.5 AS a, start + (k + 1) * (2.0::DOUBLE + seg_ord % 7 / 2.0::DOUBLE) - 0.625 AS b
+  FROM s, range(6) t(k)
+), p1 AS (SELECT *, coalesce(lag(label) OVER w = label AND a - lag(b) OVER w <= 0.2, false) AS same FROM pt WINDOW w AS (PARTITION BY clip_id, seg_ord ORDER BY a, b)),
+p2 AS (SELECT *, sum((NOT same)::INT) OVER (PARTITION BY clip_id, seg_ord ORDER BY a, b) AS run FROM p1),
+p3 AS (SELECT clip_id, seg_ord, run, any_value(label) AS label, min(a) AS a, max(b) AS b FROM p2 GROUP BY ALL),
+p4 AS (
+  SELECT s.clip_id, s.seg_ord, greatest(a, s.start) AS start, least(b, s."end") AS "end" FROM p3 JOIN s ON s.clip_id = p3.clip_id AND s.seg_ord = p3.seg_ord
+  WHERE s."end" - s.start >= 1.5 AND least(b, s."end") - greatest(a, s.start) >= 0.4 AND (s.clip_id, s.seg_ord) IN (SELECT (clip_id, seg_ord) FROM p3 GROUP BY clip_id, seg_ord HAVING count(DISTINCT label) >= 2)
+), p5 AS (SELECT p4.*, label, list_dot_product(v, c) AS sim FROM p4 JOIN vec ON vec.id = {_VEC.format(r="p4")} JOIN cent ON cent.clip_id = p4.clip_id),
+p6 AS (SELECT clip_id, seg_ord, start, "end", arg_min(label, (-sim, label)) AS best FROM p5 GROUP BY ALL),
+p7 AS (SELECT *, count(*) OVER w AS n, sum("end" - start) OVER w AS total, row_number() OVER (PARTITION BY clip_id, seg_ord ORDER BY start, "end") AS i FROM p6 WINDOW w AS (PARTITION BY clip_id, seg_ord)),
+sv AS (SELECT clip_id, seg_ord FROM p6 GROUP BY ALL HAVING count(DISTINCT best) >= 2),
+p8 AS (SELECT p7.*, greatest(1, round_even(7 * ("end" - start) / total, 0)::INT) AS take FROM p7 SEMI JOIN sv USING (clip_id, seg_ord)),
+p9 AS (SELECT *, coalesce(sum(take) OVER (PARTITION BY clip_id, seg_ord ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS skip FROM p8),
+now AS (
+  SELECT s.clip_id, s.seg_ord AS o, 0 AS k, 0::BIGINT AS n, start, "end", speaker, array_to_string(w, ' ') AS text, 'kept' AS origin FROM s ANTI JOIN sv USING (clip_id, seg_ord)
+  UNION ALL SELECT p9.clip_id, p9.seg_ord, 0, i, p9.start, p9."end", best, coalesce(array_to_string(w[(skip + 1):(CASE WHEN i = n THEN 7 ELSE skip + take END)], ' '), ''), 'focused' FROM p9 JOIN s ON s.clip_id = p9.clip_id AND s.seg_ord = p9.seg_ord
+), h0 AS (SELECT *, lag("end") OVER (PARTITION BY clip_id ORDER BY start, k, o, n) AS prev FROM now),
+h AS (
+  SELECT clip_id, coalesce(prev, 0.0) AS start, start AS "end" FROM h0 WHERE (prev IS NULL AND start >= 2) OR start - prev >= 2
+  UNION ALL SELECT clip_id, arg_max("end", (start, k, o, n)) AS e, 30100.0 FROM now GROUP BY clip_id HAVING 30100.0 - e >= 2
+), g AS (
+  SELECT DISTINCT h.clip_id, greatest(h.start, s."end" + 1.5) AS start, least(h."end", s."end" + 6.25) AS "end" FROM h JOIN s ON s.clip_id = h.clip_id AND s."end" + 1.5 < h."end" AND h.start < s."end" + 6.25
+  WHERE least(h."end", s."end" + 6.25) - greatest(h.start, s."end" + 1.5) >= 0.4
+), gv0 AS (SELECT g.*, label, list_dot_product(v, c) AS sim FROM g JOIN vec ON vec.id = {_VEC.format(r="g")} JOIN cent ON cent.clip_id = g.clip_id),
+gv AS (SELECT clip_id, start, "end", arg_min(label, (-sim, label)) AS best FROM gv0 GROUP BY ALL),
+f AS (SELECT clip_id, floor(start) + k AS t, 100.0::DOUBLE + (seg_ord * 13 + k) % 90 AS f0 FROM s, range(30) t(k) WHERE (seg_ord + k) % 5 > 0),
+sp AS (SELECT s.clip_id, s.seg_ord, s.speaker, median(f0) AS f0 FROM s JOIN f ON f.clip_id = s.clip_id AND f.t >= s.start AND f.t < s."end" WHERE s."end" - s.start >= 1 GROUP BY ALL HAVING count(*) >= 3),
+us AS (SELECT clip_id, speaker, median(f0) AS usual FROM sp GROUP BY ALL),
+gf AS (SELECT g.clip_id, g.start, g."end", median(f0) AS f0 FROM g JOIN f ON f.clip_id = g.clip_id AND f.t >= g.start AND f.t < g."end" GROUP BY ALL HAVING count(*) >= 3),
+gt AS (SELECT gf.clip_id, gf.start, gf."end", arg_min(speaker, (abs(f0 - usual), speaker)) AS tone, any_value(f0) > max(usual) + 5 AS above FROM gf JOIN us ON us.clip_id = gf.clip_id GROUP BY ALL),
+u AS (
+  SELECT * FROM now UNION ALL SELECT gv.clip_id, 0, 1, 0, gv.start, gv."end", CASE WHEN coalesce(above, false) THEN tone ELSE best END, '', 'gap'
+  FROM gv LEFT JOIN gt ON gt.clip_id = gv.clip_id AND gt.start = gv.start AND gt."end" = gv."end"
+), {_JOINED}""",
 }
