@@ -4,11 +4,11 @@ The sketch of a text is the sorted array of the ``K`` smallest distinct hashes o
 ``SHINGLE`` words each; a text with fewer words is one shingle, one without words has an empty sketch). It is a uniform
 sample of the shingle set, so from two sketches follow resemblance, containment and the number of distinct shingles,
 and the sketch of the union is the bottom k of the two sketches: sketches of parts merge to that of the whole (parts
-overlapping by ``SHINGLE - 1`` words).
+overlapping by ``SHINGLE - 1`` words), two at a time (``merge``) or all rows of a group (``merge_rows``).
 
 Defined cases: null text counts as empty; two empty sketches have the likeness 1, an empty and another 0; equal texts
 have equal sketches. Rows that repeat a doc_id follow each other in the order of a hash of their texts, a null doc_id
-comes last in the descending order. Very long texts are one row's work, linear in their words. Tied hashes are one hash; ties
+comes last in the descending order. An empty table gives an empty table. Very long texts are one row's work, linear in their words. Tied hashes are one hash; ties
 of doc_id are ordered by text hash. ``with_next`` lets extra columns pass and uses free names; ``fingerprint_documents`` returns
 its own columns only, so no name clashes.
 """
@@ -53,9 +53,19 @@ def merge(a: Column, b: Column, k: int = K) -> Column:
     return bottom(F.concat(a, b), k)
 
 
-def merged(sketches: Column, k: int = K) -> Column:
-    """The same as an aggregate over rows: partial results are of at most k hashes and one row's."""
-    return F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list(sketches)))), 1, k)
+def merge_rows(rows: DataFrame, keys: list[str], sketch: str = "sketch", k: int = K) -> DataFrame:
+    """(keys, sketch): the sketch of the union of each group's parts. Rows of hashes, not of arrays: each task keeps the k smallest of a
+    group before the last shuffle, so a group of any size comes to one task as k hashes from each other task at most."""
+    hashes = rows.select(*keys, F.explode(sketch).alias("_hash")).distinct()
+    order = Window.partitionBy(*keys).orderBy("_hash")
+    least = hashes.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= k)
+    found = least.groupBy(*keys).agg(F.array_sort(F.collect_list("_hash")).alias(sketch))
+    named = found.withColumnsRenamed({c: f"_{c}" for c in keys})
+    same = F.lit(True)
+    for c in keys:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    every = rows.select(*keys).distinct().join(named, same, "left")
+    return every.select(*keys, F.coalesce(sketch, F.array().cast("array<bigint>")).alias(sketch))
 
 
 def resemblance(a: Column, b: Column, k: int = K) -> Column:

@@ -60,8 +60,13 @@ def test_sketches_merge(spark):
     words = [f"w{i % 700}" for i in range(900)]
     parts = [" ".join(words[i : i + 104]) for i in range(0, 900, 100)]
     whole = spark.createDataFrame([(" ".join(words),)], "t string").select(fp.sketch(F.col("t")).alias("s")).first().s
-    merged = spark.createDataFrame([(p,) for p in parts], "t string").select(fp.sketch(F.col("t")).alias("s")).agg(fp.merged(F.col("s")).alias("m")).first().m
-    assert list(whole) == list(merged)
+    rows = spark.createDataFrame([("x", p) for p in parts] + [(None, parts[0]), ("empty", None)], "g string, t string").select("g", fp.sketch(F.col("t")).alias("sketch"))
+    merged = fp.merge_rows(rows, ["g"])
+    got = {r.g: list(r.sketch) for r in merged.collect()}
+    assert got["x"] == list(whole) and got["empty"] == [] and set(got) == {"x", None, "empty"}
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") >= 2  # each task keeps k of a group before the shuffle
+    assert fp.merge_rows(rows.limit(0), ["g"]).collect() == []
 
 
 def test_neighbours_across_ranges(spark, monkeypatch):
