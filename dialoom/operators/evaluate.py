@@ -11,9 +11,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import label_mapping
+from ..session import written
+from .frames import error_report, label_mapping
 from .gates import verdict
 from .range_join import overlap_join
+from .segments import structure_profile
 
 
 def role_overlaps(expectations: DataFrame, segments: DataFrame, by: Sequence[str], width: float = 5.0) -> DataFrame:
@@ -85,6 +87,51 @@ def expectation_scores(assessed: DataFrame, by: Sequence[str]) -> DataFrame:
     ).filter(" AND ".join([f"_g{i} = 0" for i in range(len(by))] or ["true"])).drop(*[f"_g{i}" for i in range(len(by))])
 
 
+def full_report(
+    prediction: DataFrame, by: Sequence[str], reference: DataFrame | None = None, expectations: DataFrame | None = None, total: DataFrame | None = None,
+    step: float = 0.05, collar: float = 0.25, short: float = 0.5, width: float = 5.0, **assessment: float,
+) -> DataFrame:
+    """One row a clip: all that is known of a prediction, with a null struct for what there is nothing to compare with.
+
+    prediction, reference: structure profiles, over the clip's seconds (total: by, seconds; else to the last end of either).
+    reference_metrics: diarization error. targeted: score and error of the expectations (share of their weight), counts, weights,
+    by_kind (kind -> score), roles (role -> label), identity and the ids of the failures.
+    """
+    keys = list(by)
+    if total is None:
+        ends = prediction.select(*by, "end") if reference is None else prediction.select(*by, "end").union(reference.select(*by, "end"))
+        total = ends.groupBy(*by).agg(F.max("end").alias("seconds"))
+    total = written(total.select(*by, "seconds"), "clip-seconds")
+
+    def profile(rows: DataFrame, name: str) -> DataFrame:
+        found = structure_profile(rows.join(total, keys), by, short, F.col("seconds"))
+        return found.select(*by, F.struct(*[c for c in found.columns if c not in keys]).alias(name))
+
+    out = total.select(*by).join(profile(prediction, "prediction"), keys, "left")
+    if reference is not None:
+        rates = error_report(reference, prediction, by, step, collar, width, total)
+        rates = rates.select(*by, F.struct(*[c for c in rates.columns if c not in keys]).alias("reference_metrics"))
+        out = out.join(profile(reference, "reference"), keys, "left").join(rates, keys, "left")
+    else:
+        out = out.withColumn("reference", F.lit(None).cast(out.schema["prediction"].dataType)).withColumn("reference_metrics", F.lit(None).cast("struct<der: double>"))
+    if expectations is None:
+        return out.withColumn("targeted", F.lit(None).cast("struct<score: double>"))
+    overlaps = role_overlaps(expectations, prediction, by, width)
+    mapping = written(role_mapping(overlaps, by), "roles")
+    assessed = written(assess_expectations(expectations, prediction, mapping, by, width=width, **assessment), "assessed")
+    kinds = expectation_scores(assessed, by).groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("kind").isNotNull(), F.struct("kind", "score"))))).alias("by_kind"))
+    passed, weight = F.col("passed"), F.col("weight")
+    sums = assessed.groupBy(*by).agg(
+        F.count_if(passed).alias("passed_count"), F.count_if(~passed).alias("failed_count"), F.count("*").alias("expectation_count"),
+        F.sum(F.when(passed, weight).otherwise(0.0)).alias("passed_weight"), F.sum("weight").alias("total_weight"), F.array_sort(F.collect_list(F.when(~passed, F.col("id")))).alias("failures"),
+    )
+    roles = mapping.groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("role", "speaker")))).alias("roles"))
+    met = sums.join(kinds, keys, "left").join(roles, keys, "left").join(identity_scores(overlaps, by), keys, "left")
+    score = F.when(F.col("total_weight") > 0, F.col("passed_weight") / F.col("total_weight")).otherwise(0.0)
+    met = met.withColumn("score", score).withColumn("targeted_error", 1 - F.col("score"))
+    return out.join(met.select(*by, F.struct(*[c for c in met.columns if c not in keys]).alias("targeted")), keys, "left")
+
+
 def identity_scores(overlaps: DataFrame, by: Sequence[str]) -> DataFrame:
     """(by, share, distinctness, identity): each role's time with its main speaker, times how few roles share a speaker."""
     total = Window.partitionBy(*by, "role")

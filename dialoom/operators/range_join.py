@@ -26,8 +26,9 @@ def overlap_join(left: DataFrame, right: DataFrame, by: Sequence[str], width: fl
     """
     renamed = right.select(*[F.col(c).alias(c if c in by else f"{prefix}{c}") for c in right.columns])
     low, high = F.col(f"{prefix}start") - margin, F.col(f"{prefix}end") + margin
-    a = left.withColumn("_first", _bin(F.col("start"), width)).withColumn("_bin", F.explode(F.sequence("_first", _bin(F.col("end"), width))))
-    b = renamed.withColumn("_rfirst", _bin(low, width)).withColumn("_bin", F.explode(F.sequence("_rfirst", _bin(high, width))))
+    # Reversed intervals share nothing; left in, their bins would run backwards.
+    a = left.filter(F.col("start") <= F.col("end")).withColumn("_first", _bin(F.col("start"), width)).withColumn("_bin", F.explode(F.sequence("_first", _bin(F.col("end"), width))))
+    b = renamed.filter(low <= high).withColumn("_rfirst", _bin(low, width)).withColumn("_bin", F.explode(F.sequence("_rfirst", _bin(high, width))))
     shared = F.col("_bin") == F.greatest("_first", "_rfirst")
     if how == "inner":
         met = a.join(b, [*by, "_bin"]).filter(shared & (F.col("start") < high) & (low < F.col("end")))
@@ -45,7 +46,7 @@ def point_join(points: DataFrame, intervals: DataFrame, at: Column, by: Sequence
     renamed = intervals.select(*[F.col(c).alias(c if c in by else f"{prefix}{c}") for c in intervals.columns])
     low, high = F.col(f"{prefix}start") - margin, F.col(f"{prefix}end") + margin
     a = points.withColumn("_at", at).withColumn("_bin", _bin(F.col("_at"), width))
-    b = renamed.withColumn("_bin", F.explode(F.sequence(_bin(low, width), _bin(high, width))))
+    b = renamed.filter(low <= high).withColumn("_bin", F.explode(F.sequence(_bin(low, width), _bin(high, width))))
     inside = (low <= F.col("_at")) & ((F.col("_at") <= high) if closed else (F.col("_at") < high))
     return a.join(b, [*by, "_bin"]).filter(inside).drop("_bin", "_at")
 

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import sql
-from ..operators import edits, passes, sweep, timeline, visual
+from ..operators import edits, evaluate, passes, speakers, sweep, timeline, visual
 from ..session import table_path, written
 from ..sources import tables
-from . import views
+from . import data_sql, interval_queries, registry, views
 from .oracle_views import CHUNKS, CLOCK
 
 CLIP = ["clip_id"]
@@ -168,7 +168,50 @@ def file_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeline.staleness(signed(), before, ["part"]).select("part", "state")
 
 
-QUERIES = {f.__name__: f for f in (sql_functions, interpolated_tracks, file_signatures, edited_speakers, edited_emotions, edited_translations, sweep_resumed, visual_split, focused_split, face_match, face_relabel, retry_decision)}
+def full_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second labelling against the first, with expectations in windows from every segment on."""
+    rows = views.on_one_clock(spark, sf_dir)
+    wanted = rows.select(
+        "clip_id", F.col("seg_ord").cast("string").alias("id"), F.when(F.col("seg_ord") % 3 == 0, "single_role").when(F.col("seg_ord") % 3 == 1, "ordered_roles").otherwise("non_asr").alias("kind"),
+        "start", (F.col("start") + 120.0).alias("end"), F.lit(None).cast("double").alias("weight"), F.col("other").alias("role"), F.array("other", F.lit(None).cast("string")).alias("roles"),
+    )
+    out = evaluate.full_report(rows, CLIP, rows.withColumn("speaker", F.col("other")), wanted, step=0.5, short=10.0, width=40.0, least_coverage=0.1)
+    a, b, m, t = (F.col(c) for c in ("prediction", "reference", "reference_metrics", "targeted"))
+    return out.select(
+        "clip_id", a.n_segments.alias("n_segments"), a.n_speakers.alias("n_speakers"), b.n_speakers.alias("reference_speakers"), F.round(a.coverage, 9).alias("coverage"), F.round(a.entropy, 9).alias("entropy"),
+        F.round(m.der, 9).alias("der"), m.count_error.alias("count_error"), t.passed_count.alias("passed_count"), t.expectation_count.alias("expectation_count"), F.round(t.score, 9).alias("score"),
+        F.round(F.try_element_at(t.by_kind, F.lit("ordered_roles")), 9).alias("ordered_score"), F.size(t.failures).cast("long").alias("failures"), F.size(t.roles).alias("roles"),
+    )
+
+
+def sequence_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where m0, then m2, then any label and then m1 follow each other among twenty neighbours."""
+    rows = views.on_one_clock(spark, sf_dir).withColumn("clip_id", F.col("clip_id") * 1000 + F.floor(F.col("seg_ord") / 20))
+    labels = rows.groupBy("clip_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seg_ord", "other"))), lambda x: x.other).alias("labels"))
+    wanted = F.array(F.lit("m0"), F.lit("m2"), F.lit(None).cast("string"), F.lit("m1"))
+    return labels.select("clip_id", F.array_join(evaluate.sequence_places(F.col("labels"), wanted), ",").alias("places"))
+
+
+def minted_speakers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.on_one_clock(spark, sf_dir).withColumnRenamed("seg_ord", "chunk_ord").select("clip_id", "chunk_ord", "speaker")
+    n = F.col("chunk_ord")
+    shown = rows.filter(n % 5 < 4).select("clip_id", "chunk_ord", F.pmod(n * n, F.lit(7)).alias("face"))
+    return speakers.mint_by_faces(rows, shown, rows.select("clip_id", "chunk_ord", (n % 10 / 10.0).alias("own_sim"))).select("clip_id", "chunk_ord", "speaker")
+
+
+def stage_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Named stages in order, one of them skipped, from the second on."""
+    for name, stage in (
+        ("nothing", lambda d: d.limit(0)), ("least_5s", lambda d: d.filter(F.col("end") - F.col("start") >= 5)), ("upper", lambda d: d.withColumn("speaker", F.upper("speaker"))),
+        ("later", lambda d: d.withColumn("start", F.col("start") + 1)),
+    ):
+        if name not in registry.stages.names():
+            registry.stages.add(name, stage)
+    rows = views.on_one_clock(spark, sf_dir).select("clip_id", "seg_ord", "speaker", "start", "end")
+    return registry.run_stages(rows, ["nothing", "later", "upper", "least_5s"], skip=["upper"], first="later")
+
+
+QUERIES = {f.__name__: f for f in (full_report, sequence_places, minted_speakers, stage_chain, sql_functions, interpolated_tracks, file_signatures, edited_speakers, edited_emotions, edited_translations, sweep_resumed, visual_split, focused_split, face_match, face_relabel, retry_decision)}
 
 _TRIALS = ", ".join(f"({i}, {t['gap']}::DOUBLE, {t['least']}::DOUBLE)" for i, t in enumerate(TRIALS, 1))
 
@@ -186,6 +229,15 @@ _EDITED = f"""WITH {CHUNKS}, r AS (
     CASE WHEN chunk_ord % 3 = 0 THEN 'self' END AS mode0, CASE WHEN chunk_ord % 3 = 1 THEN 'chunk_0000' END AS ref0 FROM chunks
 )"""
 
+# The error where the second labelling is the reference: the query of the other direction with the names turned around.
+_DER = interval_queries.ORACLE_SQL["der"]
+for _old, _new in (
+    ("arg_min(speaker, start) AS ref, arg_min(other, start) AS pred", "arg_min(other, start) AS ref, arg_min(speaker, start) AS pred"),
+    ("a.pred = 'm0' AND b.pred = 'm1' AND a.ref <> b.ref", "a.ref = 'm0' AND b.ref = 'm1' AND a.pred <> b.pred"),
+    ("c.pred = 'm2' AND c.ref <> a.ref AND c.ref <> b.ref", "c.ref = 'm2' AND c.pred <> a.pred AND c.pred <> b.pred"),
+):
+    _DER = _DER.replace(_old, _new)
+
 ORACLE_SQL = {
     "edited_speakers": _EDITED + """, e AS (
   SELECT *, hit AND chunk_ord % 4 = 0 AS renamed, CASE WHEN hit AND chunk_ord % 5 = 0 THEN 'auto' WHEN hit AND chunk_ord % 5 = 1 THEN 'self' END AS m,
@@ -364,4 +416,18 @@ u AS (
   SELECT * FROM now UNION ALL SELECT gv.clip_id, 0, 1, 0, gv.start, gv."end", CASE WHEN coalesce(above, false) THEN tone ELSE best END, '', 'gap'
   FROM gv LEFT JOIN gt ON gt.clip_id = gv.clip_id AND gt.start = gv.start AND gt."end" = gv."end"
 ), {_JOINED}""",
+    "full_report": f"""WITH a AS ({interval_queries.ORACLE_SQL["structure_profile"]}), d AS ({_DER}), x AS ({data_sql.ORACLE_SQL["expectations"]})
+SELECT a.clip_id, n_segments, n_speakers, 3::BIGINT AS reference_speakers, coverage, entropy, d.der, d.count_error, t.passed AS passed_count, t.expected AS expectation_count, t.score AS score,
+  o.score AS ordered_score, t.expected - t.passed AS failures, 3 AS roles
+FROM a JOIN d ON d.clip_id = a.clip_id JOIN x t ON t.clip_id = a.clip_id AND t.kind IS NULL JOIN x o ON o.clip_id = a.clip_id AND o.kind = 'ordered_roles'""",
+    "sequence_places": f"""WITH {CLOCK}, l AS (SELECT clip_id * 1000 + seg_ord // 20 AS clip_id, list(other ORDER BY seg_ord) AS w FROM clk GROUP BY 1),
+a AS (SELECT *, nullif(list_position(w, 'm0'), 0) AS p FROM l), b AS (SELECT *, p + nullif(list_position(w[p + 1:], 'm2'), 0) AS q FROM a),
+c AS (SELECT *, q + 1 + nullif(list_position(w[q + 2:], 'm1'), 0) AS r FROM b)
+SELECT clip_id, CASE WHEN r IS NOT NULL THEN concat_ws(',', p, q, q + 1, r) END AS places FROM c""",
+    "minted_speakers": f"""WITH {CLOCK}, s AS (SELECT clip_id, seg_ord AS chunk_ord, speaker, CASE WHEN seg_ord % 5 < 4 THEN seg_ord * seg_ord % 7 END AS face FROM clk),
+k AS (SELECT clip_id, speaker, face, count(*) AS k FROM s WHERE face IS NOT NULL GROUP BY ALL),
+n AS (SELECT *, row_number() OVER (PARTITION BY clip_id, speaker ORDER BY k DESC, face) AS r FROM k)
+SELECT s.clip_id, chunk_ord, CASE WHEN r > 1 AND chunk_ord % 10 / 10.0::DOUBLE < 0.6 THEN s.speaker || '_m' || (r - 1) ELSE s.speaker END AS speaker
+FROM s LEFT JOIN n ON n.clip_id = s.clip_id AND n.speaker = s.speaker AND n.face = s.face""",
+    "stage_chain": f"""WITH {CLOCK} SELECT clip_id, seg_ord, speaker, start + 1 AS start, "end" FROM clk WHERE "end" - (start + 1) >= 5""",
 }
