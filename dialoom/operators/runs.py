@@ -174,9 +174,13 @@ def plateaus(rows: DataFrame, by: Sequence[str] = (), range_rows: int = 100_000)
     cuts = sorted({c for c in rows.agg(F.percentile_approx("threshold", steps)).first()[0]}) if steps else []
     part = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: F.col("threshold") >= c)) if cuts else F.lit(0)
 
-    def joined(runs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    def joined(runs: DataFrame, keys: Sequence[str], apart: Sequence[str] = ()) -> DataFrame:
+        """Neighbours of one count as one, but for those that agree in ``apart``: they are runs already."""
         w = Window.partitionBy(*keys).orderBy("first", "last")
-        new = runs.withColumn("_n", (~F.lag("main_count").over(w).eqNullSafe(F.col("main_count"))).cast("int"))
+        differs = ~F.lag("main_count").over(w).eqNullSafe(F.col("main_count"))
+        for c in apart:
+            differs |= F.lag(c).over(w).eqNullSafe(F.col(c))
+        new = runs.withColumn("_n", differs.cast("int"))
         return new.withColumn("_run", F.sum("_n").over(w)).groupBy(*keys, "_run").agg(
             F.first("main_count").alias("main_count"), F.min("first").alias("first"), F.max("last").alias("last"), F.sum("length").alias("length")
         ).drop("_run")
@@ -189,7 +193,7 @@ def plateaus(rows: DataFrame, by: Sequence[str] = (), range_rows: int = 100_000)
     ends = Window.partitionBy(*by, "_part")
     marked = within.withColumn("_end", (F.col("first") == F.min("first").over(ends)) | (F.col("last") == F.max("last").over(ends)))
     edge = marked.filter("_end").withColumn("_key", F.lit(0))
-    return joined(edge, [*by, "_key"]).drop("_key").unionByName(marked.filter("NOT _end").drop("_part", "_end"))
+    return joined(edge, [*by, "_key"], ["_part"]).drop("_key").unionByName(marked.filter("NOT _end").drop("_part", "_end"))
 
 
 def canonical_parameters(parameters: Column, aliases: dict[str, str], allowed: Sequence[str]) -> Column:
