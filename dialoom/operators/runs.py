@@ -111,8 +111,8 @@ def group_failure(steps: DataFrame, failed: DataFrame, by: Sequence[str] = ("run
 
 def inferred_steps(outputs: DataFrame, by: Sequence[str] = ("run_id",)) -> DataFrame:
     """(by, step, complete): all outputs of the step exist, or the final output of the run does; rows (by, step, exists, final)."""
-    whole = F.max(F.coalesce(F.col("final") & F.col("exists"), F.lit(False))).over(Window.partitionBy(*by))
-    return outputs.withColumn("_w", whole).groupBy(*by, "step").agg((F.bool_and("exists") | F.bool_or("_w")).alias("complete"))
+    each = outputs.groupBy(*by, "step").agg(F.bool_and("exists").alias("_e"), F.bool_or(F.coalesce(F.col("final") & F.col("exists"), F.lit(False))).alias("_f"))
+    return each.select(*by, "step", (F.col("_e") | F.max("_f").over(Window.partitionBy(*by))).alias("complete"))
 
 
 def activity_feed(events: DataFrame, limit: int, *, newest_first: bool = True) -> DataFrame:
