@@ -5,8 +5,8 @@ are scaled to 1 and get 0 there. The largest inner products of a query are then
 
 1. Equal vectors are one class with the ``most + 1`` smallest ids of its rows: no further row of it can be among the nearest of any
    query. Queries are classes as well, searched once each.
-2. Classes are dealt to blocks of about ``block_rows``. The index has a row for each block: its vectors, and its projections on
-   ``projections`` random orthonormal directions, each as a sorted array. Every class is in it.
+2. Classes are dealt to blocks of about ``block_rows``. The index has a row for each class: its vector, and its ranks among the block's
+   projections on each of ``projections`` random orthonormal directions, which give the sorted arrays. Every class is in it.
 3. A query's windows are centred on its own projections. Step by step the radius R grows, and with it each window to the query's
    projection +- ``WIDTH`` R. What the windows gain on either side is read on in the sorted arrays (virtual rehashing) and counted for
    the vectors there. A vector that ``needed`` windows hold is verified: its inner product is computed.
@@ -14,6 +14,7 @@ are scaled to 1 and get 0 there. The largest inner products of a query are then
    vectors of the block are verified. ``needed`` is the largest number that a vector at distance R reaches with probability ``SURE``
    (binomial): all nearer ones reach it more often, so a true neighbour is lost with a probability of at most 1 - ``SURE``.
 5. Each query meets one block first; its nearest there bound the radius in all others. What the blocks find is merged by rank.
+   A block is sent once for each span of up to ``SPAN`` chunks of queries, which a task takes one chunk at a time.
 
 Each query meets every block, so the work is that of queries times rows at worst; what a block costs a query falls with the windows
 it needs. Scores are sums in double precision over the original components in their order. Nothing is sampled, and no candidate is
@@ -43,6 +44,9 @@ PROJECTIONS = 64
 BLOCK_ROWS = 16_384
 #: Queries that meet a block together.
 QUERY_ROWS = 512
+#: Chunks of queries for which a block is sent once, but at least so many tasks are made where there are chunks enough.
+SPAN = 32
+TASKS = 48
 SURE = 0.93
 #: Half a window's width at R = 1; a direction shows a distance of 1 with standard deviation 1.
 WIDTH = 1.0
@@ -148,16 +152,12 @@ def _best(vectors: np.ndarray, query: np.ndarray, places: np.ndarray, scores: np
     return places, exact
 
 
-_INDEX = "block int, ids array<array<bigint>>, vectors binary, projected binary, places binary"
+_INDEX = "block int, ids array<bigint>, vector array<double>, ranks array<int>"
 _FOUND = "class bigint, score double, ids array<bigint>"
 
 
-def _array(table: pa.Table, name: str, kind: type, width: int) -> np.ndarray:
-    return np.frombuffer(table[name][0].as_py(), kind).reshape(-1, width)
-
-
-def _stacked(lists: pa.ChunkedArray) -> np.ndarray:
-    flat = lists.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+def _stacked(lists: pa.ChunkedArray, kind: type = np.float64) -> np.ndarray:
+    flat = lists.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(kind)
     return flat.reshape(len(lists), -1)
 
 
@@ -194,11 +194,11 @@ def nearest(
     axes, k, least = directions(dimensions + 1, projections), most + 1, needed(projections, WIDTH, SURE)
 
     def indexed(table: pa.Table) -> pa.Table:
-        vectors = _stacked(table["vector"])
-        shown = (extended(vectors, norm) @ axes.T).T
-        places = np.argsort(shown, axis=1, kind="stable")
-        parts = [x.tobytes() for x in (vectors, np.take_along_axis(shown, places, 1), places.astype(np.int32))]
-        return pa.table({"block": pa.array([table["block"][0].as_py()], pa.int32()), "ids": pa.array([table["ids"].to_pylist()]), **dict(zip(("vectors", "projected", "places"), ([x] for x in parts), strict=True))})
+        shown = extended(_stacked(table["vector"]), norm) @ axes.T
+        ranks = np.empty(shown.shape, np.int32)
+        np.put_along_axis(ranks, np.argsort(shown, axis=0, kind="stable"), np.arange(len(shown), dtype=np.int32)[:, None], 0)
+        listed = pa.ListArray.from_arrays(np.arange(len(shown) + 1, dtype=np.int32) * projections, ranks.ravel())
+        return table.select(["block", "ids", "vector"]).append_column("ranks", listed)
 
     def dealt(name: str, parts: int):
         return F.pmod(F.hash("class"), F.lit(parts)).alias(name)
@@ -210,30 +210,37 @@ def nearest(
         """A block of the index and the queries of a chunk with what bounds them."""
         if not len(index) or not len(asked):
             return pa.table({"class": pa.array([], pa.int64()), "score": pa.array([], pa.float64()), "ids": pa.array([], pa.list_(pa.int64()))})
-        vectors, names = _array(index, "vectors", np.float64, dimensions), index["ids"][0]
-        size = len(vectors)
-        values, places = _array(index, "projected", np.float64, size), _array(index, "places", np.int32, size).astype(np.intp)
-        own = _stacked(asked["vector"])
-        shown = extended(own / np.linalg.norm(own, axis=1, keepdims=True), 1.0)
-        limits = asked["bound"].to_numpy()
-        answers = search(vectors, values, places, own, shown @ axes.T, limits, norm, k, least)
-        which = np.repeat(asked["class"].to_numpy(), [len(p) for p, _ in answers])
-        held = pa.array([names[i].as_py() for p, _ in answers for i in p.tolist()], pa.list_(pa.int64()))
-        return pa.table({"class": which, "score": np.concatenate([s for _, s in answers]), "ids": held})
+        vectors, names = _stacked(index["vector"]), index["ids"].combine_chunks()
+        ranks = _stacked(index["ranks"], np.int32).T
+        places = np.empty(ranks.shape, np.intp)
+        np.put_along_axis(places, ranks, np.arange(len(vectors))[None, :], 1)
+        values = np.take_along_axis((extended(vectors, norm) @ axes.T).T, places, 1)
+        every = _stacked(asked["vector"])
+        names_of, bounds, out = asked["class"].to_numpy(), asked["bound"].to_numpy(), []
+        for begin in range(0, len(every), query_rows):
+            own = every[begin : begin + query_rows]
+            shown = extended(own / np.linalg.norm(own, axis=1, keepdims=True), 1.0)
+            answers = search(vectors, values, places, own, shown @ axes.T, bounds[begin : begin + query_rows], norm, k, least)
+            which = np.repeat(names_of[begin : begin + query_rows], [len(p) for p, _ in answers])
+            held = names.take(pa.array(np.concatenate([p for p, _ in answers])))
+            out.append(pa.table({"class": which, "score": np.concatenate([s for _, s in answers]), "ids": held}))
+        return pa.concat_tables(out)
 
     def met(index: DataFrame, asked: DataFrame) -> DataFrame:
-        return index.groupBy("block", "chunk").cogroup(asked.groupBy("block", "chunk")).applyInArrow(searched, _FOUND)
+        return index.groupBy("block", "span").cogroup(asked.groupBy("block", "span")).applyInArrow(searched, _FOUND)
 
-    home = F.pmod("chunk", F.lit(blocks)).cast("int").alias("block")
-    every_chunk = F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk")
-    met_by = index.select("*", every_chunk)
-    found = written(met(met_by.filter(F.pmod("chunk", F.lit(blocks)) == F.col("block")), queries.select("*", home, F.lit(-math.inf).alias("bound"))), "first-neighbours")
+    # First each chunk of queries meets one block, then the spans of chunks the others.
+    home, spans = F.pmod("chunk", F.lit(blocks)).cast("int"), min(chunks, max(math.ceil(chunks / SPAN), math.ceil(TASKS / blocks)))
+    guests = F.explode(F.sequence("block", F.lit(chunks - 1), F.lit(blocks))).alias("span")
+    at_home = queries.select("*", home.alias("block"), F.col("chunk").alias("span"), F.lit(-math.inf).alias("bound"))
+    found = written(met(index.filter(F.col("block") < chunks).select("*", guests), at_home), "first-neighbours")
     if blocks > 1:
         ranked = _first(found, k)
         bounds = ranked.filter(F.col("rank") == k).select(F.col("class").alias("_class"), F.col("score").alias("bound"))
         bounded = queries.join(bounds, F.col("class") == F.col("_class"), "left").withColumn("bound", F.coalesce("bound", F.lit(-math.inf))).drop("_class")
-        others = bounded.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")).filter(F.pmod("chunk", F.lit(blocks)) != F.col("block"))
-        more = met(met_by.filter(F.pmod("chunk", F.lit(blocks)) != F.col("block")), others)
+        span, every_span = F.pmod("chunk", F.lit(spans)).cast("int").alias("span"), F.explode(F.sequence(F.lit(0), F.lit(spans - 1))).alias("span")
+        others = bounded.select("*", span, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")).filter(home != F.col("block"))
+        more = met(index.select("*", every_span), others)
         found = _first(found.union(written(more, "other-neighbours")), k)
     # A class's neighbours as rows: its nearest classes first, then their rows one by one.
     each = _first(found, k).select("class", "score", F.explode("ids").alias("vec_id"))

@@ -71,3 +71,23 @@ def test_needed_is_a_binomial_quantile():
     inside = math.erf(1 / math.sqrt(2))
     draw = np.random.default_rng(1).binomial(64, inside, 200_000)
     assert (draw >= neighbours.needed(64, 1.0, 0.97)).mean() >= 0.97 > (draw >= neighbours.needed(64, 1.0, 0.97) + 1).mean()
+
+
+def test_index_has_small_rows_and_spans_of_any_size_agree(spark, monkeypatch):
+    draw = np.random.default_rng(5)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(draw.standard_normal((300, 6)))], "vec_id long, embedding array<double>")
+    kept, sizes = neighbours.written, {}
+
+    def watched(df, name):
+        out = kept(df, name)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(neighbours, "written", watched)
+    answers = []
+    for span, tasks in ((1, 1), (3, 1), (32, 48)):
+        monkeypatch.setattr(neighbours, "SPAN", span)
+        monkeypatch.setattr(neighbours, "TASKS", tasks)
+        answers.append(sorted(map(tuple, neighbours.nearest(rows, every=5, most=4, block_rows=64, query_rows=8).collect())))
+        assert sizes["projection-index"] == 300  # a row for each vector, not one for each block
+    assert answers[0] == answers[1] == answers[2] and len(answers[0]) == 60 * 4
