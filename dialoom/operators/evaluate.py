@@ -25,9 +25,10 @@ def role_overlaps(expectations: DataFrame, segments: DataFrame, by: Sequence[str
     return met.groupBy(*by, "role", F.col("r_speaker").alias("speaker")).agg(F.sum("overlap").alias("seconds"))
 
 
-def role_mapping(overlaps: DataFrame, by: Sequence[str]) -> DataFrame:
-    """(by, role, speaker): one to one, with the largest total."""
-    return label_mapping(overlaps, by, pred="role", ref="speaker", value="seconds")
+def role_mapping(overlaps: DataFrame, by: Sequence[str], whole: Sequence[str] | None = None) -> DataFrame:
+    """(by, role, speaker): one to one, with the largest total, of equal ones the first by the speakers in order of roles (should there
+    be fewer speakers, by the roles in order of speakers). ``whole``: a clip has all these roles mapped, or none."""
+    return label_mapping(overlaps, by, pred="role", ref="speaker", value="seconds", whole=whole)
 
 
 def sequence_found(labels: Column, wanted: Column) -> Column:
@@ -54,10 +55,11 @@ def sequence_places(labels: Column, wanted: Column) -> Column:
 
 def assess_expectations(
     expectations: DataFrame, segments: DataFrame, mapping: DataFrame, by: Sequence[str], least_segment: float = 0.12, least_coverage: float = 0.55,
-    most_speech: float = 0.25, width: float = 5.0,
+    most_speech: float = 0.25, width: float = 5.0, mapped_only: bool = False,
 ) -> DataFrame:
     """(by, id, kind, weight, passed). single_role: the mapped speaker covers enough; ordered_roles: the mapped speakers follow each
-    other so; non_asr: little is spoken."""
+    other so; non_asr: little is spoken. A null among the roles takes any label, and so does a role without a speaker, unless
+    ``mapped_only``: then the sequence fails."""
     met = overlap_join(expectations.select(*by, "id", "start", "end"), segments.select(*by, "seg_ord", "speaker", "start", "end"), by, width)
     length = F.col("end") - F.col("start")
     share = met.groupBy(*by, "id", "r_speaker").agg(F.sum("overlap").alias("s"))
@@ -74,6 +76,8 @@ def assess_expectations(
     single = seconds >= least_coverage * length
     wanted = F.transform("roles", lambda r: F.try_element_at(names, r))
     ordered = F.coalesce(sequence_found(F.coalesce("labels", F.array().cast("array<string>")), wanted), F.lit(False))
+    if mapped_only:
+        ordered &= ~F.exists("roles", lambda r: r.isNotNull() & F.try_element_at(names, r).isNull())
     quiet = F.coalesce("spoken", F.lit(0.0)) <= most_speech * length
     passed = F.when(F.col("kind") == "single_role", single).when(F.col("kind") == "ordered_roles", ordered).otherwise(quiet)
     return rows.select(*by, "id", "kind", F.coalesce("weight", F.lit(1.0)).alias("weight"), F.coalesce(passed, F.lit(False)).alias("passed"))

@@ -411,8 +411,8 @@ def expectations(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = rows.select(
         "clip_id", F.col("seg_ord").cast("string").alias("id"), F.when(F.col("seg_ord") % 3 == 0, "single_role").when(F.col("seg_ord") % 3 == 1, "ordered_roles").otherwise("non_asr").alias("kind"),
         "start", (F.col("start") + 120.0).alias("end"), F.lit(None).cast("double").alias("weight"), F.col("other").alias("role"), F.array("other", F.lit(None).cast("string")).alias("roles"))
-    mapping = evaluate.role_mapping(evaluate.role_overlaps(e, rows, ["clip_id"], 40.0), ["clip_id"])
-    out = evaluate.expectation_scores(evaluate.assess_expectations(e, rows, mapping, ["clip_id"], least_coverage=0.1, width=40.0), ["clip_id"])
+    mapping = evaluate.role_mapping(evaluate.role_overlaps(e, rows, ["clip_id"], 40.0), ["clip_id"], views.ROLES)
+    out = evaluate.expectation_scores(evaluate.assess_expectations(e, rows, mapping, ["clip_id"], least_coverage=0.1, width=40.0, mapped_only=True), ["clip_id"])
     return out.select("clip_id", "kind", "expected", "passed", F.round("score", 9).alias("score"))
 
 
