@@ -93,13 +93,14 @@ def expectation_scores(assessed: DataFrame, by: Sequence[str]) -> DataFrame:
 
 def full_report(
     prediction: DataFrame, by: Sequence[str], reference: DataFrame | None = None, expectations: DataFrame | None = None, total: DataFrame | None = None,
-    step: float = 0.05, collar: float = 0.25, short: float = 0.5, width: float = 5.0, **assessment: float,
+    step: float = 0.05, collar: float = 0.25, short: float = 0.5, width: float = 5.0, whole: Sequence[str] | None = None, **assessment: float,
 ) -> DataFrame:
     """One row a clip: all that is known of a prediction, with a null struct for what there is nothing to compare with.
 
     prediction, reference: structure profiles, over the clip's seconds (total: by, seconds; else to the last end of either).
     reference_metrics: diarization error. targeted: score and error of the expectations (share of their weight), counts, weights,
-    by_kind (kind -> score), roles (role -> label), identity and the ids of the failures.
+    by_kind (kind -> score), roles (role -> label), identity and the ids of the failures. whole: the roles of a clip, mapped all or
+    not at all; roles then has each of them, with a null label where none is mapped, and no sequence passes by an unmapped role.
     """
     keys = list(by)
     if total is None:
@@ -121,8 +122,8 @@ def full_report(
     if expectations is None:
         return out.withColumn("targeted", F.lit(None).cast("struct<score: double>"))
     overlaps = role_overlaps(expectations, prediction, by, width)
-    mapping = written(role_mapping(overlaps, by), "roles")
-    assessed = written(assess_expectations(expectations, prediction, mapping, by, width=width, **assessment), "assessed")
+    mapping = written(role_mapping(overlaps, by, whole), "roles")
+    assessed = written(assess_expectations(expectations, prediction, mapping, by, width=width, mapped_only=whole is not None, **assessment), "assessed")
     kinds = expectation_scores(assessed, by).groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("kind").isNotNull(), F.struct("kind", "score"))))).alias("by_kind"))
     passed, weight = F.col("passed"), F.col("weight")
     sums = assessed.groupBy(*by).agg(
@@ -131,6 +132,9 @@ def full_report(
     )
     roles = mapping.groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("role", "speaker")))).alias("roles"))
     met = sums.join(kinds, keys, "left").join(roles, keys, "left").join(identity_scores(overlaps, by), keys, "left")
+    if whole is not None:
+        each = F.array(*map(F.lit, whole))
+        met = met.withColumn("roles", F.map_from_arrays(each, F.transform(each, lambda r: F.try_element_at("roles", r))))
     score = F.when(F.col("total_weight") > 0, F.col("passed_weight") / F.col("total_weight")).otherwise(0.0)
     met = met.withColumn("score", score).withColumn("targeted_error", 1 - F.col("score"))
     return out.join(met.select(*by, F.struct(*[c for c in met.columns if c not in keys]).alias("targeted")), keys, "left")
